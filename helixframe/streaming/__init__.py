@@ -1,0 +1 @@
+"""helixframe.streaming."""
