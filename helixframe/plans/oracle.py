@@ -40,6 +40,13 @@ _CTES = {
               group by gene, pos) f
         join annotation a on a.gene = f.gene
         where f.pos >= a.tx_start - 1 and f.pos < a.tx_end""", ["annotation"]),
+    "contig_seq": ("""
+        select chrom, string_agg(bases, '' order by line_no) seq, cast(sum(length(bases)) as bigint) len
+        from fasta_lines group by chrom""", ["fasta_lines"]),
+    "site_info": ("""
+        select s.gene, s.pos, s.label, a.chrom, a.strand, a.tx_start - 1 tx0, a.tx_end, c.seq, c.len clen
+        from sites s join annotation a on a.gene = s.gene join contig_seq c on c.chrom = a.chrom""",
+                  ["sites", "annotation", "contig_seq"]),
     "jittered": (f"""
         select *, greatest(least(start + case when split = 'train' then
                      cast('0x' || substr(md5('{P.SEED}:{P.EPOCH}:' || gene || ':' || cast(tile as varchar)), 1, 8) as bigint)
@@ -48,6 +55,36 @@ _CTES = {
 }
 
 
+def _fetch(src: str, s0: str, e0: str, left: str = "0", right: str = "clen",
+           no_padding: bool = False, reverse: str | None = None) -> str:
+    """J1 over whole-contig strings: ``src`` must expose seq and clen."""
+    pad_l = "0" if no_padding else "greatest(0, L - s1)"
+    pad_r = "0" if no_padding else "greatest(0, e1 - R)"
+    core = "case when ce > cs then substr(seq, cs + 1, ce - cs) else '' end"
+    body = f"repeat('N', {pad_l}) || {core} || repeat('N', {pad_r})"
+    if reverse:
+        body = (f"case when {reverse} then reverse(translate({body}, 'ACGTUNacgtun', 'TGCAANtgcaan')) "
+                f"else {body} end")
+    return f"""(select *, {body} fseq from (
+        select *, greatest(s1, L) cs, least(e1, R) ce from (
+          select *, case when s0 >= R or e0 <= L then R else s0 end s1,
+                    case when s0 >= R or e0 <= L then R + e0 - s0 else e0 end e1 from (
+            select *, least(least(greatest({left}, 0), clen), R) L from (
+              select *, least(greatest({right}, 0), clen) R from (
+                select *, {s0} s0, {e0} e0 from {src}))))))"""
+
+
+def _b(q: str) -> str:
+    """Upper-case base at genomic position q inside the transcript and the
+    contig, else N (site_info columns)."""
+    return (f"(case when ({q}) >= tx0 and ({q}) < least(tx_end, clen) and ({q}) >= 0 "
+            f"then upper(substr(seq, ({q}) + 1, 1)) else 'N' end)")
+
+
+def _c(x: str) -> str:
+    return f"translate({x}, 'ACGTUN', 'TGCAAN')"
+
+
 def _with(*names: str) -> str:
     order: list[str] = []
 
@@ -94,4 +131,90 @@ ORACLE = {
     "window_jitter": _with("jittered") + f"""
         select gene, cast(tile as bigint) tile, split, s2 start, s2 + {P.WINDOW} "end",
                greatest(s2, tx0) lab_lo, least(s2 + {P.WINDOW}, tx_end) lab_hi from jittered""",
+    "genome_contigs": _with("fasta_lines") + """
+        select chrom, cast(sum(length(bases)) as bigint) length from fasta_lines group by chrom""",
+    "genome_chunks": _with("contig_seq") + f"""
+        select chrom, cast(i as bigint) chunk_id, cast(i * {P.CHUNK} as bigint) chunk_start,
+               cast(length(substr(seq, i * {P.CHUNK} + 1, {P.CHUNK})) as bigint) n_bases,
+               md5(substr(seq, i * {P.CHUNK} + 1, {P.CHUNK})) bases_md5,
+               md5(substr(seq, (i + 1) * {P.CHUNK} + 1, {P.HALO})) ext_md5
+        from contig_seq, unnest(range(0, (len + {P.CHUNK - 1}) // {P.CHUNK})) t(i)""",
+    "fetch_intervals": _with("intervals", "contig_seq") + """
+        select gene, cast(length(fseq) as bigint) seq_len, md5(fseq) seq_md5 from """ + _fetch(
+        "(select i.*, c.seq, c.len clen from intervals i join contig_seq c on c.chrom = i.chrom)",
+        "start_pos", "end_pos"),
+    "fetch_intervals_bordered": _with("intervals", "contig_seq") + """
+        select gene, cast(length(fseq) as bigint) seq_len, md5(fseq) seq_md5 from """ + _fetch(
+        "(select i.*, c.seq, c.len clen from intervals i join contig_seq c on c.chrom = i.chrom)",
+        "start_pos", "end_pos", left="start_pos + 5", right="end_pos - 5", reverse="strand = '-'"),
+    "fetch_clipped": _with("intervals", "contig_seq") + """
+        select gene, cast(length(fseq) as bigint) seq_len, md5(fseq) seq_md5 from """ + _fetch(
+        "(select i.*, c.seq, c.len clen from intervals i join contig_seq c on c.chrom = i.chrom)",
+        "start_pos", "end_pos", no_padding=True),
+    "window_sequences": _with("jittered", "contig_seq") + f"""
+        select gene, cast(tile as bigint) tile, cast(length(wseq) as bigint) seq_len, md5(wseq) seq_md5 from (
+          select *, case when strand = '-' then reverse(translate(w, 'ACGTUNacgtun', 'TGCAANtgcaan')) else w end wseq
+          from (select *, repeat('N', seq_lo - (s2 - {P.FLANK})) || fseq || repeat('N', s2 + {P.WINDOW + P.FLANK} - seq_hi) w
+                from """ + _fetch(
+        f"""(select j.*, greatest(s2 - {P.FLANK}, tx0) seq_lo, least(s2 + {P.WINDOW + P.FLANK}, tx_end) seq_hi,
+                   c.seq, c.len clen from jittered j join contig_seq c on c.chrom = j.chrom)""",
+        "seq_lo", "seq_hi") + "))",
+    "window_labels": _with("jittered", "sites") + f"""
+        select gene, cast(tile as bigint) tile,
+               md5(string_agg(cast(lab as varchar), ',' order by case when strand = '-' then -p else p end)) labels_md5,
+               cast(sum(case when lab = 1 then 1 else 0 end) as bigint) n_donor,
+               cast(sum(case when lab = 2 then 1 else 0 end) as bigint) n_acceptor,
+               cast(sum(case when lab = -100 then 1 else 0 end) as bigint) n_ignored
+        from (select j.gene, j.tile, j.strand, t.p,
+                     case when t.p < j.tx0 or t.p >= j.tx_end then -100 else coalesce(s.label, 0) end lab
+              from jittered j, unnest(range(j.s2, j.s2 + {P.WINDOW})) t(p)
+              left join sites s on s.gene = j.gene and s.pos = t.p)
+        group by gene, tile""",
+    "window_tokens": _with("tiles", "contig_seq") + f"""
+        select gene, cast(tile as bigint) tile, cast(length(tok) as bigint) n_tokens, md5(tok) tokens_md5 from (
+          select *, '2' || array_to_string(list_transform(string_split(wseq, ''), lambda c: case upper(c) when 'N' then '5' when 'A' then '6' when 'C' then '7' when 'G' then '8' when 'T' then '9' when 'U' then '9' end), '') || '3' tok from (
+          select *, case when strand = '-' then reverse(translate(w, 'ACGTUNacgtun', 'TGCAANtgcaan')) else w end wseq
+          from (select *, repeat('N', seq_lo - (s2 - {P.FLANK})) || fseq || repeat('N', s2 + {P.WINDOW + P.FLANK} - seq_hi) w
+                from """ + _fetch(
+        f"""(select t.*, greatest(s2 - {P.FLANK}, tx0) seq_lo, least(s2 + {P.WINDOW + P.FLANK}, tx_end) seq_hi,
+                   c.seq, c.len clen from (select *, greatest(least(start, tx_end - 1), tx0 - {P.FLANK} + 1) s2 from tiles) t
+                   join contig_seq c on c.chrom = t.chrom)""",
+        "seq_lo", "seq_hi") + ")))",
+    "splice_motifs": _with("site_info") + f"""
+        select kind, motif, cast(count(*) as bigint) n from (
+          select case when label = 1 then 'donor' else 'acceptor' end kind,
+                 case when label = 1 and strand = '+' then {_b("pos + 1")} || {_b("pos + 2")}
+                      when label = 2 and strand = '+' then {_b("pos - 2")} || {_b("pos - 1")}
+                      when label = 1 then {_c(_b("pos - 1"))} || {_c(_b("pos - 2"))}
+                      else {_c(_b("pos + 2"))} || {_c(_b("pos + 1"))} end motif
+          from site_info where label in (1, 2))
+        group by kind, motif""",
+    "label_counts": _with("site_info") + f"""
+        select chrom, cast(sum(case when label = 1 then 1 else 0 end) as bigint) n_donors,
+               cast(sum(case when label = 2 then 1 else 0 end) as bigint) n_acceptors,
+               cast(sum(case when label = -100 and {_b("pos")} <> 'N' then 1 else 0 end) as bigint) n_unknown
+        from site_info group by chrom""",
+    "encode_nfirst": _with("fasta_lines") + """
+        select line_no, cast(length(bases) as bigint) n, md5(case when bases = '' then '' else
+               array_to_string(list_transform(string_split(bases, ''), lambda c: case upper(c) when 'N' then '0' when 'A' then '1' when 'C' then '2' when 'G' then '3' when 'T' then '4' when 'U' then '4' end), '') end) codes_md5
+        from fasta_lines""",
+    "encode_afirst": _with("fasta_lines") + """
+        select line_no, cast(length(bases) as bigint) n, md5(case when bases = '' then '' else
+               array_to_string(list_transform(string_split(bases, ''), lambda c: case upper(c) when 'N' then '4' when 'A' then '0' when 'C' then '1' when 'G' then '2' when 'T' then '3' when 'U' then '4' end), '') end) codes_md5
+        from fasta_lines""",
+    "reverse_complement": _with("fasta_lines") + """
+        select line_no, md5(case when bases = '' then '' else array_to_string(list_reverse(list_transform(
+               string_split(bases, ''), lambda c: case c when 'A' then 'T' when 'C' then 'G' when 'G' then 'C'
+               when 'T' then 'A' when 'U' then 'A' when 'N' then 'N' when 'a' then 't' when 'c' then 'g'
+               when 'g' then 'c' when 't' then 'a' when 'u' then 'a' when 'n' then 'n' end)), '') end) rc_md5
+        from fasta_lines""",
+    "kmers": _with("fasta_lines") + f"""
+        select line_no, cast(len(km) as bigint) n_kmers, md5(array_to_string(km, ',')) kmers_md5 from (
+          select line_no, list_transform(range(0, length(bases), {P.KMER_STEP}),
+                 lambda i: substr(repeat('N', {P.KMER_LEFT}) || bases || repeat('N', {P.KMER_RIGHT}), i + 1, {P.KMER_K})) km
+          from fasta_lines)""",
+    "kmer_counts": _with("contig_seq") + f"""
+        select substr(repeat('N', {P.KMER_LEFT}) || seq || repeat('N', {P.KMER_RIGHT}), i + 1, {P.KMER_K}) kmer,
+               cast(count(*) as bigint) n
+        from contig_seq, unnest(range(0, len, {P.KMER_STEP})) t(i) group by kmer""",
 }

@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import labels, splits, windows
+from ..functions.sequence import encode, kmers, reverse_complement
+from ..operators import genome as gn
+from ..operators import labels, samples, splits, windows
 from ..sources import fixtures as fx
 from . import params as P
 
@@ -67,6 +69,115 @@ def q_window_jitter(spark, sf_dir):
     return w.select("gene", "tile", "split", "start", "end", "lab_lo", "lab_hi")
 
 
+def _genome(spark, sf_dir) -> gn.Genome:
+    return gn.build_genome(fx.fasta_lines(spark, sf_dir), P.CHUNK, P.HALO, checkpoint=True)
+
+
+def _jittered(spark, sf_dir) -> DataFrame:
+    w = windows.jitter(_split_tiles(spark, sf_dir), P.SHIFT, P.SEED, P.EPOCH)
+    return windows.window_bounds(w, P.WINDOW, P.FLANK)
+
+
+def _sites(spark, sf_dir) -> DataFrame:
+    return labels.site_labels(_genes(spark, sf_dir))
+
+
+def q_genome_contigs(spark, sf_dir):
+    return _genome(spark, sf_dir).contigs.select("chrom", "length")
+
+
+def q_genome_chunks(spark, sf_dir):
+    c = _genome(spark, sf_dir).chunks
+    return c.select("chrom", "chunk_id", F.col("chunk_start").cast("bigint").alias("chunk_start"),
+                    F.length("bases").cast("bigint").alias("n_bases"),
+                    F.md5("bases").alias("bases_md5"), F.md5("ext").alias("ext_md5"))
+
+
+def _fetch_out(df, col="seq"):
+    return df.select("gene", F.length(col).cast("bigint").alias("seq_len"), F.md5(col).alias("seq_md5"))
+
+
+def q_fetch_intervals(spark, sf_dir):
+    iv = fx.intervals(spark, sf_dir)
+    return _fetch_out(gn.fetch_intervals(_genome(spark, sf_dir), iv, "start_pos", "end_pos", keys=["gene"]))
+
+
+def q_fetch_intervals_bordered(spark, sf_dir):
+    iv = fx.intervals(spark, sf_dir)
+    f = gn.fetch_intervals(_genome(spark, sf_dir), iv, "start_pos", "end_pos",
+                           left=F.col("start_pos") + 5, right=F.col("end_pos") - 5,
+                           reverse=F.col("strand") == "-", keys=["gene"])
+    return _fetch_out(f)
+
+
+def q_fetch_clipped(spark, sf_dir):
+    iv = fx.intervals(spark, sf_dir)
+    f = gn.fetch_intervals(_genome(spark, sf_dir), iv, "start_pos", "end_pos", no_padding=True,
+                           keys=["gene"])
+    return _fetch_out(f)
+
+
+def q_window_sequences(spark, sf_dir):
+    w = samples.window_sequences(_jittered(spark, sf_dir), _genome(spark, sf_dir))
+    return w.select("gene", "tile", F.length("seq").cast("bigint").alias("seq_len"),
+                    F.md5("seq").alias("seq_md5"))
+
+
+def q_window_labels(spark, sf_dir):
+    w = samples.window_labels(_jittered(spark, sf_dir), _sites(spark, sf_dir), P.WINDOW, P.SHIFT)
+    lab = F.col("labels")
+    return w.select("gene", "tile",
+                    F.md5(F.concat_ws(",", F.transform(lab, lambda x: x.cast("string")))).alias("labels_md5"),
+                    F.size(F.filter(lab, lambda x: x == 1)).cast("bigint").alias("n_donor"),
+                    F.size(F.filter(lab, lambda x: x == 2)).cast("bigint").alias("n_acceptor"),
+                    F.size(F.filter(lab, lambda x: x == -100)).cast("bigint").alias("n_ignored"))
+
+
+def q_window_tokens(spark, sf_dir):
+    w = windows.window_bounds(_tiles(spark, sf_dir), P.WINDOW, P.FLANK)
+    w = samples.window_sequences(w, _genome(spark, sf_dir))
+    t = w.withColumn("tokens", samples.window_tokens("seq"))
+    return t.select("gene", "tile", F.length("tokens").cast("bigint").alias("n_tokens"),
+                    F.md5("tokens").alias("tokens_md5"))
+
+
+def q_splice_motifs(spark, sf_dir):
+    return samples.splice_motifs(_sites(spark, sf_dir), _genome(spark, sf_dir))
+
+
+def q_label_counts(spark, sf_dir):
+    return samples.label_counts(_sites(spark, sf_dir), _genome(spark, sf_dir))
+
+
+def _lines(spark, sf_dir):
+    return fx.fasta_lines(spark, sf_dir)
+
+
+def q_encode_nfirst(spark, sf_dir):
+    return _lines(spark, sf_dir).select(
+        "line_no", F.length("bases").cast("bigint").alias("n"), F.md5(encode("bases", "nfirst")).alias("codes_md5"))
+
+
+def q_encode_afirst(spark, sf_dir):
+    return _lines(spark, sf_dir).select(
+        "line_no", F.length("bases").cast("bigint").alias("n"),
+        F.md5(encode("bases", "afirst", mode="to_n")).alias("codes_md5"))
+
+
+def q_reverse_complement(spark, sf_dir):
+    return _lines(spark, sf_dir).select("line_no", F.md5(reverse_complement("bases")).alias("rc_md5"))
+
+
+def q_kmers(spark, sf_dir):
+    k = kmers("bases", P.KMER_K, P.KMER_LEFT, P.KMER_RIGHT, P.KMER_STEP)
+    return _lines(spark, sf_dir).select("line_no", F.size(k).cast("bigint").alias("n_kmers"),
+                                        F.md5(F.concat_ws(",", k)).alias("kmers_md5"))
+
+
+def q_kmer_counts(spark, sf_dir):
+    return gn.kmer_counts(_genome(spark, sf_dir), P.KMER_K, P.KMER_LEFT, P.KMER_RIGHT, P.KMER_STEP)
+
+
 QUERIES = {
     "site_labels": q_site_labels,
     "tiles": q_tiles,
@@ -76,6 +187,21 @@ QUERIES = {
     "split_leakage": q_split_leakage,
     "window_bounds": q_window_bounds,
     "window_jitter": q_window_jitter,
+    "genome_contigs": q_genome_contigs,
+    "genome_chunks": q_genome_chunks,
+    "fetch_intervals": q_fetch_intervals,
+    "fetch_intervals_bordered": q_fetch_intervals_bordered,
+    "fetch_clipped": q_fetch_clipped,
+    "window_sequences": q_window_sequences,
+    "window_labels": q_window_labels,
+    "window_tokens": q_window_tokens,
+    "splice_motifs": q_splice_motifs,
+    "label_counts": q_label_counts,
+    "encode_nfirst": q_encode_nfirst,
+    "encode_afirst": q_encode_afirst,
+    "reverse_complement": q_reverse_complement,
+    "kmers": q_kmers,
+    "kmer_counts": q_kmer_counts,
 }
 
 
