@@ -161,7 +161,8 @@ ORACLE = {
         "seq_lo", "seq_hi") + "))",
     "window_labels": _with("jittered", "sites") + f"""
         select gene, cast(tile as bigint) tile,
-               md5(string_agg(cast(lab as varchar), ',' order by case when strand = '-' then -p else p end)) labels_md5,
+               md5(string_agg(case when lab = -100 then 'x' else cast(lab as varchar) end, ''
+                              order by case when strand = '-' then -p else p end)) labels_md5,
                cast(sum(case when lab = 1 then 1 else 0 end) as bigint) n_donor,
                cast(sum(case when lab = 2 then 1 else 0 end) as bigint) n_acceptor,
                cast(sum(case when lab = -100 then 1 else 0 end) as bigint) n_ignored
