@@ -99,7 +99,11 @@ def shuffle_batches(windows: DataFrame, batch_size: int, seed: int = 0, epoch: i
                  Window.partitionBy(split_col).orderBy("_b")
                  .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
              .drop("_n"))
-    ranked = (df.join(sizes, [split_col, "_b"])
+    # Windows without a split (NULL) are batched together, so the join on
+    # the split is null-safe.
+    sizes = sizes.withColumnRenamed(split_col, "_sp").withColumnRenamed("_b", "_sb")
+    ranked = (df.join(sizes, F.col(split_col).eqNullSafe(F.col("_sp")) & (F.col("_b") == F.col("_sb")))
+              .drop("_sp", "_sb")
               .withColumn("_r", F.col("_off") - 1 + F.row_number().over(
                   Window.partitionBy(split_col, "_b").orderBy(*order))))
     return (ranked.withColumn("batch_id", (F.col("_r") / batch_size).cast("bigint"))

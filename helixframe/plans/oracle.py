@@ -47,6 +47,32 @@ _CTES = {
         select s.gene, s.pos, s.label, a.chrom, a.strand, a.tx_start - 1 tx0, a.tx_end, c.seq, c.len clen
         from sites s join annotation a on a.gene = s.gene join contig_seq c on c.chrom = a.chrom""",
                   ["sites", "annotation", "contig_seq"]),
+    "probs": (f"""
+        select vec_id, label, model,
+               exp(a - mx) / (exp(a - mx) + exp(b - mx) + exp(c - mx)) p0,
+               exp(b - mx) / (exp(a - mx) + exp(b - mx) + exp(c - mx)) p1,
+               exp(c - mx) / (exp(a - mx) + exp(b - mx) + exp(c - mx)) p2
+        from (select *, greatest(a, b, c) mx from (
+          select vec_id, label, model, z[3 * model + 1] a, z[3 * model + 2] b, z[3 * model + 3] c
+          from pred3, range({P.N_MODELS}) m(model) where label <> -100))""", ["pred3"]),
+    "ovr": ("""
+        select vec_id, model, 'donor' class, case when label = 1 then 1 else 0 end lab, p1 raw
+        from probs
+        union all
+        select vec_id, model, 'acceptor' class, case when label = 2 then 1 else 0 end lab, p2 raw
+        from probs""", ["probs"]),
+    "targets": ("""
+        select 'dev' target, dev y, dev_pred p from activity
+        union all select 'hk' target, hk y, hk_pred p from activity""", ["activity"]),
+    "progress": ("""
+        select *, case when last_imp is null then epoch + 1 else epoch - last_imp end wait from (
+          select *, max(case when improved then epoch end) over (partition by run_id order by epoch
+                      rows between unbounded preceding and current row) last_imp from (
+            select *, coalesce(s > greatest(0.0, coalesce(best_before, 0.0)), false) improved from (
+              select *, max(s) over (partition by run_id order by epoch
+                          rows between unbounded preceding and 1 preceding) best_before from (
+                select *, case when isnan(val_score) then null else val_score end s from epoch_log))))""",
+                 ["epoch_log"]),
     "jittered": (f"""
         select *, greatest(least(start + case when split = 'train' then
                      cast('0x' || substr(md5('{P.SEED}:{P.EPOCH}:' || gene || ':' || cast(tile as varchar)), 1, 8) as bigint)
@@ -74,6 +100,52 @@ def _fetch(src: str, s0: str, e0: str, left: str = "0", right: str = "clen",
                 select *, {s0} s0, {e0} e0 from {src}))))))"""
 
 
+def _half(x: str) -> str:
+    """F11 in DuckDB: nearest half-precision value (round half even)."""
+    u = f"pow(2.0, greatest(floor(log2(abs({x}))), -14) - 10)"
+    return (f"(case when isnan({x}) then {x} when {x} = 0 then 0.0 "
+            f"else sign({x}) * round_even(abs({x}) / {u}, 0) * {u} end)")
+
+
+def _topk(src: str, keys: str) -> str:
+    """A3 via row_number order statistics.  src: keys, score, lab."""
+    k = keys + ", " if keys else ""
+    part = f"partition by {keys}" if keys else ""
+    using = f"using ({keys})" if keys else "on true"
+    grp = f"group by {keys}" if keys else ""
+    return f"""(with r as (select *, row_number() over ({part} order by score) - 1 i,
+                        count(*) over ({part}) n, sum(lab) over ({part}) npos from {src}),
+         hq as (select {k} any_value(n) n, any_value(npos) npos,
+                       (any_value(n) - 1) * (1 - any_value(npos) / any_value(n)) h from r {grp}),
+         x as (select {k} any_value(hq.n) n, any_value(hq.npos) npos, any_value(h) h,
+                      max(case when i = floor(h) then score end) a,
+                      max(case when i = floor(h) + 1 then score end) b0
+               from r join hq {using} {grp}),
+         q as (select *, coalesce(b0, a) b, h - floor(h) t from x),
+         qq as (select *, case when t >= 0.5 then b - (b - a) * (1 - t) else a + (b - a) * t end q from q)
+    select {k} cast(any_value(qq.n) as bigint) n, cast(any_value(qq.npos) as bigint) n_pos,
+           round(any_value(q), 6) threshold,
+           round(case when any_value(qq.npos) = 0 then 'nan'::double else
+                 sum(case when score >= q then lab else 0 end)
+                 / greatest(1, sum(case when score >= q then 1 else 0 end)) end, 6) topk_precision
+    from {src} s join qq {using} {grp})"""
+
+
+def _ap(src: str, keys: str) -> str:
+    """A4 via descending running sums over distinct scores."""
+    k = keys + ", " if keys else ""
+    part = f"partition by {keys}" if keys else ""
+    grp = f"group by {keys}" if keys else ""
+    return f"""(with d as (select {k} score, count(*) c, sum(lab) p from {src} group by {k} score),
+         w as (select *, sum(c) over ({part} order by score desc rows between unbounded preceding and current row) n_ge,
+                         sum(p) over ({part} order by score desc rows between unbounded preceding and current row) tp_ge,
+                         sum(p) over ({part}) npos, sum(c) over ({part}) n from d)
+    select {k} cast(any_value(n) as bigint) n, cast(any_value(npos) as bigint) n_pos,
+           round(case when any_value(npos) = 0 then 'nan'::double else sum(p * tp_ge / n_ge) / any_value(npos) end, 6)
+           average_precision
+    from w {grp})"""
+
+
 def _b(q: str) -> str:
     """Upper-case base at genomic position q inside the transcript and the
     contig, else N (site_info columns)."""
@@ -218,4 +290,105 @@ ORACLE = {
         select substr(repeat('N', {P.KMER_LEFT}) || seq || repeat('N', {P.KMER_RIGHT}), i + 1, {P.KMER_K}) kmer,
                cast(count(*) as bigint) n
         from contig_seq, unnest(range(0, len, {P.KMER_STEP})) t(i) group by kmer""",
+    "softmax_scores": _with("probs") + """
+        select vec_id, cast(model as bigint) model, round(p0, 6) p0, round(p1, 6) p1, round(p2, 6) p2 from probs""",
+    "half_precision": _with("scored") + f"select event_id, {_half('score')} half from scored",
+    "one_vs_rest": _with("ovr") + f"""
+        select vec_id, class, cast(lab as bigint) label, {_half('raw')} score from ovr where model = 0""",
+    "center_slice": _with("pred3") + f"""
+        select vec_id, cast(len(sl) as bigint) n_kept, round(list_reduce(sl, lambda a, x: a + x, 0.0), 6) center_sum
+        from (select vec_id, z[{P.CENTER_FLANK + 2}:{P.CENTER_FLANK + 1 + P.CENTER_WINDOW}] sl
+              from pred3 where label <> -100)""",
+    "topk_precision": _with("ovr") + "select cast(model as bigint) model, class, n, n_pos, threshold, topk_precision from "
+        + _topk(f"(select model, class, lab, {_half('raw')} score from ovr)", "model, class"),
+    "topk_precision_scored": _with("scored") + "select n, n_pos, threshold, topk_precision from "
+        + _topk(f"(select label lab, {_half('score')} score from scored)", ""),
+    "average_precision": _with("ovr") + "select cast(model as bigint) model, class, n, n_pos, average_precision from "
+        + _ap(f"(select model, class, lab, {_half('raw')} score from ovr)", "model, class"),
+    "average_precision_scored": _with("scored") + "select n, n_pos, average_precision from "
+        + _ap(f"(select label lab, {_half('score')} score from scored)", ""),
+    "ensemble_topk": _with("ovr") + f"""
+        select t.class, t.topk_precision, a.average_precision from """
+        + _topk(f"(select class, any_value(lab) lab, {_half('avg(raw)')} score from ovr group by vec_id, class)", "class")
+        + " t join " + _ap(f"(select class, any_value(lab) lab, {_half('avg(raw)')} score from ovr group by vec_id, class)", "class")
+        + " a on a.class = t.class",
+    "seed_summary": _with("ovr") + """
+        select class, cast(count(*) as bigint) n_runs, round(avg(topk_precision), 6) mean,
+               round(stddev_samp(topk_precision), 6) sd_samp, round(stddev_pop(topk_precision), 6) sd_pop from (
+        select class, topk_precision from """
+        + _topk(f"(select model, class, lab, {_half('raw')} score from ovr)", "model, class") + ") group by class",
+    "cross_entropy": _with("pred3") + """
+        select round(avg(-(zl - mx - ln(exp(z[1] - mx) + exp(z[2] - mx) + exp(z[3] - mx)))), 6) cross_entropy,
+               cast(count(*) as bigint) n
+        from (select *, z[label + 1] zl, greatest(z[1], z[2], z[3]) mx from pred3 where label <> -100)""",
+    "symmetric_kl": _with("pred3") + """
+        select round(sum(exp(q0) * (q0 - p0) + exp(q1) * (q1 - p1) + exp(q2) * (q2 - p2)
+                         + exp(p0) * (p0 - q0) + exp(p1) * (p1 - q1) + exp(p2) * (p2 - q2)) / count(*), 6) symmetric_kl,
+               cast(count(*) as bigint) n from (
+          select z[1] - ma - ln(exp(z[1] - ma) + exp(z[2] - ma) + exp(z[3] - ma)) p0,
+                 z[2] - ma - ln(exp(z[1] - ma) + exp(z[2] - ma) + exp(z[3] - ma)) p1,
+                 z[3] - ma - ln(exp(z[1] - ma) + exp(z[2] - ma) + exp(z[3] - ma)) p2,
+                 z[4] - mb - ln(exp(z[4] - mb) + exp(z[5] - mb) + exp(z[6] - mb)) q0,
+                 z[5] - mb - ln(exp(z[4] - mb) + exp(z[5] - mb) + exp(z[6] - mb)) q1,
+                 z[6] - mb - ln(exp(z[4] - mb) + exp(z[5] - mb) + exp(z[6] - mb)) q2
+          from (select *, greatest(z[1], z[2], z[3]) ma, greatest(z[4], z[5], z[6]) mb from pred3 where label >= 0))""",
+    "combined_loss": _with("pred3") + f"""
+        select round(ce, 6) cross_entropy, round(kl, 6) symmetric_kl, round(ce + {P.KL_WEIGHT} * kl, 6) loss from (
+          select avg(-(zl - ma - ln(exp(z[1] - ma) + exp(z[2] - ma) + exp(z[3] - ma)))) ce,
+                 sum(exp(q0) * (q0 - p0) + exp(q1) * (q1 - p1) + exp(q2) * (q2 - p2)
+                     + exp(p0) * (p0 - q0) + exp(p1) * (p1 - q1) + exp(p2) * (p2 - q2)) / count(*) kl from (
+            select *, z[1] - ma - ln(exp(z[1] - ma) + exp(z[2] - ma) + exp(z[3] - ma)) p0,
+                   z[2] - ma - ln(exp(z[1] - ma) + exp(z[2] - ma) + exp(z[3] - ma)) p1,
+                   z[3] - ma - ln(exp(z[1] - ma) + exp(z[2] - ma) + exp(z[3] - ma)) p2,
+                   z[4] - mb - ln(exp(z[4] - mb) + exp(z[5] - mb) + exp(z[6] - mb)) q0,
+                   z[5] - mb - ln(exp(z[4] - mb) + exp(z[5] - mb) + exp(z[6] - mb)) q1,
+                   z[6] - mb - ln(exp(z[4] - mb) + exp(z[5] - mb) + exp(z[6] - mb)) q2
+            from (select *, z[label + 1] zl, greatest(z[1], z[2], z[3]) ma, greatest(z[4], z[5], z[6]) mb
+                  from pred3 where label <> -100)))""",
+    "pearson": _with("targets") + """
+        select target, cast(count(*) as bigint) n, round(covar_pop(y, p) / sqrt(var_pop(y) * var_pop(p)), 6) pearson
+        from targets group by target""",
+    "spearman": _with("targets") + """
+        select target, cast(count(*) as bigint) n, round(covar_pop(ry, rp) / sqrt(var_pop(ry) * var_pop(rp)), 6) spearman
+        from (select target,
+                     rank() over (partition by target order by y) - 1 + (count(*) over (partition by target, y) + 1) / 2.0 ry,
+                     rank() over (partition by target order by p) - 1 + (count(*) over (partition by target, p) + 1) / 2.0 rp
+              from targets) group by target""",
+    "mse": _with("activity") + """
+        select round(avg((dev_pred - dev) ^ 2), 6) mse_dev, round(avg((hk_pred - hk) ^ 2), 6) mse_hk,
+               round(avg((dev_pred - dev) ^ 2) + avg((hk_pred - hk) ^ 2), 6) mse_total from activity""",
+    "trailing_mean": _with("epoch_log") + f"""
+        select run_id, cast(epoch as bigint) epoch,
+               round(avg(val_score) over (partition by run_id order by epoch
+                     range between {P.TRAILING_N - 1} preceding and current row), 6) trailing_mean from epoch_log""",
+    "best_epoch": _with("progress") + """
+        select run_id, cast(any_value(stop_epoch) as bigint) stop_epoch, cast(count(*) as bigint) n_epochs,
+               cast(max(case when improved then epoch end) as bigint) best_epoch,
+               round(arg_max(case when improved then val_score end, case when improved then epoch end), 6) best_score
+        from (select *, min(case when wait > 5 then epoch end) over (partition by run_id) stop_epoch from progress)
+        where stop_epoch is null or epoch <= stop_epoch group by run_id""",
+    "best_epoch_splice": _with("progress") + """
+        select run_id, cast(any_value(stop_epoch) as bigint) stop_epoch, cast(count(*) as bigint) n_epochs,
+               cast(max(case when improved then epoch end) as bigint) best_epoch,
+               round(arg_max(case when improved then val_score end, case when improved then epoch end), 6) best_score
+        from (select *, min(case when wait >= 20 then epoch end) over (partition by run_id) stop_epoch from progress)
+        where stop_epoch is null or epoch <= stop_epoch group by run_id""",
+    "test_at_best": _with("progress") + """
+        select l.run_id, cast(l.epoch as bigint) epoch, round(l.val_score, 6) val_score
+        from epoch_log l join (
+          select run_id, max(case when improved then epoch end) best_epoch
+          from (select *, min(case when wait > 5 then epoch end) over (partition by run_id) stop_epoch from progress)
+          where stop_epoch is null or epoch <= stop_epoch group by run_id) b
+        on l.run_id = b.run_id and l.epoch = b.best_epoch""",
+    "shuffle_batches": _with("split_tiles") + f"""
+        select gene, cast(tile as bigint) tile, split, cast(r // {P.BATCH_SIZE} as bigint) batch_id,
+               cast(r % {P.BATCH_SIZE} as bigint) batch_pos from (
+          select *, row_number() over (partition by split order by h, gene, tile) - 1 r from (
+            select *, case when split = 'train'
+                           then md5('{P.SEED}:{P.EPOCH}:' || gene || ':' || cast(tile as varchar))
+                           else md5(gene) end h from split_tiles))""",
+    "sample_fraction": _with("tiles") + f"""
+        select gene, cast(tile as bigint) tile from tiles
+        where cast('0x' || substr(md5('{P.SEED}:' || gene || ':' || cast(tile as varchar)), 1, 8) as bigint)
+              / 4294967296.0 < {P.SAMPLE_FRACTION}""",
 }

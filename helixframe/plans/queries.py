@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import encode, kmers, reverse_complement
 from ..operators import genome as gn
-from ..operators import labels, samples, splits, windows
+from ..functions.scores import center_slice, class_logits, round_half_precision, softmax
+from ..operators import labels, metrics, runs, samples, splits, windows
 from ..sources import fixtures as fx
 from . import params as P
 
@@ -180,6 +181,173 @@ def q_kmer_counts(spark, sf_dir):
     return gn.kmer_counts(_genome(spark, sf_dir), P.KMER_K, P.KMER_LEFT, P.KMER_RIGHT, P.KMER_STEP)
 
 
+def _r6(c):
+    return F.round(c, 6)
+
+
+def _probs(spark, sf_dir) -> DataFrame:
+    """pred3 rows with a kept label (P2), one row per model: probabilities."""
+    p = labels.drop_ignored(fx.pred3(spark, sf_dir))
+    per_model = F.array(*[F.struct(F.lit(m).alias("model"),
+                                   softmax(class_logits("z", m)).alias("p"),
+                                   class_logits("z", m).alias("logits"))
+                          for m in range(P.N_MODELS)])
+    return p.select("vec_id", "label", F.inline(per_model))
+
+
+def _ovr(spark, sf_dir, rounded=True) -> DataFrame:
+    """F12 one-vs-rest rows (vec_id, model, class, label, score)."""
+    d = _probs(spark, sf_dir)
+    f = round_half_precision if rounded else (lambda c: c)
+    arr = F.array(F.struct(F.lit("donor").alias("class"), (F.col("label") == 1).cast("int").alias("lab"),
+                           f(F.element_at("p", 2)).alias("score")),
+                  F.struct(F.lit("acceptor").alias("class"), (F.col("label") == 2).cast("int").alias("lab"),
+                           f(F.element_at("p", 3)).alias("score")))
+    return d.select("vec_id", "model", F.inline(arr)).withColumnRenamed("lab", "label")
+
+
+def q_softmax_scores(spark, sf_dir):
+    d = _probs(spark, sf_dir)
+    return d.select("vec_id", F.col("model").cast("bigint").alias("model"),
+                    *[_r6(F.element_at("p", i + 1)).alias(f"p{i}") for i in range(3)])
+
+
+def q_half_precision(spark, sf_dir):
+    return fx.scored(spark, sf_dir).select("event_id", round_half_precision("score").alias("half"))
+
+
+def q_one_vs_rest(spark, sf_dir):
+    o = _ovr(spark, sf_dir).where(F.col("model") == 0)
+    return o.select("vec_id", "class", F.col("label").cast("bigint").alias("label"), "score")
+
+
+def q_center_slice(spark, sf_dir):
+    c = center_slice("z", P.CENTER_FLANK, P.CENTER_WINDOW, True)
+    return labels.drop_ignored(fx.pred3(spark, sf_dir)).select(
+        "vec_id", F.size(c).cast("bigint").alias("n_kept"),
+        _r6(F.aggregate(c, F.lit(0.0).cast("double"), lambda a, x: a + x)).alias("center_sum"))
+
+
+def _topk_out(df, keys):
+    return df.select(*keys, F.col("n").cast("bigint").alias("n"), F.col("n_pos").cast("bigint").alias("n_pos"),
+                     _r6("threshold").alias("threshold"), _r6("topk_precision").alias("topk_precision"))
+
+
+def q_topk_precision(spark, sf_dir):
+    t = metrics.topk_precision(_ovr(spark, sf_dir), ["model", "class"], buckets=P.RANK_BUCKETS)
+    return _topk_out(t.withColumn("model", F.col("model").cast("bigint")), ["model", "class"])
+
+
+def q_topk_precision_scored(spark, sf_dir):
+    s = fx.scored(spark, sf_dir).withColumn("score", round_half_precision("score"))
+    t = metrics.topk_precision(s.withColumn("k", F.lit("all")), ["k"], buckets=P.RANK_BUCKETS)
+    return _topk_out(t, [])
+
+
+def q_average_precision(spark, sf_dir):
+    a = metrics.average_precision(_ovr(spark, sf_dir), ["model", "class"], buckets=P.RANK_BUCKETS)
+    return a.select(F.col("model").cast("bigint").alias("model"), "class", F.col("n").cast("bigint").alias("n"),
+                    F.col("n_pos").cast("bigint").alias("n_pos"), _r6("average_precision").alias("average_precision"))
+
+
+def q_average_precision_scored(spark, sf_dir):
+    s = fx.scored(spark, sf_dir).withColumn("score", round_half_precision("score")).withColumn("k", F.lit("all"))
+    a = metrics.average_precision(s, ["k"], buckets=P.RANK_BUCKETS)
+    return a.select(F.col("n").cast("bigint").alias("n"), F.col("n_pos").cast("bigint").alias("n_pos"),
+                    _r6("average_precision").alias("average_precision"))
+
+
+def q_ensemble_topk(spark, sf_dir):
+    o = _ovr(spark, sf_dir, rounded=False)
+    e = metrics.ensemble_mean(o, ["vec_id", "class"]).withColumn("score", round_half_precision("score"))
+    t = metrics.topk_precision(e, ["class"], buckets=P.RANK_BUCKETS)
+    a = metrics.average_precision(e, ["class"], buckets=P.RANK_BUCKETS)
+    return (t.select("class", _r6("topk_precision").alias("topk_precision"))
+            .join(a.select("class", _r6("average_precision").alias("average_precision")), "class"))
+
+
+def q_seed_summary(spark, sf_dir):
+    t = metrics.topk_precision(_ovr(spark, sf_dir), ["model", "class"], buckets=P.RANK_BUCKETS)
+    s = metrics.seed_summary(t, ["class"], "topk_precision")
+    return s.select("class", "n_runs", _r6("mean").alias("mean"), _r6("sd_samp").alias("sd_samp"),
+                    _r6("sd_pop").alias("sd_pop"))
+
+
+def _two_passes(spark, sf_dir):
+    p = fx.pred3(spark, sf_dir)
+    return p.select("vec_id", "label", class_logits("z", 0).alias("lp"), class_logits("z", 1).alias("lq"))
+
+
+def q_cross_entropy(spark, sf_dir):
+    c = metrics.cross_entropy(_two_passes(spark, sf_dir), "lp")
+    return c.select(_r6("cross_entropy").alias("cross_entropy"), "n")
+
+
+def q_symmetric_kl(spark, sf_dir):
+    k = metrics.symmetric_kl(_two_passes(spark, sf_dir), "lp", "lq")
+    return k.select(_r6("symmetric_kl").alias("symmetric_kl"), "n")
+
+
+def q_combined_loss(spark, sf_dir):
+    c = metrics.combined_loss(_two_passes(spark, sf_dir), "lp", "lq", P.KL_WEIGHT)
+    return c.select(*[_r6(x).alias(x) for x in ("cross_entropy", "symmetric_kl", "loss")])
+
+
+def _targets(spark, sf_dir):
+    a = fx.activity(spark, sf_dir)
+    return a.select(F.expr("stack(2, 'dev', dev, dev_pred, 'hk', hk, hk_pred) as (target, y, p)"))
+
+
+def q_pearson(spark, sf_dir):
+    r = metrics.pearson(_targets(spark, sf_dir), "y", "p", ["target"])
+    return r.select("target", "n", _r6("pearson").alias("pearson"))
+
+
+def q_spearman(spark, sf_dir):
+    r = metrics.spearman(_targets(spark, sf_dir), "y", "p", ["target"], buckets=P.RANK_BUCKETS)
+    return r.select("target", "n", _r6("spearman").alias("spearman"))
+
+
+def q_mse(spark, sf_dir):
+    m = metrics.mse(fx.activity(spark, sf_dir), {"dev": ("dev", "dev_pred"), "hk": ("hk", "hk_pred")})
+    return m.select(*[_r6(c).alias(c) for c in ("mse_dev", "mse_hk", "mse_total")])
+
+
+def q_trailing_mean(spark, sf_dir):
+    t = runs.trailing_mean(fx.epoch_log(spark, sf_dir), "run_id", "epoch", "val_score", P.TRAILING_N)
+    return t.select("run_id", F.col("epoch").cast("bigint").alias("epoch"),
+                    _r6("trailing_mean").alias("trailing_mean"))
+
+
+def _best_out(b):
+    return b.select("run_id", F.col("stop_epoch").cast("bigint").alias("stop_epoch"), "n_epochs",
+                    F.col("best_epoch").cast("bigint").alias("best_epoch"), _r6("best_score").alias("best_score"))
+
+
+def q_best_epoch(spark, sf_dir):
+    return _best_out(runs.best_epoch(fx.epoch_log(spark, sf_dir), "enhancer"))
+
+
+def q_best_epoch_splice(spark, sf_dir):
+    return _best_out(runs.best_epoch(fx.epoch_log(spark, sf_dir), "splice"))
+
+
+def q_test_at_best(spark, sf_dir):
+    log = fx.epoch_log(spark, sf_dir)
+    t = runs.test_at_best(log, runs.best_epoch(log, "enhancer"))
+    return t.select("run_id", F.col("epoch").cast("bigint").alias("epoch"), _r6("val_score").alias("val_score"))
+
+
+def q_shuffle_batches(spark, sf_dir):
+    b = splits.shuffle_batches(_split_tiles(spark, sf_dir), P.BATCH_SIZE, P.SEED, P.EPOCH)
+    return b.select("gene", "tile", "split", "batch_id", "batch_pos")
+
+
+def q_sample_fraction(spark, sf_dir):
+    s = splits.sample_fraction(_tiles(spark, sf_dir), P.SAMPLE_FRACTION, P.SEED)
+    return s.select("gene", "tile")
+
+
 QUERIES = {
     "site_labels": q_site_labels,
     "tiles": q_tiles,
@@ -204,6 +372,28 @@ QUERIES = {
     "reverse_complement": q_reverse_complement,
     "kmers": q_kmers,
     "kmer_counts": q_kmer_counts,
+    "softmax_scores": q_softmax_scores,
+    "half_precision": q_half_precision,
+    "one_vs_rest": q_one_vs_rest,
+    "center_slice": q_center_slice,
+    "topk_precision": q_topk_precision,
+    "topk_precision_scored": q_topk_precision_scored,
+    "average_precision": q_average_precision,
+    "average_precision_scored": q_average_precision_scored,
+    "ensemble_topk": q_ensemble_topk,
+    "seed_summary": q_seed_summary,
+    "cross_entropy": q_cross_entropy,
+    "symmetric_kl": q_symmetric_kl,
+    "combined_loss": q_combined_loss,
+    "pearson": q_pearson,
+    "spearman": q_spearman,
+    "mse": q_mse,
+    "trailing_mean": q_trailing_mean,
+    "best_epoch": q_best_epoch,
+    "best_epoch_splice": q_best_epoch_splice,
+    "test_at_best": q_test_at_best,
+    "shuffle_batches": q_shuffle_batches,
+    "sample_fraction": q_sample_fraction,
 }
 
 
