@@ -1,0 +1,75 @@
+"""Early stopping as a Structured Streaming job (R2, incremental).
+
+Validation scores arrive as metric rows (run_id, epoch, score) while runs
+train.  Per run, state holds the best score, the last improving epoch, the
+highest epoch seen and whether the run has stopped; each micro-batch emits
+the decision for the new epochs.  Rows are processed in epoch order inside a
+run; the state is checkpointed by the sink's checkpoint location, so the
+monitor survives restarts and executor loss.
+"""
+
+from __future__ import annotations
+
+import math
+from typing import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators.runs import STOP_RULES
+
+METRIC_SCHEMA = T.StructType([
+    T.StructField("run_id", T.LongType()), T.StructField("epoch", T.LongType()),
+    T.StructField("val_score", T.DoubleType()),
+])
+DECISION_SCHEMA = ("run_id long, epoch long, improved boolean, wait long, "
+                   "best_epoch long, best_score double, stop boolean")
+STATE_SCHEMA = "best double, best_epoch long, last_imp long, stopped boolean"
+
+
+def _decider(mode: str, patience: int | None):
+    op, default_p = STOP_RULES[mode]
+    p = default_p if patience is None else patience
+
+    def stops(wait: int) -> bool:
+        return wait >= p if op == ">=" else wait > p
+
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
+        if state.exists:
+            best, best_epoch, last_imp, stopped = state.get
+        else:
+            best, best_epoch, last_imp, stopped = 0.0, None, None, False
+        rows = []
+        for pdf in pdfs:
+            for r in pdf.sort_values("epoch").itertuples(index=False):
+                if stopped:
+                    break
+                s = r.val_score
+                improved = s is not None and not math.isnan(s) and s > best
+                if improved:
+                    best, best_epoch, last_imp = float(s), int(r.epoch), int(r.epoch)
+                wait = int(r.epoch) + 1 if last_imp is None else int(r.epoch) - last_imp
+                stopped = stops(wait)
+                rows.append((int(key[0]), int(r.epoch), improved, wait, best_epoch,
+                             best if best_epoch is not None else None, stopped))
+        state.update((best, best_epoch, last_imp, stopped))
+        if rows:
+            yield pd.DataFrame(rows, columns=["run_id", "epoch", "improved", "wait",
+                                              "best_epoch", "best_score", "stop"])
+
+    return fn
+
+
+def early_stop_decisions(metric_stream: DataFrame, mode: str = "splice",
+                         patience: int | None = None) -> DataFrame:
+    """Streaming DataFrame of per-epoch decisions from a metric stream."""
+    return (metric_stream.groupBy("run_id")
+            .applyInPandasWithState(_decider(mode, patience), DECISION_SCHEMA, STATE_SCHEMA,
+                                    "append", GroupStateTimeout.NoTimeout))
+
+
+def read_metric_stream(spark, path: str) -> DataFrame:
+    """Metric rows appended as Parquet files under ``path``."""
+    return spark.readStream.schema(METRIC_SCHEMA).parquet(path)
