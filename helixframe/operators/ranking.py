@@ -28,6 +28,9 @@ def value_ranks(df: DataFrame, keys, value: str, positive: str | None = None,
     results are exact).
     """
     keys = list(keys)
+    if not keys:  # one global group: a constant key keeps the joins keyed
+        return value_ranks(df.withColumn("_k0", F.lit(0)), ["_k0"], value, positive,
+                           buckets, accuracy).drop("_k0")
     posc = F.col(positive).cast("bigint") if positive else F.lit(0).cast("bigint")
     dist = (df.where(F.col(value).isNotNull())
             .groupBy(*keys, F.col(value).alias("value"))

@@ -143,7 +143,8 @@ def positional_join(sequences: DataFrame, table: DataFrame, on: str = "ordinal")
     t = table.withColumn("_rs", F.lit(True))
     j = s.join(t, on, "full_outer")
     ok = F.col("_ls").isNotNull() & F.col("_rs").isNotNull()
-    return (j.withColumn("_ls", F.when(ok, F.lit(True)).otherwise(
+    # A filter, not a dropped column: Catalyst would prune an unused check.
+    return (j.where(F.when(ok, F.lit(True)).otherwise(
         F.raise_error(F.concat(F.lit("sequence and table row counts differ at ordinal "),
                                F.col(on).cast("string")))))
             .drop("_ls", "_rs"))

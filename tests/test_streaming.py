@@ -1,0 +1,18 @@
+from helixframe.streaming.early_stop import METRIC_SCHEMA, early_stop_decisions, read_metric_stream
+
+
+def test_early_stop_stream(spark, tmp_path):
+    src = tmp_path / "metrics"
+    rows = [(1, e, s) for e, s in enumerate([0.5, 0.6, 0.6, 0.55, 0.7])] + [(2, 0, float("nan")), (2, 1, 0.4)]
+    spark.createDataFrame(rows[:3], METRIC_SCHEMA).write.parquet(str(src / "b0"))
+    spark.createDataFrame(rows[3:], METRIC_SCHEMA).write.parquet(str(src / "b1"))
+    stream = read_metric_stream(spark, str(src) + "/*")
+    q = (early_stop_decisions(stream, "enhancer", patience=1).writeStream
+         .format("memory").queryName("decisions").outputMode("append")
+         .option("checkpointLocation", str(tmp_path / "ckpt")).start())
+    q.processAllAvailable()
+    q.stop()
+    out = {(r["run_id"], r["epoch"]): r for r in spark.sql("select * from decisions").collect()}
+    assert out[(1, 3)]["stop"] and out[(1, 3)]["best_epoch"] == 1
+    assert (1, 4) not in out  # rows after the stop do not exist
+    assert not out[(2, 0)]["improved"] and out[(2, 1)]["improved"]
