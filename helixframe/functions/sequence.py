@@ -51,7 +51,8 @@ def encode(col, codebook: str | dict = "nfirst", mode: str = "strict") -> Column
     """encode a base string as a digit string under ``codebook``.
 
     ``mode="strict"`` raises on a letter outside the codebook (the reference
-    fails with a KeyError); ``mode="to_n"`` maps such letters to N.
+    fails with a KeyError); ``mode="to_n"`` maps such letters to N;
+    ``mode="trusted"`` skips the check (sequences from a validated store).
     """
     letters, digits, book = _codebook_maps(codebook)
     s = _col(col)
@@ -60,11 +61,13 @@ def encode(col, codebook: str | dict = "nfirst", mode: str = "strict") -> Column
         if "N" not in book:
             raise ValueError("codebook has no N")
         s = F.regexp_replace(s, bad, "N")
+    elif mode == "trusted":
+        pass  # input known to hold only codebook letters (a validated store)
     elif mode == "strict":
         s = F.when(~s.rlike(bad), s).otherwise(
             F.raise_error(F.concat(F.lit("unknown base in sequence: "), F.substring(s, 1, 60))))
     else:
-        raise ValueError(f"mode must be 'strict' or 'to_n', got {mode!r}")
+        raise ValueError(f"mode must be 'strict', 'to_n' or 'trusted', got {mode!r}")
     return F.translate(s, letters, digits)
 
 
@@ -127,6 +130,27 @@ def pad_sequence(col, left, right, fill: str = "N") -> Column:
     return F.concat(F.repeat(F.lit(fill), left), _col(col), F.repeat(F.lit(fill), right))
 
 
+def kmer_items(text, k: int, n_starts, step: int = 1, phase=0) -> Column:
+    """Items ``text[j:j+k]`` for j in [0, n_starts) with (j + phase) % step == 0;
+    items near the end of ``text`` are shorter.
+
+    Linear in the text: the character array is zipped with k-1 shifted
+    slices of itself (array access is O(1); ``substr`` on a string walks
+    from the start, which would make per-item substrings quadratic).
+    """
+    chars = F.split(_col(text), "")
+    acc = chars
+    for j in range(1, k):
+        shifted = F.slice(chars, j + 1, F.greatest(F.size(chars), F.lit(1)))
+        acc = F.zip_with(acc, shifted, lambda x, y: F.concat(x, F.coalesce(y, F.lit(""))))
+    n = n_starts if isinstance(n_starts, Column) else F.lit(n_starts)
+    acc = F.slice(acc, 1, n.cast("int"))
+    if step > 1:
+        ph = phase if isinstance(phase, Column) else F.lit(phase)
+        acc = F.filter(acc, lambda x, i: F.pmod(i + ph, F.lit(step)) == 0)
+    return acc
+
+
 def kmers(col, k: int, left_pad: int = 0, right_pad: int = 0, step: int = 1) -> Column:
     """k-mers of ``N*left_pad + s + N*right_pad`` starting at 0, step, ...
     while the start is below ``len(s)``.  Tail items are shorter than k when
@@ -134,11 +158,9 @@ def kmers(col, k: int, left_pad: int = 0, right_pad: int = 0, step: int = 1) ->
     if k <= 0 or step <= 0:
         raise ValueError("k and step must be positive")
     s = _col(col)
-    padded = pad_sequence(s, left_pad, right_pad)
     n = F.length(s)
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(
-        F.transform(starts, lambda i: padded.substr(i + 1, F.lit(k))))
+    items = kmer_items(pad_sequence(s, left_pad, right_pad), k, n, step)
+    return F.when(n == 0, F.array().cast("array<string>")).otherwise(items)
 
 
 def parse_positions(col, compat: bool = False) -> Column:

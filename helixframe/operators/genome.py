@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import reverse_complement
+from ..functions.sequence import kmer_items, reverse_complement
 
 DEFAULT_CHUNK = 65536
 DEFAULT_HALO = 4096
@@ -73,7 +73,8 @@ def contig_lengths(offsets: DataFrame, chrom: str = "chrom") -> DataFrame:
 
 def build_genome(lines: DataFrame, chunk_size: int = DEFAULT_CHUNK, halo: int = DEFAULT_HALO,
                  chrom: str = "chrom", order: str = "line_no", bases: str = "bases",
-                 block: int = 4096, checkpoint: bool = False) -> Genome:
+                 block: int = 4096, checkpoint: bool = False,
+                 validate: str | None = "ACGTUNacgtun") -> Genome:
     """FASTA-like lines (contig, order key, bases) -> chunk table.
 
     Each line is cut into the pieces that fall in each chunk; pieces are
@@ -81,7 +82,9 @@ def build_genome(lines: DataFrame, chunk_size: int = DEFAULT_CHUNK, halo: int =
     bases).  ``ext`` = first ``halo`` bases of the next chunk.
     ``checkpoint=True`` writes both tables to the session's shared
     checkpoint folder (``spark.checkpoint.dir``), cutting the lineage so
-    later fetches read the store instead of rebuilding it.
+    later fetches read the store instead of rebuilding it.  ``validate``
+    lists the allowed letters (a line with any other letter raises), so
+    sequences fetched from the store can be encoded without a check.
     """
     if not 0 < halo <= chunk_size:
         raise ValueError("need 0 < halo <= chunk_size")
@@ -90,6 +93,9 @@ def build_genome(lines: DataFrame, chunk_size: int = DEFAULT_CHUNK, halo: int =
                        F.col(bases).alias("bases"))
           .withColumn("n", F.length("bases").cast("bigint"))
           .where(F.col("n") > 0))
+    if validate:
+        ls = ls.withColumn("bases", F.when(~F.col("bases").rlike(f"[^{validate}]"), F.col("bases")).otherwise(
+            F.raise_error(F.concat(F.lit("unexpected letter in contig "), F.col("chrom")))))
     lo = line_offsets(ls, "chrom", "line_no", "n", block)
     first = (F.col("offset") / C).cast("bigint")
     last = ((F.col("offset") + F.col("n") - 1) / C).cast("bigint")
@@ -113,7 +119,10 @@ def build_genome(lines: DataFrame, chunk_size: int = DEFAULT_CHUNK, halo: int =
     if checkpoint:
         from ..session import ensure_checkpoint_dir
         ensure_checkpoint_dir(chunks.sparkSession)
-        chunks, contigs = chunks.checkpoint(eager=True), contigs.checkpoint(eager=True)
+        chunks = chunks.checkpoint(eager=True)
+        # From the written chunks: one small scan instead of a rebuild.
+        contigs = (chunks.groupBy("chrom").agg(F.sum(F.length("bases")).cast("bigint").alias("length"))
+                   .checkpoint(eager=True))
     return Genome(chunks, contigs, chunk_size, halo)
 
 
@@ -153,7 +162,7 @@ def _as_col(v, default: Column) -> Column:
 def fetch_intervals(genome: Genome, intervals: DataFrame, start="start", end="end",
                     chrom: str = "chrom", left=None, right=None, padding: str = "N",
                     no_padding: bool = False, reverse=None, keys=None,
-                    out: str = "seq") -> DataFrame:
+                    out: str = "seq", spread: bool = True) -> DataFrame:
     """Add ``out`` = sequence of [start, end) on ``chrom`` (0-based half-open).
 
     Borders default to 0 and the contig length and are clamped to the
@@ -196,6 +205,11 @@ def fetch_intervals(genome: Genome, intervals: DataFrame, start="start", end="en
               .withColumn("_rp", F.greatest(zero, F.col("_e1") - F.col("_R"))))
     df = df.withColumn("_n", F.col("_ce") - F.col("_cs"))
 
+    if spread:
+        # Interval tables are small and often come from one file split;
+        # the fetch multiplies their bytes.  Hash-spreading the coordinates
+        # (a shuffle of small rows) puts the fetch on every core/executor.
+        df = df.repartition(*keys)
     core = _fetch_core(genome, df, keys, C, H)
     pad = F.lit(padding)
     seq = F.concat(F.repeat(pad, F.col("_lp").cast("int")), F.col("_core"),
@@ -271,14 +285,9 @@ def kmer_counts(genome: Genome, k: int, left_pad: int = 0, right_pad: int = 0,
     iv = (ch.withColumn("_a", F.col("chunk_start") - lp)
           .withColumn("_b", F.col("chunk_start") + F.col("_len") - 1 - lp + k))
     iv = fetch_intervals(genome, iv, "_a", "_b", keys=["chrom", "chunk_id"], out="_ext")
-    first = F.col("chunk_start") + F.pmod(F.lit(step) - F.pmod(F.col("chunk_start"), F.lit(step)), F.lit(step))
-    last = F.col("chunk_start") + F.col("_len") - 1
-    def item(s):
-        pos = (s - F.col("chunk_start") + 1).cast("int")
-        width = F.least(F.lit(k), F.lit(lp + rp) + F.col("length") - s).cast("int")
-        return F.col("_ext").substr(pos, width)
-
-    items = F.transform(F.sequence(first, F.greatest(last, first), F.lit(step).cast("bigint")), item)
-    return (iv.where(first <= last)
-            .select(F.explode(items).alias("kmer"))
+    # _ext starts at padded index chunk_start; cut it at the padded end so
+    # the last items are shorter, as F5 makes them.
+    text = F.expr(f"substr(_ext, 1, cast(least(length(_ext), {lp + rp} + length - chunk_start) as int))")
+    items = kmer_items(text, k, F.col("_len"), step, F.pmod(F.col("chunk_start"), F.lit(step)))
+    return (iv.select(F.explode(items).alias("kmer"))
             .groupBy("kmer").agg(F.count(F.lit(1)).cast("bigint").alias("n")))
