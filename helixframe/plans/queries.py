@@ -70,8 +70,17 @@ def q_window_jitter(spark, sf_dir):
     return w.select("gene", "tile", "split", "start", "end", "lab_lo", "lab_hi")
 
 
+_STORES: dict = {}
+
+
 def _genome(spark, sf_dir) -> gn.Genome:
-    return gn.build_genome(fx.fasta_lines(spark, sf_dir), P.CHUNK, P.HALO, checkpoint=True)
+    """The genome store for ``sf_dir``: built once per session (S6, written
+    to the shared checkpoint folder) and then only read, as a pipeline
+    converts its FASTA once and fetches from the store many times."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), P.CHUNK, P.HALO)
+    if key not in _STORES:
+        _STORES[key] = gn.build_genome(fx.fasta_lines(spark, sf_dir), P.CHUNK, P.HALO, checkpoint=True)
+    return _STORES[key]
 
 
 def _jittered(spark, sf_dir) -> DataFrame:
