@@ -162,7 +162,8 @@ def _as_col(v, default: Column) -> Column:
 def fetch_intervals(genome: Genome, intervals: DataFrame, start="start", end="end",
                     chrom: str = "chrom", left=None, right=None, padding: str = "N",
                     no_padding: bool = False, reverse=None, keys=None,
-                    out: str = "seq", spread: bool = True) -> DataFrame:
+                    out: str = "seq", spread: bool = True,
+                    max_len: int | None = None) -> DataFrame:
     """Add ``out`` = sequence of [start, end) on ``chrom`` (0-based half-open).
 
     Borders default to 0 and the contig length and are clamped to the
@@ -173,6 +174,8 @@ def fetch_intervals(genome: Genome, intervals: DataFrame, start="start", end="en
     start >= end and an unknown contig raise.  ``keys`` name columns that
     identify an interval (needed only to reassemble intervals longer than
     the halo; default: all input columns, rows must then be distinct).
+    ``max_len``: a known bound on end - start; at most the halo, every
+    interval is served by a single join (no long-interval branch).
     """
     C, H = genome.chunk_size, genome.halo
     in_cols = intervals.columns
@@ -210,7 +213,7 @@ def fetch_intervals(genome: Genome, intervals: DataFrame, start="start", end="en
         # the fetch multiplies their bytes.  Hash-spreading the coordinates
         # (a shuffle of small rows) puts the fetch on every core/executor.
         df = df.repartition(*keys)
-    core = _fetch_core(genome, df, keys, C, H)
+    core = _fetch_core(genome, df, keys, C, H, max_len)
     pad = F.lit(padding)
     seq = F.concat(F.repeat(pad, F.col("_lp").cast("int")), F.col("_core"),
                    F.repeat(pad, F.col("_rp").cast("int")))
@@ -220,22 +223,31 @@ def fetch_intervals(genome: Genome, intervals: DataFrame, start="start", end="en
     return core.withColumn(out, seq).select(*in_cols, out)
 
 
-def _fetch_core(genome: Genome, df: DataFrame, keys, C: int, H: int) -> DataFrame:
-    """Bases of [_cs, _ce) into ``_core``: empty, short (one chunk row) or
-    long (explode over chunks, join, reassemble) paths, unioned."""
-    chunks = genome.chunks
-    empty = df.where(F.col("_n") <= 0).withColumn("_core", F.lit(""))
+def _fetch_core(genome: Genome, df: DataFrame, keys, C: int, H: int,
+                max_len: int | None = None) -> DataFrame:
+    """Bases of [_cs, _ce) into ``_core``.
 
-    # Short: the whole range lies in chunk _cs div C plus its halo.
-    short = df.where((F.col("_n") > 0) & (F.col("_n") <= H)) \
-        .withColumn("_cid", (F.col("_cs") / C).cast("bigint"))
-    ch = chunks.select(F.col("chrom").alias("_kc"), F.col("chunk_id").alias("_kid"),
-                       F.col("chunk_start").alias("_cstart"), F.col("bases").alias("_text"),
-                       F.col("ext").alias("_ext"))
-    short = (_join_chunk(short, ch)
-             .withColumn("_core", F.expr("substr(concat(_text, _ext), cast(_cs - _cstart + 1 as int), "
-                                         "cast(_n as int))"))
-             .drop("_cid", "_cstart", "_text", "_ext"))
+    Intervals up to the halo (and empty ones) take one left join to the
+    chunk holding their start; longer ones explode over their chunks and are
+    reassembled per key.  With ``max_len <= halo`` only the first branch
+    exists, so the input is read once and no union is planned.
+    """
+    ch = genome.chunks.select(F.col("chrom").alias("_kc"), F.col("chunk_id").alias("_kid"),
+                              F.col("chunk_start").alias("_cstart"), F.col("bases").alias("_text"),
+                              F.col("ext").alias("_ext"))
+    single = max_len is not None and max_len <= H
+    short = df if single else df.where(F.col("_n") <= H)
+    # Empty intervals get a NULL chunk id: the left join keeps them, unmatched.
+    short = short.withColumn("_cid", F.when(F.col("_n") > 0, (F.col("_cs") / C).cast("bigint")))
+    short = (short.join(ch, (F.col("_chrom") == F.col("_kc")) & (F.col("_cid") == F.col("_kid")), "left")
+             .withColumn("_core", F.when(F.col("_n") > 0, F.concat(
+                 F.expr("substr(_text, cast(_cs - _cstart + 1 as int), cast(_n as int))"),
+                 F.expr("substr(_ext, 1, cast(greatest(_cs - _cstart + _n - length(_text), 0) as int))")))
+                 .otherwise(F.lit("")))
+             .drop("_kc", "_kid", "_cid", "_cstart", "_text", "_ext"))
+    cols = df.columns + ["_core"]
+    if single:
+        return short.select(*cols)
 
     # Long: one row per touched chunk, reassembled per interval key.  The
     # group holds (length / chunk_size + 1) pieces.
@@ -252,8 +264,7 @@ def _fetch_core(genome: Genome, df: DataFrame, keys, C: int, H: int) -> DataFram
             .agg(*[F.first(c).alias(c) for c in others],
                  F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_cid", "_piece"))),
                                           lambda x: x["_piece"]), "").alias("_core")))
-    cols = df.columns + ["_core"]
-    return empty.select(*cols).unionByName(short.select(*cols)).unionByName(long.select(*cols))
+    return short.select(*cols).unionByName(long.select(*cols))
 
 
 def _join_chunk(df: DataFrame, ch: DataFrame) -> DataFrame:

@@ -128,7 +128,7 @@ def q_fetch_clipped(spark, sf_dir):
 
 
 def q_window_sequences(spark, sf_dir):
-    w = samples.window_sequences(_jittered(spark, sf_dir), _genome(spark, sf_dir))
+    w = samples.window_sequences(_jittered(spark, sf_dir), _genome(spark, sf_dir), span=P.WINDOW + 2 * P.FLANK)
     return w.select("gene", "tile", F.length("seq").cast("bigint").alias("seq_len"),
                     F.md5("seq").alias("seq_md5"))
 
@@ -147,7 +147,7 @@ def q_window_labels(spark, sf_dir):
 
 def q_window_tokens(spark, sf_dir):
     w = windows.window_bounds(_tiles(spark, sf_dir), P.WINDOW, P.FLANK)
-    w = samples.window_sequences(w, _genome(spark, sf_dir))
+    w = samples.window_sequences(w, _genome(spark, sf_dir), span=P.WINDOW + 2 * P.FLANK)
     t = w.withColumn("tokens", samples.window_tokens("seq"))
     return t.select("gene", "tile", F.length("tokens").cast("bigint").alias("n_tokens"),
                     F.md5("tokens").alias("tokens_md5"))

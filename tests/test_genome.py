@@ -136,3 +136,18 @@ def test_write_and_read_genome(spark, genome, tmp_path):
     g2 = gn.read_genome(spark, str(tmp_path / "store"))
     assert (g2.chunk_size, g2.halo) == (4, 2)
     assert fetch(spark, g2, [(0, "chrT", -2, 3)]) == {0: "NNAAC"}
+
+
+def test_single_join_path_with_max_len(spark, chrt_fasta):
+    """Intervals bounded by the halo: one join, empty (clipped) intervals kept."""
+    g = gn.build_genome(read_fasta_lines(spark, chrt_fasta), chunk_size=4, halo=4)
+    rnd = random.Random(13)
+    rows, want, want_clip = [], {}, {}
+    for i in range(200):
+        s = rnd.randint(-6, 20)
+        e = s + rnd.randint(1, 4)
+        rows.append((i, "chrT", s, e))
+        want[i] = py_fetch(CHR_T, s, e)
+        want_clip[i] = py_fetch(CHR_T, s, e, no_padding=True)
+    assert fetch(spark, g, rows, max_len=4) == want
+    assert fetch(spark, g, rows, max_len=4, no_padding=True) == want_clip
