@@ -240,7 +240,9 @@ def _fetch_core(genome: Genome, df: DataFrame, keys, C: int, H: int,
     # Empty intervals get a NULL chunk id: the left join keeps them, unmatched.
     short = short.withColumn("_cid", F.when(F.col("_n") > 0, (F.col("_cs") / C).cast("bigint")))
     short = (short.join(ch, (F.col("_chrom") == F.col("_kc")) & (F.col("_cid") == F.col("_kid")), "left")
-             .withColumn("_core", F.when(F.col("_n") > 0, F.concat(
+             .withColumn("_core", F.when(F.col("_n") > H, F.raise_error(F.lit(
+                 f"interval longer than the halo ({H}); max_len was too small")).cast("string"))
+                 .when(F.col("_n") > 0, F.concat(
                  F.expr("substr(_text, cast(_cs - _cstart + 1 as int), cast(_n as int))"),
                  F.expr("substr(_ext, 1, cast(greatest(_cs - _cstart + _n - length(_text), 0) as int))")))
                  .otherwise(F.lit("")))

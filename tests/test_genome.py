@@ -151,3 +151,8 @@ def test_single_join_path_with_max_len(spark, chrt_fasta):
         want_clip[i] = py_fetch(CHR_T, s, e, no_padding=True)
     assert fetch(spark, g, rows, max_len=4) == want
     assert fetch(spark, g, rows, max_len=4, no_padding=True) == want_clip
+
+
+def test_wrong_max_len_raises(spark, genome):
+    with pytest.raises(Exception):
+        fetch(spark, genome, [(0, "chrT", 0, 9)], max_len=2)
