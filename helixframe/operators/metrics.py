@@ -50,7 +50,18 @@ def topk_precision(df: DataFrame, keys, label: str = "label", score: str = "scor
               F.max(F.when(holds(F.col("_lo") + 1), F.col("value"))).alias("_b")))
     t = F.col("_h") - F.floor(F.col("_h"))
     q = q.withColumn("q", _lerp(F.col("_a"), F.coalesce(F.col("_b"), F.col("_a")), t))
-    res = (r.select(*keys, "value", "cnt", "pos").join(q.select(*keys, "q", "n", "n_pos"), keys)
+    rv = r.select(*keys, "value", "cnt", "pos")
+    if keys:
+        joined = rv.join(q.select(*keys, "q", "n", "n_pos"), keys)
+    else:
+        # One global group: its one threshold row comes back as literals
+        # (a join on a constant key would be planned as a cross join).
+        row = q.select("q", "n", "n_pos").first()
+        qv, nv, pv = (row["q"], row["n"], row["n_pos"]) if row else (None, 0, 0)
+        joined = (rv.withColumn("q", F.lit(qv).cast("double"))
+                  .withColumn("n", F.lit(nv).cast("bigint"))
+                  .withColumn("n_pos", F.lit(pv).cast("bigint")))
+    res = (joined
            .groupBy(*keys)
            .agg(F.first("n").alias("n"), F.first("n_pos").alias("n_pos"), F.first("q").alias("threshold"),
                 F.sum(F.when(F.col("value") >= F.col("q"), F.col("pos")).otherwise(0)).alias("_tp"),

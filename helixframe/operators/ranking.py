@@ -28,19 +28,23 @@ def value_ranks(df: DataFrame, keys, value: str, positive: str | None = None,
     results are exact).
     """
     keys = list(keys)
-    if not keys:  # one global group: a constant key keeps the joins keyed
-        return value_ranks(df.withColumn("_k0", F.lit(0)), ["_k0"], value, positive,
-                           buckets, accuracy).drop("_k0")
     posc = F.col(positive).cast("bigint") if positive else F.lit(0).cast("bigint")
     dist = (df.where(F.col(value).isNotNull())
             .groupBy(*keys, F.col(value).alias("value"))
             .agg(F.count(F.lit(1)).cast("bigint").alias("cnt"), F.sum(posc).cast("bigint").alias("pos")))
     if buckets > 1:
         pct = [i / buckets for i in range(1, buckets)]
-        bounds = dist.groupBy(*keys).agg(F.percentile_approx("value", pct, accuracy).alias("_bounds"))
-        dist = (dist.join(bounds, keys)
-                .withColumn("_bk", F.size(F.filter("_bounds", lambda b: b < F.col("value"))))
-                .drop("_bounds"))
+        if keys:
+            sketch = F.percentile_approx("value", pct, accuracy).alias("_bounds")
+            dist = (dist.join(dist.groupBy(*keys).agg(sketch), keys)
+                    .withColumn("_bk", F.size(F.filter("_bounds", lambda b: b < F.col("value"))))
+                    .drop("_bounds"))
+        else:
+            # One global group: the buckets-1 bounds (a bounded result) come
+            # back as literals -- a join on a constant key would be planned
+            # as a cross join.  Bucket = number of bounds below the value.
+            bounds = sorted(float(b) for b in dist.approxQuantile("value", pct, 1.0 / accuracy))
+            dist = dist.withColumn("_bk", _count_below(F.col("value"), bounds, 0, len(bounds)))
     else:
         dist = dist.withColumn("_bk", F.lit(0))
     kb = keys + ["_bk"]
@@ -59,6 +63,16 @@ def value_ranks(df: DataFrame, keys, value: str, positive: str | None = None,
             .drop("_cc", "_cp", "_bk"))
 
 
+def _count_below(v, bounds, lo: int, hi: int):
+    """Number of sorted ``bounds`` below ``v``, as a binary-search CASE tree:
+    log2(len) comparisons per row and little generated code."""
+    if lo >= hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(v > F.lit(bounds[mid]), _count_below(v, bounds, mid + 1, hi)).otherwise(
+        _count_below(v, bounds, lo, mid))
+
+
 def running(df: DataFrame, keys, order: str, col: str, func: str = "sum",
             inclusive: bool = True, block: int = 1024, out: str | None = None) -> DataFrame:
     """Running ``func`` (sum / max / min) of ``col`` per key in ``order``.

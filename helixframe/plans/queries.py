@@ -249,7 +249,7 @@ def q_topk_precision(spark, sf_dir):
 
 def q_topk_precision_scored(spark, sf_dir):
     s = fx.scored(spark, sf_dir).withColumn("score", round_half_precision("score"))
-    t = metrics.topk_precision(s.withColumn("k", F.lit("all")), ["k"], buckets=P.RANK_BUCKETS)
+    t = metrics.topk_precision(s, [], buckets=P.RANK_BUCKETS)
     return _topk_out(t, [])
 
 
@@ -260,8 +260,8 @@ def q_average_precision(spark, sf_dir):
 
 
 def q_average_precision_scored(spark, sf_dir):
-    s = fx.scored(spark, sf_dir).withColumn("score", round_half_precision("score")).withColumn("k", F.lit("all"))
-    a = metrics.average_precision(s, ["k"], buckets=P.RANK_BUCKETS)
+    s = fx.scored(spark, sf_dir).withColumn("score", round_half_precision("score"))
+    a = metrics.average_precision(s, [], buckets=P.RANK_BUCKETS)
     return a.select(F.col("n").cast("bigint").alias("n"), F.col("n_pos").cast("bigint").alias("n_pos"),
                     _r6("average_precision").alias("average_precision"))
 

@@ -8,18 +8,17 @@ from helixframe.operators import metrics, ranking, runs
 
 
 def test_topk_and_ap_worked_example(spark):
-    df = spark.createDataFrame([(1, 0.9), (0, 0.8), (1, 0.3), (0, 0.1)], "label int, score double") \
-        .withColumn("k", F.lit("a"))
-    t = metrics.topk_precision(df, ["k"]).first()
+    df = spark.createDataFrame([(1, 0.9), (0, 0.8), (1, 0.3), (0, 0.1)], "label int, score double")
+    t = metrics.topk_precision(df, []).first()
     assert abs(t["threshold"] - 0.55) < 1e-12 and t["topk_precision"] == 0.5
-    a = metrics.average_precision(df, ["k"]).first()
+    a = metrics.average_precision(df, []).first()
     assert abs(a["average_precision"] - 0.833333) < 1e-6
 
 
 def test_no_positive_gives_nan(spark):
-    df = spark.createDataFrame([(0, 0.9), (0, 0.1)], "label int, score double").withColumn("k", F.lit(1))
-    assert math.isnan(metrics.topk_precision(df, ["k"]).first()["topk_precision"])
-    assert math.isnan(metrics.average_precision(df, ["k"]).first()["average_precision"])
+    df = spark.createDataFrame([(0, 0.9), (0, 0.1)], "label int, score double")
+    assert math.isnan(metrics.topk_precision(df, []).first()["topk_precision"])
+    assert math.isnan(metrics.average_precision(df, []).first()["average_precision"])
 
 
 def py_topk(labels, scores):
@@ -46,9 +45,9 @@ def test_topk_random_against_numpy(spark):
 def test_value_ranks_exact_for_any_bucket_count(spark):
     rng = np.random.default_rng(1)
     vals = rng.integers(0, 50, 3000)
-    df = spark.createDataFrame([(int(v),) for v in vals], "v long").withColumn("k", F.lit(0))
+    df = spark.createDataFrame([(int(v),) for v in vals], "v long")
     for b in (1, 7, 64):
-        got = {r["value"]: r["cnt_before"] for r in ranking.value_ranks(df, ["k"], "v", None, b).collect()}
+        got = {r["value"]: r["cnt_before"] for r in ranking.value_ranks(df, [], "v", None, b).collect()}
         assert got == {int(v): int((vals < v).sum()) for v in np.unique(vals)}
 
 
