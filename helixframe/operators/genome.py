@@ -145,6 +145,37 @@ def read_genome(spark, path: str) -> Genome:
                   meta["chunk_size"], meta["halo"])
 
 
+def rechunk(genome: Genome, size: int, halo: int) -> Genome:
+    """A finer view of the store for short lookups: sub-chunks of ``size``
+    (dividing the chunk size) with ``halo`` (<= size, <= the store's halo).
+
+    Derived by a narrow explode of each chunk row (no shuffle).  A lookup of
+    a few bases then joins a row of size + halo bytes instead of a whole
+    chunk, which matters when the lookups (sites) far outnumber chunks.
+    """
+    C = genome.chunk_size
+    if C % size or not 0 < halo <= min(size, genome.halo):
+        raise ValueError("size must divide the chunk size and 0 < halo <= min(size, store halo)")
+    if size == C:
+        return genome
+    per = C // size
+    j = F.col("_j")
+    nxt = (j + 1) * size
+    sub = (genome.chunks
+           .select("chrom", "chunk_id", "chunk_start", "bases", "ext",
+                   F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), ((F.length("bases") - 1) / size)
+                                                              .cast("int")))).alias("_j"))
+           .select("chrom",
+                   (F.col("chunk_id") * per + j).cast("bigint").alias("chunk_id"),
+                   (F.col("chunk_start") + j * size).cast("bigint").alias("chunk_start"),
+                   F.expr(f"substr(bases, _j * {size} + 1, {size})").alias("bases"),
+                   # The halo lies in this chunk unless the sub-chunk is its
+                   # last one (halo <= size, so it never straddles).
+                   F.when(nxt < F.length("bases"), F.expr(f"substr(bases, (_j + 1) * {size} + 1, {halo})"))
+                   .otherwise(F.substring("ext", 1, halo)).alias("ext")))
+    return Genome(sub, genome.contigs, size, halo)
+
+
 # --------------------------------------------------------------------------
 # Bulk interval fetch
 # --------------------------------------------------------------------------

@@ -156,3 +156,15 @@ def test_single_join_path_with_max_len(spark, chrt_fasta):
 def test_wrong_max_len_raises(spark, genome):
     with pytest.raises(Exception):
         fetch(spark, genome, [(0, "chrT", 0, 9)], max_len=2)
+
+
+@pytest.mark.parametrize("size,halo", [(2, 2), (2, 1), (4, 2)])
+def test_rechunk_matches_store(spark, chrt_fasta, size, halo):
+    g = gn.build_genome(read_fasta_lines(spark, chrt_fasta), chunk_size=8, halo=4)
+    fine = gn.rechunk(g, size, halo)
+    joined = "".join(r["bases"] for r in fine.chunks.where("chrom = 'chrT'").orderBy("chunk_id").collect())
+    assert joined == CHR_T
+    rnd = random.Random(size * 10 + halo)
+    rows = [(i, "chrT", s, s + rnd.randint(1, halo)) for i, s in enumerate(rnd.randint(-4, 18) for _ in range(120))]
+    want = {i: py_fetch(CHR_T, s, e) for i, _, s, e in rows}
+    assert fetch(spark, fine, rows, max_len=halo) == want
