@@ -77,3 +77,15 @@ def append_metrics(metrics: DataFrame, path: str, run: str = "run_id") -> None:
     (metrics.select(run, F.col("tag").cast("string"), F.col("value").cast("double"),
                     F.col("step").cast("bigint"))
      .write.mode("append").partitionBy(run).parquet(path))
+
+
+def write_training_shards(batches: DataFrame, path: str, shard_batches: int = 256,
+                          split_col: str = "split", mode: str = "overwrite") -> None:
+    """D2 sink: rows with ``batch_id`` / ``batch_pos`` (from
+    ``splits.shuffle_batches``) written as shards of ``shard_batches``
+    consecutive batches, one folder per (split, shard), rows in batch order
+    inside each file, so a reader streams a shard front to back."""
+    d = batches.withColumn("shard", (F.col("batch_id") / shard_batches).cast("bigint"))
+    (d.repartition(split_col, "shard")
+     .sortWithinPartitions(split_col, "shard", "batch_id", "batch_pos")
+     .write.mode(mode).partitionBy(split_col, "shard").parquet(path))

@@ -65,3 +65,14 @@ def test_sinks_round_trip(spark, tmp_path):
     sinks.write_predictions(preds, prog, str(tmp_path / "preds"))
     out = spark.read.option("header", True).csv(str(tmp_path / "preds"))
     assert [r["epoch"] for r in out.collect()] == [0]
+
+
+def test_training_shards(spark, tmp_path):
+    from helixframe.operators import splits
+    w = spark.range(300).select(F.concat(F.lit("G"), (F.col("id") % 50).cast("string")).alias("gene"),
+                                F.col("id").alias("tile"), F.lit("train").alias("split"))
+    b = splits.shuffle_batches(w, 8, seed=3)
+    sinks.write_training_shards(b, str(tmp_path / "shards"), shard_batches=10)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert back.count() == 300
+    assert sorted(r["shard"] for r in back.select("shard").distinct().collect()) == [0, 1, 2, 3]
