@@ -76,3 +76,12 @@ def test_training_shards(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "shards"))
     assert back.count() == 300
     assert sorted(r["shard"] for r in back.select("shard").distinct().collect()) == [0, 1, 2, 3]
+
+
+def test_gzipped_fasta(spark, tmp_path):
+    import gzip
+    p = tmp_path / "genome.fa.gz"
+    with gzip.open(p, "wt") as fh:
+        fh.write(">chrA\nACGT\nNNAC\n>chrB\nGG\n")
+    rows = files.read_fasta_lines(spark, str(p)).orderBy("line_no").collect()
+    assert [(r["chrom"], r["bases"]) for r in rows] == [("chrA", "ACGT"), ("chrA", "NNAC"), ("chrB", "GG")]
