@@ -26,7 +26,7 @@ def _lerp(a, b, t):
 
 
 def topk_precision(df: DataFrame, keys, label: str = "label", score: str = "score",
-                   buckets: int = 64) -> DataFrame:
+                   buckets: int = 1024) -> DataFrame:
     """A3: q = linear quantile of the scores at 1 - n_pos/n; value =
     #(positives with score >= q) / max(1, #(score >= q)).  NaN when a key
     has no positive.  Labels must be 0/1.
@@ -72,7 +72,7 @@ def topk_precision(df: DataFrame, keys, label: str = "label", score: str = "scor
 
 
 def average_precision(df: DataFrame, keys, label: str = "label", score: str = "score",
-                      buckets: int = 64) -> DataFrame:
+                      buckets: int = 1024) -> DataFrame:
     """A4: sum over distinct thresholds (descending) of
     (positives at the threshold / n_pos) * precision at the threshold.
     NaN without positives."""
@@ -99,7 +99,7 @@ def pearson(df: DataFrame, x: str, y: str, keys=()) -> DataFrame:
                                  pearson_expr(x, y).alias("pearson"))
 
 
-def average_ranks(df: DataFrame, keys, col: str, out: str, buckets: int = 64) -> DataFrame:
+def average_ranks(df: DataFrame, keys, col: str, out: str, buckets: int = 1024) -> DataFrame:
     """Average (fractional) 1-based rank of ``col`` per key, joined back to rows."""
     keys = list(keys)
     r = value_ranks(df, keys, col, None, buckets)
@@ -108,7 +108,7 @@ def average_ranks(df: DataFrame, keys, col: str, out: str, buckets: int = 64) ->
     return df.join(rk, keys + [col], "left")
 
 
-def spearman(df: DataFrame, x: str, y: str, keys=(), buckets: int = 64) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, keys=(), buckets: int = 1024) -> DataFrame:
     """Pearson of average ranks (scipy spearmanr)."""
     keys = list(keys)
     d = average_ranks(df, keys, x, "_rx", buckets)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 
 def value_ranks(df: DataFrame, keys, value: str, positive: str | None = None,
-                buckets: int = 64, accuracy: int = 10000) -> DataFrame:
+                buckets: int = 1024, accuracy: int = 10000) -> DataFrame:
     """Distinct values per key with their counts and the counts before them.
 
     Output: keys, value, ``cnt`` (rows with this value), ``pos`` (sum of
@@ -23,30 +23,18 @@ def value_ranks(df: DataFrame, keys, value: str, positive: str | None = None,
     strictly smaller values), ``n`` / ``n_pos`` (key totals).
 
     Ties are collapsed first (a partial aggregation), so a hot value is one
-    row.  Distinct values are cut into ``buckets`` ranges per key by
-    approximate percentiles (only the bucket sizes depend on the sketch;
-    results are exact).
+    row.  Distinct values are cut into value ranges by ``buckets - 1``
+    approximate quantiles of the distinct values (one bounded result, shared
+    by all keys, so a key holding most rows still spreads over every
+    bucket); a JVM binary search (``Bucketizer``) assigns the range.  Only
+    the bucket sizes depend on the sketch: results are exact.
     """
     keys = list(keys)
     posc = F.col(positive).cast("bigint") if positive else F.lit(0).cast("bigint")
     dist = (df.where(F.col(value).isNotNull())
             .groupBy(*keys, F.col(value).alias("value"))
             .agg(F.count(F.lit(1)).cast("bigint").alias("cnt"), F.sum(posc).cast("bigint").alias("pos")))
-    if buckets > 1:
-        pct = [i / buckets for i in range(1, buckets)]
-        if keys:
-            sketch = F.percentile_approx("value", pct, accuracy).alias("_bounds")
-            dist = (dist.join(dist.groupBy(*keys).agg(sketch), keys)
-                    .withColumn("_bk", F.size(F.filter("_bounds", lambda b: b < F.col("value"))))
-                    .drop("_bounds"))
-        else:
-            # One global group: the buckets-1 bounds (a bounded result) come
-            # back as literals -- a join on a constant key would be planned
-            # as a cross join.  Bucket = number of bounds below the value.
-            bounds = sorted(float(b) for b in dist.approxQuantile("value", pct, 1.0 / accuracy))
-            dist = dist.withColumn("_bk", _count_below(F.col("value"), bounds, 0, len(bounds)))
-    else:
-        dist = dist.withColumn("_bk", F.lit(0))
+    dist = _bucketize(dist, buckets, accuracy)
     kb = keys + ["_bk"]
     wk = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     wall = Window.partitionBy(*keys)
@@ -63,14 +51,21 @@ def value_ranks(df: DataFrame, keys, value: str, positive: str | None = None,
             .drop("_cc", "_cp", "_bk"))
 
 
-def _count_below(v, bounds, lo: int, hi: int):
-    """Number of sorted ``bounds`` below ``v``, as a binary-search CASE tree:
-    log2(len) comparisons per row and little generated code."""
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(v > F.lit(bounds[mid]), _count_below(v, bounds, mid + 1, hi)).otherwise(
-        _count_below(v, bounds, lo, mid))
+def _bucketize(dist: DataFrame, buckets: int, accuracy: int) -> DataFrame:
+    """Add ``_bk``: a value-range bucket, non-decreasing in ``value``."""
+    if buckets <= 1:
+        return dist.withColumn("_bk", F.lit(0))
+    from pyspark.ml.feature import Bucketizer
+
+    pct = [i / buckets for i in range(1, buckets)]
+    d = dist.withColumn("_vd", F.col("value").cast("double"))
+    bounds = sorted({float(b) for b in d.approxQuantile("_vd", pct, 1.0 / accuracy)
+                     if b == b and abs(b) != float("inf")})
+    if not bounds:
+        return dist.withColumn("_bk", F.lit(0))
+    splits = [float("-inf")] + bounds + [float("inf")]
+    out = Bucketizer(splits=splits, inputCol="_vd", outputCol="_bkd", handleInvalid="keep").transform(d)
+    return out.withColumn("_bk", F.col("_bkd").cast("int")).drop("_vd", "_bkd")
 
 
 def running(df: DataFrame, keys, order: str, col: str, func: str = "sum",

@@ -68,9 +68,10 @@ def split_summary(windows: DataFrame) -> DataFrame:
 
 
 # Ranking buckets: the first BUCKET_HEX hex digits of an md5 key.  md5 is
-# uniform, so buckets are equal in size without sampling; 16^3 = 4096
-# buckets keep each in-bucket sort at rows/4096.
-BUCKET_HEX = 3
+# uniform, so buckets are equal in size without sampling; 16^4 = 65536
+# buckets keep each in-bucket sort at rows/65536 (the bucket-size table
+# stays at most 65536 rows per split).
+BUCKET_HEX = 4
 
 
 def shuffle_batches(windows: DataFrame, batch_size: int, seed: int = 0, epoch: int = 0,
@@ -85,7 +86,7 @@ def shuffle_batches(windows: DataFrame, batch_size: int, seed: int = 0, epoch: i
 
     The global rank is computed without a single-task window: rows are
     bucketed by the first hex digits of their key, bucket sizes (a table of
-    at most 4096 rows per split) get running offsets, and rows are numbered
+    at most 65536 rows per split) get running offsets, and rows are numbered
     inside their bucket only.
     """
     kc = [F.col(c).cast("string") for c in key_cols]
