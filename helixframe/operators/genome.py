@@ -267,7 +267,15 @@ def _fetch_core(genome: Genome, df: DataFrame, keys, C: int, H: int,
                               F.col("chunk_start").alias("_cstart"), F.col("bases").alias("_text"),
                               F.col("ext").alias("_ext"))
     single = max_len is not None and max_len <= H
-    short = df if single else df.where(F.col("_n") <= H)
+
+    def branch(cond):
+        # spark_partition_id() >= 0 is always true but non-deterministic, so
+        # Catalyst keeps the branch filter above the spreading exchange: both
+        # branches then share one exchange (AQE reuses it) and the input is
+        # read once.
+        return df.where(F.when(F.spark_partition_id() >= 0, cond).otherwise(F.lit(False)))
+
+    short = df if single else branch(F.col("_n") <= H)
     # Empty intervals get a NULL chunk id: the left join keeps them, unmatched.
     short = short.withColumn("_cid", F.when(F.col("_n") > 0, (F.col("_cs") / C).cast("bigint")))
     short = (short.join(ch, (F.col("_chrom") == F.col("_kc")) & (F.col("_cid") == F.col("_kid")), "left")
@@ -284,7 +292,7 @@ def _fetch_core(genome: Genome, df: DataFrame, keys, C: int, H: int,
 
     # Long: one row per touched chunk, reassembled per interval key.  The
     # group holds (length / chunk_size + 1) pieces.
-    long = df.where(F.col("_n") > H)
+    long = branch(F.col("_n") > H)
     ex = long.withColumn("_cid", F.explode(F.sequence((F.col("_cs") / C).cast("bigint"),
                                                       ((F.col("_ce") - 1) / C).cast("bigint"))))
     ex = (_join_chunk(ex, ch)
