@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 
 def value_ranks(df: DataFrame, keys, value: str, positive: str | None = None,
-                buckets: int = 1024, accuracy: int = 10000) -> DataFrame:
+                buckets: int = 64, accuracy: int = 10000) -> DataFrame:
     """Distinct values per key with their counts and the counts before them.
 
     Output: keys, value, ``cnt`` (rows with this value), ``pos`` (sum of
@@ -23,18 +23,29 @@ def value_ranks(df: DataFrame, keys, value: str, positive: str | None = None,
     strictly smaller values), ``n`` / ``n_pos`` (key totals).
 
     Ties are collapsed first (a partial aggregation), so a hot value is one
-    row.  Distinct values are cut into value ranges by ``buckets - 1``
-    approximate quantiles of the distinct values (one bounded result, shared
-    by all keys, so a key holding most rows still spreads over every
-    bucket); a JVM binary search (``Bucketizer``) assigns the range.  Only
-    the bucket sizes depend on the sketch: results are exact.
+    row.  Distinct values are cut into ``buckets`` value ranges per key by
+    approximate quantiles computed in the same plan (the distinct table's
+    exchange is reused), so a hot key spreads over all its ranges.  Only the
+    bucket sizes depend on the sketch: results are exact.
     """
     keys = list(keys)
     posc = F.col(positive).cast("bigint") if positive else F.lit(0).cast("bigint")
     dist = (df.where(F.col(value).isNotNull())
             .groupBy(*keys, F.col(value).alias("value"))
             .agg(F.count(F.lit(1)).cast("bigint").alias("cnt"), F.sum(posc).cast("bigint").alias("pos")))
-    dist = _bucketize(dist, buckets, accuracy)
+    if buckets <= 1:
+        dist = dist.withColumn("_bk", F.lit(0))
+    elif keys:
+        pct = [i / buckets for i in range(1, buckets)]
+        sketch = F.percentile_approx("value", pct, accuracy).alias("_bounds")
+        dist = (dist.join(dist.groupBy(*keys).agg(sketch), keys)
+                .withColumn("_bk", F.size(F.filter("_bounds", lambda b: b < F.col("value"))))
+                .drop("_bounds"))
+    else:
+        # One global group: a join of the bounds on a constant key would be
+        # planned as a cross join, so the bounds (a bounded result) come back
+        # as literals and a JVM binary search assigns the range.
+        dist = _bucketize(dist, buckets, accuracy)
     kb = keys + ["_bk"]
     wk = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     wall = Window.partitionBy(*keys)

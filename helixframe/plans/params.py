@@ -16,4 +16,4 @@ N_MODELS = 5          # pred3 packs five 3-class models
 CENTER_FLANK, CENTER_WINDOW = 2, 9
 KL_WEIGHT = 1.0
 TRAILING_N = 3        # trailing-mean width for the registered query (reference: 100)
-RANK_BUCKETS = 1024
+RANK_BUCKETS = 64
