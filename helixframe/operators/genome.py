@@ -330,7 +330,6 @@ def kmer_counts(genome: Genome, k: int, left_pad: int = 0, right_pad: int = 0,
     in the chunk; the explode feeds a partial (map-side) aggregation, so no
     per-base rows are shuffled, only (kmer, count) per task.
     """
-    C = genome.chunk_size
     lp, rp = left_pad, right_pad
     ch = (genome.chunks.select("chrom", "chunk_id", "chunk_start", F.length("bases").alias("_len"))
           .join(genome.contigs, "chrom"))

@@ -1,7 +1,6 @@
 import math
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from helixframe.operators import metrics, ranking, runs
