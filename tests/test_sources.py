@@ -17,9 +17,9 @@ def test_unknown_suffix_rejected(spark, tmp_path):
 
 
 def test_records_and_activity_positional_join(spark, tmp_path):
-    fa = tmp_path / "Sequences_Train.fa"
+    fa = tmp_path / "records.fa"
     fa.write_text(">r0\nACGTN\n>r1\nAC\nGT\n>r2\nTTTTT\n")
-    tsv = tmp_path / "Sequences_activity_Train.txt"
+    tsv = tmp_path / "activity.tsv"
     tsv.write_text("ID\tDev_log2_enrichment\tHk_log2_enrichment\nr0\t1.5\t-0.5\nr1\t2.0\tbad\nr2\t0\t3\n")
     rec = files.read_fasta_records(spark, str(fa))
     assert [(r["ordinal"], r["name"], r["bases"]) for r in rec.orderBy("ordinal").collect()] == [
@@ -33,7 +33,7 @@ def test_records_and_activity_positional_join(spark, tmp_path):
 
 
 def test_annotation_comments_and_empty_lists(spark, tmp_path):
-    p = tmp_path / "gtex_dataset.txt"
+    p = tmp_path / "annotation.txt"
     p.write_text("#header\nGA\t0\tchr1\t+\t3\t12\t4,7,\t9,7,\nGB\t1\tchr2\t-\t1\t5\t\t\n")
     g = {r["gene"]: r for r in files.read_annotation(spark, str(p)).collect()}
     assert g["GA"]["tx_start"] == 2 and g["GA"]["jn_start"] == [3, 6] and g["GB"]["jn_end"] == []
