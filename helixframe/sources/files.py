@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.labels import prepare_genes
+from ..operators.labels import duplicate_genes, prepare_genes
 
 # Accepted genome file suffixes (FASTA, gzipped FASTA).
 FASTA_SUFFIXES = (".fa", ".fasta", "fa.gz", "fna.gz")
@@ -124,14 +124,22 @@ ANNOTATION_SCHEMA = T.StructType([
 
 
 def read_annotation(spark: SparkSession, path: str, exclude_paralogs: bool = False,
-                    raw: bool = False) -> DataFrame:
+                    raw: bool = False, reject_duplicates: bool = True) -> DataFrame:
     """The 8-field tab annotation ('#' lines skipped) as gene records
-    (``raw=True`` keeps the file layout)."""
+    (``raw=True`` keeps the file layout).
+
+    [decision] A gene name on two lines is rejected and listed (the
+    reference lets the last line win for labels but keeps every line's
+    tiles).  The check is one small aggregate over the annotation."""
     df = (spark.read.schema(ANNOTATION_SCHEMA)
           .option("sep", "\t").option("comment", "#").option("quote", "").option("header", "false")
           .option("mode", "FAILFAST").csv(path)
           .withColumn("jn_start", F.coalesce("jn_start", F.lit("")))
           .withColumn("jn_end", F.coalesce("jn_end", F.lit(""))))
+    if reject_duplicates:
+        dups = [r["gene"] for r in duplicate_genes(df).orderBy("gene").limit(20).collect()]
+        if dups:
+            raise ValueError(f"duplicate gene names in {path}: {', '.join(dups)}")
     return df if raw else prepare_genes(df, exclude_paralogs)
 
 

@@ -85,3 +85,11 @@ def test_gzipped_fasta(spark, tmp_path):
         fh.write(">chrA\nACGT\nNNAC\n>chrB\nGG\n")
     rows = files.read_fasta_lines(spark, str(p)).orderBy("line_no").collect()
     assert [(r["chrom"], r["bases"]) for r in rows] == [("chrA", "ACGT"), ("chrA", "NNAC"), ("chrB", "GG")]
+
+
+def test_duplicate_genes_rejected(spark, tmp_path):
+    p = tmp_path / "dup.txt"
+    p.write_text("GA\t0\tchr1\t+\t3\t12\t4,\t9,\nGA\t0\tchr2\t+\t3\t12\t4,\t9,\nGB\t0\tchr1\t+\t1\t5\t\t\n")
+    with pytest.raises(ValueError, match="GA"):
+        files.read_annotation(spark, str(p))
+    assert files.read_annotation(spark, str(p), reject_duplicates=False).count() == 3
