@@ -24,7 +24,8 @@ CACHE_PIECES = 800_000  # pieces whose ids a worker remembers; above it the memo
 WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")  # ASCII and Latin-1 letters
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 # The byte-level alphabet: printable bytes stand for themselves, the others for U+0100 and on.
-BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTED)}
+OTHERS = [b for b in range(256) if b not in PRINTED]
+BYTE_CHARS = "".join(chr(b if b in PRINTED else 256 + OTHERS.index(b)) for b in range(256))
 BREAK = np.zeros(256, bool)
 BREAK[[0x20, 0x0A, 0x2E, 0x2C]] = True
 
@@ -60,7 +61,8 @@ class TextEncoder:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows (null: none) as uint32, and each row's offset in them."""
         data, offs = utf8(column)
-        starts = np.union1d(cut_points(data), offs[:-1][np.diff(offs) > 0])
+        starts = np.sort(np.concatenate([cut_points(data), offs[:-1][np.diff(offs) > 0]]), kind="stable")
+        starts = starts[np.diff(starts, prepend=-1) > 0]
         bounds = np.append(starts, len(data)).astype(np.int64)
         pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
         enc = pieces.dictionary_encode()
