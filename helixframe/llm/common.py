@@ -10,6 +10,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 from urllib.parse import urlparse
 
 import numpy as np
@@ -92,17 +93,27 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(0))
 
 
+def sample_by_id(rows: DataFrame, n: int, id_col: str = "doc_id") -> DataFrame:
+    """The rows of about ``n`` ids, those with the smallest hash: the same ids on any partitioning.
+
+    Only hashes reach the driver, ``n`` at most; the caller may collect the rows of the sample.
+    """
+    h = F.xxhash64(F.lit("sample"), F.col(id_col).cast("string"))
+    top = rows.select(h.alias("h")).distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    return rows.where(h <= F.lit(top)) if top is not None else rows.where(F.lit(False))
+
+
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that an operator reads, under fixed names; other columns can't clash."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows with about ``limit`` bytes of text (one row at least)."""
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of at most ``rows`` rows with about ``limit`` bytes of text (one row at least)."""
     _, offs = utf8(batch.column(batch.schema.get_field_index(column)))
     i, n = 0, batch.num_rows
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, side="right")) - 1)
+        j = min(i + rows, max(i + 1, int(np.searchsorted(offs, offs[i] + limit, side="right")) - 1))
         yield batch.slice(i, j - i)
         i = j
 
@@ -119,12 +130,19 @@ def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0]:offs[-1]], offs - offs[0]
 
 
-def words(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Words of all documents, A-Z lower-cased.
+class Words(NamedTuple):
+    """Words of a run of documents: each word's index in the vocabulary (binary), each document's first word (and one
+    entry at the end), and where the words begin and end in the bytes."""
 
-    Returns the index of each word in the vocabulary, the vocabulary (binary), and for each document the
-    index of its first word (one more entry at the end).
-    """
+    index: np.ndarray
+    vocabulary: pa.Array
+    first: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+
+def words(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> Words:
+    """Words of all documents, A-Z lower-cased; a word is a maximal run of ``is_word`` bytes in one document."""
     keep = is_word[data]
     starts, ends = keep.copy(), keep.copy()
     inner = offs[1:-1][(offs[1:-1] > 0) & (offs[1:-1] < len(data))]
@@ -139,7 +157,8 @@ def words(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[np.n
     flat = UPPER[data[keep]]
     arr = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(flat)])
     enc = arr.dictionary_encode()
-    return enc.indices.to_numpy(zero_copy_only=False).astype(np.int64), enc.dictionary, np.searchsorted(starts, offs)
+    index = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return Words(index, enc.dictionary, np.searchsorted(starts, offs), starts, ends + 1)
 
 
 def word_hashes(vocabulary: pa.Array) -> np.ndarray:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
-from . import packing, token_counts, token_files
+from . import decontaminate, kneser_ney, language_id, packing, quality, token_counts, token_files
+from .common import fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +23,25 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    model = language_id.fit_table(docs.where(~held_out))
+    return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op2_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0, max_len=1024)
     return p.select("doc_id", "start", "length", token_files.crc32_of().alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op3_byte_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    model = quality.fit_table(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
+    return quality.quality_scores(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder, manifest = token_files.write_token_files(docs, tokenizer("word_bpe_49k.json"), end_id=1)
@@ -34,6 +49,22 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", token_files.crc32_of().alias("ids_crc32"))
 
 
+def op6_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    rows = decontaminate.decontaminate(docs, items, with_text=False)
+    names = F.array_join(F.array_sort("items"), ",")
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(names, 256).alias("items_sha256"),
+                       ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+
+
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 7) == 2
+    model = kneser_ney.train(docs.where(~held_out))
+    return kneser_ney.score_documents(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256", "n_bytes")
@@ -50,9 +81,27 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(names, ["shard", "doc_no"], "full").select("doc_id", "shard", "doc_no", "start", "n_tokens", "ended")
 
 
-QUERIES = {f.__name__: f for f in (op2_power_of_two_packing, op4_token_files, op9_exact_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (
+    op1_language_codes, op2_power_of_two_packing, op3_byte_convolution, op4_token_files, op6_suffix_automaton, op7_kneser_ney,
+    op9_exact_dedup, op10_token_counts)}
 
 ORACLE = {
+    "op6_suffix_automaton": r"""
+        with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents),
+        i as (select cast(item_id as varchar) item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from benchmark where item_id is not null and text is not null),
+        k as (select item, ws, least(13, len(ws)) n, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) p from i where len(ws) > 0),
+        win as (select distinct item, n, array_to_string(ws[p:p + n - 1], ' ') g from k),
+        lens as (select distinct n from win),
+        pos as (select doc_id, ws, unnest(range(1, len(ws) + 1)) p from w),
+        hits as (select doc_id, p, lens.n, item from pos join lens on p + lens.n - 1 <= len(ws)
+                 join win on win.n = lens.n and win.g = array_to_string(ws[p:p + lens.n - 1], ' ')),
+        words as (select doc_id, count(distinct q) n_hit from (select doc_id, unnest(range(p, p + n)) q from hits) group by doc_id),
+        items as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) names from (select distinct doc_id, item from hits) group by doc_id)
+        select w.doc_id, cast(len(ws) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(names, '')) items_sha256,
+               coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) contaminated
+        from w left join words on w.doc_id = words.doc_id left join items on w.doc_id = items.doc_id""",
     "op9_exact_dedup": """
         with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') n from documents)
         select doc_id, max(doc_id) over (partition by n) keep_id, count(*) over (partition by n) group_size,
