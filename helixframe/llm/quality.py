@@ -102,9 +102,12 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(logit.astype(np.float64), -40, 40)))
 
 
-def fit(texts: list[str], labels: list[int], *, epochs: int = 5, batch: int = 64, rate: float = 0.01, seed: int = 11) -> QualityModel:
-    """Train with Adam; the gradient of a pooled response goes to the window it came from."""
+def fit(texts: list[str], labels: list[int], *, epochs: int = 5, steps: int = 300, batch: int = 64,
+        rate: float = 0.01, seed: int = 11) -> QualityModel:
+    """Train with Adam over ``epochs``, or as many as make ``steps``; the gradient of a pooled response goes to the window it
+    came from."""
     rng = np.random.default_rng(seed)
+    epochs = max(epochs, -(-steps * batch // max(1, len(labels))))
     y = np.array(labels, np.float32)
     blank = QualityModel(np.zeros((256, EMBED), np.float32), np.zeros((STEP * (EMBED + 1), 2 * FILTERS), np.float32),
                          np.zeros(FILTERS, np.float32), np.zeros((2 * FILTERS, HIDDEN), np.float32), np.zeros(HIDDEN, np.float32),

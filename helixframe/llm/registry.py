@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
-from . import decontaminate, kneser_ney, language_id, packing, quality, token_counts, token_files
+from . import chat, decontaminate, kneser_ney, language_id, packing, quality, token_counts, token_files
 from .common import fold
 
 
@@ -65,25 +65,33 @@ def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op8_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.rotate(table(spark, sf_dir, "conversations"))
+    ranges = F.transform("mask", lambda m: F.concat(m["begin"].cast("string"), F.lit("-"), m["end"].cast("string")))
+    return rows.select("conv_id", "perspective", F.col("part").cast("bigint").alias("part"), F.col("slot").cast("bigint").alias("slot"),
+                       F.col("n_turns").cast("bigint").alias("n_turns"), F.col("n_own").cast("bigint").alias("n_own"), "text",
+                       F.array_join(ranges, ",").alias("mask"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256", "n_bytes")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of the documents, from flat 16-bit files that hold nothing but ids and separators."""
+    """Token counts of the documents, by a scan of flat 16-bit files for the separator."""
     docs = table(spark, sf_dir, "documents")
     end = 50256  # of the tokenizer file; no text encodes to it, as strings of special tokens are plain text here
-    folder, manifest = token_files.write_token_files(docs, tokenizer("byte_bpe_50k.json"), end_id=end, dtype="<u2", plain_specials=True)
-    counts = token_counts.token_counts(manifest, folder, end, dtype="<u2")
-    # The files name no documents: the scan's document numbers meet the ids in the writer's order.
+    folder, manifest = token_files.write_token_files(docs, tokenizer("byte_bpe_50k.json"), end_id=end, plain_specials=True, in_order=False)
+    counts = token_counts.token_counts(manifest, folder, end)
+    # The scan reads ids alone; its document numbers then meet the names in the writer's order.
     names = token_files.document_names(spark, folder, manifest, id_type=docs.schema["doc_id"].dataType.simpleString())
     return counts.join(names, ["shard", "doc_no"], "full").select("doc_id", "shard", "doc_no", "start", "n_tokens", "ended")
 
 
 QUERIES = {f.__name__: f for f in (
     op1_language_codes, op2_power_of_two_packing, op3_byte_convolution, op4_token_files, op6_suffix_automaton, op7_kneser_ney,
-    op9_exact_dedup, op10_token_counts)}
+    op8_perspective_rotation, op9_exact_dedup, op10_token_counts)}
 
 ORACLE = {
     "op6_suffix_automaton": r"""
@@ -102,6 +110,24 @@ ORACLE = {
         select w.doc_id, cast(len(ws) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(names, '')) items_sha256,
                coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) contaminated
         from w left join words on w.doc_id = words.doc_id left join items on w.doc_id = items.doc_id""",
+    "op8_perspective_rotation": r"""
+        with c as (select conv_id, coalesce(turn, -1) turn, coalesce(role, '') r0,
+                          regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '<\1>', 'g') body from conversations),
+        t as (select conv_id, turn, body, turn >> 8 part,
+                     case when r0 = '' then 'unknown' else regexp_replace(regexp_replace(r0, '<\|(im_start|im_end)\|>', '<\1>', 'g'), '[\n\r]', ' ', 'g') end as role from c),
+        n as (select *, (row_number() over (partition by conv_id, part, turn order by role, body) - 1) >> 8 slot from t),
+        people as (select distinct conv_id, role perspective from t where role <> 'system'),
+        s as (select n.*, perspective, role = perspective own,
+                     '<|im_start|>' || case when role = perspective then 'assistant' when role = 'system' then 'system' else 'user name=' || role end || chr(10) head,
+                     body || '<|im_end|>' || chr(10) rest
+              from n join people on n.conv_id is not distinct from people.conv_id),
+        p as (select *, coalesce(sum(length(head) + length(rest)) over (partition by conv_id, perspective, part, slot order by turn, role, body
+                     rows between unbounded preceding and 1 preceding), 0) before,
+                     row_number() over (partition by conv_id, perspective, part, slot order by turn, role, body) k from s)
+        select conv_id, perspective, part, slot, count(*) n_turns, count(*) filter (where own) n_own, string_agg(head || rest, '' order by k) as text,
+               coalesce(string_agg(cast(cast(before + length(head) as bigint) as varchar) || '-' || cast(cast(before + length(head) + length(rest) - 1 as bigint) as varchar), ','
+                        order by k) filter (where own), '') mask
+        from p group by conv_id, perspective, part, slot""",
     "op9_exact_dedup": """
         with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') n from documents)
         select doc_id, max(doc_id) over (partition by n) keep_id, count(*) over (partition by n) group_size,
