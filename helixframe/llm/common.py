@@ -55,23 +55,38 @@ def local_path(uri: str) -> str | None:
     return u.path if u.scheme in ("", "file") else None
 
 
+class NewFile:
+    """A file that gets its name when it is complete, so that a retried or doubled task is harmless."""
+
+    def __init__(self, uri: str):
+        part = f"{uri}.{uuid.uuid4().hex}.tmp"
+        self.path, self.part, self.store = local_path(uri), local_path(part), None
+        if self.path is not None:
+            os.makedirs(os.path.dirname(self.path), exist_ok=True)
+            self.out = open(self.part, "wb")
+            return
+        from pyarrow import fs
+
+        self.store, self.path = fs.FileSystem.from_uri(uri)
+        self.part = fs.FileSystem.from_uri(part)[1]
+        self.store.create_dir(os.path.dirname(self.path), recursive=True)
+        self.out = self.store.open_output_stream(self.part)
+
+    def __enter__(self):
+        return self.out
+
+    def __exit__(self, kind, error, trace):
+        self.out.close()
+        if kind is None:
+            (self.store.move if self.store else os.replace)(self.part, self.path)
+        else:
+            (self.store.delete_file if self.store else os.remove)(self.part)
+
+
 def write_file(uri: str, data: bytes | memoryview) -> None:
-    """Write a whole file and give it its name at the end, so that a retried or doubled task is harmless."""
-    part = f"{uri}.{uuid.uuid4().hex}.tmp"
-    if (p := local_path(uri)) is not None:
-        os.makedirs(os.path.dirname(p), exist_ok=True)
-        with open(local_path(part), "wb") as f:
-            f.write(data)
-        os.replace(local_path(part), p)
-        return
-    from pyarrow import fs
-
-    store, p = fs.FileSystem.from_uri(uri)
-    _, q = fs.FileSystem.from_uri(part)
-    store.create_dir(os.path.dirname(p), recursive=True)
-    with store.open_output_stream(q) as f:
+    """Write a whole file at once."""
+    with NewFile(uri) as f:
         f.write(data)
-    store.move(q, p)
 
 
 def map_file(uri: str, dtype: str) -> np.ndarray:

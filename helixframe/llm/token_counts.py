@@ -36,7 +36,7 @@ def _scan(folder: str, dtype: str, separator: int):
     return blocks
 
 
-def token_counts(files: DataFrame, folder: str, separator: int, *, dtype: str = "<u4", block_ids: int = BLOCK_IDS) -> DataFrame:
+def token_counts(files: DataFrame, folder: str, separator: int, *, dtype: str = "<u2", block_ids: int = BLOCK_IDS) -> DataFrame:
     """One row per document: shard, doc_no (0-based in the file), start, n_tokens (without the separator), ended.
 
     ``files``: shard (the file is ``folder/shard.bin``) and n_tokens, its length in ids.

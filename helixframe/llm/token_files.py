@@ -13,6 +13,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, map_file, materialize, shared_dir, slices, text_rows, write_file
+from .common import SLICE_BYTES, NewFile, map_file, materialize, shared_dir, slices, text_rows
 from .tokens import encoder, with_end
 
 MANIFEST = "shard string, n_docs bigint, n_tokens bigint"
@@ -40,40 +41,37 @@ def ordered(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int) -> Da
 def _write(folder: str, path: str, dtype: str, end_id: int, plain: bool):
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"{TaskContext.get().partitionId():08d}"
-        flat, sizes, ids, id_type = [], [], [], None
-        for batch in batches:
-            id_type = batch.schema.field(0).type
-            for part in slices(batch):
-                tokens, offs = with_end(*encoder(path, plain).encode(part.column(1)), end_id)
-                flat.append(tokens.astype(dtype))
-                sizes.append(np.diff(offs))
-                ids.append(part.column(0))
-        if not flat:
+        parts = (part for batch in batches for part in slices(batch))
+        if (head := next(parts, None)) is None:
             return
-        offs = np.zeros(sum(map(len, sizes)) + 1, "<i8")
-        np.cumsum(np.concatenate(sizes), out=offs[1:])
-        write_file(f"{folder}/{name}.bin", np.concatenate(flat).tobytes())
-        write_file(f"{folder}/{name}.idx", offs.tobytes())
-        sink = pa.BufferOutputStream()
-        table = pa.table({"doc_id": pa.chunked_array(ids, id_type)})
-        with pa.ipc.new_file(sink, table.schema) as w:
-            w.write_table(table)
-        write_file(f"{folder}/{name}.doc", sink.getvalue())
-        yield pa.record_batch([pa.array([name]), pa.array([len(offs) - 1], pa.int64()), pa.array([int(offs[-1])], pa.int64())],
-                              names=["shard", "n_docs", "n_tokens"])
+        schema = pa.schema([("doc_id", head.schema.field(0).type)])
+        n, total = 0, 0
+        # Ids, offsets and names go to the files slice by slice: the task holds one slice.
+        with (NewFile(f"{folder}/{name}.bin") as ids, NewFile(f"{folder}/{name}.idx") as index, NewFile(f"{folder}/{name}.doc") as names,
+              pa.ipc.new_file(names, schema) as table):
+            index.write(np.zeros(1, "<i8").tobytes())
+            for part in itertools.chain([head], parts):
+                tokens, offs = with_end(*encoder(path, plain).encode(part.column(1)), end_id)
+                ids.write(tokens.astype(dtype).tobytes())
+                index.write((offs[1:] + total).astype("<i8").tobytes())
+                table.write_batch(pa.record_batch([part.column(0)], schema=schema))
+                n, total = n + part.num_rows, total + len(tokens)
+        yield pa.record_batch([pa.array([name]), pa.array([n], pa.int64()), pa.array([total], pa.int64())], names=["shard", "n_docs", "n_tokens"])
     return shard
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", *,
-                      dtype: str = "<u4", shard_bytes: int = 16 << 20, plain_specials: bool = False,
+                      dtype: str = "<u2", shard_bytes: int = 16 << 20, plain_specials: bool = False, in_order: bool = True,
                       folder: str | None = None) -> tuple[str, DataFrame]:
     """Write the data set; returns its folder and the manifest (shard, n_docs, n_tokens, base).
 
-    A shard is written by one task from about ``shard_bytes`` bytes of text.  Files get their names when complete, so a
-    task may run again or twice.
+    A shard is written by one task from about ``shard_bytes`` bytes of text; with ``in_order`` off, documents stay in the
+    partitions and the order in which they come, and nothing is shuffled.  Files get their names when complete, so a
+    task may run again or twice.  ``dtype`` is ``<u2`` (vocabularies of up to 65,536 ids) or ``<u4``.
     """
     folder = folder or shared_dir(docs.sparkSession, "tokens")
-    rows = ordered(docs, id_col, text_col, shard_bytes).mapInArrow(
+    t = ordered(docs, id_col, text_col, shard_bytes) if in_order else text_rows(docs, id_col, text_col)
+    rows = t.mapInArrow(
         _write(folder, tokenizer_path, dtype, end_id, plain_specials), MANIFEST)
     m = materialize(rows, "manifest")
     # One row for each shard: the prefix sum over them is the only step in one task.
@@ -100,7 +98,7 @@ def _read(folder: str, dtype: str):
     return docs
 
 
-def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame, dtype: str = "<u4", id_type: str = "bigint") -> DataFrame:
+def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame, dtype: str = "<u2", id_type: str = "bigint") -> DataFrame:
     """The documents of a data set: doc_id, start (ids before it in the whole set), n_tokens, ids (little-endian
     unsigned 32-bit, binary).  One task maps the files of a shard."""
     shards = manifest.select("shard", "base")
