@@ -157,10 +157,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id", "keep_id", "group_size", "kept", "text_sha256", "n_bytes", "h1", "h2")
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows that tie in id and text, one."""
-    o = {"huge_bytes": 8 << 20, "primes": PRIMES, "compare_bytes": CHUNK} | options
-    rows = _classified(docs, id_col, text_col, o["huge_bytes"], o["primes"], o["compare_bytes"])
+def keep_rows(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` for which ``rows`` (one for each row of ``docs``: doc_id, row_hash, kept) says kept.
+
+    Rows that tie in id and text are told apart by nothing, so of those as many stay as are kept: one.
+    """
     again = rows.groupBy("doc_id", "row_hash").count().where("count > 1").select(
         F.col("doc_id").alias("a_id"), F.col("row_hash").alias("a_hash"))
     k = rows.where("kept").select(F.col("doc_id").alias("__k_id"), F.col("row_hash").alias("__k_hash"))
@@ -171,3 +172,10 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("__k_hash")))
     one = j.where("__again").dropDuplicates(["__k_id", "__k_hash"]).select(*docs.columns)
     return j.where("not __again").select(*docs.columns).unionByName(one)
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, huge_bytes: int = 8 << 20,
+                primes: tuple[int, ...] = PRIMES, compare_bytes: int = CHUNK) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each group of equal texts, with all their columns."""
+    rows = _classified(docs, id_col, text_col, huge_bytes, primes, compare_bytes)
+    return keep_rows(docs, rows.select("doc_id", "row_hash", "kept"), id_col, text_col)

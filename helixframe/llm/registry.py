@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
-from . import chat, decontaminate, kneser_ney, language_id, packing, quality, token_counts, token_files
+from . import chat, decontaminate, kneser_ney, language_id, near_dedup, packing, quality, token_counts, token_files
 from .common import fold
 
 
@@ -49,6 +49,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", token_files.crc32_of().alias("ids_crc32"))
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op6_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     rows = decontaminate.decontaminate(docs, items, with_text=False)
@@ -90,7 +94,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_codes, op2_power_of_two_packing, op3_byte_convolution, op4_token_files, op6_suffix_automaton, op7_kneser_ney,
+    op1_language_codes, op2_power_of_two_packing, op3_byte_convolution, op4_token_files, op5_order_minhash, op6_suffix_automaton, op7_kneser_ney,
     op8_perspective_rotation, op9_exact_dedup, op10_token_counts)}
 
 ORACLE = {
