@@ -2,10 +2,12 @@
 
 A genome is a table of fixed-size chunks ``(chrom, chunk_id, chunk_start,
 bases, ext)`` where ``ext`` holds the first ``halo`` bases of the next
-chunk.  An interval no longer than the halo lies inside one chunk row, so it
-is fetched with a single equi-join on ``(chrom, chunk_id)`` and a
-``substr`` — no regrouping.  Longer intervals explode to the chunks they
-touch, join, and are reassembled per interval (bounded by length / chunk).
+chunk.  Fetching collapses equal intervals first, explodes the distinct ones
+to the chunks they touch, joins on ``(chrom, chunk_id)``, reassembles each
+(a group of length / chunk pieces) and joins the bases back on the
+interval, so repeated rows cost nothing and keep their number.  A caller who
+declares ``max_len <= halo`` gets the same rows from one equi-join and a
+``substr``; a longer interval then raises.
 
 Dense regions make hot chunk keys; the chunk side holds one row per key, so
 AQE's skew-join split of the interval side handles them.  The genome side is
@@ -25,6 +27,7 @@ from ..functions.sequence import kmer_items, reverse_complement
 
 DEFAULT_CHUNK = 65536
 DEFAULT_HALO = 4096
+MAX_INTERVAL = 1 << 28  # bases of one fetched interval, a row of the result; a longer one raises
 
 
 @dataclass
@@ -97,24 +100,24 @@ def build_genome(lines: DataFrame, chunk_size: int = DEFAULT_CHUNK, halo: int =
         ls = ls.withColumn("bases", F.when(~F.col("bases").rlike(f"[^{validate}]"), F.col("bases")).otherwise(
             F.raise_error(F.concat(F.lit("unexpected letter in contig "), F.col("chrom")))))
     lo = line_offsets(ls, "chrom", "line_no", "n", block)
-    first = (F.col("offset") / C).cast("bigint")
-    last = ((F.col("offset") + F.col("n") - 1) / C).cast("bigint")
-    pieces = (lo.select("chrom", "offset", "n", "bases",
-                        F.explode(F.sequence(first, last)).alias("chunk_id"))
+    # A chunk is made of the pieces of lines in it and, for its halo, of those in
+    # the first bases of the next one: each line goes to the chunks whose bases
+    # or halo it touches, and one grouping makes both.
+    lines_in = F.sequence(F.greatest(F.floor((F.col("offset") - halo) / C).cast("bigint"), F.lit(0).cast("bigint")),
+                          ((F.col("offset") + F.col("n") - 1) / C).cast("bigint"))
+    pieces = (lo.select("chrom", "offset", "n", "bases", F.explode(lines_in).alias("chunk_id"))
               .withColumn("p_lo", F.greatest(F.col("offset"), F.col("chunk_id") * C))
-              .withColumn("p_hi", F.least(F.col("offset") + F.col("n"), (F.col("chunk_id") + 1) * C))
+              .withColumn("p_hi", F.least(F.col("offset") + F.col("n"), (F.col("chunk_id") + 1) * C + halo))
+              .where("p_lo < p_hi")
               .select("chrom", "chunk_id", "p_lo",
                       F.expr("substr(bases, cast(p_lo - offset + 1 as int), cast(p_hi - p_lo as int))")
                       .alias("piece")))
     chunks = (pieces.groupBy("chrom", "chunk_id")
               .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_lo", "piece"))),
-                                            lambda x: x["piece"]), "").alias("bases"))
-              .withColumn("chunk_start", F.col("chunk_id") * C))
-    nxt = chunks.select("chrom", (F.col("chunk_id") - 1).alias("chunk_id"),
-                        F.substring("bases", 1, halo).alias("ext"))
-    chunks = (chunks.join(nxt, ["chrom", "chunk_id"], "left")
-              .select("chrom", "chunk_id", "chunk_start", "bases",
-                      F.coalesce(F.col("ext"), F.lit("")).alias("ext")))
+                                            lambda x: x["piece"]), "").alias("_all"))
+              .withColumn("chunk_start", F.col("chunk_id") * C)
+              .select("chrom", "chunk_id", "chunk_start", F.substring("_all", 1, C).alias("bases"),
+                      F.expr(f"substr(_all, {C + 1})").alias("ext")))
     contigs = contig_lengths(lo)
     if checkpoint:
         from ..session import ensure_checkpoint_dir
@@ -128,9 +131,10 @@ def build_genome(lines: DataFrame, chunk_size: int = DEFAULT_CHUNK, halo: int =
 
 def write_genome(genome: Genome, path: str, mode: str = "overwrite") -> None:
     """Persist the store: chunks partitioned by contig (partition pruning on
-    chrom, row-group statistics on chunk_id), contigs, and the parameters."""
+    chrom, row-group statistics on chunk_id), contigs, and the parameters.
+    A task writes a run of 256 chunks, so one contig is many tasks' work."""
     spark = genome.chunks.sparkSession
-    (genome.chunks.repartition("chrom").sortWithinPartitions("chrom", "chunk_id")
+    (genome.chunks.repartition("chrom", F.expr("chunk_id div 256")).sortWithinPartitions("chrom", "chunk_id")
      .write.mode(mode).partitionBy("chrom").parquet(f"{path}/chunks"))
     genome.contigs.write.mode(mode).parquet(f"{path}/contigs")
     meta = json.dumps({"chunk_size": genome.chunk_size, "halo": genome.halo})
@@ -192,8 +196,7 @@ def _as_col(v, default: Column) -> Column:
 
 def fetch_intervals(genome: Genome, intervals: DataFrame, start="start", end="end",
                     chrom: str = "chrom", left=None, right=None, padding: str = "N",
-                    no_padding: bool = False, reverse=None, keys=None,
-                    out: str = "seq", spread: bool = True,
+                    no_padding: bool = False, reverse=None, out: str = "seq",
                     max_len: int | None = None) -> DataFrame:
     """Add ``out`` = sequence of [start, end) on ``chrom`` (0-based half-open).
 
@@ -202,15 +205,12 @@ def fetch_intervals(genome: Genome, intervals: DataFrame, start="start", end="en
     border (all right padding).  Otherwise it is padded to its requested
     length with ``padding``, or clipped when ``no_padding`` (may be empty).
     ``reverse`` (bool, column name or Column) takes the reverse complement.
-    start >= end and an unknown contig raise.  ``keys`` name columns that
-    identify an interval (needed only to reassemble intervals longer than
-    the halo; default: all input columns, rows must then be distinct).
-    ``max_len``: a known bound on end - start; at most the halo, every
-    interval is served by a single join (no long-interval branch).
+    start >= end, an unknown contig and an interval above ``MAX_INTERVAL``
+    raise.  Rows may repeat.  ``max_len``: a declared bound on end - start; if it
+    is at most the halo, a single join serves all intervals, and one that
+    breaks the bound raises.
     """
-    C, H = genome.chunk_size, genome.halo
     in_cols = intervals.columns
-    keys = list(keys) if keys else list(in_cols)
     clen = F.col("_clen")
     df = (intervals
           .withColumn("_chrom", F.col(chrom))
@@ -239,12 +239,10 @@ def fetch_intervals(genome: Genome, intervals: DataFrame, start="start", end="en
               .withColumn("_rp", F.greatest(zero, F.col("_e1") - F.col("_R"))))
     df = df.withColumn("_n", F.col("_ce") - F.col("_cs"))
 
-    if spread:
-        # Interval tables are small and often come from one file split;
-        # the fetch multiplies their bytes.  Hash-spreading the coordinates
-        # (a shuffle of small rows) puts the fetch on every core/executor.
-        df = df.repartition(*keys)
-    core = _fetch_core(genome, df, keys, C, H, max_len)
+    if max_len is not None and max_len <= genome.halo:
+        core = _fetch_single(genome, df)
+    else:
+        core = _fetch_distinct(genome, df)
     pad = F.lit(padding)
     seq = F.concat(F.repeat(pad, F.col("_lp").cast("int")), F.col("_core"),
                    F.repeat(pad, F.col("_rp").cast("int")))
@@ -254,67 +252,52 @@ def fetch_intervals(genome: Genome, intervals: DataFrame, start="start", end="en
     return core.withColumn(out, seq).select(*in_cols, out)
 
 
-def _fetch_core(genome: Genome, df: DataFrame, keys, C: int, H: int,
-                max_len: int | None = None) -> DataFrame:
-    """Bases of [_cs, _ce) into ``_core``.
+def _chunk_side(genome: Genome) -> DataFrame:
+    return genome.chunks.select(F.col("chrom").alias("_kc"), F.col("chunk_id").alias("_kid"),
+                                F.col("chunk_start").alias("_cstart"), F.col("bases").alias("_text"),
+                                F.col("ext").alias("_ext"))
+
+
+def _fetch_single(genome: Genome, df: DataFrame) -> DataFrame:
+    """Bases of [_cs, _ce) into ``_core``, every interval within the halo of
+    the chunk that holds its start."""
+    H = genome.halo
+    # Empty intervals match no chunk; their negative ids spread them.
+    d = df.withColumn("_cid", F.when(F.col("_n") > 0, (F.col("_cs") / genome.chunk_size).cast("bigint"))
+                      .otherwise(-1 - F.pmod(F.xxhash64("_s0", "_e0"), F.lit(4096))))
+    j = d.join(_chunk_side(genome), (F.col("_chrom") == F.col("_kc")) & (F.col("_cid") == F.col("_kid")), "left")
+    core = (F.when(F.col("_n") > H, F.raise_error(F.lit(
+                f"interval longer than the halo ({H}); max_len was too small")).cast("string"))
+            .when(F.col("_n") > 0, F.concat(
+                F.expr("substr(_text, cast(_cs - _cstart + 1 as int), cast(_n as int))"),
+                F.expr("substr(_ext, 1, cast(greatest(_cs - _cstart + _n - length(_text), 0) as int))")))
+            .otherwise(F.lit("")))
+    return j.withColumn("_core", core).drop("_kc", "_kid", "_cid", "_cstart", "_text", "_ext")
+
+
+def _fetch_distinct(genome: Genome, df: DataFrame) -> DataFrame:
+    """Bases of [_cs, _ce) into ``_core``, whatever the lengths.
 
-    Intervals up to the halo (and empty ones) take one left join to the
-    chunk holding their start; longer ones explode over their chunks and are
-    reassembled per key.  With ``max_len <= halo`` only the first branch
-    exists, so the input is read once and no union is planned.
+    Each distinct interval is read once: one row per touched chunk, put
+    together in chunk order.  The core range is clipped to the contig, so every
+    touched chunk exists.
     """
-    ch = genome.chunks.select(F.col("chrom").alias("_kc"), F.col("chunk_id").alias("_kid"),
-                              F.col("chunk_start").alias("_cstart"), F.col("bases").alias("_text"),
-                              F.col("ext").alias("_ext"))
-    single = max_len is not None and max_len <= H
-
-    def branch(cond):
-        # spark_partition_id() >= 0 is always true but non-deterministic, so
-        # Catalyst keeps the branch filter above the spreading exchange: both
-        # branches then share one exchange (AQE reuses it) and the input is
-        # read once.
-        return df.where(F.when(F.spark_partition_id() >= 0, cond).otherwise(F.lit(False)))
-
-    short = df if single else branch(F.col("_n") <= H)
-    # Empty intervals get a NULL chunk id: the left join keeps them, unmatched.
-    short = short.withColumn("_cid", F.when(F.col("_n") > 0, (F.col("_cs") / C).cast("bigint")))
-    short = (short.join(ch, (F.col("_chrom") == F.col("_kc")) & (F.col("_cid") == F.col("_kid")), "left")
-             .withColumn("_core", F.when(F.col("_n") > H, F.raise_error(F.lit(
-                 f"interval longer than the halo ({H}); max_len was too small")).cast("string"))
-                 .when(F.col("_n") > 0, F.concat(
-                 F.expr("substr(_text, cast(_cs - _cstart + 1 as int), cast(_n as int))"),
-                 F.expr("substr(_ext, 1, cast(greatest(_cs - _cstart + _n - length(_text), 0) as int))")))
-                 .otherwise(F.lit("")))
-             .drop("_kc", "_kid", "_cid", "_cstart", "_text", "_ext"))
-    cols = df.columns + ["_core"]
-    if single:
-        return short.select(*cols)
-
-    # Long: one row per touched chunk, reassembled per interval key.  The
-    # group holds (length / chunk_size + 1) pieces.
-    long = branch(F.col("_n") > H)
-    ex = long.withColumn("_cid", F.explode(F.sequence((F.col("_cs") / C).cast("bigint"),
-                                                      ((F.col("_ce") - 1) / C).cast("bigint"))))
-    ex = (_join_chunk(ex, ch)
+    C = genome.chunk_size
+    iv = (df.where(F.col("_n") > 0).select("_chrom", "_cs", "_ce").distinct()
+          .withColumn("_cid", F.explode(F.sequence((F.col("_cs") / C).cast("bigint"),
+                                                   ((F.col("_ce") - 1) / C).cast("bigint")))))
+    ex = (iv.join(_chunk_side(genome), (F.col("_chrom") == F.col("_kc")) & (F.col("_cid") == F.col("_kid")))
           .withColumn("_plo", F.greatest(F.col("_cs"), F.col("_cstart")))
           .withColumn("_phi", F.least(F.col("_ce"), F.col("_cstart") + F.length("_text")))
-          .withColumn("_piece", F.expr("substr(_text, cast(_plo - _cstart + 1 as int), "
-                                       "cast(greatest(_phi - _plo, 0) as int))")))
-    others = [c for c in df.columns if c not in keys]
-    long = (ex.groupBy(*keys)
-            .agg(*[F.first(c).alias(c) for c in others],
-                 F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_cid", "_piece"))),
+          .withColumn("_piece", F.expr("substr(_text, cast(_plo - _cstart + 1 as int), cast(_phi - _plo as int))")))
+    core = (ex.groupBy(F.col("_chrom").alias("_dc"), F.col("_cs").alias("_ds"), F.col("_ce").alias("_de"))
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_cid", "_piece"))),
                                           lambda x: x["_piece"]), "").alias("_core")))
-    return short.select(*cols).unionByName(long.select(*cols))
-
-
-def _join_chunk(df: DataFrame, ch: DataFrame) -> DataFrame:
-    """Inner equi-join of intervals to chunk rows on (contig, chunk id).
-
-    The core range is clipped to the contig, so every touched chunk exists
-    and an inner join loses nothing."""
-    return df.join(ch, (F.col("_chrom") == F.col("_kc")) & (F.col("_cid") == F.col("_kid"))) \
-        .drop("_kc", "_kid")
+    limit = F.when(F.col("_n") <= MAX_INTERVAL, F.col("_cs")).otherwise(F.raise_error(F.lit(
+        f"interval of more than {MAX_INTERVAL} bases")).cast("bigint"))
+    j = df.withColumn("_cs", limit).join(core, (F.col("_chrom") == F.col("_dc")) & (F.col("_cs") == F.col("_ds"))
+                                         & (F.col("_ce") == F.col("_de")), "left")
+    return j.withColumn("_core", F.coalesce("_core", F.lit(""))).drop("_dc", "_ds", "_de")
 
 
 # --------------------------------------------------------------------------
@@ -325,20 +308,29 @@ def kmer_counts(genome: Genome, k: int, left_pad: int = 0, right_pad: int = 0,
                 step: int = 1) -> DataFrame:
     """Counts of the k-mers that F5 emits for each whole contig.
 
-    Each chunk fetches its own bases plus the neighbours it needs (J1 with
-    N padding outside the contig) and emits the items whose start index lies
-    in the chunk; the explode feeds a partial (map-side) aggregation, so no
-    per-base rows are shuffled, only (kmer, count) per task.
+    A chunk row holds what its items need: its own bases and, in ``ext``, the
+    first bases of the next chunk; only the contig's first chunk adds the left
+    pad and its last one the right pad.  Item i begins at contig position
+    i - left_pad, and the chunk that holds this position emits it (the first
+    chunk the items in the left pad, the last one those in the right pad).  The explode feeds a
+    map-side aggregation: the only shuffle is that of (kmer, count).
     """
+    if k - 1 > genome.halo:
+        raise ValueError(f"k - 1 must be at most the halo ({genome.halo})")
     lp, rp = left_pad, right_pad
-    ch = (genome.chunks.select("chrom", "chunk_id", "chunk_start", F.length("bases").alias("_len"))
-          .join(genome.contigs, "chrom"))
-    iv = (ch.withColumn("_a", F.col("chunk_start") - lp)
-          .withColumn("_b", F.col("chunk_start") + F.col("_len") - 1 - lp + k))
-    iv = fetch_intervals(genome, iv, "_a", "_b", keys=["chrom", "chunk_id"], out="_ext")
-    # _ext starts at padded index chunk_start; cut it at the padded end so
-    # the last items are shorter, as F5 makes them.
-    text = F.expr(f"substr(_ext, 1, cast(least(length(_ext), {lp + rp} + length - chunk_start) as int))")
-    items = kmer_items(text, k, F.col("_len"), step, F.pmod(F.col("chunk_start"), F.lit(step)))
-    return (iv.select(F.explode(items).alias("kmer"))
+    ends = genome.contigs.select(F.col("chrom").alias("_kc"), F.col("length").alias("_clen"))
+    ch = genome.chunks.join(ends, F.col("chrom") == F.col("_kc"))
+    n = F.length("bases")
+    first, last = F.col("chunk_start") == 0, F.col("chunk_start") + n >= F.col("_clen")
+    left = F.when(first, F.lit(lp)).otherwise(0)
+    text = F.concat(F.repeat(F.lit("N"), left), "bases",
+                    F.when(last, F.repeat(F.lit("N"), F.lit(rp))).otherwise(
+                        F.concat(F.substring("ext", 1, k - 1), F.when(F.length("ext") < k - 1, F.repeat(
+                            F.lit("N"), F.least(F.lit(rp), k - 1 - F.length("ext")))).otherwise(F.lit("")))))
+    # Items i in [lo, hi) of this chunk; there are as many items as bases.
+    lo = F.when(first, F.lit(0)).otherwise(F.col("chunk_start") + lp)
+    hi = F.least(F.when(last, F.col("_clen")).otherwise(F.col("chunk_start") + n + lp), F.col("_clen"))
+    ch = ch.select(text.alias("_text"), lo.alias("_lo"), (hi - lo).alias("_items"))
+    items = kmer_items(F.col("_text"), k, F.greatest(F.col("_items"), F.lit(0)), step, F.pmod(F.col("_lo"), F.lit(step)))
+    return (ch.where(F.col("_items") > 0).select(F.explode(items).alias("kmer"))
             .groupBy("kmer").agg(F.count(F.lit(1)).cast("bigint").alias("n")))

@@ -12,6 +12,14 @@ from . import params as P
 
 _TEST = ", ".join(f"'{c}'" for c in P.TEST_CHROMS)
 
+def _jittered(shift: int) -> str:
+    return f"""
+        select *, greatest(least(start + case when split = 'train' then
+                     cast('0x' || substr(md5('{P.SEED}:{P.EPOCH}:' || gene || ':' || cast(tile as varchar)), 1, 8) as bigint)
+                     % {2 * shift + 1} - {shift} else 0 end, tx_end - 1), tx0 - {P.FLANK} + 1) s2
+        from split_tiles"""
+
+
 # Extra CTEs built on the fixture views: name -> (sql, deps).
 _CTES = {
     "tiles": (f"""
@@ -73,11 +81,11 @@ _CTES = {
                           rows between unbounded preceding and 1 preceding) best_before from (
                 select *, case when isnan(val_score) then null else val_score end s from epoch_log))))""",
                  ["epoch_log"]),
-    "jittered": (f"""
-        select *, greatest(least(start + case when split = 'train' then
-                     cast('0x' || substr(md5('{P.SEED}:{P.EPOCH}:' || gene || ':' || cast(tile as varchar)), 1, 8) as bigint)
-                     % {2 * P.SHIFT + 1} - {P.SHIFT} else 0 end, tx_end - 1), tx0 - {P.FLANK} + 1) s2
-        from split_tiles""", ["split_tiles"]),
+    "jittered": (_jittered(P.SHIFT), ["split_tiles"]),
+    "jittered_far": (_jittered(P.FAR_SHIFT), ["split_tiles"]),
+    "repeated": ("""
+        select i.*, c.seq, c.len clen from intervals i join contig_seq c on c.chrom = i.chrom,
+               unnest(range(0, length(gene) % 3 + 1)) t(copy)""", ["intervals", "contig_seq"]),
 }
 
 
@@ -176,6 +184,21 @@ def _with(*names: str) -> str:
     return "with " + ",\n".join(parts) + "\n"
 
 
+def _window_labels(jittered: str) -> str:
+    return _with(jittered, "sites") + f"""
+        select gene, cast(tile as bigint) tile,
+               md5(string_agg(case when lab = -100 then 'x' else cast(lab as varchar) end, ''
+                              order by case when strand = '-' then -p else p end)) labels_md5,
+               cast(sum(case when lab = 1 then 1 else 0 end) as bigint) n_donor,
+               cast(sum(case when lab = 2 then 1 else 0 end) as bigint) n_acceptor,
+               cast(sum(case when lab = -100 then 1 else 0 end) as bigint) n_ignored
+        from (select j.gene, j.tile, j.strand, t.p,
+                     case when t.p < j.tx0 or t.p >= j.tx_end then -100 else coalesce(s.label, 0) end lab
+              from {jittered} j, unnest(range(j.s2, j.s2 + {P.WINDOW})) t(p)
+              left join sites s on s.gene = j.gene and s.pos = t.p)
+        group by gene, tile"""
+
+
 ORACLE = {
     "site_labels": _with("sites") + "select gene, cast(pos as bigint) pos, cast(label as bigint) label from sites",
     "tiles": _with("tiles") + "select gene, cast(tile as bigint) tile, cast(start as bigint) start from tiles",
@@ -223,6 +246,11 @@ ORACLE = {
         select gene, cast(length(fseq) as bigint) seq_len, md5(fseq) seq_md5 from """ + _fetch(
         "(select i.*, c.seq, c.len clen from intervals i join contig_seq c on c.chrom = i.chrom)",
         "start_pos", "end_pos", no_padding=True),
+    "fetch_repeated": _with("repeated") + """
+        select gene, cast(length(fseq) as bigint) seq_len, md5(fseq) seq_md5 from """ + _fetch("repeated", "start_pos", "end_pos"),
+    "fetch_long": _with("repeated") + """
+        select gene, cast(length(fseq) as bigint) seq_len, md5(fseq) seq_md5 from """ + _fetch(
+        "repeated", "start_pos", f"end_pos + {2 * P.CHUNK}"),
     "window_sequences": _with("jittered", "contig_seq") + f"""
         select gene, cast(tile as bigint) tile, cast(length(wseq) as bigint) seq_len, md5(wseq) seq_md5 from (
           select *, case when strand = '-' then reverse(translate(w, 'ACGTUNacgtun', 'TGCAANtgcaan')) else w end wseq
@@ -231,18 +259,8 @@ ORACLE = {
         f"""(select j.*, greatest(s2 - {P.FLANK}, tx0) seq_lo, least(s2 + {P.WINDOW + P.FLANK}, tx_end) seq_hi,
                    c.seq, c.len clen from jittered j join contig_seq c on c.chrom = j.chrom)""",
         "seq_lo", "seq_hi") + "))",
-    "window_labels": _with("jittered", "sites") + f"""
-        select gene, cast(tile as bigint) tile,
-               md5(string_agg(case when lab = -100 then 'x' else cast(lab as varchar) end, ''
-                              order by case when strand = '-' then -p else p end)) labels_md5,
-               cast(sum(case when lab = 1 then 1 else 0 end) as bigint) n_donor,
-               cast(sum(case when lab = 2 then 1 else 0 end) as bigint) n_acceptor,
-               cast(sum(case when lab = -100 then 1 else 0 end) as bigint) n_ignored
-        from (select j.gene, j.tile, j.strand, t.p,
-                     case when t.p < j.tx0 or t.p >= j.tx_end then -100 else coalesce(s.label, 0) end lab
-              from jittered j, unnest(range(j.s2, j.s2 + {P.WINDOW})) t(p)
-              left join sites s on s.gene = j.gene and s.pos = t.p)
-        group by gene, tile""",
+    "window_labels": _window_labels("jittered"),
+    "window_labels_far": _window_labels("jittered_far"),
     "window_tokens": _with("tiles", "contig_seq") + f"""
         select gene, cast(tile as bigint) tile, cast(length(tok) as bigint) n_tokens, md5(tok) tokens_md5 from (
           select *, '2' || array_to_string(list_transform(string_split(wseq, ''), lambda c: case upper(c) when 'N' then '5' when 'A' then '6' when 'C' then '7' when 'G' then '8' when 'T' then '9' when 'U' then '9' end), '') || '3' tok from (

@@ -3,6 +3,7 @@
 WINDOW = 300          # bases per window (reference: 300)
 FLANK = 300           # flanking bases each side (reference: flank = window)
 SHIFT = 23            # training jitter (reference: 23)
+FAR_SHIFT = 700       # jitter of more than two tiles, for the far label query
 NUM_VAL_GENES = 200   # validation draw (the 1000 default exceeds the sf0.001 pool)
 SEED = 0
 EPOCH = 0

@@ -109,24 +109,39 @@ def _fetch_out(df, col="seq"):
 
 def q_fetch_intervals(spark, sf_dir):
     iv = fx.intervals(spark, sf_dir)
-    return _fetch_out(gn.fetch_intervals(_genome(spark, sf_dir), iv, "start_pos", "end_pos", keys=["gene"]))
+    return _fetch_out(gn.fetch_intervals(_genome(spark, sf_dir), iv, "start_pos", "end_pos"))
 
 
 def q_fetch_intervals_bordered(spark, sf_dir):
     iv = fx.intervals(spark, sf_dir)
     f = gn.fetch_intervals(_genome(spark, sf_dir), iv, "start_pos", "end_pos",
                            left=F.col("start_pos") + 5, right=F.col("end_pos") - 5,
-                           reverse=F.col("strand") == "-", keys=["gene"])
+                           reverse=F.col("strand") == "-")
     return _fetch_out(f)
 
 
 def q_fetch_clipped(spark, sf_dir):
     iv = fx.intervals(spark, sf_dir)
-    f = gn.fetch_intervals(_genome(spark, sf_dir), iv, "start_pos", "end_pos", no_padding=True,
-                           keys=["gene"])
+    f = gn.fetch_intervals(_genome(spark, sf_dir), iv, "start_pos", "end_pos", no_padding=True)
     return _fetch_out(f)
 
 
+def _repeated(spark, sf_dir):
+    """Each interval once to three times, by its gene."""
+    times = F.sequence(F.lit(0), F.pmod(F.length("gene"), F.lit(3)))
+    return fx.intervals(spark, sf_dir).withColumn("copy", F.explode(times))
+
+
+def q_fetch_repeated(spark, sf_dir):
+    return _fetch_out(gn.fetch_intervals(_genome(spark, sf_dir), _repeated(spark, sf_dir), "start_pos", "end_pos"))
+
+
+def q_fetch_long(spark, sf_dir):
+    """Intervals of several chunks, repeated."""
+    iv = _repeated(spark, sf_dir).withColumn("end_pos", F.col("end_pos") + 2 * P.CHUNK)
+    return _fetch_out(gn.fetch_intervals(_genome(spark, sf_dir), iv, "start_pos", "end_pos"))
+
+
 def q_window_sequences(spark, sf_dir):
     w = samples.window_sequences(_jittered(spark, sf_dir), _genome(spark, sf_dir), span=P.WINDOW + 2 * P.FLANK)
     return w.select("gene", "tile", F.length("seq").cast("bigint").alias("seq_len"),
@@ -134,7 +149,18 @@ def q_window_sequences(spark, sf_dir):
 
 
 def q_window_labels(spark, sf_dir):
-    w = samples.window_labels(_jittered(spark, sf_dir), _sites(spark, sf_dir), P.WINDOW, P.SHIFT)
+    w = samples.window_labels(_jittered(spark, sf_dir), _sites(spark, sf_dir), P.WINDOW)
+    return _label_digest(w)
+
+
+def q_window_labels_far(spark, sf_dir):
+    """Windows moved by up to three tiles."""
+    w = windows.jitter(_split_tiles(spark, sf_dir), P.FAR_SHIFT, P.SEED, P.EPOCH)
+    w = windows.window_bounds(w, P.WINDOW, P.FLANK)
+    return _label_digest(samples.window_labels(w, _sites(spark, sf_dir), P.WINDOW))
+
+
+def _label_digest(w):
     lab = F.col("labels")
 
     def count(ch):
@@ -371,8 +397,11 @@ QUERIES = {
     "fetch_intervals": q_fetch_intervals,
     "fetch_intervals_bordered": q_fetch_intervals_bordered,
     "fetch_clipped": q_fetch_clipped,
+    "fetch_repeated": q_fetch_repeated,
+    "fetch_long": q_fetch_long,
     "window_sequences": q_window_sequences,
     "window_labels": q_window_labels,
+    "window_labels_far": q_window_labels_far,
     "window_tokens": q_window_tokens,
     "splice_motifs": q_splice_motifs,
     "label_counts": q_label_counts,

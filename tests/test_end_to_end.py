@@ -20,7 +20,7 @@ def test_splice_track(spark):
     w = windows.window_bounds(windows.jitter(tiles, 7, seed=1), W, FL)
     w = w.where(F.col("split").isin("val", "test"))
     seqs = samples.window_sequences(w, g, span=W + 2 * FL).withColumn("tokens", samples.window_tokens("seq"))
-    labs = samples.window_labels(w, labels.site_labels(genes), W, 7)
+    labs = samples.window_labels(w, labels.site_labels(genes), W)
     sample = seqs.select("gene", "tile", "split", "tokens").join(labs.select("gene", "tile", "labels"),
                                                                  ["gene", "tile"])
     n_windows = sample.count()

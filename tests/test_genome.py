@@ -39,7 +39,7 @@ def genome(spark, chrt_fasta):
 
 def fetch(spark, genome, rows, **kw):
     df = spark.createDataFrame(rows, "id int, chrom string, start long, end long")
-    out = gn.fetch_intervals(genome, df, keys=["id"], **kw)
+    out = gn.fetch_intervals(genome, df, **kw)
     return {r["id"]: r["seq"] for r in out.collect()}
 
 
@@ -82,7 +82,7 @@ def test_random_bordered_reverse(spark, genome):
         rows.append((i, "chrT", s, e, lo, hi))
         want[i] = py_fetch(CHR_T, s, e, lo, hi, reverse=True)
     df = spark.createDataFrame(rows, "id int, chrom string, start long, end long, lo long, hi long")
-    out = gn.fetch_intervals(genome, df, left="lo", right="hi", reverse=True, keys=["id"])
+    out = gn.fetch_intervals(genome, df, left="lo", right="hi", reverse=True)
     assert {r["id"]: r["seq"] for r in out.collect()} == want
 
 

@@ -67,7 +67,7 @@ def test_jittered_labels_cross_tiles(spark, genes):
     sites = labels.site_labels(genes)
     w = windows.tile(genes, 4).where("gene = 'GA' and tile = 1")  # start 6
     w = windows.window_bounds(w.withColumn("start", F.lit(5).cast("bigint")), 4, 4)
-    got = samples.window_labels(w, sites, 4, shift=2).select(samples.labels_to_array("labels")).first()[0]
+    got = samples.window_labels(w, sites, 4).select(samples.labels_to_array("labels")).first()[0]
     assert got == [0, -100, 0, 2]  # positions 5..8 span tiles 0 and 1: 6 ambiguous, 8 acceptor
 
 
