@@ -19,27 +19,43 @@ def center_slice(arr, flank: int, window: int, has_special: bool = True) -> Colu
     return F.slice(_col(arr), start, window)
 
 
-def class_logits(z, model: int, n_classes: int = 3) -> Column:
-    """Logits of ``model`` from a packed vector z[n*m : n*m+n]."""
-    return F.slice(_col(z), model * n_classes + 1, n_classes)
+def class_logits(z, model, n_classes: int = 3, has_special: bool = True) -> list[Column]:
+    """Logits of ``model`` (a number or an integer Column) in a packed vector:
+    a leading special value, then ``n_classes`` values for each model."""
+    first = model * n_classes + (2 if has_special else 1)
+    return [F.element_at(_col(z), (F.lit(first + i) if isinstance(first, int) else first + i)) for i in range(n_classes)]
 
 
-def softmax(logits) -> Column:
-    """numerically stable softmax over an ARRAY<DOUBLE>."""
-    a = _col(logits)
-    m = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - m))
-    s = F.aggregate(e, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
-    return F.transform(e, lambda x: x / s)
+def _classes(logits, n_classes: int) -> list[Column]:
+    if isinstance(logits, (list, tuple)):
+        return [_col(c) for c in logits]
+    return [F.element_at(_col(logits), i + 1) for i in range(n_classes)]
 
 
-def log_softmax(logits) -> Column:
+def _sum(cols: list[Column]) -> Column:
+    out = cols[0]
+    for c in cols[1:]:
+        out = out + c
+    return out
+
+
+def softmax(logits, n_classes: int = 3) -> Column:
+    """numerically stable softmax of an ARRAY<DOUBLE> or of a list of
+    columns, as an array.  Plain scalar expressions: the maximum and the sum
+    are shared by the classes instead of being computed for each."""
+    x = _classes(logits, n_classes)
+    m = F.greatest(*x) if len(x) > 1 else x[0]
+    e = [F.exp(c - m) for c in x]
+    s = _sum(e)
+    return F.array(*[c / s for c in e])
+
+
+def log_softmax(logits, n_classes: int = 3) -> Column:
     """``x - max - log(sum(exp(x - max)))``."""
-    a = _col(logits)
-    m = F.array_max(a)
-    s = F.aggregate(F.transform(a, lambda x: F.exp(x - m)), F.lit(0.0).cast("double"),
-                    lambda acc, x: acc + x)
-    return F.transform(a, lambda x: x - m - F.log(s))
+    x = _classes(logits, n_classes)
+    m = F.greatest(*x) if len(x) > 1 else x[0]
+    s = F.log(_sum([F.exp(c - m) for c in x]))
+    return F.array(*[c - m - s for c in x])
 
 
 def round_half_precision(col) -> Column:

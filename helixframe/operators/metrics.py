@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scores import log_softmax, softmax
+from ..functions.scores import log_softmax
+from ..session import materialize
 from .ranking import value_ranks
 
 
-
 def _nan():
     return F.lit(float("nan"))
 
@@ -26,14 +26,16 @@ def _lerp(a, b, t):
 
 
 def topk_precision(df: DataFrame, keys, label: str = "label", score: str = "score",
-                   buckets: int = 64) -> DataFrame:
+                   buckets: int | None = None) -> DataFrame:
     """A3: q = linear quantile of the scores at 1 - n_pos/n; value =
     #(positives with score >= q) / max(1, #(score >= q)).  NaN when a key
     has no positive.  Labels must be 0/1.
 
     The order statistics floor(h) and floor(h)+1, h = (n-1)(1 - n_pos/n),
     are read from the distinct-score table: value v holds ranks
-    [cnt_before, cnt_before + cnt).
+    [cnt_before, cnt_before + cnt).  No score lies between the two, so the
+    selection begins at the first of them that is q or more, and what is
+    before it is known: one aggregate gives the metric.
     """
     keys = list(keys)
     r = value_ranks(df, keys, score, label, buckets)
@@ -41,38 +43,25 @@ def topk_precision(df: DataFrame, keys, label: str = "label", score: str = "scor
     h = (n - 1) * (F.lit(1.0) - npos / n)
     r = r.withColumn("_h", h).withColumn("_lo", F.floor(h).cast("bigint"))
 
-    def holds(i):
-        return (F.col("cnt_before") <= i) & (i < F.col("cnt_before") + F.col("cnt"))
+    def at(i):
+        holds = (F.col("cnt_before") <= i) & (i < F.col("cnt_before") + F.col("cnt"))
+        return F.max(F.when(holds, F.struct("value", "cnt_before", "pos_before")))
 
     q = (r.groupBy(*keys)
-         .agg(F.first("n").alias("n"), F.first("n_pos").alias("n_pos"), F.first("_h").alias("_h"),
-              F.max(F.when(holds(F.col("_lo")), F.col("value"))).alias("_a"),
-              F.max(F.when(holds(F.col("_lo") + 1), F.col("value"))).alias("_b")))
+         .agg(F.max("n").alias("n"), F.max("n_pos").alias("n_pos"), F.max("_h").alias("_h"),
+              at(F.col("_lo")).alias("_a"), at(F.col("_lo") + 1).alias("_b"))
+         .withColumn("_b", F.coalesce("_b", "_a")))
     t = F.col("_h") - F.floor(F.col("_h"))
-    q = q.withColumn("q", _lerp(F.col("_a"), F.coalesce(F.col("_b"), F.col("_a")), t))
-    rv = r.select(*keys, "value", "cnt", "pos")
-    if keys:
-        joined = rv.join(q.select(*keys, "q", "n", "n_pos"), keys)
-    else:
-        # One global group: its one threshold row comes back as literals
-        # (a join on a constant key would be planned as a cross join).
-        row = q.select("q", "n", "n_pos").first()
-        qv, nv, pv = (row["q"], row["n"], row["n_pos"]) if row else (None, 0, 0)
-        joined = (rv.withColumn("q", F.lit(qv).cast("double"))
-                  .withColumn("n", F.lit(nv).cast("bigint"))
-                  .withColumn("n_pos", F.lit(pv).cast("bigint")))
-    res = (joined
-           .groupBy(*keys)
-           .agg(F.first("n").alias("n"), F.first("n_pos").alias("n_pos"), F.first("q").alias("threshold"),
-                F.sum(F.when(F.col("value") >= F.col("q"), F.col("pos")).otherwise(0)).alias("_tp"),
-                F.sum(F.when(F.col("value") >= F.col("q"), F.col("cnt")).otherwise(0)).alias("_sel")))
-    return res.select(*keys, "n", "n_pos", "threshold",
-                      F.when(F.col("n_pos") == 0, _nan()).otherwise(
-                          F.col("_tp") / F.greatest(F.lit(1), F.col("_sel"))).alias("topk_precision"))
+    q = q.withColumn("threshold", _lerp(F.col("_a.value"), F.col("_b.value"), t))
+    q = q.withColumn("_v", F.when(F.col("_a.value") >= F.col("threshold"), F.col("_a")).otherwise(F.col("_b")))
+    return q.select(*keys, "n", "n_pos", "threshold",
+                    F.when(F.col("n_pos") == 0, _nan()).otherwise(
+                        (F.col("n_pos") - F.col("_v.pos_before"))
+                        / F.greatest(F.lit(1), F.col("n") - F.col("_v.cnt_before"))).alias("topk_precision"))
 
 
 def average_precision(df: DataFrame, keys, label: str = "label", score: str = "score",
-                      buckets: int = 64) -> DataFrame:
+                      buckets: int | None = None) -> DataFrame:
     """A4: sum over distinct thresholds (descending) of
     (positives at the threshold / n_pos) * precision at the threshold.
     NaN without positives."""
@@ -99,22 +88,40 @@ def pearson(df: DataFrame, x: str, y: str, keys=()) -> DataFrame:
                                  pearson_expr(x, y).alias("pearson"))
 
 
-def average_ranks(df: DataFrame, keys, col: str, out: str, buckets: int = 64) -> DataFrame:
-    """Average (fractional) 1-based rank of ``col`` per key, joined back to rows."""
-    keys = list(keys)
-    r = value_ranks(df, keys, col, None, buckets)
-    rk = r.select(*keys, F.col("value").alias(col),
-                  (F.col("cnt_before") + (F.col("cnt") + 1) / 2.0).alias(out))
-    return df.join(rk, keys + [col], "left")
-
+def spearman(df: DataFrame, x: str, y: str, keys=(), buckets: int | None = None) -> DataFrame:
+    """Pearson of average ranks (scipy spearmanr) over complete pairs: rows
+    with a NULL are left out before ranking; a NaN makes the result NaN.
 
-def spearman(df: DataFrame, x: str, y: str, keys=(), buckets: int = 64) -> DataFrame:
-    """Pearson of average ranks (scipy spearmanr)."""
+    Equal pairs are collapsed first, so ties cost one row each.  The mean of
+    average ranks is (n + 1) / 2, which centres the weighted moments.
+    """
     keys = list(keys)
-    d = average_ranks(df, keys, x, "_rx", buckets)
-    d = average_ranks(d, keys, y, "_ry", buckets)
-    return d.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("n"),
-                                pearson_expr("_rx", "_ry").alias("spearman"))
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    pairs = materialize(d.groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
+                        .agg(F.count(F.lit(1)).cast("bigint").alias("_w")))
+    # The column's own type may hold no NaN (decimals, integers).
+    nan = [F.isnan(c) for c in ("_x", "_y") if dict(pairs.dtypes)[c] in ("double", "float")]
+    bad = F.lit(False)
+    for c in nan:
+        bad = bad | c
+    for c, out in (("_x", "_rx"), ("_y", "_ry")):
+        r = value_ranks(pairs, keys, c, None, buckets, weight="_w")
+        r = r.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("value").alias("_v"),
+                     (F.col("cnt_before") + (F.col("cnt") + 1) / 2.0 - (F.col("n") + 1) / 2.0).alias(out))
+        on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col(c) == F.col("_v")]
+        cond = on[0]
+        for more in on[1:]:
+            cond = cond & more
+        pairs = pairs.join(r, cond).drop("_v", *[f"_k_{k}" for k in keys])
+
+    def moment(a, b):
+        return F.sum(F.col("_w") * F.col(a) * F.col(b))
+
+    return (pairs.groupBy(*keys)
+            .agg(F.coalesce(F.sum("_w"), F.lit(0)).cast("bigint").alias("n"), F.max(bad).alias("_bad"), moment("_rx", "_ry").alias("_xy"),
+                 F.sqrt(moment("_rx", "_rx") * moment("_ry", "_ry")).alias("_den"))
+            .select(*keys, "n", F.when(F.col("_bad"), _nan()).otherwise(
+                F.coalesce(F.try_divide("_xy", "_den"), _nan())).alias("spearman")))
 
 
 def mse(df: DataFrame, pairs: dict, keys=()) -> DataFrame:
@@ -133,42 +140,47 @@ def _pick(arr, idx):
 
 def cross_entropy(df: DataFrame, logits: str, label: str = "label", keys=()) -> DataFrame:
     """Mean of -log_softmax[label] over rows with label != -100."""
-    lp = log_softmax(F.col(logits))
-    return (df.where(F.col(label) != -100)
-            .groupBy(*keys).agg(F.avg(-_pick(lp, F.col(label))).alias("cross_entropy"),
-                                F.count(F.lit(1)).cast("bigint").alias("n")))
+    d = df.where(F.col(label) != -100).select(*keys, F.col(label).alias("_l"), log_softmax(logits).alias("_lp"))
+    return (d.groupBy(*keys).agg(F.avg(-_pick(F.col("_lp"), F.col("_l"))).alias("cross_entropy"),
+                                 F.count(F.lit(1)).cast("bigint").alias("n")))
 
 
-def _kl_terms(lp, lq):
+def _kl_terms(lp: str, lq: str, n_classes: int = 3):
     """sum_i q_i (log q_i - log p_i) with q = exp(lq)."""
-    return F.aggregate(F.zip_with(lp, lq, lambda a, b: F.exp(b) * (b - a)),
-                       F.lit(0.0).cast("double"), lambda acc, v: acc + v)
+    terms = None
+    for i in range(1, n_classes + 1):
+        a, b = F.element_at(lp, i), F.element_at(lq, i)
+        term = F.exp(b) * (b - a)
+        terms = term if terms is None else terms + term
+    return terms
 
 
 def symmetric_kl(df: DataFrame, logits_p: str, logits_q: str, label: str = "label", keys=()) -> DataFrame:
     """(sum KL(q||p) + sum KL(p||q)) / rows over kept rows (label >= 0);
     "batchmean" divides by rows, not elements."""
-    lp, lq = log_softmax(F.col(logits_p)), log_softmax(F.col(logits_q))
     d = (df.where(F.col(label) >= 0)
-         .select(*keys, lp.alias("_lp"), lq.alias("_lq")))
-    per_row = _kl_terms(F.col("_lp"), F.col("_lq")) + _kl_terms(F.col("_lq"), F.col("_lp"))
+         .select(*keys, log_softmax(logits_p).alias("_lp"), log_softmax(logits_q).alias("_lq")))
+    per_row = _kl_terms("_lp", "_lq") + _kl_terms("_lq", "_lp")
     return d.groupBy(*keys).agg((F.sum(per_row) / F.count(F.lit(1))).alias("symmetric_kl"),
                                 F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
 def combined_loss(df: DataFrame, logits_p: str, logits_q: str, weight: float = 1.0,
-                  label: str = "label") -> DataFrame:
-    """A10: cross entropy + weight * symmetric KL (weight 0 switches KL off).
+                  label: str = "label", keys=()) -> DataFrame:
+    """A10: cross entropy + weight * symmetric KL.  Weight 0 switches KL off: it
+    is neither computed nor added, and reported as 0.
 
-    Both parts come from one pass: a global aggregate over the rows."""
-    lp, lq = log_softmax(F.col(logits_p)), log_softmax(F.col(logits_q))
+    Both parts come from one pass over the rows."""
     d = df.where(F.col(label) != -100).select(
-        _pick(lp, F.col(label)).alias("_ll"), lp.alias("_lp"), lq.alias("_lq"),
-        (F.col(label) >= 0).alias("_kept"))
-    kl = _kl_terms(F.col("_lp"), F.col("_lq")) + _kl_terms(F.col("_lq"), F.col("_lp"))
-    agg = d.agg(F.avg(-F.col("_ll")).alias("cross_entropy"),
-                (F.sum(F.when(F.col("_kept"), kl)) / F.sum(F.col("_kept").cast("int"))).alias("symmetric_kl"))
-    return agg.withColumn("loss", F.col("cross_entropy") + F.lit(weight) * F.col("symmetric_kl"))
+        *keys, F.col(label).alias("_l"), log_softmax(logits_p).alias("_lp"), log_softmax(logits_q).alias("_lq"))
+    ce = F.avg(-_pick(F.col("_lp"), F.col("_l"))).alias("cross_entropy")
+    if weight == 0:
+        out = d.groupBy(*keys).agg(ce).withColumn("symmetric_kl", F.lit(0.0))
+        return out.withColumn("loss", F.col("cross_entropy"))
+    kept = F.col("_l") >= 0
+    kl = _kl_terms("_lp", "_lq") + _kl_terms("_lq", "_lp")
+    out = d.groupBy(*keys).agg(ce, (F.sum(F.when(kept, kl)) / F.sum(kept.cast("int"))).alias("symmetric_kl"))
+    return out.withColumn("loss", F.col("cross_entropy") + F.lit(weight) * F.col("symmetric_kl"))
 
 
 def ensemble_mean(scores: DataFrame, keys, model: str = "model", score: str = "score") -> DataFrame:
@@ -184,8 +196,3 @@ def seed_summary(metrics: DataFrame, keys, value: str) -> DataFrame:
         F.avg(value).alias("mean"),
         F.stddev_samp(value).alias("sd_samp"),
         F.stddev_pop(value).alias("sd_pop"))
-
-
-def softmax_scores(logits: str):
-    """F10 convenience: softmax probabilities array."""
-    return softmax(F.col(logits))

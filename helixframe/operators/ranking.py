@@ -13,39 +13,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def value_ranks(df: DataFrame, keys, value: str, positive: str | None = None,
-                buckets: int = 64, accuracy: int = 10000) -> DataFrame:
+                buckets: int | None = None, accuracy: int = 10000, weight: str | None = None,
+                bucket_rows: int = 200_000) -> DataFrame:
     """Distinct values per key with their counts and the counts before them.
 
-    Output: keys, value, ``cnt`` (rows with this value), ``pos`` (sum of
-    ``positive``, 0 if None), ``cnt_before`` / ``pos_before`` (the same over
-    strictly smaller values), ``n`` / ``n_pos`` (key totals).
+    Output: keys, value, ``cnt`` (rows with this value, or the sum of
+    ``weight``), ``pos`` (sum of the 0/1 column ``positive``, 0 if None),
+    ``cnt_before`` / ``pos_before`` (the same over strictly smaller values),
+    ``n`` / ``n_pos`` (key totals).
 
     Ties are collapsed first (a partial aggregation), so a hot value is one
-    row.  Distinct values are cut into ``buckets`` value ranges per key by
-    approximate quantiles computed in the same plan (the distinct table's
-    exchange is reused), so a hot key spreads over all its ranges.  Only the
-    bucket sizes depend on the sketch: results are exact.
+    row.  The distinct values are written once and cut into value ranges per
+    key, as many as their count asks for (``bucket_rows`` values each, or
+    ``buckets``).  The bounds of the ranges are approximate quantiles, computed
+    once and written as well: all parts of the plan read the same bounds, so
+    the sketch decides how even the ranges are and nothing else.
     """
     keys = list(keys)
-    posc = F.col(positive).cast("bigint") if positive else F.lit(0).cast("bigint")
-    dist = (df.where(F.col(value).isNotNull())
-            .groupBy(*keys, F.col(value).alias("value"))
-            .agg(F.count(F.lit(1)).cast("bigint").alias("cnt"), F.sum(posc).cast("bigint").alias("pos")))
-    if buckets <= 1:
-        dist = dist.withColumn("_bk", F.lit(0))
-    elif keys:
-        pct = [i / buckets for i in range(1, buckets)]
-        sketch = F.percentile_approx("value", pct, accuracy).alias("_bounds")
-        dist = (dist.join(dist.groupBy(*keys).agg(sketch), keys)
-                .withColumn("_bk", F.size(F.filter("_bounds", lambda b: b < F.col("value"))))
-                .drop("_bounds"))
+    if positive:
+        label = F.col(positive).cast("bigint")
+        posc = F.when(label.isin(0, 1), label).otherwise(F.raise_error(F.lit("labels must be 0 or 1")).cast("bigint"))
     else:
-        # One global group: a join of the bounds on a constant key would be
-        # planned as a cross join, so the bounds (a bounded result) come back
-        # as literals and a JVM binary search assigns the range.
-        dist = _bucketize(dist, buckets, accuracy)
+        posc = F.lit(0).cast("bigint")
+    cnt = F.sum(weight) if weight else F.count(F.lit(1))
+    dist = materialize(df.where(F.col(value).isNotNull())
+                       .groupBy(*keys, F.col(value).alias("value"))
+                       .agg(cnt.cast("bigint").alias("cnt"), F.sum(posc).cast("bigint").alias("pos")))
+    if buckets is None:
+        buckets = max(1, -(-dist.count() // bucket_rows))
+    dist = _ranges(dist, keys, buckets, accuracy)
     kb = keys + ["_bk"]
     wk = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     wall = Window.partitionBy(*keys)
@@ -54,29 +54,40 @@ def value_ranks(df: DataFrame, keys, value: str, positive: str | None = None,
                .withColumn("_cp", F.coalesce(F.sum("_bp").over(wk), F.lit(0)))
                .withColumn("n", F.sum("_bc").over(wall).cast("bigint"))
                .withColumn("n_pos", F.sum("_bp").over(wall).cast("bigint"))
-               .drop("_bc", "_bp"))
+               .select(*[F.col(k).alias(f"_k_{k}") for k in kb], "_cc", "_cp", "n", "n_pos"))
+    same = F.col("_bk") == F.col("_k__bk")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     wb = Window.partitionBy(*kb).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    return (dist.join(carries, kb)
+    return (dist.join(carries, same).drop(*[f"_k_{k}" for k in kb])
             .withColumn("cnt_before", (F.col("_cc") + F.coalesce(F.sum("cnt").over(wb), F.lit(0))).cast("bigint"))
             .withColumn("pos_before", (F.col("_cp") + F.coalesce(F.sum("pos").over(wb), F.lit(0))).cast("bigint"))
             .drop("_cc", "_cp", "_bk"))
 
 
-def _bucketize(dist: DataFrame, buckets: int, accuracy: int) -> DataFrame:
-    """Add ``_bk``: a value-range bucket, non-decreasing in ``value``."""
-    if buckets <= 1:
-        return dist.withColumn("_bk", F.lit(0))
-    from pyspark.ml.feature import Bucketizer
+MAX_BROADCAST_BOUNDS = 1_000_000
+
 
-    pct = [i / buckets for i in range(1, buckets)]
-    d = dist.withColumn("_vd", F.col("value").cast("double"))
-    bounds = sorted({float(b) for b in d.approxQuantile("_vd", pct, 1.0 / accuracy)
-                     if b == b and abs(b) != float("inf")})
-    if not bounds:
+def _ranges(dist: DataFrame, keys: list[str], buckets: int, accuracy: int) -> DataFrame:
+    """Add ``_bk``: a value range, non-decreasing in ``value`` within a key."""
+    if buckets <= 1:
         return dist.withColumn("_bk", F.lit(0))
-    splits = [float("-inf")] + bounds + [float("inf")]
-    out = Bucketizer(splits=splits, inputCol="_vd", outputCol="_bkd", handleInvalid="keep").transform(d)
-    return out.withColumn("_bk", F.col("_bkd").cast("int")).drop("_vd", "_bkd")
+    sketch = F.percentile_approx("value", [i / buckets for i in range(1, buckets)], accuracy).alias("_bounds")
+    if not keys:
+        # One global group: its bounds come back as literals (a join on a
+        # constant key would be planned as a cross join).
+        row = dist.agg(sketch).first()
+        bounds = F.array(*[F.lit(b) for b in sorted(set(row["_bounds"] or []))]) if row else F.array()
+        return dist.withColumn("_bk", F.size(F.filter(bounds, lambda b: b < F.col("value"))))
+    bounds = materialize(dist.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(sketch))
+    if bounds.count() * buckets <= MAX_BROADCAST_BOUNDS:  # else the keys are many, and a shuffle by key is even
+        bounds = F.broadcast(bounds)
+    same = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        same = c if same is None else same & c
+    return (dist.join(bounds, same).withColumn("_bk", F.size(F.filter("_bounds", lambda b: b < F.col("value"))))
+            .drop("_bounds", *[f"_k_{k}" for k in keys]))
 
 
 def running(df: DataFrame, keys, order: str, col: str, func: str = "sum",

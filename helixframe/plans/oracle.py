@@ -55,14 +55,24 @@ _CTES = {
         select s.gene, s.pos, s.label, a.chrom, a.strand, a.tx_start - 1 tx0, a.tx_end, c.seq, c.len clen
         from sites s join annotation a on a.gene = s.gene join contig_seq c on c.chrom = a.chrom""",
                   ["sites", "annotation", "contig_seq"]),
-    "probs": (f"""
+    "logits": (f"""
+        select *, a - mx - ln(exp(a - mx) + exp(b - mx) + exp(c - mx)) l0, b - mx - ln(exp(a - mx) + exp(b - mx) + exp(c - mx)) l1,
+               c - mx - ln(exp(a - mx) + exp(b - mx) + exp(c - mx)) l2
+        from (select *, greatest(a, b, c) mx from (
+          select vec_id, label, model, z[3 * model + 2] a, z[3 * model + 3] b, z[3 * model + 4] c
+          from pred3, range({P.N_MODELS}) m(model)))""", ["pred3"]),
+    "passes": (f"""
+        select p.model, p.label, case p.label when 0 then p.l0 when 1 then p.l1 else p.l2 end ll,
+               exp(q.l0) * (q.l0 - p.l0) + exp(q.l1) * (q.l1 - p.l1) + exp(q.l2) * (q.l2 - p.l2)
+               + exp(p.l0) * (p.l0 - q.l0) + exp(p.l1) * (p.l1 - q.l1) + exp(p.l2) * (p.l2 - q.l2) kl
+        from logits p join logits q on p.vec_id = q.vec_id and q.model = (p.model + 1) % {P.N_MODELS}
+        where p.label <> -100""", ["logits"]),
+    "probs": ("""
         select vec_id, label, model,
                exp(a - mx) / (exp(a - mx) + exp(b - mx) + exp(c - mx)) p0,
                exp(b - mx) / (exp(a - mx) + exp(b - mx) + exp(c - mx)) p1,
                exp(c - mx) / (exp(a - mx) + exp(b - mx) + exp(c - mx)) p2
-        from (select *, greatest(a, b, c) mx from (
-          select vec_id, label, model, z[3 * model + 1] a, z[3 * model + 2] b, z[3 * model + 3] c
-          from pred3, range({P.N_MODELS}) m(model) where label <> -100))""", ["pred3"]),
+        from logits where label <> -100""", ["logits"]),
     "ovr": ("""
         select vec_id, model, 'donor' class, case when label = 1 then 1 else 0 end lab, p1 raw
         from probs
@@ -312,7 +322,7 @@ ORACLE = {
         select vec_id, cast(model as bigint) model, round(p0, 6) p0, round(p1, 6) p1, round(p2, 6) p2 from probs""",
     "half_precision": _with("scored") + f"select event_id, {_half('score')} half from scored",
     "one_vs_rest": _with("ovr") + f"""
-        select vec_id, class, cast(lab as bigint) label, {_half('raw')} score from ovr where model = 0""",
+        select vec_id, cast(model as bigint) model, class, cast(lab as bigint) label, {_half('raw')} score from ovr""",
     "center_slice": _with("pred3") + f"""
         select vec_id, cast(len(sl) as bigint) n_kept, round(list_reduce(sl, lambda a, x: a + x, 0.0), 6) center_sum
         from (select vec_id, z[{P.CENTER_FLANK + 2}:{P.CENTER_FLANK + 1 + P.CENTER_WINDOW}] sl
@@ -335,34 +345,14 @@ ORACLE = {
                round(stddev_samp(topk_precision), 6) sd_samp, round(stddev_pop(topk_precision), 6) sd_pop from (
         select class, topk_precision from """
         + _topk(f"(select model, class, lab, {_half('raw')} score from ovr)", "model, class") + ") group by class",
-    "cross_entropy": _with("pred3") + """
-        select round(avg(-(zl - mx - ln(exp(z[1] - mx) + exp(z[2] - mx) + exp(z[3] - mx)))), 6) cross_entropy,
-               cast(count(*) as bigint) n
-        from (select *, z[label + 1] zl, greatest(z[1], z[2], z[3]) mx from pred3 where label <> -100)""",
-    "symmetric_kl": _with("pred3") + """
-        select round(sum(exp(q0) * (q0 - p0) + exp(q1) * (q1 - p1) + exp(q2) * (q2 - p2)
-                         + exp(p0) * (p0 - q0) + exp(p1) * (p1 - q1) + exp(p2) * (p2 - q2)) / count(*), 6) symmetric_kl,
-               cast(count(*) as bigint) n from (
-          select z[1] - ma - ln(exp(z[1] - ma) + exp(z[2] - ma) + exp(z[3] - ma)) p0,
-                 z[2] - ma - ln(exp(z[1] - ma) + exp(z[2] - ma) + exp(z[3] - ma)) p1,
-                 z[3] - ma - ln(exp(z[1] - ma) + exp(z[2] - ma) + exp(z[3] - ma)) p2,
-                 z[4] - mb - ln(exp(z[4] - mb) + exp(z[5] - mb) + exp(z[6] - mb)) q0,
-                 z[5] - mb - ln(exp(z[4] - mb) + exp(z[5] - mb) + exp(z[6] - mb)) q1,
-                 z[6] - mb - ln(exp(z[4] - mb) + exp(z[5] - mb) + exp(z[6] - mb)) q2
-          from (select *, greatest(z[1], z[2], z[3]) ma, greatest(z[4], z[5], z[6]) mb from pred3 where label >= 0))""",
-    "combined_loss": _with("pred3") + f"""
-        select round(ce, 6) cross_entropy, round(kl, 6) symmetric_kl, round(ce + {P.KL_WEIGHT} * kl, 6) loss from (
-          select avg(-(zl - ma - ln(exp(z[1] - ma) + exp(z[2] - ma) + exp(z[3] - ma)))) ce,
-                 sum(exp(q0) * (q0 - p0) + exp(q1) * (q1 - p1) + exp(q2) * (q2 - p2)
-                     + exp(p0) * (p0 - q0) + exp(p1) * (p1 - q1) + exp(p2) * (p2 - q2)) / count(*) kl from (
-            select *, z[1] - ma - ln(exp(z[1] - ma) + exp(z[2] - ma) + exp(z[3] - ma)) p0,
-                   z[2] - ma - ln(exp(z[1] - ma) + exp(z[2] - ma) + exp(z[3] - ma)) p1,
-                   z[3] - ma - ln(exp(z[1] - ma) + exp(z[2] - ma) + exp(z[3] - ma)) p2,
-                   z[4] - mb - ln(exp(z[4] - mb) + exp(z[5] - mb) + exp(z[6] - mb)) q0,
-                   z[5] - mb - ln(exp(z[4] - mb) + exp(z[5] - mb) + exp(z[6] - mb)) q1,
-                   z[6] - mb - ln(exp(z[4] - mb) + exp(z[5] - mb) + exp(z[6] - mb)) q2
-            from (select *, z[label + 1] zl, greatest(z[1], z[2], z[3]) ma, greatest(z[4], z[5], z[6]) mb
-                  from pred3 where label <> -100)))""",
+    "cross_entropy": _with("passes") + """
+        select cast(model as bigint) model, round(avg(-ll), 6) cross_entropy, cast(count(*) as bigint) n from passes group by model""",
+    "symmetric_kl": _with("passes") + """
+        select cast(model as bigint) model, round(sum(kl) / count(*), 6) symmetric_kl, cast(count(*) as bigint) n
+        from passes where label >= 0 group by model""",
+    "combined_loss": _with("passes") + f"""
+        select cast(model as bigint) model, round(avg(-ll), 6) cross_entropy, round(sum(kl) / count(*), 6) symmetric_kl,
+               round(avg(-ll) + {P.KL_WEIGHT} * (sum(kl) / count(*)), 6) loss from passes group by model""",
     "pearson": _with("targets") + """
         select target, cast(count(*) as bigint) n, round(covar_pop(y, p) / sqrt(var_pop(y) * var_pop(p)), 6) pearson
         from targets group by target""",
@@ -372,6 +362,14 @@ ORACLE = {
                      rank() over (partition by target order by y) - 1 + (count(*) over (partition by target, y) + 1) / 2.0 ry,
                      rank() over (partition by target order by p) - 1 + (count(*) over (partition by target, p) + 1) / 2.0 rp
               from targets) group by target""",
+    "spearman_nulls": _with("activity") + """
+        select cast(l_linenumber as bigint) line, cast(count(*) as bigint) n,
+               round(covar_pop(ry, rp) / sqrt(var_pop(ry) * var_pop(rp)), 6) spearman
+        from (select l_linenumber,
+                     rank() over (partition by l_linenumber order by dev) - 1 + (count(*) over (partition by l_linenumber, dev) + 1) / 2.0 ry,
+                     rank() over (partition by l_linenumber order by dev_pred) - 1
+                         + (count(*) over (partition by l_linenumber, dev_pred) + 1) / 2.0 rp
+              from activity where l_orderkey % 7 <> 0 and l_orderkey % 11 <> 0) group by l_linenumber""",
     "mse": _with("activity") + """
         select round(avg((dev_pred - dev) ^ 2), 6) mse_dev, round(avg((hk_pred - hk) ^ 2), 6) mse_hk,
                round(avg((dev_pred - dev) ^ 2) + avg((hk_pred - hk) ^ 2), 6) mse_total from activity""",

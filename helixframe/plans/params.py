@@ -13,8 +13,8 @@ KMER_K, KMER_LEFT, KMER_RIGHT, KMER_STEP = 3, 1, 1, 1
 BATCH_SIZE = 32
 SAMPLE_FRACTION = 0.2
 TEST_CHROMS = ("chr1", "chr3", "chr5", "chr7", "chr9")
-N_MODELS = 5          # pred3 packs five 3-class models
-CENTER_FLANK, CENTER_WINDOW = 2, 9
+N_MODELS = 21         # pred3 packs 21 three-class models behind one special value
+CENTER_FLANK, CENTER_WINDOW = 21, 21
 KL_WEIGHT = 1.0
 TRAILING_N = 3        # trailing-mean width for the registered query (reference: 100)
 RANK_BUCKETS = 64

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import encode, kmers, reverse_complement
 from ..operators import genome as gn
-from ..functions.scores import center_slice, class_logits, round_half_precision, softmax
+from ..functions.scores import center_slice, class_logits, one_vs_rest, round_half_precision, softmax
 from ..operators import labels, metrics, runs, samples, splits, windows
 from ..sources import fixtures as fx
 from . import params as P
@@ -220,25 +220,30 @@ def _r6(c):
     return F.round(c, 6)
 
 
+def _logits(spark, sf_dir) -> DataFrame:
+    """pred3, one row per model: its logits ``lp`` and, as a second pass, those
+    of the model after it ``lq`` (arrays of scalars picked from the vector)."""
+    def of(m):
+        return F.array(*class_logits("z", m))
+
+    models = F.transform(F.sequence(F.lit(0), F.lit(P.N_MODELS - 1)), lambda m: F.struct(
+        m.alias("model"), of(m).alias("lp"), of(F.pmod(m + 1, F.lit(P.N_MODELS))).alias("lq")))
+    return fx.pred3(spark, sf_dir).select("vec_id", "label", F.inline(models))
+
+
 def _probs(spark, sf_dir) -> DataFrame:
-    """pred3 rows with a kept label (P2), one row per model: probabilities."""
-    p = labels.drop_ignored(fx.pred3(spark, sf_dir))
-    per_model = F.array(*[F.struct(F.lit(m).alias("model"),
-                                   softmax(class_logits("z", m)).alias("p"),
-                                   class_logits("z", m).alias("logits"))
-                          for m in range(P.N_MODELS)])
-    return p.select("vec_id", "label", F.inline(per_model))
+    """Rows with a kept label (P2), one per model: probabilities."""
+    return labels.drop_ignored(_logits(spark, sf_dir)).select("vec_id", "label", "model", softmax("lp").alias("p"))
 
 
 def _ovr(spark, sf_dir, rounded=True) -> DataFrame:
     """F12 one-vs-rest rows (vec_id, model, class, label, score)."""
-    d = _probs(spark, sf_dir)
-    f = round_half_precision if rounded else (lambda c: c)
-    arr = F.array(F.struct(F.lit("donor").alias("class"), (F.col("label") == 1).cast("int").alias("lab"),
-                           f(F.element_at("p", 2)).alias("score")),
-                  F.struct(F.lit("acceptor").alias("class"), (F.col("label") == 2).cast("int").alias("lab"),
-                           f(F.element_at("p", 3)).alias("score")))
-    return d.select("vec_id", "model", F.inline(arr)).withColumnRenamed("lab", "label")
+    rows = one_vs_rest("label", {"donor": F.element_at("p", 2), "acceptor": F.element_at("p", 3)},
+                       {"donor": labels.DONOR, "acceptor": labels.ACCEPTOR})
+    d = (_probs(spark, sf_dir).select("vec_id", "model", rows.alias("_r"))
+         .select("vec_id", "model", F.inline("_r")))
+    # Rounding names its input many times: behind the explode that is a column.
+    return d.withColumn("score", round_half_precision("score")) if rounded else d
 
 
 def q_softmax_scores(spark, sf_dir):
@@ -252,8 +257,8 @@ def q_half_precision(spark, sf_dir):
 
 
 def q_one_vs_rest(spark, sf_dir):
-    o = _ovr(spark, sf_dir).where(F.col("model") == 0)
-    return o.select("vec_id", "class", F.col("label").cast("bigint").alias("label"), "score")
+    return _ovr(spark, sf_dir).select("vec_id", F.col("model").cast("bigint").alias("model"), "class",
+                                      F.col("label").cast("bigint").alias("label"), "score")
 
 
 def q_center_slice(spark, sf_dir):
@@ -308,24 +313,23 @@ def q_seed_summary(spark, sf_dir):
                     _r6("sd_pop").alias("sd_pop"))
 
 
-def _two_passes(spark, sf_dir):
-    p = fx.pred3(spark, sf_dir)
-    return p.select("vec_id", "label", class_logits("z", 0).alias("lp"), class_logits("z", 1).alias("lq"))
+def _model_rows(df, *cols):
+    return df.select(F.col("model").cast("bigint").alias("model"), *cols)
 
 
 def q_cross_entropy(spark, sf_dir):
-    c = metrics.cross_entropy(_two_passes(spark, sf_dir), "lp")
-    return c.select(_r6("cross_entropy").alias("cross_entropy"), "n")
+    c = metrics.cross_entropy(_logits(spark, sf_dir), "lp", keys=["model"])
+    return _model_rows(c, _r6("cross_entropy").alias("cross_entropy"), "n")
 
 
 def q_symmetric_kl(spark, sf_dir):
-    k = metrics.symmetric_kl(_two_passes(spark, sf_dir), "lp", "lq")
-    return k.select(_r6("symmetric_kl").alias("symmetric_kl"), "n")
+    k = metrics.symmetric_kl(_logits(spark, sf_dir), "lp", "lq", keys=["model"])
+    return _model_rows(k, _r6("symmetric_kl").alias("symmetric_kl"), "n")
 
 
 def q_combined_loss(spark, sf_dir):
-    c = metrics.combined_loss(_two_passes(spark, sf_dir), "lp", "lq", P.KL_WEIGHT)
-    return c.select(*[_r6(x).alias(x) for x in ("cross_entropy", "symmetric_kl", "loss")])
+    c = metrics.combined_loss(_logits(spark, sf_dir), "lp", "lq", P.KL_WEIGHT, keys=["model"])
+    return _model_rows(c, *[_r6(x).alias(x) for x in ("cross_entropy", "symmetric_kl", "loss")])
 
 
 def _targets(spark, sf_dir):
@@ -343,6 +347,15 @@ def q_spearman(spark, sf_dir):
     return r.select("target", "n", _r6("spearman").alias("spearman"))
 
 
+def q_spearman_nulls(spark, sf_dir):
+    """Incomplete pairs: every seventh y and every eleventh p is NULL."""
+    a = fx.activity(spark, sf_dir)
+    y = F.when(F.col("l_orderkey") % 7 != 0, F.col("dev"))
+    p = F.when(F.col("l_orderkey") % 11 != 0, F.col("dev_pred"))
+    r = metrics.spearman(a.select("l_linenumber", y.alias("y"), p.alias("p")), "y", "p", ["l_linenumber"])
+    return r.select(F.col("l_linenumber").cast("bigint").alias("line"), "n", _r6("spearman").alias("spearman"))
+
+
 def q_mse(spark, sf_dir):
     m = metrics.mse(fx.activity(spark, sf_dir), {"dev": ("dev", "dev_pred"), "hk": ("hk", "hk_pred")})
     return m.select(*[_r6(c).alias(c) for c in ("mse_dev", "mse_hk", "mse_total")])
@@ -425,6 +438,7 @@ QUERIES = {
     "combined_loss": q_combined_loss,
     "pearson": q_pearson,
     "spearman": q_spearman,
+    "spearman_nulls": q_spearman_nulls,
     "mse": q_mse,
     "trailing_mean": q_trailing_mean,
     "best_epoch": q_best_epoch,

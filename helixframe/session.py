@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job in this library relies on.  AQE re-plans joins from
 # runtime sizes (broadcast only below the threshold it measures), splits
@@ -43,18 +43,26 @@ def get_session(master: str | None = None, app: str = "helixframe",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be a shared file system path set by the operator.
-    Only when it is unset (local tests) do we pick a scratch folder.
+    On a cluster it must be a path that the driver and all executors share, set
+    by whoever runs the session; only a ``local[...]`` session may leave it
+    unset and gets a scratch folder.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="helixframe-ckpt-")
-    os.makedirs(conf_dir, exist_ok=True) if "://" not in conf_dir else None
-    sc.setCheckpointDir(conf_dir)
-    return sc.getCheckpointDir() or conf_dir
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not current:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        current = tempfile.mkdtemp(prefix="helixframe-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
+    return current
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` below the shared folder and read it back: computed once, the
+    same rows for every reader, no lineage."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

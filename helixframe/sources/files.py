@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 from ..operators.labels import duplicate_genes, prepare_genes
 
+HEADER_BLOCK = 65536  # lines that share one copy of their header
+MAX_BROADCAST_HEADERS = 100_000
 # Accepted genome file suffixes (FASTA, gzipped FASTA).
 FASTA_SUFFIXES = (".fa", ".fasta", "fa.gz", "fna.gz")
 
@@ -61,10 +63,15 @@ def _fasta_rows(spark: SparkSession, path: str) -> DataFrame:
     is_hdr = F.col("value").startswith(">")
     d = with_file_order(raw, is_hdr)
     # The header name of each row: the header row with the same mark index.
+    # Headers are few beside lines, but all lines of a contig share one: lines
+    # are dealt by (header, block of lines) to a copy of the header per block.
     hdr = (d.where(is_hdr)
            .select("_file", "_mark_idx",
                    F.split(F.trim(F.substring(F.col("value"), 2, 1 << 30)), r"\s+").getItem(0).alias("name")))
-    return d.join(hdr, ["_file", "_mark_idx"], "left")
+    d = d.withColumn("_lines", F.expr(f"_ord div {HEADER_BLOCK}"))
+    blocks = d.groupBy("_file", "_mark_idx", "_lines").agg(F.lit(1).alias("_one")).drop("_one")
+    per_block = blocks.join(hdr, ["_file", "_mark_idx"])
+    return d.join(per_block, ["_file", "_mark_idx", "_lines"], "left").drop("_lines")
 
 
 def read_fasta_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -81,6 +88,12 @@ def read_fasta_lines(spark: SparkSession, path: str) -> DataFrame:
                     F.col("_ord").alias("line_no"), bases.alias("bases")))
 
 
+def _group_of(file: str):
+    """The data set a file belongs to: the last part of its name, as in
+    ``Sequences_Train.fa`` and ``Sequences_activity_Train.txt``."""
+    return F.regexp_extract(file, r"([^/_.]+)\.[^/]*$", 1)
+
+
 def read_fasta_records(spark: SparkSession, path: str) -> DataFrame:
     """One sequence per record as (ordinal, name, bases), ordinal =
     0-based record index in file order.  Multi-line records are joined in
@@ -93,7 +106,8 @@ def read_fasta_records(spark: SparkSession, path: str) -> DataFrame:
             .agg(F.first("name").alias("name"),
                  F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_ord"), bases.alias("b")))),
                                           lambda x: x["b"]), "").alias("bases"))
-            .select((F.col("_mark_idx") - 1).cast("bigint").alias("ordinal"), "name", "bases", "_file"))
+            .select((F.col("_mark_idx") - 1).cast("bigint").alias("ordinal"), "name", "bases", "_file",
+                    _group_of("_file").alias("group")))
 
 
 def read_activity(spark: SparkSession, path: str,
@@ -104,6 +118,9 @@ def read_activity(spark: SparkSession, path: str,
     raw = spark.read.text(path)
     d = with_file_order(raw)
     header = d.where(F.col("_ord") == 0).select("_file", F.split("value", "\t").alias("_hdr"))
+    # One short row per file; the side is broadcast only while it is small.
+    if header.count() <= MAX_BROADCAST_HEADERS:
+        header = F.broadcast(header)
     body = d.where(F.col("_ord") > 0).join(header, "_file")
     fields = F.split("value", "\t")
     out = [(F.col("_ord") - 1).cast("bigint").alias("ordinal")]
@@ -112,7 +129,7 @@ def read_activity(spark: SparkSession, path: str,
         out.append(F.when(idx > 0, F.try_element_at(fields, idx.cast("int")))
                    .otherwise(F.raise_error(F.lit(f"column {col} missing")))
                    .try_cast("float").alias(name))
-    return body.select(*out, "_file")
+    return body.select(*out, "_file", _group_of("_file").alias("group"))
 
 
 ANNOTATION_SCHEMA = T.StructType([
@@ -143,13 +160,21 @@ def read_annotation(spark: SparkSession, path: str, exclude_paralogs: bool = Fal
     return df if raw else prepare_genes(df, exclude_paralogs)
 
 
-def positional_join(sequences: DataFrame, table: DataFrame, on: str = "ordinal") -> DataFrame:
+def positional_join(sequences: DataFrame, table: DataFrame, on: str = "ordinal",
+                    group: str | None = None) -> DataFrame:
     """Row i of ``sequences`` with row i of ``table`` (no key check in
-    the reference).  [decision] a count mismatch raises: a full outer join
-    on the ordinal fails on the first unmatched row, lazily and exactly."""
-    s = sequences.withColumn("_ls", F.lit(True))
-    t = table.withColumn("_rs", F.lit(True))
-    j = s.join(t, on, "full_outer")
+    the reference).  Ordinals restart in each file, so tables of several files
+    need ``group``, the column that names the file's data set on both sides;
+    without it an ordinal that repeats raises.  [decision] a count mismatch
+    raises: a full outer join on the ordinal fails on the first unmatched row,
+    lazily and exactly."""
+    keys = [group, on] if group else [on]
+    both = []
+    for d, mark in ((sequences, "_ls"), (table, "_rs")):
+        seen = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+        both.append(d.withColumn(mark, F.when(seen == 1, F.lit(True)).otherwise(
+            F.raise_error(F.lit("an ordinal repeats; name the group column")).cast("boolean"))))
+    j = both[0].join(both[1], keys, "full_outer")
     ok = F.col("_ls").isNotNull() & F.col("_rs").isNotNull()
     # A filter, not a dropped column: Catalyst would prune an unused check.
     return (j.where(F.when(ok, F.lit(True)).otherwise(

@@ -74,7 +74,7 @@ def intervals(spark, sf_dir) -> DataFrame:
 def pred3(spark, sf_dir) -> DataFrame:
     return spark.sql(
         "select vec_id, case when label = 9 then -100 when label < 6 then 0 when label < 8 then 1 else 2 end label, "
-        "transform(slice(embedding, 1, 15), x -> cast(x as double)) z from {embeddings}",
+        "transform(embedding, x -> cast(x as double)) z from {embeddings}",
         embeddings=table(spark, sf_dir, "embeddings"))
 
 
@@ -128,7 +128,7 @@ DUCKDB_VIEWS = {
                  "join (select chrom, cast(sum(length(bases)) as bigint) len from fasta_lines group by chrom) c "
                  "on c.chrom = g.chrom",
     "pred3": "select vec_id, case when label = 9 then -100 when label < 6 then 0 when label < 8 then 1 else 2 end label, "
-             "list_transform(embedding[1:15], lambda x: cast(x as double)) z from embeddings",
+             "list_transform(embedding, lambda x: cast(x as double)) z from embeddings",
     "scored": "select event_id, case when event_type in ('error', 'signup') and value > 20 then 1 else 0 end label, "
               "value / 500.0 score from events",
     "activity": "select l_orderkey, l_linenumber, l_extendedprice dev, "
