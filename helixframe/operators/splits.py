@@ -10,10 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .labels import distinct_genes
+
 # Fixed value: the reference's test chromosomes.
 DEFAULT_TEST_CHROMS = ("chr1", "chr3", "chr5", "chr7", "chr9")
 
 
+MAX_BROADCAST_GENES = 100_000
+
+
 def member_of(df: DataFrame, col: str, values, anti: bool = False) -> DataFrame:
     """``np.isin`` — a literal list uses ``isin``; a DataFrame of keys
     uses a left-semi (or left-anti) join, which never duplicates rows."""
@@ -45,14 +50,17 @@ def assign_split(windows: DataFrame, test_chroms=DEFAULT_TEST_CHROMS,
     bounded draw when ``check``).
     """
     is_test = F.col("chrom").isin(list(test_chroms))
-    pool = windows.where(~is_test & (F.col("paralog") == 0)).select("gene").distinct()
+    pool = distinct_genes(windows.where(~is_test & (F.col("paralog") == 0)))
     val = draw_genes(pool, num_val_genes, seed)
     if check:
         got = val.count()
         if got < num_val_genes:
             raise ValueError(f"cannot draw {num_val_genes} validation genes from a pool of {got}")
-    # The draw holds at most num_val_genes rows: a proven bound, so broadcast.
-    val = F.broadcast(val.withColumn("_val", F.lit(True)))
+    # The draw holds at most num_val_genes rows; a small number is broadcast,
+    # with a larger one the planner joins by gene.
+    val = val.withColumn("_val", F.lit(True))
+    if num_val_genes <= MAX_BROADCAST_GENES:
+        val = F.broadcast(val)
     split = (F.when(is_test & (F.col("paralog") == 0), F.lit("test"))
              .when(is_test, F.lit(None).cast("string"))
              .when(F.col("_val"), F.lit("val"))
@@ -82,13 +90,15 @@ def shuffle_batches(windows: DataFrame, batch_size: int, seed: int = 0, epoch: i
     Training rows are ordered by md5(seed:epoch:key) (a fresh permutation per
     epoch); other splits keep a fixed order: md5(gene) then the key (all
     tiles of a gene stay together).  The last batch may be partial.
-    Adds ``batch_id`` and ``batch_pos``.
+    Windows of no split (NULL) belong to no loader and are left out.  Adds
+    ``batch_id`` and ``batch_pos``.
 
     The global rank is computed without a single-task window: rows are
     bucketed by the first hex digits of their key, bucket sizes (a table of
     at most 65536 rows per split) get running offsets, and rows are numbered
     inside their bucket only.
     """
+    windows = windows.where(F.col(split_col).isNotNull())
     kc = [F.col(c).cast("string") for c in key_cols]
     shuffled = F.col(split_col).isin(list(shuffle_values))
     h = F.when(shuffled, F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), *kc))) \
@@ -100,11 +110,7 @@ def shuffle_batches(windows: DataFrame, batch_size: int, seed: int = 0, epoch: i
                  Window.partitionBy(split_col).orderBy("_b")
                  .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
              .drop("_n"))
-    # Windows without a split (NULL) are batched together, so the join on
-    # the split is null-safe.
-    sizes = sizes.withColumnRenamed(split_col, "_sp").withColumnRenamed("_b", "_sb")
-    ranked = (df.join(sizes, F.col(split_col).eqNullSafe(F.col("_sp")) & (F.col("_b") == F.col("_sb")))
-              .drop("_sp", "_sb")
+    ranked = (df.join(sizes, [split_col, "_b"])
               .withColumn("_r", F.col("_off") - 1 + F.row_number().over(
                   Window.partitionBy(split_col, "_b").orderBy(*order))))
     return (ranked.withColumn("batch_id", (F.col("_r") / batch_size).cast("bigint"))

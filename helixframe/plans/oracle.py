@@ -93,6 +93,10 @@ _CTES = {
                  ["epoch_log"]),
     "jittered": (_jittered(P.SHIFT), ["split_tiles"]),
     "jittered_far": (_jittered(P.FAR_SHIFT), ["split_tiles"]),
+    "grouped": ("""
+        select *, row_number() over (partition by grp order by line_no) - 1 ordinal from (
+          select line_no, 'g' || cast(line_no % 2 as varchar) grp, bases, length(bases) / 2 dev, cast(line_no % 97 as double) hk
+          from fasta_lines where bases <> '')""", ["fasta_lines"]),
     "repeated": ("""
         select i.*, c.seq, c.len clen from intervals i join contig_seq c on c.chrom = i.chrom,
                unnest(range(0, length(gene) % 3 + 1)) t(copy)""", ["intervals", "contig_seq"]),
@@ -209,6 +213,21 @@ def _window_labels(jittered: str) -> str:
         group by gene, tile"""
 
 
+_NFIRST = """
+        select line_no, cast(length(bases) as bigint) n, md5(case when bases = '' then '' else
+               array_to_string(list_transform(string_split(bases, ''), lambda c: case upper(c) when 'N' then '0' when 'A' then '1' when 'C' then '2' when 'G' then '3' when 'T' then '4' when 'U' then '4' end), '') end) codes_md5
+        from fasta_lines"""
+
+_TOKENS = f"""(
+          select *, '2' || array_to_string(list_transform(string_split(wseq, ''), lambda c: case upper(c) when 'N' then '5' when 'A' then '6' when 'C' then '7' when 'G' then '8' when 'T' then '9' when 'U' then '9' end), '') || '3' tok from (
+          select *, case when strand = '-' then reverse(translate(w, 'ACGTUNacgtun', 'TGCAANtgcaan')) else w end wseq
+          from (select *, repeat('N', seq_lo - (s2 - {P.FLANK})) || fseq || repeat('N', s2 + {P.WINDOW + P.FLANK} - seq_hi) w
+                from """ + _fetch(
+        f"""(select t.*, greatest(s2 - {P.FLANK}, tx0) seq_lo, least(s2 + {P.WINDOW + P.FLANK}, tx_end) seq_hi,
+                   c.seq, c.len clen from (select *, greatest(least(start, tx_end - 1), tx0 - {P.FLANK} + 1) s2 from tiles) t
+                   join contig_seq c on c.chrom = t.chrom)""",
+        "seq_lo", "seq_hi") + ")))"
+
 ORACLE = {
     "site_labels": _with("sites") + "select gene, cast(pos as bigint) pos, cast(label as bigint) label from sites",
     "tiles": _with("tiles") + "select gene, cast(tile as bigint) tile, cast(start as bigint) start from tiles",
@@ -272,15 +291,43 @@ ORACLE = {
     "window_labels": _window_labels("jittered"),
     "window_labels_far": _window_labels("jittered_far"),
     "window_tokens": _with("tiles", "contig_seq") + f"""
-        select gene, cast(tile as bigint) tile, cast(length(tok) as bigint) n_tokens, md5(tok) tokens_md5 from (
-          select *, '2' || array_to_string(list_transform(string_split(wseq, ''), lambda c: case upper(c) when 'N' then '5' when 'A' then '6' when 'C' then '7' when 'G' then '8' when 'T' then '9' when 'U' then '9' end), '') || '3' tok from (
-          select *, case when strand = '-' then reverse(translate(w, 'ACGTUNacgtun', 'TGCAANtgcaan')) else w end wseq
-          from (select *, repeat('N', seq_lo - (s2 - {P.FLANK})) || fseq || repeat('N', s2 + {P.WINDOW + P.FLANK} - seq_hi) w
-                from """ + _fetch(
-        f"""(select t.*, greatest(s2 - {P.FLANK}, tx0) seq_lo, least(s2 + {P.WINDOW + P.FLANK}, tx_end) seq_hi,
-                   c.seq, c.len clen from (select *, greatest(least(start, tx_end - 1), tx0 - {P.FLANK} + 1) s2 from tiles) t
-                   join contig_seq c on c.chrom = t.chrom)""",
-        "seq_lo", "seq_hi") + ")))",
+        select gene, cast(tile as bigint) tile, cast(length(tok) as bigint) n_tokens, md5(tok) tokens_md5 from {_TOKENS}""",
+    "score_sequences": _with("tiles", "contig_seq") + f"""
+        select gene, cast(tile as bigint) tile,
+               cast(list_sum(list_transform(string_split(tok, ''), lambda c: cast(c as int))) as bigint) total,
+               cast(length(tok) - length(replace(tok, '6', '')) as bigint) n_a from {_TOKENS}""",
+    "score_windows": _with("tiles", "contig_seq", "sites") + f"""
+        select t.gene, cast(t.tile as bigint) tile, cast(count(*) as bigint) n, cast(sum(lab) as bigint) labels,
+               cast(sum(k * (i + 1)) as bigint) weighted, cast(sum(k % 3) as bigint) thirds, cast(sum({P.FLANK + 1}) as bigint) places
+        from (select w.*, i, cast(substr(tok, {P.FLANK + 2} + i, 1) as int) k,
+                     case when p < tx0 or p >= tx_end then -100 else coalesce(s.label, 0) end lab
+              from (select *, case when strand = '-' then s2 + {P.WINDOW - 1} - i else s2 + i end p
+                    from {_TOKENS} q, unnest(range(0, {P.WINDOW})) u(i)) w
+              left join sites s on s.gene = w.gene and s.pos = w.p) t
+        group by t.gene, t.tile""",
+    "read_fasta_lines": _with("fasta_lines") + """
+        select chrom, row_number() over (partition by chrom order by line_no) n, md5(bases) bases_md5 from fasta_lines where bases <> ''""",
+    "read_fasta_records": _with("contig_seq") + "select chrom as name, len length, md5(seq) bases_md5 from contig_seq",
+    "read_activity": _with("grouped") + "select grp as group, ordinal, dev y_dev, hk y_hk from grouped".replace("as group", 'as "group"'),
+    "positional_join": _with("grouped") + """
+        select grp as "group", ordinal, 's' || cast(line_no as varchar) as name, md5(bases) bases_md5, dev y_dev from grouped""",
+    "read_annotation": _with("annotation") + """
+        select gene, cast(paralog as bigint) paralog, chrom, strand, tx_start, tx_end, jn_start, jn_end from annotation""",
+    "materialize": _with("tiles") + "select gene, cast(tile as bigint) tile, cast(start as bigint) start from tiles",
+    "write_predictions": _with("progress") + """
+        select run_id, cast(epoch as bigint) epoch, round(val_score, 6) dev, round(val_score * 2, 6) dev_preds,
+               cast(epoch as double) hk, cast(1.5 as double) hk_preds
+        from (select *, min(case when wait > 5 then epoch end) over (partition by run_id) stop_epoch from progress)
+        where improved and (stop_epoch is null or epoch <= stop_epoch)""",
+    "append_metrics": _with("epoch_log") + """
+        select cast(run_id % 8 as bigint) run_id, tag, cast(count(*) as bigint) n, round(sum(value), 6) total, cast(max(epoch) as bigint) last_step
+        from (select run_id, epoch, 'valid/score' tag, val_score value from epoch_log
+              union all select run_id, epoch, 'valid/twice', val_score * 2 from epoch_log) group by 1, 2""",
+    "attach_gene_info": _with("tiles") + """
+        select gene, cast(tile as bigint) tile, cast(start as bigint) start, chrom, strand, cast(tx0 as bigint) tx_start, tx_end from tiles""",
+    "member_of": _with("tiles") + f"""
+        select gene, cast(tile as bigint) tile from tiles where chrom in ({_TEST}) and paralog = 1""",
+    "distinct_genes": _with("tiles") + "select distinct gene from tiles",
     "splice_motifs": _with("site_info") + f"""
         select kind, motif, cast(count(*) as bigint) n from (
           select case when label = 1 then 'donor' else 'acceptor' end kind,
@@ -295,10 +342,8 @@ ORACLE = {
                cast(sum(case when label = 2 then 1 else 0 end) as bigint) n_acceptors,
                cast(sum(case when label = -100 and {_b("pos")} <> 'N' then 1 else 0 end) as bigint) n_unknown
         from site_info group by chrom""",
-    "encode_nfirst": _with("fasta_lines") + """
-        select line_no, cast(length(bases) as bigint) n, md5(case when bases = '' then '' else
-               array_to_string(list_transform(string_split(bases, ''), lambda c: case upper(c) when 'N' then '0' when 'A' then '1' when 'C' then '2' when 'G' then '3' when 'T' then '4' when 'U' then '4' end), '') end) codes_md5
-        from fasta_lines""",
+    "write_encoded_sequences": _with("fasta_lines") + _NFIRST,
+    "encode_nfirst": _with("fasta_lines") + _NFIRST,
     "encode_afirst": _with("fasta_lines") + """
         select line_no, cast(length(bases) as bigint) n, md5(case when bases = '' then '' else
                array_to_string(list_transform(string_split(bases, ''), lambda c: case upper(c) when 'N' then '4' when 'A' then '0' when 'C' then '1' when 'G' then '2' when 'T' then '3' when 'U' then '4' end), '') end) codes_md5
@@ -402,7 +447,7 @@ ORACLE = {
           select *, row_number() over (partition by split order by h, gene, tile) - 1 r from (
             select *, case when split = 'train'
                            then md5('{P.SEED}:{P.EPOCH}:' || gene || ':' || cast(tile as varchar))
-                           else md5(gene) end h from split_tiles))""",
+                           else md5(gene) end h from split_tiles where split is not null))""",
     "sample_fraction": _with("tiles") + f"""
         select gene, cast(tile as bigint) tile from tiles
         where cast('0x' || substr(md5('{P.SEED}:' || gene || ':' || cast(tile as varchar)), 1, 8) as bigint)

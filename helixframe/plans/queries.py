@@ -7,13 +7,17 @@ counts and integers are BIGINT, doubles are rounded to 6 places.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import encode, kmers, reverse_complement
 from ..operators import genome as gn
 from ..functions.scores import center_slice, class_logits, one_vs_rest, round_half_precision, softmax
-from ..operators import labels, metrics, runs, samples, splits, windows
+from ..operators import labels, metrics, runs, samples, scoring, splits, windows
+from ..session import ensure_checkpoint_dir
+from ..sources import files, sinks
 from ..sources import fixtures as fx
 from . import params as P
 
@@ -396,7 +400,185 @@ def q_sample_fraction(spark, sf_dir):
     return s.select("gene", "tile")
 
 
+# Files and sinks: a table is written as files of the format, read back by the
+# operator, and compared with the table.
+
+def _scratch(spark, name):
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _fasta_files(spark, sf_dir):
+    """The contigs as FASTA text, lines in order."""
+    lines = fx.fasta_lines(spark, sf_dir)
+    headers = lines.select("chrom").distinct().select("chrom", F.lit(-1).alias("line_no"), F.concat(F.lit(">"), "chrom", F.lit(" contig")).alias("bases"))
+    path = _scratch(spark, "fasta")
+    (lines.unionByName(headers).repartition("chrom").sortWithinPartitions("chrom", "line_no").select(F.col("bases").alias("value"))
+     .write.text(path))
+    return path
+
+
+def q_read_fasta_lines(spark, sf_dir):
+    d = files.read_fasta_lines(spark, _fasta_files(spark, sf_dir))
+    # Lines keep their order; empty ones are no lines.
+    n = F.row_number().over(Window.partitionBy("chrom").orderBy("line_no"))
+    return d.select("chrom", n.cast("bigint").alias("n"), F.md5("bases").alias("bases_md5"))
+
+
+def q_read_fasta_records(spark, sf_dir):
+    d = files.read_fasta_records(spark, _fasta_files(spark, sf_dir))
+    return d.select("name", F.length("bases").cast("bigint").alias("length"), F.md5("bases").alias("bases_md5"))
+
+
+def _groups(spark, sf_dir):
+    lines = fx.fasta_lines(spark, sf_dir).where("bases <> ''")
+    return lines.select("line_no", F.concat(F.lit("g"), (F.col("line_no") % 2).cast("string")).alias("group"), "bases",
+                        (F.length("bases") / 2).cast("float").alias("dev"), (F.col("line_no") % 97).cast("float").alias("hk"))
+
+
+def _activity_files(spark, sf_dir):
+    d = _groups(spark, sf_dir)
+    rows = d.select("group", "line_no", F.concat_ws("\t", "line_no", "dev", "hk").alias("value"))
+    head = d.select("group").distinct().select("group", F.lit(-1).alias("line_no"), F.lit("id\tDev_log2_enrichment\tHk_log2_enrichment").alias("value"))
+    path = _scratch(spark, "activity")
+    (rows.unionByName(head).repartition("group").sortWithinPartitions("group", "line_no").select("group", "value")
+     .write.partitionBy("group").text(path))
+    return path
+
+
+def q_read_activity(spark, sf_dir):
+    d = files.read_activity(spark, _activity_files(spark, sf_dir))
+    return d.select("group", "ordinal", F.col("y_dev").cast("double").alias("y_dev"), F.col("y_hk").cast("double").alias("y_hk"))
+
+
+def q_positional_join(spark, sf_dir):
+    """Records and activity rows of two groups, each with its own ordinals."""
+    d = _groups(spark, sf_dir).select("group", "line_no", F.concat(F.lit(">s"), "line_no", F.lit("\n"), "bases").alias("value"))
+    path = _scratch(spark, "records")
+    (d.repartition("group").sortWithinPartitions("group", "line_no").select("group", "value").write.partitionBy("group").text(path))
+    rec = files.read_fasta_records(spark, path).drop("_file")
+    act = files.read_activity(spark, _activity_files(spark, sf_dir)).drop("_file")
+    j = files.positional_join(rec, act, group="group")
+    return j.select("group", "ordinal", "name", F.md5("bases").alias("bases_md5"), F.col("y_dev").cast("double").alias("y_dev"))
+
+
+def q_read_annotation(spark, sf_dir):
+    path = _scratch(spark, "annotation")
+    a = fx.annotation(spark, sf_dir)
+    a.write.option("sep", "\t").option("quote", "").option("emptyValue", "").csv(path)
+    return files.read_annotation(spark, path, raw=True).select(
+        "gene", F.col("paralog").cast("bigint").alias("paralog"), "chrom", "strand", "tx_start", "tx_end", "jn_start", "jn_end")
+
+
+def q_materialize(spark, sf_dir):
+    """Built once, then found: the second builder is never called."""
+    root, source = _scratch(spark, "prepared"), f"{sf_dir.rstrip('/')}/orders.parquet"
+    sinks.materialize(lambda: _tiles(spark, sf_dir), spark, root, source, {"window": P.WINDOW})
+
+    def again():
+        raise AssertionError("the prepared data set was not found")
+
+    return sinks.materialize(again, spark, root, source, {"window": P.WINDOW}).select("gene", "tile", "start")
+
+
+def q_write_encoded_sequences(spark, sf_dir):
+    path = _scratch(spark, "encoded")
+    lines = _lines(spark, sf_dir).select("line_no", encode("bases", "nfirst").alias("codes"))
+    sinks.write_encoded_sequences(lines, path, "codes")
+    d = spark.read.parquet(path)
+    return d.select("line_no", F.size("codes").cast("bigint").alias("n"), F.md5(F.array_join("codes", "")).alias("codes_md5"))
+
+
+def q_write_predictions(spark, sf_dir):
+    log = fx.epoch_log(spark, sf_dir)
+    path = _scratch(spark, "predictions")
+    preds = log.select("run_id", "epoch", F.col("val_score").alias("dev"), (F.col("val_score") * 2).alias("dev_preds"),
+                       F.col("epoch").cast("double").alias("hk"), F.lit(1.5).alias("hk_preds"))
+    # Epochs after a run's stop do not exist.
+    stops = runs.best_epoch(log, "enhancer").select("run_id", "stop_epoch")
+    seen = runs.epoch_progress(log).join(stops, "run_id").where("stop_epoch is null or epoch <= stop_epoch")
+    sinks.write_predictions(preds, seen, path)
+    d = spark.read.option("header", True).csv(path)
+    return d.select(F.col("run_id").cast("bigint").alias("run_id"), F.col("epoch").cast("bigint").alias("epoch"),
+                    *[_r6(F.col(c).cast("double")).alias(c) for c in ("dev", "dev_preds", "hk", "hk_preds")])
+
+
+def q_append_metrics(spark, sf_dir):
+    log = fx.epoch_log(spark, sf_dir)
+    path = _scratch(spark, "metrics")
+    for tag, value in (("valid/score", F.col("val_score")), ("valid/twice", F.col("val_score") * 2)):
+        sinks.append_metrics(log.select(F.pmod("run_id", F.lit(8)).alias("run_id"), F.lit(tag).alias("tag"), value.alias("value"),
+                                        F.col("epoch").alias("step")), path)
+    d = spark.read.parquet(path)
+    return (d.groupBy(F.col("run_id").cast("bigint").alias("run_id"), "tag")
+            .agg(F.count(F.lit(1)).cast("bigint").alias("n"), _r6(F.sum("value")).alias("total"), F.max("step").alias("last_step")))
+
+
+# Models of a closed form: what they give can be said in SQL.
+
+def _token_windows(spark, sf_dir):
+    w = windows.window_bounds(_tiles(spark, sf_dir), P.WINDOW, P.FLANK)
+    w = samples.window_sequences(w, _genome(spark, sf_dir), span=P.WINDOW + 2 * P.FLANK)
+    return w.withColumn("tokens", samples.window_tokens("seq"))
+
+
+def _position_model():
+    import numpy as np
+
+    return lambda tokens: np.stack([tokens, tokens % 3, np.arange(tokens.shape[1])[None] + 0 * tokens.astype(int)], axis=2).astype(float)
+
+
+def _sequence_model():
+    import numpy as np
+
+    return lambda tokens: np.stack([tokens.astype(float).sum(1), (tokens == 6).sum(1)], axis=1)
+
+
+def q_score_windows(spark, sf_dir):
+    w = samples.window_labels(_token_windows(spark, sf_dir), _sites(spark, sf_dir), P.WINDOW)
+    s = scoring.score_windows(w, _position_model, P.WINDOW, P.FLANK)
+    x = [F.element_at("logits", i + 1) for i in range(3)]
+    return (s.groupBy("gene", "tile").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n"), F.sum(F.col("label").cast("bigint")).alias("labels"),
+        F.sum(x[0] * (F.col("offset") + 1)).cast("bigint").alias("weighted"), F.sum(x[1]).cast("bigint").alias("thirds"),
+        F.sum(x[2] - F.col("offset")).cast("bigint").alias("places")))
+
+
+def q_score_sequences(spark, sf_dir):
+    s = scoring.score_sequences(_token_windows(spark, sf_dir), _sequence_model, keys=("gene", "tile"))
+    return s.select("gene", "tile", F.col("dev_pred").cast("bigint").alias("total"), F.col("hk_pred").cast("bigint").alias("n_a"))
+
+
+def q_attach_gene_info(spark, sf_dir):
+    bare = _tiles(spark, sf_dir).select("gene", "tile", "start")
+    return windows.attach_gene_info(bare, _genes(spark, sf_dir)).select("gene", "tile", "start", "chrom", "strand", "tx_start", "tx_end")
+
+
+def q_member_of(spark, sf_dir):
+    """Tiles on the test chromosomes whose gene has a paralog: one test by a list, one by a table."""
+    t = _tiles(spark, sf_dir)
+    paralogs = t.where("paralog = 1").select("gene")
+    return splits.member_of(splits.member_of(t, "chrom", P.TEST_CHROMS), "gene", paralogs).select("gene", "tile")
+
+
+def q_distinct_genes(spark, sf_dir):
+    return labels.distinct_genes(_tiles(spark, sf_dir))
+
+
 QUERIES = {
+    "read_fasta_lines": q_read_fasta_lines,
+    "read_fasta_records": q_read_fasta_records,
+    "read_activity": q_read_activity,
+    "read_annotation": q_read_annotation,
+    "positional_join": q_positional_join,
+    "materialize": q_materialize,
+    "write_encoded_sequences": q_write_encoded_sequences,
+    "write_predictions": q_write_predictions,
+    "append_metrics": q_append_metrics,
+    "score_windows": q_score_windows,
+    "score_sequences": q_score_sequences,
+    "attach_gene_info": q_attach_gene_info,
+    "member_of": q_member_of,
+    "distinct_genes": q_distinct_genes,
     "site_labels": q_site_labels,
     "tiles": q_tiles,
     "exclude_paralogs": q_exclude_paralogs,

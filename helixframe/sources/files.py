@@ -89,9 +89,11 @@ def read_fasta_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _group_of(file: str):
-    """The data set a file belongs to: the last part of its name, as in
-    ``Sequences_Train.fa`` and ``Sequences_activity_Train.txt``."""
-    return F.regexp_extract(file, r"([^/_.]+)\.[^/]*$", 1)
+    """The data set a file belongs to: its ``group=`` folder if it is in one,
+    else the last part of its name, as in ``Sequences_Train.fa`` and
+    ``Sequences_activity_Train.txt``."""
+    folder = F.regexp_extract(file, r"group=([^/]+)/", 1)
+    return F.when(folder != "", folder).otherwise(F.regexp_extract(file, r"([^/_.]+)\.[^/]*$", 1))
 
 
 def read_fasta_records(spark: SparkSession, path: str) -> DataFrame:

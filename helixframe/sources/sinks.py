@@ -23,16 +23,24 @@ def _fs_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def _fs_mtime(spark: SparkSession, path: str) -> int:
+def _fs_files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Path, length and modification time of the file, or of each file below the folder."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return int(fs.getFileStatus(p).getModificationTime()) if fs.exists(p) else 0
+    if not fs.exists(p):
+        return []
+    out, it = [], fs.listFiles(p, True)
+    while it.hasNext():
+        f = it.next()
+        out.append((f.getPath().toString(), int(f.getLen()), int(f.getModificationTime())))
+    return sorted(out)
 
 
 def cache_key(spark: SparkSession, source: str, params: dict) -> str:
-    """S7 key: source path and modification time, parameters, version."""
-    body = json.dumps({"source": source, "mtime": _fs_mtime(spark, source),
+    """S7 key: the source's files with length and modification time,
+    parameters, version."""
+    body = json.dumps({"source": source, "files": _fs_files(spark, source),
                        "version": DATASET_VERSION, **params}, sort_keys=True)
     return hashlib.sha1(body.encode()).hexdigest()[:16]
 
