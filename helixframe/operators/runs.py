@@ -1,16 +1,15 @@
 """Run-log analytics: trailing loss mean, early stopping, test at best.
 
-A log has one row per (run, epoch) with 0-based consecutive epochs.  Running
-values use the blocked helpers of ``ranking`` so one long run never lands
-in one task.
+A log has one row per (run, epoch) with 0-based consecutive epochs, some hundreds
+of them; the trailing mean over steps, of which a run has any number, is blocked.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import bounded_window_mean, running
+from .ranking import bounded_window_mean
 
 # Fixed stopping rules of the two tracks: splice stops at wait >= 20,
 # enhancer at wait > 5 (patience 5).
@@ -27,26 +26,26 @@ def trailing_mean(log: DataFrame, run: str = "run_id", step: str = "step", value
 
 
 def epoch_progress(log: DataFrame, run: str = "run_id", epoch: str = "epoch",
-                   score: str = "val_score", block: int = 1024) -> DataFrame:
+                   score: str = "val_score") -> DataFrame:
     """Per row: best score before the epoch, whether it improved (strictly,
     best starts at 0), and the wait since the last improvement.
 
     NaN never improves: Python's ``nan > best`` is false while Spark orders
-    NaN above everything, so NaN is mapped to NULL first."""
-    s = F.when(F.isnan(F.col(score)), F.lit(None)).otherwise(F.col(score))
-    d = log.withColumn("_s", s)
-    d = running(d, [run], epoch, "_s", "max", inclusive=False, block=block, out="_best_before")
-    d = d.withColumn("best_before", F.greatest(F.lit(0.0), F.coalesce(F.col("_best_before"), F.lit(0.0))))
+    NaN above everything, so NaN is mapped to NULL first.  All values are
+    running ones over one run's epochs: one exchange, one sort.  A run has as
+    many rows as epochs, some hundreds.
+    """
+    w = Window.partitionBy(run).orderBy(epoch)
+    d = log.withColumn("_s", F.when(~F.isnan(F.col(score)), F.col(score)))
+    before = F.max("_s").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    d = d.withColumn("best_before", F.greatest(F.lit(0.0), F.coalesce(before, F.lit(0.0))))
     d = d.withColumn("improved", F.coalesce(F.col("_s") > F.col("best_before"), F.lit(False)))
-    d = d.withColumn("_imp_epoch", F.when(F.col("improved"), F.col(epoch)))
-    d = running(d, [run], epoch, "_imp_epoch", "max", inclusive=True, block=block, out="_last_imp")
-    wait = F.when(F.col("_last_imp").isNull(), F.col(epoch) + 1).otherwise(F.col(epoch) - F.col("_last_imp"))
-    return d.withColumn("wait", wait.cast("bigint")).drop("_s", "_best_before", "_imp_epoch", "_last_imp")
+    last = F.max(F.when(F.col("improved"), F.col(epoch))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return d.withColumn("wait", F.coalesce(F.col(epoch) - last, F.col(epoch) + 1).cast("bigint")).drop("_s")
 
 
 def best_epoch(log: DataFrame, mode: str = "splice", patience: int | None = None,
-               run: str = "run_id", epoch: str = "epoch", score: str = "val_score",
-               block: int = 1024) -> DataFrame:
+               run: str = "run_id", epoch: str = "epoch", score: str = "val_score") -> DataFrame:
     """R2: per run, the epoch the loop stops at and the best epoch before it.
 
     Output: run, stop_epoch (NULL if the log ends first), n_epochs (rows the
@@ -54,14 +53,12 @@ def best_epoch(log: DataFrame, mode: str = "splice", patience: int | None = None
     """
     op, default_p = STOP_RULES[mode]
     p = default_p if patience is None else patience
-    d = epoch_progress(log, run, epoch, score, block)
+    d = epoch_progress(log, run, epoch, score)
     stops = F.col("wait") >= p if op == ">=" else F.col("wait") > p
-    per_run = d.groupBy(run).agg(F.min(F.when(stops, F.col(epoch))).alias("stop_epoch"),
-                                 F.max(epoch).alias("_last"))
-    d = d.join(per_run, run)
+    d = d.withColumn("stop_epoch", F.min(F.when(stops, F.col(epoch))).over(Window.partitionBy(run)))
     kept = d.where(F.col("stop_epoch").isNull() | (F.col(epoch) <= F.col("stop_epoch")))
     return (kept.groupBy(run)
-            .agg(F.first("stop_epoch").alias("stop_epoch"),
+            .agg(F.max("stop_epoch").alias("stop_epoch"),
                  F.count(F.lit(1)).cast("bigint").alias("n_epochs"),
                  F.max(F.when(F.col("improved"), F.col(epoch))).alias("best_epoch"),
                  F.max_by(F.when(F.col("improved"), F.col(score)),
@@ -70,6 +67,6 @@ def best_epoch(log: DataFrame, mode: str = "splice", patience: int | None = None
 
 def test_at_best(log: DataFrame, best: DataFrame, run: str = "run_id", epoch: str = "epoch") -> DataFrame:
     """The log row of each run's best epoch (both tracks log test
-    metrics every epoch)."""
+    metrics every epoch); a run without an improvement has NULLs."""
     b = best.select(run, F.col("best_epoch").alias(epoch), "stop_epoch")
-    return log.join(b, [run, epoch])
+    return b.join(log, [run, epoch], "left")

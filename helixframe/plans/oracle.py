@@ -435,8 +435,8 @@ ORACLE = {
         from (select *, min(case when wait >= 20 then epoch end) over (partition by run_id) stop_epoch from progress)
         where stop_epoch is null or epoch <= stop_epoch group by run_id""",
     "test_at_best": _with("progress") + """
-        select l.run_id, cast(l.epoch as bigint) epoch, round(l.val_score, 6) val_score
-        from epoch_log l join (
+        select b.run_id, cast(b.best_epoch as bigint) epoch, round(l.val_score, 6) val_score
+        from epoch_log l right join (
           select run_id, max(case when improved then epoch end) best_epoch
           from (select *, min(case when wait > 5 then epoch end) over (partition by run_id) stop_epoch from progress)
           where stop_epoch is null or epoch <= stop_epoch group by run_id) b
