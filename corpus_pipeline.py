@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm import decontaminate, near_dedup, packing, quality, registry
 from helixframe.llm import exact_dedup as exact
-from helixframe.llm.common import fold, materialize
+from helixframe.llm.common import fold, free_name, materialize
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     """Documents go if benchmark windows hit a twentieth of their words or more; others stay as they are."""
     files = decontaminate.build_automata(registry.table(spark, sf_dir, "benchmark"))
     r = decontaminate.contamination(F.col("text"), files, with_text=False)
-    return docs.withColumn("__hits", r).where(~((F.col("__hits.n_hit") > 0) & (20 * F.col("__hits.n_hit") >= F.col("__hits.n_words")))).select(*docs.columns)
+    name = free_name(docs, "hits")
+    hit, n = F.col(f"{name}.n_hit"), F.col(f"{name}.n_words")
+    return docs.withColumn(name, r).where(~((hit > 0) & (20 * hit >= n))).select(*docs.columns)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -118,6 +118,14 @@ def sample_by_id(rows: DataFrame, n: int, id_col: str = "doc_id") -> DataFrame:
     return rows.where(h <= F.lit(top)) if top is not None else rows.where(F.lit(False))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that an operator reads, under fixed names; other columns can't clash."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

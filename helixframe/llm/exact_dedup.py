@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, materialize, slices, text_rows, utf8
+from .common import UPPER, free_name, materialize, slices, text_rows, utf8
 
 PRIMES = (2147483647, 2147483629)
 RADIX = (1000003, 998244353)
@@ -164,14 +164,14 @@ def keep_rows(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col
     """
     again = rows.groupBy("doc_id", "row_hash").count().where("count > 1").select(
         F.col("doc_id").alias("a_id"), F.col("row_hash").alias("a_hash"))
-    k = rows.where("kept").select(F.col("doc_id").alias("__k_id"), F.col("row_hash").alias("__k_hash"))
-    k = (k.join(again, F.col("__k_id").eqNullSafe(F.col("a_id")) & (F.col("__k_hash") == F.col("a_hash")), "left")
-         .select("__k_id", "__k_hash", F.col("a_hash").isNotNull().alias("__again")))
+    k_id, k_hash, k_again = (free_name(docs, n) for n in ("kept_id", "kept_hash", "kept_again"))
+    k = rows.where("kept").select(F.col("doc_id").alias(k_id), F.col("row_hash").alias(k_hash))
+    k = (k.join(again, F.col(k_id).eqNullSafe(F.col("a_id")) & (F.col(k_hash) == F.col("a_hash")), "left")
+         .select(k_id, k_hash, F.col("a_hash").isNotNull().alias(k_again)))
     k = materialize(k, "kept")
-    j = docs.join(k, F.col(id_col).eqNullSafe(F.col("__k_id"))
-                  & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("__k_hash")))
-    one = j.where("__again").dropDuplicates(["__k_id", "__k_hash"]).select(*docs.columns)
-    return j.where("not __again").select(*docs.columns).unionByName(one)
+    j = docs.join(k, docs[id_col].eqNullSafe(k[k_id]) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == k[k_hash]))
+    one = j.where(F.col(k_again)).dropDuplicates([k_id, k_hash]).select(*docs.columns)
+    return j.where(~F.col(k_again)).select(*docs.columns).unionByName(one)
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, huge_bytes: int = 8 << 20,

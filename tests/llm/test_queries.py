@@ -39,10 +39,10 @@ def test_pipeline_against_brute_force(spark, tmp_path, spoken):
     item = spoken(900, 30)
     near = clean[3][1].split()
     near[50] = "changed"
-    rows = clean + [(100, clean[0][1].upper()), (101, " ".join(near)), (102, spoken(901, 50) + " " + item), (103, None), (104, ""), (105, clean[7][1]),
+    rows = clean + [(100, clean[0][1].capitalize()), (101, " ".join(near)), (102, spoken(901, 50) + " " + item), (103, None), (104, ""), (105, clean[7][1]),
                     (5, clean[5][1])]
     junk = [(200 + i, " ".join(w.upper() + "!!" for w in spoken(300 + i, 80).split())) for i in range(40)]
-    d = spark.createDataFrame(rows + junk, "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source", "length(text) n_chars", "1 as __k_id", "2 as bucket")
+    d = spark.createDataFrame(rows + junk, "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source", "length(text) n_chars", "1 as kept_id", "2 as hits", "3 as uid")
     d.write.parquet(f"{tmp_path}/documents.parquet")
     labels = [(i, 1) for i, _ in clean] + [(i, 0) for i, _ in junk] + [(103, None), (None, 1)]
     spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")

@@ -109,7 +109,7 @@ def test_packing(docs_of):
     for r in sorted(got, key=lambda r: r.sequence_id):
         texts.setdefault((r.doc_id, r.doc_tokens), []).append(np.frombuffer(r.ids, "<u4"))
     want = sorted(tuple(ids_of(FILES[0], t) + [0]) for i, t in ROWS)
-    assert sorted(tuple(np.concatenate(x).tolist()) for x in texts.values()) == sorted({*want}) or len(texts) < len(ROWS)
+    assert sorted(tuple(np.concatenate(x).tolist()) for x in texts.values()) == sorted(want)
     assert sum(r.length for r in got) == sum(map(len, want))
     assert packing.pack(docs_of([]), registry.tokenizer(FILES[0])).collect() == []
     with pytest.raises(ValueError):
