@@ -9,15 +9,16 @@ function and keeps them in text order, so that texts agree on it only if they sh
 text has ``SKETCHES`` of them (a link at the threshold shares none with a probability of about 1e-6; texts of up to
 ``SHORT`` shingles, too few to draw from, also have ``SHORT_SKETCHES`` sketches of one shingle).  A shared sketch is a bucket.
 
+Texts with equal words are one node from the start.
+
 Texts with equal words are one node from the start.  Within a bucket not all pairs are looked at:
 
-1. Every member is compared with the bucket's hub, the member with the most company over all its buckets.  Links of all
-   buckets make components.
-2. A bucket whose members are in one component is done.  In others, members of different components are compared,
-   unless their shares with the hub differ by more than a link allows (the shingle overlap is a metric).
-3. A bucket in which more than ``WIDE`` components remain is first split by each other sketch of its members, and 1 and 2 apply
-   to the parts (a link shares further sketches, too); after ``DEPTH`` such splits all the rest is compared.  No candidate
-   is dropped.
+1. Every member is compared with the bucket's hub, the member with the most company over all its buckets.  The links make
+   components.
+2. A bucket of two, or with all members in one component, is done.  The members of all others, unlike texts that share a
+   passage for the most part, are joined by an exact rule instead of by bucket: if shingles are ordered by how many of these
+   texts have them, two linked texts share one among the rarest ``n - ceil(0.8 n) + 1`` of each.  A shared passage is not
+   among them, so only such pairs meet that could be links, in one pass at any size of the bucket, and none is lost.
 
 Defined results: a null text, an empty one, and one without words are classes of their own; a null doc_id is the smallest; of a
 class the smallest doc_id stays (of rows that tie in id, one); repeated rows are copies; an empty table gives no rows; only id and
@@ -26,6 +27,7 @@ text are read.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +43,6 @@ from .exact_dedup import keep_rows
 K, SIMILARITY = 5, 0.8
 SMALLEST, SKETCHES = 5, 40
 SHORT, SHORT_SKETCHES = 12, 12
-WIDE, DEPTH = 32, 2
 SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64))
 ODD = mix(np.arange(101, 101 + SKETCHES, dtype=np.uint64)) | np.uint64(1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -150,40 +151,69 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> int
     return head + tail + int(row[min(max(at, 0), width - 1)])
 
 
-def similarity_of(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> tuple[float, float]:
-    """Overlap (shared labelled shingles of all) and, if it reaches the threshold, the aligned similarity (else 0)."""
+def chain(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest run of shared labelled shingles in the same order: an alignment, though it matches only
+    equal occurrences."""
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    j = j[np.argsort(i)]
+    if (np.diff(j) > 0).all():
+        return len(j)
+    tails: list[int] = []
+    for x in j.tolist():
+        at = bisect.bisect_left(tails, x)
+        tails[at:at + 1] = [x]
+    return len(tails)
+
+
+def similarity_of(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, threshold: float = SIMILARITY) -> tuple[float, float]:
+    """Overlap (shared labelled shingles of all) and, if it reaches the threshold, the aligned similarity (else 0).
+
+    The chain of labelled shingles gives a lower bound of the alignment; where it reaches the threshold, as it does unless
+    repeated passages have moved, it is the result, otherwise the banded alignment of all shingles is.
+    """
     n, m = len(a), len(b)
-    both = np.concatenate([labelled(a, np.array([0, n])), labelled(b, np.array([0, m]))])
-    shared = n + m - len(np.unique(both))
+    shared = len(np.intersect1d(la, lb, assume_unique=True))
     overlap = shared / (n + m - shared) if n + m else 0.0
-    if overlap < threshold:
+    if overlap < threshold - 1e-9:
         return overlap, 0.0
-    length = aligned(a, b, threshold)
+    length = chain(la, lb)
+    if length < threshold * (n + m - length):
+        length = max(length, aligned(a, b, threshold))
     return overlap, length / (n + m - length)
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of each text in their order (64-bit hashes, binary)."""
+    for batch in batches:
+        for part in slices(batch):
+            data, offs = utf8(part.column(1))
+            w = words(data, offs, ALNUM)
+            s, at = shingles(word_hashes(w.vocabulary)[w.index], w.first)
+            cells = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer((at * 8).astype(np.int64)), pa.py_buffer(s.tobytes())])
+            yield pa.record_batch([part.column(0), cells.cast(pa.binary())], names=["uid", "shingles"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hub, hub_shingles = None, None
+    hub, s, x = None, None, None
 
-    def of(column: pa.Array) -> np.ndarray:
-        data, offs = utf8(column)
-        w = words(data, offs, ALNUM)
-        return shingles(word_hashes(w.vocabulary)[w.index], w.first)[0]
+    def of(cell: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+        own = np.frombuffer(cell.as_buffer(), np.uint64)
+        return own, labelled(own, np.array([0, len(own)]))
 
     for batch in batches:
-        a, b = batch.column(0).to_pylist(), batch.column(1)
         overlap, similar = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-        for i in range(batch.num_rows):
-            if a[i] != hub:  # the pairs of a hub come together
-                hub, hub_shingles = a[i], of(batch.column(2).slice(i, 1))
-            overlap[i], similar[i] = similarity_of(hub_shingles, of(batch.column(3).slice(i, 1)))
-        yield pa.record_batch([batch.column(0), b, pa.array(overlap), pa.array(similar)], names=["a", "b", "overlap", "similarity"])
+        for i, a in enumerate(batch.column(0).to_pylist()):
+            if a != hub:  # the pairs of a hub come together
+                hub, (s, x) = a, of(batch.column(2)[i])
+            t, y = of(batch.column(3)[i])
+            overlap[i], similar[i] = similarity_of(s, t, x, y)
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(overlap), pa.array(similar)], names=["a", "b", "overlap", "similarity"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b, overlap and similarity of candidate pairs (a, b); texts: uid, text."""
-    j = (pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("ta")), "a")
-         .join(texts.select(F.col("uid").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb"))
+    """a, b, overlap and similarity of candidate pairs (a, b); texts: uid, shingles."""
+    j = (pairs.join(texts.select(F.col("uid").alias("a"), F.col("shingles").alias("sa")), "a")
+         .join(texts.select(F.col("uid").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb"))
     return materialize(j.sortWithinPartitions("a").mapInArrow(_verify, "a bigint, b bigint, overlap double, similarity double"), "verified")
 
 
@@ -198,48 +228,52 @@ def _labels(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(c, members.uid == c.node, "left").withColumn("comp", F.coalesce("component", "uid")).drop("node", "component")
 
 
-def _links(members: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
-    """All links (a, b) within buckets.  members: bucket, uid, n; sigs: uid, sig."""
-    links = None
-    for depth in range(DEPTH + 1):
-        # 1. Every member against its bucket's hub.
-        company = members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), "bucket").groupBy("uid").agg(F.sum("size").alias("company"))
-        members = materialize(members.join(company, "uid"), "members")
-        hubs = members.groupBy("bucket").agg(F.max(F.struct("company", "uid", "n")).alias("h")).select(
-            "bucket", F.col("h.uid").alias("hub"), F.col("h.n").alias("m"))
-        m = materialize(members.drop("company").join(hubs, "bucket"), "hubs")
-        pairs = m.where((F.col("uid") != F.col("hub")) & _near_size()).select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct()
-        if links is not None:
-            done = links.select(F.col("a").alias("x"), F.col("b").alias("y"))
-            done = done.union(done.select(F.col("y").alias("x"), F.col("x").alias("y")))
-            pairs = pairs.join(done, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
-        star = verified(pairs, texts)
-        found = star.where(F.col("similarity") >= SIMILARITY - 1e-9).select("a", "b")
-        links = found if links is None else materialize(links.union(found), "links")
-        # 2. Buckets with members in different components.
-        m = _labels(m, links)
-        wide = m.groupBy("bucket").agg(F.count_distinct("comp").alias("parts")).where("parts > 1")
-        known = star.select(F.col("a").alias("hub"), F.col("b").alias("uid"), "overlap")
-        m = m.join(wide, "bucket").join(known, ["hub", "uid"], "left")
-        m = materialize(m.withColumn("overlap", F.when(F.col("uid") == F.col("hub"), 1.0).otherwise(F.col("overlap"))), "open")
-        small = m if depth == DEPTH else m.where(F.col("parts") <= WIDE)
-        x = small.select("bucket", F.col("uid").alias("a"), "n", F.col("comp").alias("ca"), F.col("overlap").alias("oa"), "hub")
-        y = small.select("bucket", F.col("uid").alias("b"), F.col("n").alias("m"), F.col("comp").alias("cb"), F.col("overlap").alias("ob"))
-        rest = (x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near_size())
-                .where((F.col("a") != F.col("hub")) & (F.col("b") != F.col("hub")))
-                .where(F.coalesce(F.abs(F.col("oa") - F.col("ob")) <= 1 - SIMILARITY + 1e-9, F.lit(True))).select("a", "b").distinct())
-        more = verified(rest, texts).where(F.col("similarity") >= SIMILARITY - 1e-9).select("a", "b")
-        links = materialize(links.union(more), "links")
-        if depth == DEPTH:
-            break
-        # 3. Wider buckets: split by each other sketch of their members.
-        large = m.where(F.col("parts") > WIDE).select("bucket", "uid", "n")
-        split = large.join(sigs, "uid").where("sig <> bucket").select(F.xxhash64("bucket", "sig").alias("bucket"), "uid", "n")
-        again = split.groupBy("bucket").count().where("count > 1").select("bucket")
-        members = materialize(split.join(again, "bucket"), "split")
-        if members.isEmpty():
-            break
-    return links
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each labelled shingle of a text."""
+    for batch in batches:
+        for uid, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own = np.frombuffer(cell.as_buffer(), np.uint64)
+            x = labelled(own, np.array([0, len(own)])).view(np.int64)
+            yield pa.record_batch([pa.array(np.full(len(x), uid)), pa.array(x)], names=["uid", "x"])
+
+
+def _rest(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members (uid, n, comp) in different components that share one of each other's rarest shingles."""
+    x = materialize(texts.join(members.select("uid"), "uid", "left_semi").select("uid", "shingles").mapInArrow(_explode, "uid bigint, x bigint"), "rest")
+    # Shingles of one text alone are the rarest; of them only the number matters.
+    shared = x.groupBy("x").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own = (x.join(shared, "x").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("xs"))
+           .join(members, "uid"))
+    left = F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("xs"))
+    keys = (own.withColumn("left", left.cast("int")).where("left > 0")
+            .select("uid", "n", "comp", F.explode(F.slice("xs", 1, F.col("left"))).alias("k"))
+            .select("uid", "n", "comp", F.col("k.x").alias("x")))
+    keys = materialize(keys, "rarest")
+    mixed = keys.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("x")
+    keys = keys.join(mixed, "x")
+    other = keys.select("x", F.col("uid").alias("b"), F.col("n").alias("m"), F.col("comp").alias("cb"))
+    return (keys.withColumnRenamed("uid", "a").join(other, "x")
+            .where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("cb")) & _near_size()).select("a", "b").distinct())
+
+
+def _links(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """All links (a, b) of the members (bucket, uid, n) of buckets."""
+    link = F.col("similarity") >= SIMILARITY - 1e-9
+    # 1. Every member against its bucket's hub.
+    company = members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), "bucket").groupBy("uid").agg(F.sum("size").alias("company"))
+    hubs = members.join(company, "uid").groupBy("bucket").agg(F.max(F.struct("company", "uid", "n")).alias("h")).select(
+        "bucket", F.col("h.uid").alias("hub"), F.col("h.n").alias("m"))
+    m = materialize(members.join(hubs, "bucket"), "hubs")
+    pairs = m.where((F.col("uid") != F.col("hub")) & _near_size()).select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct()
+    star = verified(pairs, texts)
+    # 2. Members of buckets that are not done.
+    m = _labels(m.select("bucket", "uid", "n"), star.where(link).select("a", "b"))
+    todo = (m.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+            .where("size > 2 and lo < hi").select("bucket"))
+    rest = _rest(materialize(m.join(todo, "bucket").select("uid", "n", "comp").distinct(), "open"), texts)
+    done = star.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    rest = rest.join(done, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
+    return star.union(verified(rest, texts)).where(link).select("a", "b")
 
 
 def _classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -258,13 +292,12 @@ def _classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spread = rows.select("uid", "n", F.explode("sigs").alias("bucket")).join(reps, "uid", "left_semi")
     shared = spread.groupBy("bucket").count().where("count > 1").select("bucket")
     members = materialize(spread.join(shared, "bucket").select("bucket", "uid", "n").distinct(), "buckets")
-    # Texts of the candidates alone.
+    # Shingles of the candidates alone.
     wanted = members.select("uid").distinct()
     who = nodes.join(wanted, "uid", "left_semi").select("uid", F.col("doc_id").alias("w_id"), F.col("row_hash").alias("w_hash"))
     texts = materialize(t.join(who, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("row_hash") == F.col("w_hash")))
-                        .dropDuplicates(["uid"]).select("uid", "text"), "texts")
-    links = _links(members, members.select("uid", F.col("bucket").alias("sig")), texts)
-    c = components(links)
+                        .dropDuplicates(["uid"]).select("uid", "text").mapInArrow(_shingle_rows, "uid bigint, shingles binary"), "shingles")
+    c = components(_links(members, texts))
     return (nodes.join(c, nodes.rep == c.node, "left").withColumn("comp", F.coalesce("component", "rep"))
             .select("uid", "doc_id", "row_hash", "comp"))
 
