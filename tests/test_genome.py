@@ -99,7 +99,11 @@ def py_kmers(seq, k, lp, rp, step):
 
 
 @pytest.mark.parametrize("k,lp,rp,step", [(3, 1, 1, 1), (3, 0, 0, 2), (5, 2, 0, 3), (2, 0, 4, 1)])
-def test_kmer_counts_match_python(spark, genome, k, lp, rp, step):
+def test_kmer_counts_match_python(spark, genome, chrt_fasta, k, lp, rp, step):
+    if k - 1 > genome.halo:  # a chunk must hold all that its items need
+        with pytest.raises(ValueError):
+            gn.kmer_counts(genome, k, lp, rp, step)
+        genome = gn.build_genome(read_fasta_lines(spark, chrt_fasta), chunk_size=4, halo=4)
     want = {}
     for seq in (CHR_T, "acgtnACG"):
         for km in py_kmers(seq, k, lp, rp, step):
@@ -108,6 +112,16 @@ def test_kmer_counts_match_python(spark, genome, k, lp, rp, step):
     assert got == want
 
 
+@pytest.mark.parametrize("chunk,halo", [(4, 2), (5, 5), (16, 8)])
+def test_repeated_and_long_intervals_at_any_chunk(spark, chrt_fasta, chunk, halo):
+    """Rows keep their number, whatever their length against chunk and halo."""
+    g = gn.build_genome(read_fasta_lines(spark, chrt_fasta), chunk_size=chunk, halo=halo)
+    rows = [(0, 6), (0, 6), (0, 40), (0, 40), (0, 40), (3, 4), (20, 25), (-3, 14), (-3, 14)]
+    df = spark.createDataFrame([("chrT", a, b) for a, b in rows], "chrom string, start long, end long")
+    got = sorted((r["start"], r["end"], r["seq"]) for r in gn.fetch_intervals(g, df).collect())
+    assert got == sorted((a, b, py_fetch(CHR_T, a, b)) for a, b in rows)
+
+
 def test_file_splits_do_not_change_offsets(spark, tmp_path):
     """H1: many small splits give the same genome as one split."""
     rnd = random.Random(3)

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from helixframe.operators import metrics, ranking, runs
@@ -55,6 +56,27 @@ def test_spearman_worked_example(spark):
     assert abs(metrics.spearman(df, "x", "y").first()["spearman"] - 0.948683) < 1e-6
 
 
+def test_spearman_incomplete_pairs_and_nan(spark):
+    """Pairs with a NULL are left out before ranking; a NaN gives NaN."""
+    rows = [("a", 1.0, 1.0), ("a", 2.0, 3.0), ("a", 3.0, None), ("a", 4.0, 2.0), ("a", 5.0, 5.0), ("b", 1.0, float("nan")), ("b", 2.0, 1.0)]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    got = {r["k"]: (r["n"], r["spearman"]) for r in metrics.spearman(df, "x", "y", ["k"]).collect()}
+    assert got["a"][0] == 4 and abs(got["a"][1] - 0.8) < 1e-12 and math.isnan(got["b"][1])
+
+
+def test_labels_other_than_0_and_1_raise(spark):
+    df = spark.createDataFrame([(2, 0.5), (1, 0.1)], "label int, score double")
+    with pytest.raises(Exception, match="labels must be 0 or 1"):
+        metrics.topk_precision(df, []).collect()
+
+
+def test_infinite_logits_and_weight_zero(spark):
+    """Weight 0 switches the consistency term off even where it is infinite."""
+    inf = float("inf")
+    df = spark.createDataFrame([(0, [0.0, -inf, -inf], [-inf, 0.0, -inf])], "label int, lp array<double>, lq array<double>")
+    assert metrics.combined_loss(df, "lp", "lq", 0.0).first()["loss"] == 0.0
+
+
 def test_pearson_constant_is_nan(spark):
     df = spark.createDataFrame([(1.0, 1.0), (1.0, 3.0)], "x double, y double")
     assert math.isnan(metrics.pearson(df, "x", "y").first()["pearson"])

@@ -93,3 +93,20 @@ def test_duplicate_genes_rejected(spark, tmp_path):
     with pytest.raises(ValueError, match="GA"):
         files.read_annotation(spark, str(p))
     assert files.read_annotation(spark, str(p), reject_duplicates=False).count() == 3
+
+
+def test_positional_join_of_several_files(spark, tmp_path):
+    """Ordinals restart in each file: the group keeps files apart; without it, a repeated ordinal raises."""
+    for g in ("Train", "Val"):
+        (tmp_path / "fa").mkdir(exist_ok=True)
+        (tmp_path / "act").mkdir(exist_ok=True)
+        (tmp_path / "fa" / f"Sequences_{g}.fa").write_text(f">a\nAC{'G' if g == 'Val' else 'T'}\n>b\nGGG\n")
+        (tmp_path / "act" / f"Sequences_activity_{g}.txt").write_text(
+            "id\tDev_log2_enrichment\tHk_log2_enrichment\n" + "".join(f"{i}\t{i + (g == 'Val') * 10}\t0\n" for i in range(2)))
+    rec = files.read_fasta_records(spark, str(tmp_path / "fa")).drop("_file")
+    act = files.read_activity(spark, str(tmp_path / "act")).drop("_file")
+    j = files.positional_join(rec, act, group="group").collect()
+    assert sorted((r["group"], r["ordinal"], r["bases"], r["y_dev"]) for r in j) == [
+        ("Train", 0, "ACT", 0.0), ("Train", 1, "GGG", 1.0), ("Val", 0, "ACG", 10.0), ("Val", 1, "GGG", 11.0)]
+    with pytest.raises(Exception, match="ordinal repeats"):
+        files.positional_join(rec.drop("group"), act.drop("group")).collect()
