@@ -13,7 +13,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as entry  # noqa: E402
+from helixframe.plans.queries import QUERIES, _genome  # noqa: E402
 from helixframe.session import get_session  # noqa: E402
 
 OPS = ["BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin", "BroadcastNestedLoopJoin",
@@ -23,13 +23,15 @@ OPS = ["BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin", "BroadcastNeste
 
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = get_session("local[8]", shuffle_partitions=8)
+    spark = get_session(os.environ.get("MASTER", "local[8]"), shuffle_partitions=8)
     print("# Physical plans of the registered queries\n")
     print(f"Planned at `{sf_dir}` with AQE on (runtime re-planning may switch sort-merge joins to broadcast")
-    print("joins when a side is measured small). Generated by `tools/plan_report.py`.\n")
+    print("joins when a side is measured small). Generated by `tools/plan_report.py`.")
+    print("Tables that a query writes before (the genome store, distinct values behind a rank) appear as scans.\n")
     print("| query | exchanges | operators | widest scan |")
     print("| --- | --- | --- | --- |")
-    for name, q in entry.queries().items():
+    _genome(spark, sf_dir)
+    for name, q in QUERIES.items():
         plan = q(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         ops = collections.Counter()
         for op in OPS:
