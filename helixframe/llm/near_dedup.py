@@ -15,8 +15,10 @@ Texts with equal words are one node from the start.  Within a bucket not all pai
 
 1. Every member is compared with the bucket's hub, the member with the most company over all its buckets.  The links make
    components.
-2. A bucket of two, or with all members in one component, is done.  The members of all others, unlike texts that share a
-   passage for the most part, are joined by an exact rule instead of by bucket: if shingles are ordered by how many of these
+2. A bucket of two, or with all members in one component, is done.  In the others, every member outside the largest component is
+   compared with one member of it, a different one in each bucket.
+3. The members of buckets that still are not done, unlike texts that share a passage for the most part, are joined by an
+   exact rule instead of by bucket: if shingles are ordered by how many of these
    texts have them, two linked texts share one among the rarest ``n - ceil(0.8 n) + 1`` of each.  A shared passage is not
    among them, so only such pairs meet that could be links, in one pass at any size of the bucket, and none is lost.
 
@@ -249,7 +251,10 @@ def _rest(members: DataFrame, texts: DataFrame) -> DataFrame:
             .select("uid", "n", "comp", F.explode(F.slice("xs", 1, F.col("left"))).alias("k"))
             .select("uid", "n", "comp", F.col("k.x").alias("x")))
     keys = materialize(keys, "rarest")
-    mixed = keys.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("x")
+    # Shingles of a passage have the same texts: of those, one is enough.
+    mixed = (keys.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("df"), F.min("uid").alias("first"),
+                                   F.max("uid").alias("last"), F.bit_xor(F.xxhash64("uid")).alias("who"))
+             .where("lo < hi").groupBy("lo", "hi", "df", "first", "last", "who").agg(F.min("x").alias("x")).select("x"))
     keys = keys.join(mixed, "x")
     other = keys.select("x", F.col("uid").alias("b"), F.col("n").alias("m"), F.col("comp").alias("cb"))
     return (keys.withColumnRenamed("uid", "a").join(other, "x")
@@ -266,14 +271,31 @@ def _links(members: DataFrame, texts: DataFrame) -> DataFrame:
     m = materialize(members.join(hubs, "bucket"), "hubs")
     pairs = m.where((F.col("uid") != F.col("hub")) & _near_size()).select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct()
     star = verified(pairs, texts)
-    # 2. Members of buckets that are not done.
-    m = _labels(m.select("bucket", "uid", "n"), star.where(link).select("a", "b"))
+    m = materialize(_open(m.select("bucket", "uid", "n"), star.where(link)), "open")
+    # 2. In buckets that are not done, every member outside the largest component against one member of it.
+    one = (m.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("bucket", "uid").alias("h"), "uid", "n")).alias("r"))
+           .groupBy("bucket").agg(F.max(F.struct("size", "comp", "r")).alias("t"))
+           .select("bucket", F.col("t.comp").alias("most"), F.col("t.r.uid").alias("a"), F.col("t.r.n").alias("m")))
+    pairs = m.join(one, "bucket").where((F.col("comp") != F.col("most")) & _near_size()).select("a", F.col("uid").alias("b")).distinct()
+    star = star.union(verified(_new(pairs, star), texts))
+    # 3. What is left, by the rarest shingles.
+    m = _open(m.select("bucket", "uid", "n"), star.where(link)).select("uid", "n", "comp").distinct()
+    rest = _new(_rest(materialize(m, "open"), texts), star)
+    return star.union(verified(rest, texts)).where(link).select("a", "b")
+
+
+def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members of buckets that are not done (more than two members, in more than one component), with comp."""
+    m = materialize(_labels(members, links.select("a", "b")), "labelled")
     todo = (m.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
             .where("size > 2 and lo < hi").select("bucket"))
-    rest = _rest(materialize(m.join(todo, "bucket").select("uid", "n", "comp").distinct(), "open"), texts)
-    done = star.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    rest = rest.join(done, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
-    return star.union(verified(rest, texts)).where(link).select("a", "b")
+    return m.join(todo, "bucket")
+
+
+def _new(pairs: DataFrame, done: DataFrame) -> DataFrame:
+    """Pairs (a, b) that are not among the verified ones, in either order."""
+    d = done.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    return pairs.join(d, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
 
 
 def _classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
