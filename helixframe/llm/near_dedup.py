@@ -248,17 +248,19 @@ def _rest(members: DataFrame, texts: DataFrame) -> DataFrame:
            .join(members, "uid"))
     left = F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("xs"))
     keys = (own.withColumn("left", left.cast("int")).where("left > 0")
-            .select("uid", "n", "comp", F.explode(F.slice("xs", 1, F.col("left"))).alias("k"))
-            .select("uid", "n", "comp", F.col("k.x").alias("x")))
+            .select("uid", "n", "comp", F.size("xs").alias("s"), F.explode(F.slice("xs", 1, F.col("left"))).alias("k"))
+            .select("uid", "n", "comp", "s", F.col("k.x").alias("x")))
     keys = materialize(keys, "rarest")
     # Shingles of a passage have the same texts: of those, one is enough.
     mixed = (keys.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("df"), F.min("uid").alias("first"),
                                    F.max("uid").alias("last"), F.bit_xor(F.xxhash64("uid")).alias("who"))
              .where("lo < hi").groupBy("lo", "hi", "df", "first", "last", "who").agg(F.min("x").alias("x")).select("x"))
     keys = keys.join(mixed, "x")
-    other = keys.select("x", F.col("uid").alias("b"), F.col("n").alias("m"), F.col("comp").alias("cb"))
+    other = keys.select("x", F.col("uid").alias("b"), F.col("n").alias("m"), F.col("comp").alias("cb"), F.col("s").alias("t"))
+    # Two texts share no more than either has of shared shingles; a link needs so many of both sizes.
+    enough = F.least("s", "t") >= SIMILARITY / (1 + SIMILARITY) * (F.col("n") + F.col("m")) - 1e-9
     return (keys.withColumnRenamed("uid", "a").join(other, "x")
-            .where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("cb")) & _near_size()).select("a", "b").distinct())
+            .where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("cb")) & _near_size() & enough).select("a", "b").distinct())
 
 
 def _links(members: DataFrame, texts: DataFrame) -> DataFrame:
