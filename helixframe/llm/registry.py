@@ -64,7 +64,7 @@ def op6_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 7) == 2
-    model = kneser_ney.train(docs.where(~held_out))
+    model = kneser_ney.train(docs.where(~held_out), order=3)
     return kneser_ney.score_documents(docs, model).select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

@@ -9,6 +9,7 @@ import pytest
 from helixframe.llm import kneser_ney as K
 from helixframe.llm import language_id as L
 from helixframe.llm import quality as Q
+from helixframe.llm import registry
 from helixframe.llm.common import fold
 
 LANGS = {"en": "the of and in that ing tion her was with", "de": "der die und ein sch ung nicht von zu keit", "fr": "le la les de des eau ment que pour avec",
@@ -141,6 +142,99 @@ def test_kneser_ney_against_formulas(docs_of, spoken):
     assert all(r.train_tokens == n for r in got) and {r.doc_id: r.n_tokens for r in got}[2] == 1
 
 
+def brute_ngrams(train, probe, order):
+    """Scores of a model of any order, by recursion over dictionaries of whole n-grams."""
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    seqs = [["<s>", *words(t), "</s>"] for t in train]
+    raw = {m: Counter(tuple(s[i:i + m]) for s in seqs for i in range(len(s) - m + 1)) for m in range(1, order + 1)}
+    count = {order: raw[order]}
+    for m in range(1, order):
+        before = Counter(g[1:] for g in raw[m + 1])
+        count[m] = Counter({g: c if m > 1 and g[0] == "<s>" else before[g] for g, c in raw[m].items() if m > 1 or g != ("<s>",)})
+    d = {m: (0.0, *K.discounts(*(sum(c == i for c in count[m].values()) for i in range(1, 5)))) for m in count}
+    total, follow = defaultdict(int), defaultdict(Counter)
+    for m in range(2, order + 1):
+        for g, c in count[m].items():
+            total[g[:-1]] += c
+            follow[g[:-1]][min(c, 3)] += 1
+    v, t = len(count[1]), len(raw[2])
+    spread = sum(d[1][min(c, 3)] for c in count[1].values())
+
+    def p(h, w):
+        if not h:
+            c = count[1][w,]
+            return (c - d[1][min(c, 3)] + spread / (v + 1)) / t
+        if not total[h]:
+            return p(h[1:], w)
+        m = len(h) + 1
+        c = count[m][*h, w]
+        return (c - d[m][min(c, 3)] + sum(d[m][k] * n for k, n in follow[h].items()) * p(h[1:], w)) / total[h]
+
+    out = []
+    for x in probe:
+        s = ["<s>", *words(x), "</s>"]
+        out.append(sum(math.log10(p(tuple(s[max(0, i - order + 1):i]), s[i])) for i in range(1, len(s))))
+    for h in [h for h in total if len(h) == order - 1][:5]:
+        assert abs(sum(p(h, w) for w, in count[1]) + p(h, "never seen") - 1) < 1e-9
+    return out
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney_orders_against_formulas(docs_of, spoken, order):
+    passage = spoken(500, 40, 60)
+    train = ([(i, spoken(i % 7, 60, 12) + " " + passage) for i in range(40)] + [(50, None), (51, ""), (52, "A a  A\n"), (53, "A a  A\n"), (None, "b")]
+             + [(60 + i, "a b c") for i in range(300)])
+    probe = [(1, spoken(3, 50, 12)), (2, None), (3, "unseen words here"), (4, "a A \t b c"), (4, "a A \t b c"), (5, passage), (None, spoken(99, 30))]
+    model = K.train(docs_of(train), order=order, range_bytes=4000, word_range_bytes=3000)
+    assert model.order == order and all(len(x) > 3 for x in model.sizes)
+    got = K.score_documents(docs_of(probe, parts=1), model).collect()
+    want = brute_ngrams([t for _, t in train], [t for _, t in probe], order)
+    assert sorted((str(r.doc_id), round(r.score, 8)) for r in got) == sorted((str(i), round(s, 8)) for (i, _), s in zip(probe, want, strict=True))
+
+
+def test_kneser_ney_statistics_add_up_over_parts(docs_of, spoken):
+    model = K.train(docs_of([(i, spoken(i % 7, 120, 60)) for i in range(40)]), order=3)
+    levels = model.levels()
+    a = levels.tables[2].column(0, "c", np.arange(model.sizes[2][0]))
+
+    def added(part):
+        out = Counter()
+        for kind, r, ids, stats in K._statistics(levels, 3, 0, a, part):
+            at = K.from_steps(ids) if kind < 3 else []
+            if len(at):
+                n = 4 if kind == 1 else 1
+                step = len(stats) // n
+                for i in range(n):
+                    for x, v in zip(at, K.from_planes(stats[i * step:(i + 1) * step], f"<u{step // len(at)}"), strict=True):
+                        out[kind, r, int(x), i] += int(v)
+            elif kind == 3:
+                out[kind, stats] += 1
+        return out
+
+    assert len(a) > 500 and added(50) == added(len(a))
+
+
+def test_kneser_ney_query_sees_two_words_of_context(spark, tmp_path):
+    """What follows "b" depends on the word before it: a pair model gives both texts the same score."""
+    rows = [(i, "a b c" if i % 2 else "d b e") for i in range(400)] + [(1000, "a b c"), (1001, "a b e")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.score for r in registry.op7_kneser_ney(spark, str(tmp_path)).where("doc_id >= 1000").collect()}
+    assert got[1000] > got[1001] + 1
+
+
+def test_kneser_ney_orders_without_training_rows(docs_of):
+    got = K.score_documents(docs_of([(1, "a b"), (2, None)]), K.train(docs_of([]), order=3)).collect()
+    assert {(r.doc_id, r.score, r.base_score, r.n_known) for r in got} == {(1, 0.0, 0.0, 0), (2, 0.0, 0.0, 0)}
+
+
+@pytest.mark.parametrize("bits", [1, 2, 5, 31, 47, 64])
+def test_keys_of_any_width(bits):
+    x = np.unique(np.random.default_rng(bits).integers(0, 2 ** bits, 1000, dtype=np.uint64))
+    k = K.mixed(x, bits)
+    assert (K.unmixed(k, bits) == x).all() and len(np.unique(k)) == len(x)
+    assert (K.from_steps(K.steps(np.sort(k))) == np.sort(k)).all()
+
+
 def test_kneser_ney_without_training_rows(docs_of):
     got = K.score_documents(docs_of([(1, "a b"), (2, None)]), K.train(docs_of([]))).collect()
     assert {(r.doc_id, r.score, r.base_score, r.n_known) for r in got} == {(1, 0.0, 0.0, 0), (2, 0.0, 0.0, 0)}
