@@ -159,10 +159,10 @@ def _build(folder: str, window: int):
 def build_automata(items: DataFrame, id_col: str = "item_id", text_col: str = "text", *, window: int = WINDOW,
                    item_bytes: int = ITEM_BYTES) -> list[str]:
     """Build and write the automata of the items; returns their files (one for each ``item_bytes`` of text)."""
-    t = text_rows(items, id_col, text_col).where("doc_id is not null and text is not null").select(F.col("doc_id").cast("string"), "text")
+    t = text_rows(items, id_col, text_col).where("doc_id is not null and text is not null").select(F.col("doc_id").cast("string"), "text").distinct()
     size = t.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     folder = shared_dir(items.sparkSession, "automata")
-    t = t.repartition(max(1, -(-size // item_bytes)), "doc_id")
+    t = t.repartition(max(1, -(-size // item_bytes)), "doc_id", "text")  # rows of one id may lie in several automata
     return sorted(r[0] for r in t.mapInArrow(_build(folder, window), "file string").collect())
 
 

@@ -72,3 +72,14 @@ def test_automaton_holds_all_runs_and_no_others():
             for w in c:
                 state = a.next[state].get(a.vocabulary[w.encode()]) if state is not None else None
             assert (state is not None) == (c in runs)
+
+
+def test_one_id_of_many_rows_lies_in_several_automata(spark, docs_of, spoken):
+    items = [(1, spoken(s, 40)) for s in range(40)] + [(1, spoken(0, 40))] * 20
+    t = spark.createDataFrame(items, "item_id long, text string")
+    files = D.build_automata(t, item_bytes=800)
+    parts = [D._load(f) for f in files]
+    assert len(files) > 4 and max(len(a.next) for a in parts) < sum(len(a.next) for a in parts) / 3
+    docs = docs_of([(i, spoken(i, 40)) for i in (0, 7, 39)] + [(100, spoken(900, 40))])
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in D.decontaminate(docs, t).select("doc_id", "n_hit", "items").collect()}
+    assert got == {0: (40, ["1"]), 7: (40, ["1"]), 39: (40, ["1"]), 100: (0, [])}
