@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
-from . import chat, decontaminate, kneser_ney, language_id, near_dedup, packing, quality, token_counts, token_files
+from . import chat, decontaminate, hard_negatives, kneser_ney, language_id, near_dedup, packing, quality, token_counts, token_files
 from .common import fold
 
 
@@ -93,9 +93,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(names, ["shard", "doc_no"], "full").select("doc_id", "shard", "doc_no", "start", "n_tokens", "ended")
 
 
+def op13_l2ap_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select("vec_id", label.alias("label"), hard_negatives.integer_vector(F.col("embedding"), 256.0).alias("vector"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_codes, op2_power_of_two_packing, op3_byte_convolution, op4_token_files, op5_order_minhash, op6_suffix_automaton, op7_kneser_ney,
-    op8_perspective_rotation, op9_exact_dedup, op10_token_counts)}
+    op8_perspective_rotation, op9_exact_dedup, op10_token_counts, op13_l2ap_negatives)}
 
 ORACLE = {
     "op6_suffix_automaton": r"""
@@ -136,4 +143,16 @@ ORACLE = {
         with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') n from documents)
         select doc_id, max(doc_id) over (partition by n) keep_id, count(*) over (partition by n) group_size,
                doc_id = max(doc_id) over (partition by n) kept, sha256(n) text_sha256, cast(strlen(n) as bigint) n_bytes from t""",
+    "op13_l2ap_negatives": """
+        with v as (select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) q
+                   from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        p as (select a.vec_id anchor_id, a.label, a.q, b.vec_id positive_id, cast(list_inner_product(a.q, b.q) as bigint) positive_score
+              from v a join v b on a.vec_id % 50 = 0 and a.label = b.label and a.vec_id <> b.vec_id
+              qualify row_number() over (partition by a.vec_id order by positive_score desc, b.vec_id) <= 5),
+        n as (select a.vec_id anchor_id, b.vec_id negative_id, cast(list_inner_product(a.q, b.q) as bigint) negative_score
+              from v a join v b on a.vec_id % 50 = 0 and a.label <> b.label)
+        select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by negative_score desc, negative_id) as integer) as rank, negative_id,
+               positive_score, negative_score
+        from p join n using (anchor_id) where 50 * positive_score <= 100 * negative_score and 100 * negative_score <= 95 * positive_score
+        qualify rank <= 3""",
 }

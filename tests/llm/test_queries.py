@@ -6,7 +6,7 @@ from helixframe.llm import decontaminate, registry
 from helixframe.llm.exact_dedup import AZ, az
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "benchmark", "labels", "conversations")
+TABLES = ("documents", "benchmark", "labels", "conversations", "embeddings")
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
@@ -23,7 +23,7 @@ def test_queries_against_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == [*range(1, 11), 13]
 
 
 def test_queries_return_one_row_per_document(spark):
