@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
-from . import chat, decontaminate, hard_negatives, kneser_ney, language_id, near_dedup, packing, quality, token_counts, token_files
+from . import chat, decontaminate, hard_negatives, kneser_ney, language_id, merkle, near_dedup, packing, quality, stratified_search, token_counts, token_files
 from .common import fold
 
 
@@ -93,6 +93,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(names, ["shard", "doc_no"], "full").select("doc_id", "shard", "doc_no", "start", "n_tokens", "ended")
 
 
+def op11_merkle_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edit_fingerprints(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op12_length_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stratified_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_l2ap_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -102,7 +111,7 @@ def op13_l2ap_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_language_codes, op2_power_of_two_packing, op3_byte_convolution, op4_token_files, op5_order_minhash, op6_suffix_automaton, op7_kneser_ney,
-    op8_perspective_rotation, op9_exact_dedup, op10_token_counts, op13_l2ap_negatives)}
+    op8_perspective_rotation, op9_exact_dedup, op10_token_counts, op11_merkle_tree, op12_length_strata, op13_l2ap_negatives)}
 
 ORACLE = {
     "op6_suffix_automaton": r"""
@@ -143,6 +152,20 @@ ORACLE = {
         with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') n from documents)
         select doc_id, max(doc_id) over (partition by n) keep_id, count(*) over (partition by n) group_size,
                doc_id = max(doc_id) over (partition by n) kept, sha256(n) text_sha256, cast(strlen(n) as bigint) n_bytes from t""",
+    "op12_length_strata": r"""
+        with d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') ws from documents where text is not null),
+        t as (select cast(count(*) as bigint) nn, cast(sum(len(ws)) as bigint) ll from d where len(ws) > 0),
+        u as (select doc_id, cast(len(ws) as bigint) n, unnest(ws) term from d),
+        p as (select doc_id, n, term, count(*) tf from u group by doc_id, n, term),
+        f as (select term, count(*) df from p group by term),
+        q as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term from benchmark where text is not null),
+        s as (select item_id, doc_id, cast(sum(cast(floor(1000 * ln((2.0::double * nn + 2) / (2.0::double * df + 1))) as bigint)
+                     * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll)))) as bigint) score
+              from q join p using (term) join f using (term) cross join t group by item_id, doc_id)
+        select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score
+        from s where score > 0 qualify rank <= 10""",
     "op13_l2ap_negatives": """
         with v as (select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) q
                    from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
