@@ -7,7 +7,9 @@ to the chunks they touch, joins on ``(chrom, chunk_id)``, reassembles each
 (a group of length / chunk pieces) and joins the bases back on the
 interval, so repeated rows cost nothing and keep their number.  A caller who
 declares ``max_len <= halo`` gets the same rows from one equi-join and a
-``substr``; a longer interval then raises.
+``substr``; a longer interval then raises.  The rows are spread first
+(``spread``): a few bytes of interval become a whole window of bases, so a
+task's share of the work is not its share of the input.
 
 Dense regions make hot chunk keys; the chunk side holds one row per key, so
 AQE's skew-join split of the interval side handles them.  The genome side is
@@ -27,6 +29,9 @@ from ..functions.sequence import kmer_items, reverse_complement
 
 DEFAULT_CHUNK = 65536
 DEFAULT_HALO = 4096
+PAGE = 256  # chunks of a contig that one task writes, and that pruning reads as one
+MAX_PAGES = 4096  # pages that a pruned read may name
+MAX_RANGES = 64  # ranges of chunks in a pruned read's filter
 MAX_INTERVAL = 1 << 28  # bases of one fetched interval, a row of the result; a longer one raises
 
 
@@ -129,26 +134,82 @@ def build_genome(lines: DataFrame, chunk_size: int = DEFAULT_CHUNK, halo: int =
     return Genome(chunks, contigs, chunk_size, halo)
 
 
+CHUNK_SCHEMA = "chunk_id bigint, chunk_start bigint, bases string, ext string, chrom string"
+
+
 def write_genome(genome: Genome, path: str, mode: str = "overwrite") -> None:
     """Persist the store: chunks partitioned by contig (partition pruning on
     chrom, row-group statistics on chunk_id), contigs, and the parameters.
-    A task writes a run of 256 chunks, so one contig is many tasks' work."""
+    A task writes a page of ``PAGE`` chunks, so one contig is many tasks' work."""
     spark = genome.chunks.sparkSession
-    (genome.chunks.repartition("chrom", F.expr("chunk_id div 256")).sortWithinPartitions("chrom", "chunk_id")
+    (genome.chunks.repartition("chrom", F.expr(f"chunk_id div {PAGE}")).sortWithinPartitions("chrom", "chunk_id")
      .write.mode(mode).partitionBy("chrom").parquet(f"{path}/chunks"))
     genome.contigs.write.mode(mode).parquet(f"{path}/contigs")
     meta = json.dumps({"chunk_size": genome.chunk_size, "halo": genome.halo})
-    spark.createDataFrame([(meta,)], "meta string").write.mode(mode).json(f"{path}/meta")
+    spark.createDataFrame([(meta,)], "meta string").write.mode(mode).text(f"{path}/meta")
 
 
 def read_genome(spark, path: str) -> Genome:
-    meta = json.loads(spark.read.json(f"{path}/meta").first()["meta"])
-    chunks = spark.read.parquet(f"{path}/chunks")
-    contigs = spark.read.parquet(f"{path}/contigs")
+    """The store at ``path`` (S6); scans are pruned by contig where a filter or join names it, see ``prune``."""
+    meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
+    chunks = spark.read.schema(CHUNK_SCHEMA).parquet(f"{path}/chunks")
+    contigs = spark.read.schema("chrom string, length bigint").parquet(f"{path}/contigs")
     return Genome(chunks.select("chrom", "chunk_id", "chunk_start", "bases", "ext"), contigs,
                   meta["chunk_size"], meta["halo"])
 
 
+def _merged(pages: list[int], limit: int) -> list[tuple[int, int]]:
+    """Sorted pages as at most ``limit`` ranges (first, last); the narrowest gaps are closed first."""
+    runs: list[tuple[int, int]] = []
+    for p in pages:
+        if runs and p <= runs[-1][1] + 1:
+            runs[-1] = (runs[-1][0], p)
+        else:
+            runs.append((p, p))
+    gaps = sorted(range(1, len(runs)), key=lambda i: runs[i][0] - runs[i - 1][1])
+    close = set(gaps[:max(0, len(runs) - limit)])
+    out: list[tuple[int, int]] = []
+    for i, r in enumerate(runs):
+        if i in close:
+            out[-1] = (out[-1][0], r[1])
+        else:
+            out.append(r)
+    return out
+
+
+def prune(genome: Genome, intervals: DataFrame, start="start", end="end", chrom: str = "chrom",
+          max_pages: int = MAX_PAGES) -> Genome:
+    """A written store cut to what ``intervals`` can touch, for fetches of a small part of it.
+
+    One distinct over the intervals finds the pages (runs of ``PAGE`` chunks
+    of a contig) they touch.  Up to ``max_pages`` of them become literals: the contigs
+    are a partition filter, so other contigs' files are not listed or opened, and
+    the ranges of chunk ids are pushed to Parquet, which leaves out row groups by
+    their statistics.  With more pages than that no list is made: the contigs
+    alone prune, by a subquery that runs with the scan.  Rows outside
+    the ranges are never asked for, so a fetch gives the same rows.
+    """
+    width = genome.chunk_size * PAGE
+    s = F.greatest(_as_col(start, None).cast("bigint"), F.lit(0).cast("bigint"))
+    e = F.greatest(_as_col(end, None).cast("bigint"), s + 1)
+    touched = intervals.select(F.col(chrom).alias("chrom"), s.alias("_s"), e.alias("_e"))
+    # A disjoint interval is moved behind its border and reads nothing; the others read within [start, end).
+    touched = touched.join(genome.contigs.select(F.col("chrom").alias("_kc"), "length"), F.col("chrom") == F.col("_kc"))
+    last = F.least(F.col("_e"), F.col("length")) - 1
+    touched = touched.where(F.col("_s") <= last)
+    pages = touched.select("chrom", F.explode(F.sequence((F.col("_s") / width).cast("bigint"), (last / width).cast("bigint"))).alias("page")).distinct()
+    named = pages.limit(max_pages + 1).collect()
+    if len(named) > max_pages:
+        contigs = touched.agg(F.collect_set("chrom")).scalar()
+        return Genome(genome.chunks.where(F.array_contains(contigs, F.col("chrom"))), genome.contigs, genome.chunk_size, genome.halo)
+    ranges = _merged(sorted({r["page"] for r in named}), MAX_RANGES)
+    inside = F.lit(False)
+    for a, b in ranges:
+        inside = inside | F.col("chunk_id").between(a * PAGE, (b + 1) * PAGE - 1)
+    chunks = genome.chunks.where(F.col("chrom").isin(sorted({r["chrom"] for r in named})) & inside)
+    return Genome(chunks, genome.contigs, genome.chunk_size, genome.halo)
+
+
 def rechunk(genome: Genome, size: int, halo: int) -> Genome:
     """A finer view of the store for short lookups: sub-chunks of ``size``
     (dividing the chunk size) with ``halo`` (<= size, <= the store's halo).
@@ -194,6 +255,18 @@ def _as_col(v, default: Column) -> Column:
     return F.lit(v)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out evenly before work that is large for each row.
+
+    A scan's tasks are sized by the bytes they read, and a join with a broadcast
+    genome would leave all bases to be cut out and written in them.  The rows go through
+    a rebalancing exchange instead: round robin, so that a hot chunk is no task's own,
+    with as many tasks as the measured size of the rows asks for (AQE; at least the
+    cluster's parallelism).  A join that shuffles deals its side again by key, narrow rows both times.
+    """
+    return df.hint("rebalance")
+
+
 def fetch_intervals(genome: Genome, intervals: DataFrame, start="start", end="end",
                     chrom: str = "chrom", left=None, right=None, padding: str = "N",
                     no_padding: bool = False, reverse=None, out: str = "seq",
@@ -263,7 +336,7 @@ def _fetch_single(genome: Genome, df: DataFrame) -> DataFrame:
     the chunk that holds its start."""
     H = genome.halo
     # Empty intervals match no chunk; their negative ids spread them.
-    d = df.withColumn("_cid", F.when(F.col("_n") > 0, (F.col("_cs") / genome.chunk_size).cast("bigint"))
+    d = spread(df).withColumn("_cid", F.when(F.col("_n") > 0, (F.col("_cs") / genome.chunk_size).cast("bigint"))
                       .otherwise(-1 - F.pmod(F.xxhash64("_s0", "_e0"), F.lit(4096))))
     j = d.join(_chunk_side(genome), (F.col("_chrom") == F.col("_kc")) & (F.col("_cid") == F.col("_kid")), "left")
     core = (F.when(F.col("_n") > H, F.raise_error(F.lit(
@@ -283,6 +356,9 @@ def _fetch_distinct(genome: Genome, df: DataFrame) -> DataFrame:
     touched chunk exists.
     """
     C = genome.chunk_size
+    # Checked before any interval is cut into pieces.
+    df = df.withColumn("_cs", F.when(F.col("_n") <= MAX_INTERVAL, F.col("_cs")).otherwise(F.raise_error(F.lit(
+        f"interval of more than {MAX_INTERVAL} bases")).cast("bigint")))
     iv = (df.where(F.col("_n") > 0).select("_chrom", "_cs", "_ce").distinct()
           .withColumn("_cid", F.explode(F.sequence((F.col("_cs") / C).cast("bigint"),
                                                    ((F.col("_ce") - 1) / C).cast("bigint")))))
@@ -293,10 +369,7 @@ def _fetch_distinct(genome: Genome, df: DataFrame) -> DataFrame:
     core = (ex.groupBy(F.col("_chrom").alias("_dc"), F.col("_cs").alias("_ds"), F.col("_ce").alias("_de"))
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_cid", "_piece"))),
                                           lambda x: x["_piece"]), "").alias("_core")))
-    limit = F.when(F.col("_n") <= MAX_INTERVAL, F.col("_cs")).otherwise(F.raise_error(F.lit(
-        f"interval of more than {MAX_INTERVAL} bases")).cast("bigint"))
-    j = df.withColumn("_cs", limit).join(core, (F.col("_chrom") == F.col("_dc")) & (F.col("_cs") == F.col("_ds"))
-                                         & (F.col("_ce") == F.col("_de")), "left")
+    j = df.join(core, (F.col("_chrom") == F.col("_dc")) & (F.col("_cs") == F.col("_ds")) & (F.col("_ce") == F.col("_de")), "left")
     return j.withColumn("_core", F.coalesce("_core", F.lit(""))).drop("_dc", "_ds", "_de")
 
 
@@ -305,21 +378,33 @@ def _fetch_distinct(genome: Genome, df: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def kmer_counts(genome: Genome, k: int, left_pad: int = 0, right_pad: int = 0,
-                step: int = 1) -> DataFrame:
+                step: int = 1, keys: DataFrame | None = None) -> DataFrame:
     """Counts of the k-mers that F5 emits for each whole contig.
 
+    ``keys`` groups the counts: a table with the column ``chrom`` and one or
+    more columns to count by, such as the assembly or sample a contig belongs
+    to (a contig with several rows counts for each, one with none not at
+    all).  Without it the counts are of the whole genome.
+
     A chunk row holds what its items need: its own bases and, in ``ext``, the
     first bases of the next chunk; only the contig's first chunk adds the left
     pad and its last one the right pad.  Item i begins at contig position
     i - left_pad, and the chunk that holds this position emits it (the first
     chunk the items in the left pad, the last one those in the right pad).  The explode feeds a
-    map-side aggregation: the only shuffle is that of (kmer, count).
+    map-side aggregation: the only shuffle of counts is that of (keys, kmer, count).
+    The keys, a row or so for each contig, join the chunks before they are cut.
     """
     if k - 1 > genome.halo:
         raise ValueError(f"k - 1 must be at most the halo ({genome.halo})")
     lp, rp = left_pad, right_pad
     ends = genome.contigs.select(F.col("chrom").alias("_kc"), F.col("length").alias("_clen"))
-    ch = genome.chunks.join(ends, F.col("chrom") == F.col("_kc"))
+    ch = genome.chunks.join(ends, F.col("chrom") == F.col("_kc")).drop("_kc")
+    by = []
+    if keys is not None:
+        by = [c for c in keys.columns if c != "chrom"]
+        if not by:
+            raise ValueError("keys needs a column to count by besides chrom")
+        ch = ch.join(keys.withColumnRenamed("chrom", "_kc"), F.col("chrom") == F.col("_kc"))
     n = F.length("bases")
     first, last = F.col("chunk_start") == 0, F.col("chunk_start") + n >= F.col("_clen")
     left = F.when(first, F.lit(lp)).otherwise(0)
@@ -330,7 +415,7 @@ def kmer_counts(genome: Genome, k: int, left_pad: int = 0, right_pad: int = 0,
     # Items i in [lo, hi) of this chunk; there are as many items as bases.
     lo = F.when(first, F.lit(0)).otherwise(F.col("chunk_start") + lp)
     hi = F.least(F.when(last, F.col("_clen")).otherwise(F.col("chunk_start") + n + lp), F.col("_clen"))
-    ch = ch.select(text.alias("_text"), lo.alias("_lo"), (hi - lo).alias("_items"))
+    ch = ch.select(*by, text.alias("_text"), lo.alias("_lo"), (hi - lo).alias("_items"))
     items = kmer_items(F.col("_text"), k, F.greatest(F.col("_items"), F.lit(0)), step, F.pmod(F.col("_lo"), F.lit(step)))
-    return (ch.where(F.col("_items") > 0).select(F.explode(items).alias("kmer"))
-            .groupBy("kmer").agg(F.count(F.lit(1)).cast("bigint").alias("n")))
+    return (ch.where(F.col("_items") > 0).select(*by, F.explode(items).alias("kmer"))
+            .groupBy(*by, "kmer").agg(F.count(F.lit(1)).cast("bigint").alias("n")))

@@ -23,6 +23,7 @@ def prepare_genes(annotation: DataFrame, exclude_paralogs: bool = False,
 
     Output: gene, paralog, chrom, strand, tx_start (0-based), tx_end,
     jn_start ARRAY<BIGINT>, jn_end ARRAY<BIGINT> (0-based).
+    ``line_no`` (file order) is kept if there.
     ``exclude_paralogs`` (P1) is a plain filter, pushed below everything.
     """
     df = annotation
@@ -36,6 +37,7 @@ def prepare_genes(annotation: DataFrame, exclude_paralogs: bool = False,
         F.col("tx_end").cast("bigint").alias("tx_end"),
         parse_positions("jn_start", compat_positions).alias("jn_start"),
         parse_positions("jn_end", compat_positions).alias("jn_end"),
+        *[c for c in ("line_no",) if c in df.columns],
     )
 
 

@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import log_softmax
-from ..session import materialize
-from .ranking import value_ranks
+from .ranking import rank_in_place, value_ranks
 
 
 def _nan():
@@ -26,7 +25,7 @@ def _lerp(a, b, t):
 
 
 def topk_precision(df: DataFrame, keys, label: str = "label", score: str = "score",
-                   buckets: int | None = None) -> DataFrame:
+                   ranges: int | None = None) -> DataFrame:
     """A3: q = linear quantile of the scores at 1 - n_pos/n; value =
     #(positives with score >= q) / max(1, #(score >= q)).  NaN when a key
     has no positive.  Labels must be 0/1.
@@ -38,7 +37,7 @@ def topk_precision(df: DataFrame, keys, label: str = "label", score: str = "scor
     before it is known: one aggregate gives the metric.
     """
     keys = list(keys)
-    r = value_ranks(df, keys, score, label, buckets)
+    r = value_ranks(df, keys, score, label, ranges)
     n, npos = F.col("n").cast("double"), F.col("n_pos").cast("double")
     h = (n - 1) * (F.lit(1.0) - npos / n)
     r = r.withColumn("_h", h).withColumn("_lo", F.floor(h).cast("bigint"))
@@ -61,12 +60,12 @@ def topk_precision(df: DataFrame, keys, label: str = "label", score: str = "scor
 
 
 def average_precision(df: DataFrame, keys, label: str = "label", score: str = "score",
-                      buckets: int | None = None) -> DataFrame:
+                      ranges: int | None = None) -> DataFrame:
     """A4: sum over distinct thresholds (descending) of
     (positives at the threshold / n_pos) * precision at the threshold.
     NaN without positives."""
     keys = list(keys)
-    r = value_ranks(df, keys, score, label, buckets)
+    r = value_ranks(df, keys, score, label, ranges)
     prec = (F.col("n_pos") - F.col("pos_before")) / (F.col("n") - F.col("cnt_before"))
     return (r.groupBy(*keys)
             .agg(F.first("n").alias("n"), F.first("n_pos").alias("n_pos"),
@@ -88,31 +87,29 @@ def pearson(df: DataFrame, x: str, y: str, keys=()) -> DataFrame:
                                  pearson_expr(x, y).alias("pearson"))
 
 
-def spearman(df: DataFrame, x: str, y: str, keys=(), buckets: int | None = None) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, keys=(), ranges: int | None = None) -> DataFrame:
     """Pearson of average ranks (scipy spearmanr) over complete pairs: rows
     with a NULL are left out before ranking; a NaN makes the result NaN.
 
-    Equal pairs are collapsed first, so ties cost one row each.  The mean of
-    average ranks is (n + 1) / 2, which centres the weighted moments.
+    Equal pairs are collapsed first, so ties cost one row each, and both
+    rankings are passes over these pairs (``rank_in_place``): the pairs are dealt by
+    the ranges of one column, get their rank there, and carry it to the ranges of the
+    other.  No pair is joined on a value, so one that fills a large share
+    of the rows is no hot key.  The mean of average ranks is (n + 1) / 2, which
+    centres the weighted moments.
     """
     keys = list(keys)
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    pairs = materialize(d.groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
-                        .agg(F.count(F.lit(1)).cast("bigint").alias("_w")))
+    pairs = d.groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).cast("bigint").alias("_w"))
     # The column's own type may hold no NaN (decimals, integers).
     nan = [F.isnan(c) for c in ("_x", "_y") if dict(pairs.dtypes)[c] in ("double", "float")]
     bad = F.lit(False)
     for c in nan:
         bad = bad | c
-    for c, out in (("_x", "_rx"), ("_y", "_ry")):
-        r = value_ranks(pairs, keys, c, None, buckets, weight="_w")
-        r = r.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("value").alias("_v"),
-                     (F.col("cnt_before") + (F.col("cnt") + 1) / 2.0 - (F.col("n") + 1) / 2.0).alias(out))
-        on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col(c) == F.col("_v")]
-        cond = on[0]
-        for more in on[1:]:
-            cond = cond & more
-        pairs = pairs.join(r, cond).drop("_v", *[f"_k_{k}" for k in keys])
+    for c, other, out in (("_x", "_y", "_rx"), ("_y", "_x", "_ry")):
+        pairs = rank_in_place(pairs, keys, c, ["_w"], [other], ranges)
+        rank = F.col("_w_before") + (F.col("_w_here") + 1) / 2.0 - (F.col("_w_all") + 1) / 2.0
+        pairs = pairs.withColumn(out, rank).drop("_w_before", "_w_here", "_w_all")
 
     def moment(a, b):
         return F.sum(F.col("_w") * F.col(a) * F.col(b))

@@ -1,37 +1,100 @@
 """Global ranks and running aggregates without a single-task window (H1/H2).
 
 ``Window.partitionBy(key).orderBy(v)`` puts a whole key in one task; with a
-key holding a third of the rows that task holds a third of the data.  Both
-helpers here split the order into buckets: bucket totals form a small table
-whose running carries come from a window over at most ``buckets`` rows per
-key, and the exact in-bucket running values come from a window over one
-bucket only.
+key holding a third of the rows that task holds a third of the data.  Ranks
+go through a range exchange instead: rows sorted by (key, value) are dealt to ranges
+of equal size wherever keys begin and end, the exact running values inside a range
+come from a window over that range, and what lies before it from the totals of the ranges, a
+table of one row for each key and range.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
+def _same(keys: list[str], left: str = "{}", right: str = "_k_{}") -> Column:
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(left.format(k)).eqNullSafe(F.col(right.format(k)))
+    return cond
+
+
+def rank_in_place(df: DataFrame, keys, value: str, weights: list[str], ties=(), ranges: int | None = None) -> DataFrame:
+    """Add to each row, for each column ``w`` of ``weights`` (sums of it, not
+    negative): ``w_before`` over the key's rows of smaller ``value``, ``w_here``
+    over those of equal value, and ``w_all`` over the key.
+
+    The rows are written once, range-partitioned by (keys, value, ties) into
+    ``ranges`` parts, or into as many as the session's shuffle partitions and AQE's sizes
+    give; a row's part is a column from then on.  ``ties`` names columns that
+    tell rows of one value apart, so that a value with a large share of the rows is
+    cut like any other stretch.  No row is joined on its value: such a value
+    begins or ends each part it is in, so the table of parts (one row for each key and part: its first
+    and last value with their weights, and its totals) knows all there is to know
+    about it.  NULL values must be left out before; NaN is the largest value.
+    """
+    keys = list(keys)
+    order = [*keys, value, *ties]
+    dealt = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+    dealt = materialize(dealt.withColumn("_part", F.spark_partition_id()))
+    kp = [*keys, "_part"]
+    inside = Window.partitionBy(*kp).orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
+    equal = Window.partitionBy(*kp, value)
+    for w in weights:
+        dealt = dealt.withColumn(f"{w}_here", F.sum(w).over(equal)).withColumn(f"{w}_before", F.sum(w).over(inside) - F.col(f"{w}_here"))
+
+    # One row for each key and part.
+    parts = dealt.groupBy(*kp).agg(
+        F.min(value).alias("_lo"), F.max(value).alias("_hi"), *[F.sum(w).alias(f"_t_{w}") for w in weights],
+        *[F.min_by(f"{w}_here", value).alias(f"_l_{w}") for w in weights], *[F.max_by(f"{w}_here", value).alias(f"_h_{w}") for w in weights])
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    for w in weights:
+        parts = parts.withColumn(f"_c_{w}", F.coalesce(F.sum(f"_t_{w}").over(before), F.lit(0))).withColumn(f"_a_{w}", F.sum(f"_t_{w}").over(whole))
+    # The values at the edges of parts, each with the weight it has in its part and what the key has before it there.
+    def edge(which: str, v: str) -> Column:
+        fields = []
+        for w in weights:
+            fields.append(F.col(f"_{which}_{w}").alias(f"_e_{w}"))
+            fields.append((F.col(f"_c_{w}") if which == "l" else F.col(f"_c_{w}") + F.col(f"_t_{w}") - F.col(f"_h_{w}")).alias(f"_f_{w}"))
+        return F.struct(F.lit(which).alias("_side"), F.col(v).alias("_v"), *fields)
+
+    edges = F.when(F.col("_lo") == F.col("_hi"), F.array(edge("l", "_lo"))).otherwise(F.array(edge("l", "_lo"), edge("h", "_hi")))
+    sums = [F.col(f"{p}_{w}") for w in weights for p in ("_c", "_a")]
+    e = parts.select(*kp, *sums, "_lo", "_hi", F.inline(edges))
+    at = Window.partitionBy(*keys, "_v")
+    for w in weights:
+        # What lies before a value grows along the parts, so the least is that of its first part.
+        e = e.withColumn(f"_f_{w}", F.min(f"_f_{w}").over(at)).withColumn(f"_e_{w}", F.sum(f"_e_{w}").over(at))
+    both = F.struct(*[F.col(f"{p}_{w}") for w in weights for p in ("_f", "_e")])
+    table = e.groupBy(*[F.col(k).alias(f"_k_{k}") for k in kp]).agg(
+        F.max(F.when(F.col("_side") == "l", both)).alias("_first"), F.max(F.when(F.col("_side") == "h", both)).alias("_last"),
+        F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"), *[F.max(f"{p}_{w}").alias(f"{p}_{w}") for w in weights for p in ("_c", "_a")])
+
+    out = dealt.join(table, _same(kp))
+    first, last = F.col(value) == F.col("_lo"), F.col(value) == F.col("_hi")
+    cols = [c for c in dealt.columns if c != "_part" and c not in {f"{w}_{s}" for w in weights for s in ("here", "before")}]
+    new = []
+    for w in weights:
+        new.append(F.when(first, F.col(f"_first._f_{w}")).when(last, F.col(f"_last._f_{w}")).otherwise(F.col(f"_c_{w}") + F.col(f"{w}_before")).alias(f"{w}_before"))
+        new.append(F.when(first, F.col(f"_first._e_{w}")).when(last, F.col(f"_last._e_{w}")).otherwise(F.col(f"{w}_here")).alias(f"{w}_here"))
+        new.append(F.col(f"_a_{w}").alias(f"{w}_all"))
+    return out.select(*cols, *new)
+
 
 def value_ranks(df: DataFrame, keys, value: str, positive: str | None = None,
-                buckets: int | None = None, accuracy: int = 10000, weight: str | None = None,
-                bucket_rows: int = 200_000) -> DataFrame:
+                ranges: int | None = None) -> DataFrame:
     """Distinct values per key with their counts and the counts before them.
 
-    Output: keys, value, ``cnt`` (rows with this value, or the sum of
-    ``weight``), ``pos`` (sum of the 0/1 column ``positive``, 0 if None),
-    ``cnt_before`` / ``pos_before`` (the same over strictly smaller values),
-    ``n`` / ``n_pos`` (key totals).
+    Output: keys, value, ``cnt`` (rows with this value), ``pos`` (sum of the
+    0/1 column ``positive``, 0 if None), ``cnt_before`` / ``pos_before`` (the same
+    over strictly smaller values), ``n`` / ``n_pos`` (key totals).  NULL values are left out.
 
     Ties are collapsed first (a partial aggregation), so a hot value is one
-    row.  The distinct values are written once and cut into value ranges per
-    key, as many as their count asks for (``bucket_rows`` values each, or
-    ``buckets``).  The bounds of the ranges are approximate quantiles, computed
-    once and written as well: all parts of the plan read the same bounds, so
-    the sketch decides how even the ranges are and nothing else.
+    row; the distinct values are ranked by ``rank_in_place``.
     """
     keys = list(keys)
     if positive:
@@ -39,55 +102,10 @@ def value_ranks(df: DataFrame, keys, value: str, positive: str | None = None,
         posc = F.when(label.isin(0, 1), label).otherwise(F.raise_error(F.lit("labels must be 0 or 1")).cast("bigint"))
     else:
         posc = F.lit(0).cast("bigint")
-    cnt = F.sum(weight) if weight else F.count(F.lit(1))
-    dist = materialize(df.where(F.col(value).isNotNull())
-                       .groupBy(*keys, F.col(value).alias("value"))
-                       .agg(cnt.cast("bigint").alias("cnt"), F.sum(posc).cast("bigint").alias("pos")))
-    if buckets is None:
-        buckets = max(1, -(-dist.count() // bucket_rows))
-    dist = _ranges(dist, keys, buckets, accuracy)
-    kb = keys + ["_bk"]
-    wk = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    wall = Window.partitionBy(*keys)
-    carries = (dist.groupBy(*kb).agg(F.sum("cnt").alias("_bc"), F.sum("pos").alias("_bp"))
-               .withColumn("_cc", F.coalesce(F.sum("_bc").over(wk), F.lit(0)))
-               .withColumn("_cp", F.coalesce(F.sum("_bp").over(wk), F.lit(0)))
-               .withColumn("n", F.sum("_bc").over(wall).cast("bigint"))
-               .withColumn("n_pos", F.sum("_bp").over(wall).cast("bigint"))
-               .select(*[F.col(k).alias(f"_k_{k}") for k in kb], "_cc", "_cp", "n", "n_pos"))
-    same = F.col("_bk") == F.col("_k__bk")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    wb = Window.partitionBy(*kb).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    return (dist.join(carries, same).drop(*[f"_k_{k}" for k in kb])
-            .withColumn("cnt_before", (F.col("_cc") + F.coalesce(F.sum("cnt").over(wb), F.lit(0))).cast("bigint"))
-            .withColumn("pos_before", (F.col("_cp") + F.coalesce(F.sum("pos").over(wb), F.lit(0))).cast("bigint"))
-            .drop("_cc", "_cp", "_bk"))
-
-
-MAX_BROADCAST_BOUNDS = 1_000_000
-
-
-def _ranges(dist: DataFrame, keys: list[str], buckets: int, accuracy: int) -> DataFrame:
-    """Add ``_bk``: a value range, non-decreasing in ``value`` within a key."""
-    if buckets <= 1:
-        return dist.withColumn("_bk", F.lit(0))
-    sketch = F.percentile_approx("value", [i / buckets for i in range(1, buckets)], accuracy).alias("_bounds")
-    if not keys:
-        # One global group: its bounds come back as literals (a join on a
-        # constant key would be planned as a cross join).
-        row = dist.agg(sketch).first()
-        bounds = F.array(*[F.lit(b) for b in sorted(set(row["_bounds"] or []))]) if row else F.array()
-        return dist.withColumn("_bk", F.size(F.filter(bounds, lambda b: b < F.col("value"))))
-    bounds = materialize(dist.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(sketch))
-    if bounds.count() * buckets <= MAX_BROADCAST_BOUNDS:  # else the keys are many, and a shuffle by key is even
-        bounds = F.broadcast(bounds)
-    same = None
-    for k in keys:
-        c = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-        same = c if same is None else same & c
-    return (dist.join(bounds, same).withColumn("_bk", F.size(F.filter("_bounds", lambda b: b < F.col("value"))))
-            .drop("_bounds", *[f"_k_{k}" for k in keys]))
+    dist = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value"))
+            .agg(F.count(F.lit(1)).cast("bigint").alias("cnt"), F.sum(posc).cast("bigint").alias("pos")))
+    r = rank_in_place(dist, keys, "value", ["cnt", "pos"], ranges=ranges)
+    return r.select(*keys, "value", "cnt", "pos", F.col("cnt_all").alias("n"), F.col("pos_all").alias("n_pos"), "cnt_before", "pos_before")
 
 
 def running(df: DataFrame, keys, order: str, col: str, func: str = "sum",

@@ -46,16 +46,12 @@ def assign_split(windows: DataFrame, test_chroms=DEFAULT_TEST_CHROMS,
     val   = every window of num_val_genes genes drawn from non-test, paralog-0 genes
     train = non-test chromosome, not val (paralogs allowed)
     Paralog windows on test chromosomes belong to no split.
-    A pool smaller than the draw is an error (checked with one count of the
-    bounded draw when ``check``).
+    A pool smaller than the draw is an error: with ``check`` the size of the
+    draw is a subquery of the result's own plan, which raises when it runs.
     """
     is_test = F.col("chrom").isin(list(test_chroms))
     pool = distinct_genes(windows.where(~is_test & (F.col("paralog") == 0)))
     val = draw_genes(pool, num_val_genes, seed)
-    if check:
-        got = val.count()
-        if got < num_val_genes:
-            raise ValueError(f"cannot draw {num_val_genes} validation genes from a pool of {got}")
     # The draw holds at most num_val_genes rows; a small number is broadcast,
     # with a larger one the planner joins by gene.
     val = val.withColumn("_val", F.lit(True))
@@ -65,7 +61,13 @@ def assign_split(windows: DataFrame, test_chroms=DEFAULT_TEST_CHROMS,
              .when(is_test, F.lit(None).cast("string"))
              .when(F.col("_val"), F.lit("val"))
              .otherwise(F.lit("train")))
-    return windows.join(val, "gene", "left").withColumn("split", split).drop("_val")
+    out = windows.join(val, "gene", "left").withColumn("split", split).drop("_val")
+    if check:
+        got = draw_genes(pool, num_val_genes, seed).agg(F.count(F.lit(1))).scalar()
+        enough = F.when(got >= num_val_genes, F.lit(True)).otherwise(F.raise_error(F.concat(
+            F.lit(f"cannot draw {num_val_genes} validation genes from a pool of "), got.cast("string"))).cast("boolean"))
+        out = out.where(enough)
+    return out
 
 
 def split_summary(windows: DataFrame) -> DataFrame:
@@ -82,29 +84,41 @@ def split_summary(windows: DataFrame) -> DataFrame:
 BUCKET_HEX = 4
 
 
+# Lines of an annotation that share a bucket of the file order.
+ORDER_BLOCK = 1024
+
+
 def shuffle_batches(windows: DataFrame, batch_size: int, seed: int = 0, epoch: int = 0,
                     split_col: str = "split", key_cols=("gene", "tile"),
-                    shuffle_values=("train",)) -> DataFrame:
+                    shuffle_values=("train",), order_col: str = "line_no") -> DataFrame:
     """Order each split and cut it into batches of ``batch_size``.
 
     Training rows are ordered by md5(seed:epoch:key) (a fresh permutation per
-    epoch); other splits keep a fixed order: md5(gene) then the key (all
-    tiles of a gene stay together).  The last batch may be partial.
-    Windows of no split (NULL) belong to no loader and are left out.  Adds
-    ``batch_id`` and ``batch_pos``.
+    epoch).  Other splits keep the order of the input: the number of the gene's
+    line in the annotation (``order_col``, from ``read_annotation(line_order=True)``), then
+    the key.  Windows without that column are ordered by md5(gene), then the
+    key, which also keeps the tiles of a gene together.  The last batch may be
+    partial.  Windows of no split (NULL) belong to no loader and are left out.
+    Adds ``batch_id`` and ``batch_pos``.
 
     The global rank is computed without a single-task window: rows are
-    bucketed by the first hex digits of their key, bucket sizes (a table of
-    at most 65536 rows per split) get running offsets, and rows are numbered
-    inside their bucket only.
+    bucketed by the first hex digits of their hash or by ``ORDER_BLOCK`` lines of
+    the file, bucket sizes (at most 65536 rows for a shuffled split, one for each
+    block of lines for an ordered one) get running offsets, and rows
+    are numbered inside their bucket only.
     """
     windows = windows.where(F.col(split_col).isNotNull())
     kc = [F.col(c).cast("string") for c in key_cols]
     shuffled = F.col(split_col).isin(list(shuffle_values))
-    h = F.when(shuffled, F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), *kc))) \
-         .otherwise(F.md5(F.col("gene").cast("string")))
-    df = windows.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, BUCKET_HEX))
-    order = [F.col("_h")] + [F.col(c) for c in key_cols]
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), *kc))
+    by_hash = lambda h: F.conv(F.substring(h, 1, BUCKET_HEX), 16, 10).cast("bigint")
+    if order_col in windows.columns:
+        df = windows.withColumn("_h", F.when(shuffled, drawn)).withColumn("_o", F.when(~shuffled, F.col(order_col)))
+        df = df.withColumn("_b", F.coalesce(by_hash(F.col("_h")), F.expr(f"_o div {ORDER_BLOCK}")))
+    else:
+        df = windows.withColumn("_h", F.when(shuffled, drawn).otherwise(F.md5(F.col("gene").cast("string")))).withColumn("_o", F.lit(0))
+        df = df.withColumn("_b", by_hash(F.col("_h")))
+    order = [F.col("_o"), F.col("_h")] + [F.col(c) for c in key_cols]
     sizes = (df.groupBy(split_col, "_b").agg(F.count(F.lit(1)).alias("_n"))
              .withColumn("_off", F.coalesce(F.sum("_n").over(
                  Window.partitionBy(split_col).orderBy("_b")
@@ -115,7 +129,7 @@ def shuffle_batches(windows: DataFrame, batch_size: int, seed: int = 0, epoch: i
                   Window.partitionBy(split_col, "_b").orderBy(*order))))
     return (ranked.withColumn("batch_id", (F.col("_r") / batch_size).cast("bigint"))
             .withColumn("batch_pos", (F.col("_r") % batch_size).cast("bigint"))
-            .drop("_h", "_b", "_off", "_r"))
+            .drop("_h", "_o", "_b", "_off", "_r"))
 
 
 def hash_fraction(key) -> "F.Column":

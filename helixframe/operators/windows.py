@@ -7,10 +7,12 @@ Window key: (gene, tile).
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GENE_COLS = ["gene", "paralog", "chrom", "strand", "tx_start", "tx_end"]
+GENE_COLS = ["gene", "paralog", "chrom", "strand", "tx_start", "tx_end", "line_no"]  # line_no: if the genes have it
 
 
 def tile(genes: DataFrame, window: int) -> DataFrame:
@@ -42,8 +44,11 @@ def jitter(windows: DataFrame, shift: int, seed: int = 0, epoch: int = 0,
     """P5: training windows only: start += uniform integer in [-shift, shift].
 
     The draw is keyed by (seed, epoch, gene, tile).  Without a split column
-    the shift is not applied (the reference warns in that case)."""
-    if shift <= 0 or split_col not in windows.columns:
+    no window is known to be for training: the shift is not applied, with a warning."""
+    if shift <= 0:
+        return windows
+    if split_col not in windows.columns:
+        warnings.warn(f"no column {split_col!r}: windows are not shifted; assign splits first", stacklevel=2)
         return windows
     key = F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), F.col("gene"),
                       F.col("tile").cast("string"))

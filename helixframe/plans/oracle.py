@@ -280,6 +280,10 @@ ORACLE = {
     "fetch_long": _with("repeated") + """
         select gene, cast(length(fseq) as bigint) seq_len, md5(fseq) seq_md5 from """ + _fetch(
         "repeated", "start_pos", f"end_pos + {2 * P.CHUNK}"),
+    "fetch_pruned": _with("intervals", "contig_seq") + """
+        select gene, cast(length(fseq) as bigint) seq_len, md5(fseq) seq_md5 from """ + _fetch(
+        f"(select i.*, c.seq, c.len clen from intervals i join contig_seq c on c.chrom = i.chrom where i.chrom in ('chr4', 'chr11') and end_pos <= {2 * P.CHUNK})",
+        "start_pos", "end_pos"),
     "window_sequences": _with("jittered", "contig_seq") + f"""
         select gene, cast(tile as bigint) tile, cast(length(wseq) as bigint) seq_len, md5(wseq) seq_md5 from (
           select *, case when strand = '-' then reverse(translate(w, 'ACGTUNacgtun', 'TGCAANtgcaan')) else w end wseq
@@ -308,6 +312,11 @@ ORACLE = {
     "read_fasta_lines": _with("fasta_lines") + """
         select chrom, row_number() over (partition by chrom order by line_no) n, md5(bases) bases_md5 from fasta_lines where bases <> ''""",
     "read_fasta_records": _with("contig_seq") + "select chrom as name, len length, md5(seq) bases_md5 from contig_seq",
+    "read_fasta_pieces": _with("contig_seq") + f"""
+        select chrom as name, cast(i as bigint) piece, cast(i * {P.PIECE} as bigint) as start, len length, md5(substr(seq, i * {P.PIECE} + 1, {P.PIECE})) bases_md5
+        from contig_seq, unnest(range(0, (len + {P.PIECE - 1}) // {P.PIECE})) t(i)""",
+    "read_equal_records": _with("fasta_lines") + """
+        select 's' || cast(line_no as varchar) as name, cast(40 as bigint) length, md5(substr(bases, 1, 40)) bases_md5 from fasta_lines where length(bases) >= 40""",
     "read_activity": _with("grouped") + "select grp as group, ordinal, dev y_dev, hk y_hk from grouped".replace("as group", 'as "group"'),
     "positional_join": _with("grouped") + """
         select grp as "group", ordinal, 's' || cast(line_no as varchar) as name, md5(bases) bases_md5, dev y_dev from grouped""",
@@ -354,6 +363,9 @@ ORACLE = {
                when 'T' then 'A' when 'U' then 'A' when 'N' then 'N' when 'a' then 't' when 'c' then 'g'
                when 'g' then 'c' when 't' then 'a' when 'u' then 'a' when 'n' then 'n' end)), '') end) rc_md5
         from fasta_lines""",
+    "reverse_complement_codes": _with("fasta_lines") + """
+        select line_no, md5(rc) digits_md5, md5(rc) array_md5 from (
+          select line_no, reverse(translate(translate(upper(bases), 'ACGTUN', '123440'), '01234', '04321')) rc from fasta_lines)""",
     "kmers": _with("fasta_lines") + f"""
         select line_no, cast(len(km) as bigint) n_kmers, md5(array_to_string(km, ',')) kmers_md5 from (
           select line_no, list_transform(range(0, length(bases), {P.KMER_STEP}),
@@ -363,6 +375,12 @@ ORACLE = {
         select substr(repeat('N', {P.KMER_LEFT}) || seq || repeat('N', {P.KMER_RIGHT}), i + 1, {P.KMER_K}) kmer,
                cast(count(*) as bigint) n
         from contig_seq, unnest(range(0, len, {P.KMER_STEP})) t(i) group by kmer""",
+    "kmer_counts_by_key": _with("contig_seq") + f"""
+        , g as (select chrom, substr(repeat('N', {P.KMER_LEFT}) || seq || repeat('N', {P.KMER_RIGHT}), i + 1, {P.KMER_K}) kmer
+                   from contig_seq, unnest(range(0, len, {P.KMER_STEP})) t(i))
+        select chrom as key, kmer, cast(count(*) as bigint) n from g group by all
+        union all
+        select case when cast(substr(chrom, 4) as int) % 2 = 0 then 'even' else 'odd' end, kmer, cast(count(*) as bigint) from g group by all""",
     "softmax_scores": _with("probs") + """
         select vec_id, cast(model as bigint) model, round(p0, 6) p0, round(p1, 6) p1, round(p2, 6) p2 from probs""",
     "half_precision": _with("scored") + f"select event_id, {_half('score')} half from scored",
@@ -422,6 +440,9 @@ ORACLE = {
         select run_id, cast(epoch as bigint) epoch,
                round(avg(val_score) over (partition by run_id order by epoch
                      range between {P.TRAILING_N - 1} preceding and current row), 6) trailing_mean from epoch_log""",
+    "trailing_mean_100": _with("epoch_log") + """
+        select run_id, cast(epoch as bigint) epoch,
+               round(avg(val_score) over (partition by run_id order by epoch range between 99 preceding and current row), 12) trailing_mean from epoch_log""",
     "best_epoch": _with("progress") + """
         select run_id, cast(any_value(stop_epoch) as bigint) stop_epoch, cast(count(*) as bigint) n_epochs,
                cast(max(case when improved then epoch end) as bigint) best_epoch,
@@ -448,6 +469,14 @@ ORACLE = {
             select *, case when split = 'train'
                            then md5('{P.SEED}:{P.EPOCH}:' || gene || ':' || cast(tile as varchar))
                            else md5(gene) end h from split_tiles where split is not null))""",
+    "shuffle_batches_file_order": _with("split_tiles") + f"""
+        , l as (select gene, row_number() over (order by chrom, tx_start, gene) - 1 line_no from annotation)
+        select gene, cast(tile as bigint) tile, split, line_no, cast(r // {P.ORDER_BATCH} as bigint) batch_id,
+               cast(r % {P.ORDER_BATCH} as bigint) batch_pos from (
+          select *, row_number() over (partition by split order by o, h, gene, tile) - 1 r from (
+            select s.*, line_no, case when split <> 'train' then line_no end o,
+                   case when split = 'train' then md5('{P.SEED}:{P.EPOCH}:' || gene || ':' || cast(tile as varchar)) end h
+            from split_tiles s join l using (gene) where split is not null))""",
     "sample_fraction": _with("tiles") + f"""
         select gene, cast(tile as bigint) tile from tiles
         where cast('0x' || substr(md5('{P.SEED}:' || gene || ':' || cast(tile as varchar)), 1, 8) as bigint)

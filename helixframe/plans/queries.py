@@ -12,7 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import encode, kmers, reverse_complement
+from ..functions.sequence import (digits_to_array, encode, kmers, reverse_complement, reverse_complement_array,
+                                  reverse_complement_codes)
 from ..operators import genome as gn
 from ..functions.scores import center_slice, class_logits, one_vs_rest, round_half_precision, softmax
 from ..operators import labels, metrics, runs, samples, scoring, splits, windows
@@ -74,17 +75,18 @@ def q_window_jitter(spark, sf_dir):
     return w.select("gene", "tile", "split", "start", "end", "lab_lo", "lab_hi")
 
 
-_STORES: dict = {}
+def _genome(spark, sf_dir) -> gn.Genome:
+    """The genome store of ``sf_dir``, read from its written form.
 
+    It is built and published once below the shared folder (S7) for each state of the
+    source files, as a pipeline converts its FASTA once and fetches
+    from the store many times; every query and session after that finds it there."""
+    def write(path):
+        gn.write_genome(gn.build_genome(fx.fasta_lines(spark, sf_dir), P.CHUNK, P.HALO), path)
 
-def _genome(spark, sf_dir) -> gn.Genome:
-    """The genome store for ``sf_dir``: built once per session (S6, written
-    to the shared checkpoint folder) and then only read, as a pipeline
-    converts its FASTA once and fetches from the store many times."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), P.CHUNK, P.HALO)
-    if key not in _STORES:
-        _STORES[key] = gn.build_genome(fx.fasta_lines(spark, sf_dir), P.CHUNK, P.HALO, checkpoint=True)
-    return _STORES[key]
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/genomes"
+    source = f"{sf_dir.rstrip('/')}/documents.parquet"
+    return gn.read_genome(spark, sinks.publish(spark, root, source, {"chunk": P.CHUNK, "halo": P.HALO}, write))
 
 
 def _jittered(spark, sf_dir) -> DataFrame:
@@ -146,6 +148,13 @@ def q_fetch_long(spark, sf_dir):
     return _fetch_out(gn.fetch_intervals(_genome(spark, sf_dir), iv, "start_pos", "end_pos"))
 
 
+def q_fetch_pruned(spark, sf_dir):
+    """Intervals of the first bases of two contigs, from a store cut to the pages they touch."""
+    iv = fx.intervals(spark, sf_dir).where(F.col("chrom").isin("chr4", "chr11") & (F.col("end_pos") <= 2 * P.CHUNK))
+    g = gn.prune(_genome(spark, sf_dir), iv, "start_pos", "end_pos")
+    return _fetch_out(gn.fetch_intervals(g, iv, "start_pos", "end_pos"))
+
+
 def q_window_sequences(spark, sf_dir):
     w = samples.window_sequences(_jittered(spark, sf_dir), _genome(spark, sf_dir), span=P.WINDOW + 2 * P.FLANK)
     return w.select("gene", "tile", F.length("seq").cast("bigint").alias("seq_len"),
@@ -210,6 +219,14 @@ def q_reverse_complement(spark, sf_dir):
     return _lines(spark, sf_dir).select("line_no", F.md5(reverse_complement("bases")).alias("rc_md5"))
 
 
+def q_reverse_complement_codes(spark, sf_dir):
+    """The integer form: as digits and as an array, on the codes of each line."""
+    codes = _lines(spark, sf_dir).select("line_no", encode("bases", "nfirst").alias("codes"))
+    digits = reverse_complement_codes("codes")
+    array = F.array_join(reverse_complement_array(digits_to_array("codes")), "")
+    return codes.select("line_no", F.md5(digits).alias("digits_md5"), F.md5(array).alias("array_md5"))
+
+
 def q_kmers(spark, sf_dir):
     k = kmers("bases", P.KMER_K, P.KMER_LEFT, P.KMER_RIGHT, P.KMER_STEP)
     return _lines(spark, sf_dir).select("line_no", F.size(k).cast("bigint").alias("n_kmers"),
@@ -220,6 +237,15 @@ def q_kmer_counts(spark, sf_dir):
     return gn.kmer_counts(_genome(spark, sf_dir), P.KMER_K, P.KMER_LEFT, P.KMER_RIGHT, P.KMER_STEP)
 
 
+def q_kmer_counts_by_key(spark, sf_dir):
+    """By contig, and by the parity of the contig's number."""
+    g = _genome(spark, sf_dir)
+    number = F.substring("chrom", 4, 9).cast("int") % 2
+    keys = g.contigs.select("chrom", F.col("chrom").alias("key")).unionByName(
+        g.contigs.select("chrom", F.when(number == 0, "even").otherwise("odd").alias("key")))
+    return gn.kmer_counts(g, P.KMER_K, P.KMER_LEFT, P.KMER_RIGHT, P.KMER_STEP, keys=keys)
+
+
 def _r6(c):
     return F.round(c, 6)
 
@@ -278,25 +304,25 @@ def _topk_out(df, keys):
 
 
 def q_topk_precision(spark, sf_dir):
-    t = metrics.topk_precision(_ovr(spark, sf_dir), ["model", "class"], buckets=P.RANK_BUCKETS)
+    t = metrics.topk_precision(_ovr(spark, sf_dir), ["model", "class"])
     return _topk_out(t.withColumn("model", F.col("model").cast("bigint")), ["model", "class"])
 
 
 def q_topk_precision_scored(spark, sf_dir):
     s = fx.scored(spark, sf_dir).withColumn("score", round_half_precision("score"))
-    t = metrics.topk_precision(s, [], buckets=P.RANK_BUCKETS)
+    t = metrics.topk_precision(s, [])
     return _topk_out(t, [])
 
 
 def q_average_precision(spark, sf_dir):
-    a = metrics.average_precision(_ovr(spark, sf_dir), ["model", "class"], buckets=P.RANK_BUCKETS)
+    a = metrics.average_precision(_ovr(spark, sf_dir), ["model", "class"])
     return a.select(F.col("model").cast("bigint").alias("model"), "class", F.col("n").cast("bigint").alias("n"),
                     F.col("n_pos").cast("bigint").alias("n_pos"), _r6("average_precision").alias("average_precision"))
 
 
 def q_average_precision_scored(spark, sf_dir):
     s = fx.scored(spark, sf_dir).withColumn("score", round_half_precision("score"))
-    a = metrics.average_precision(s, [], buckets=P.RANK_BUCKETS)
+    a = metrics.average_precision(s, [], ranges=P.RANGES)
     return a.select(F.col("n").cast("bigint").alias("n"), F.col("n_pos").cast("bigint").alias("n_pos"),
                     _r6("average_precision").alias("average_precision"))
 
@@ -304,14 +330,14 @@ def q_average_precision_scored(spark, sf_dir):
 def q_ensemble_topk(spark, sf_dir):
     o = _ovr(spark, sf_dir, rounded=False)
     e = metrics.ensemble_mean(o, ["vec_id", "class"]).withColumn("score", round_half_precision("score"))
-    t = metrics.topk_precision(e, ["class"], buckets=P.RANK_BUCKETS)
-    a = metrics.average_precision(e, ["class"], buckets=P.RANK_BUCKETS)
+    t = metrics.topk_precision(e, ["class"])
+    a = metrics.average_precision(e, ["class"])
     return (t.select("class", _r6("topk_precision").alias("topk_precision"))
             .join(a.select("class", _r6("average_precision").alias("average_precision")), "class"))
 
 
 def q_seed_summary(spark, sf_dir):
-    t = metrics.topk_precision(_ovr(spark, sf_dir), ["model", "class"], buckets=P.RANK_BUCKETS)
+    t = metrics.topk_precision(_ovr(spark, sf_dir), ["model", "class"])
     s = metrics.seed_summary(t, ["class"], "topk_precision")
     return s.select("class", "n_runs", _r6("mean").alias("mean"), _r6("sd_samp").alias("sd_samp"),
                     _r6("sd_pop").alias("sd_pop"))
@@ -347,7 +373,7 @@ def q_pearson(spark, sf_dir):
 
 
 def q_spearman(spark, sf_dir):
-    r = metrics.spearman(_targets(spark, sf_dir), "y", "p", ["target"], buckets=P.RANK_BUCKETS)
+    r = metrics.spearman(_targets(spark, sf_dir), "y", "p", ["target"])
     return r.select("target", "n", _r6("spearman").alias("spearman"))
 
 
@@ -356,7 +382,7 @@ def q_spearman_nulls(spark, sf_dir):
     a = fx.activity(spark, sf_dir)
     y = F.when(F.col("l_orderkey") % 7 != 0, F.col("dev"))
     p = F.when(F.col("l_orderkey") % 11 != 0, F.col("dev_pred"))
-    r = metrics.spearman(a.select("l_linenumber", y.alias("y"), p.alias("p")), "y", "p", ["l_linenumber"])
+    r = metrics.spearman(a.select("l_linenumber", y.alias("y"), p.alias("p")), "y", "p", ["l_linenumber"], ranges=P.RANGES)
     return r.select(F.col("l_linenumber").cast("bigint").alias("line"), "n", _r6("spearman").alias("spearman"))
 
 
@@ -371,6 +397,12 @@ def q_trailing_mean(spark, sf_dir):
                     _r6("trailing_mean").alias("trailing_mean"))
 
 
+def q_trailing_mean_100(spark, sf_dir):
+    """The default width."""
+    t = runs.trailing_mean(fx.epoch_log(spark, sf_dir), "run_id", "epoch", "val_score")
+    return t.select("run_id", F.col("epoch").cast("bigint").alias("epoch"), F.round("trailing_mean", 12).alias("trailing_mean"))
+
+
 def _best_out(b):
     return b.select("run_id", F.col("stop_epoch").cast("bigint").alias("stop_epoch"), "n_epochs",
                     F.col("best_epoch").cast("bigint").alias("best_epoch"), _r6("best_score").alias("best_score"))
@@ -395,6 +427,23 @@ def q_shuffle_batches(spark, sf_dir):
     return b.select("gene", "tile", "split", "batch_id", "batch_pos")
 
 
+def _annotation_files(spark, sf_dir):
+    """The annotation as tab files, lines by contig, start and name."""
+    path = _scratch(spark, "annotation")
+    a = fx.annotation(spark, sf_dir)
+    order = ["chrom", "tx_start", "gene"]
+    a.repartitionByRange(4, *order).sortWithinPartitions(*order).write.option("sep", "\t").option("quote", "").option("emptyValue", "").csv(path)
+    return path
+
+
+def q_shuffle_batches_file_order(spark, sf_dir):
+    """Validation and test windows in the order of the annotation's lines."""
+    genes = files.read_annotation(spark, _annotation_files(spark, sf_dir), line_order=True)
+    t = splits.assign_split(windows.tile(genes, P.WINDOW), P.TEST_CHROMS, P.NUM_VAL_GENES, P.SEED)
+    b = splits.shuffle_batches(t, P.ORDER_BATCH, P.SEED, P.EPOCH)
+    return b.select("gene", "tile", "split", "line_no", "batch_id", "batch_pos")
+
+
 def q_sample_fraction(spark, sf_dir):
     s = splits.sample_fraction(_tiles(spark, sf_dir), P.SAMPLE_FRACTION, P.SEED)
     return s.select("gene", "tile")
@@ -429,6 +478,22 @@ def q_read_fasta_records(spark, sf_dir):
     return d.select("name", F.length("bases").cast("bigint").alias("length"), F.md5("bases").alias("bases_md5"))
 
 
+def q_read_fasta_pieces(spark, sf_dir):
+    """Records of any length, in pieces."""
+    d = files.read_fasta_pieces(spark, _fasta_files(spark, sf_dir), P.PIECE)
+    return d.select("name", "piece", "start", "length", F.md5("bases").alias("bases_md5"))
+
+
+def q_read_equal_records(spark, sf_dir):
+    """Lines cut to one length, as records that must be equally long."""
+    lines = _lines(spark, sf_dir).where(F.length("bases") >= 40)
+    path = _scratch(spark, "equal")
+    (lines.repartitionByRange("line_no").sortWithinPartitions("line_no")
+     .select(F.concat(F.lit(">s"), "line_no", F.lit("\n"), F.substring("bases", 1, 25), F.lit("\n"), F.substring("bases", 26, 15)).alias("value")).write.text(path))
+    d = files.read_fasta_records(spark, path, equal_lengths=True)
+    return d.select("name", F.length("bases").cast("bigint").alias("length"), F.md5("bases").alias("bases_md5"))
+
+
 def _groups(spark, sf_dir):
     lines = fx.fasta_lines(spark, sf_dir).where("bases <> ''")
     return lines.select("line_no", F.concat(F.lit("g"), (F.col("line_no") % 2).cast("string")).alias("group"), "bases",
@@ -497,18 +562,19 @@ def q_write_predictions(spark, sf_dir):
     stops = runs.best_epoch(log, "enhancer").select("run_id", "stop_epoch")
     seen = runs.epoch_progress(log).join(stops, "run_id").where("stop_epoch is null or epoch <= stop_epoch")
     sinks.write_predictions(preds, seen, path)
-    d = spark.read.option("header", True).csv(path)
+    d = spark.read.parquet(path)
     return d.select(F.col("run_id").cast("bigint").alias("run_id"), F.col("epoch").cast("bigint").alias("epoch"),
                     *[_r6(F.col(c).cast("double")).alias(c) for c in ("dev", "dev_preds", "hk", "hk_preds")])
 
 
 def q_append_metrics(spark, sf_dir):
+    """Two batches; the first is appended twice, as by a retried job."""
     log = fx.epoch_log(spark, sf_dir)
     path = _scratch(spark, "metrics")
-    for tag, value in (("valid/score", F.col("val_score")), ("valid/twice", F.col("val_score") * 2)):
+    for tag, value in (("valid/score", F.col("val_score")), ("valid/twice", F.col("val_score") * 2), ("valid/score", F.col("val_score"))):
         sinks.append_metrics(log.select(F.pmod("run_id", F.lit(8)).alias("run_id"), F.lit(tag).alias("tag"), value.alias("value"),
-                                        F.col("epoch").alias("step")), path)
-    d = spark.read.parquet(path)
+                                        F.col("epoch").alias("step")), path, batch=tag.replace("/", "-"))
+    d = sinks.read_metrics(spark, path)
     return (d.groupBy(F.col("run_id").cast("bigint").alias("run_id"), "tag")
             .agg(F.count(F.lit(1)).cast("bigint").alias("n"), _r6(F.sum("value")).alias("total"), F.max("step").alias("last_step")))
 
@@ -567,6 +633,8 @@ def q_distinct_genes(spark, sf_dir):
 QUERIES = {
     "read_fasta_lines": q_read_fasta_lines,
     "read_fasta_records": q_read_fasta_records,
+    "read_fasta_pieces": q_read_fasta_pieces,
+    "read_equal_records": q_read_equal_records,
     "read_activity": q_read_activity,
     "read_annotation": q_read_annotation,
     "positional_join": q_positional_join,
@@ -594,6 +662,7 @@ QUERIES = {
     "fetch_clipped": q_fetch_clipped,
     "fetch_repeated": q_fetch_repeated,
     "fetch_long": q_fetch_long,
+    "fetch_pruned": q_fetch_pruned,
     "window_sequences": q_window_sequences,
     "window_labels": q_window_labels,
     "window_labels_far": q_window_labels_far,
@@ -603,8 +672,10 @@ QUERIES = {
     "encode_nfirst": q_encode_nfirst,
     "encode_afirst": q_encode_afirst,
     "reverse_complement": q_reverse_complement,
+    "reverse_complement_codes": q_reverse_complement_codes,
     "kmers": q_kmers,
     "kmer_counts": q_kmer_counts,
+    "kmer_counts_by_key": q_kmer_counts_by_key,
     "softmax_scores": q_softmax_scores,
     "half_precision": q_half_precision,
     "one_vs_rest": q_one_vs_rest,
@@ -623,10 +694,12 @@ QUERIES = {
     "spearman_nulls": q_spearman_nulls,
     "mse": q_mse,
     "trailing_mean": q_trailing_mean,
+    "trailing_mean_100": q_trailing_mean_100,
     "best_epoch": q_best_epoch,
     "best_epoch_splice": q_best_epoch_splice,
     "test_at_best": q_test_at_best,
     "shuffle_batches": q_shuffle_batches,
+    "shuffle_batches_file_order": q_shuffle_batches_file_order,
     "sample_fraction": q_sample_fraction,
 }
 

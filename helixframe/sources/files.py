@@ -22,11 +22,12 @@ MAX_BROADCAST_HEADERS = 100_000
 FASTA_SUFFIXES = (".fa", ".fasta", "fa.gz", "fna.gz")
 
 
-def with_file_order(df: DataFrame, is_marker=None) -> DataFrame:
+def with_file_order(df: DataFrame, is_marker=None, across_files: bool = False) -> DataFrame:
     """Add ``_file`` and ``_ord`` (0-based row index in its file, file
     order) to a DataFrame read straight from files.  With ``is_marker`` (a
     boolean Column), also add ``_mark_idx``: the number of marker rows at or
-    before the row (0 before the first marker).
+    before the row (0 before the first marker).  ``across_files`` numbers on
+    through all files in the order of their paths.
 
     Must be applied directly on the file scan so the row id and the file
     metadata come from the same split.
@@ -38,7 +39,8 @@ def with_file_order(df: DataFrame, is_marker=None) -> DataFrame:
     d = d.withColumn("_mk", mark)
     per_split = (d.groupBy("_file", "_blk")
                  .agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n"), F.sum("_mk").alias("_nm")))
-    wf = Window.partitionBy("_file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per split: a table some millions of times smaller than the data.
+    wf = (Window.orderBy("_file", "_blk") if across_files else Window.partitionBy("_file").orderBy("_blk")).rowsBetween(Window.unboundedPreceding, -1)
     per_split = (per_split
                  .withColumn("_row_carry", F.coalesce(F.sum("_n").over(wf), F.lit(0)))
                  .withColumn("_mark_carry", F.coalesce(F.sum("_nm").over(wf), F.lit(0)))
@@ -96,18 +98,77 @@ def _group_of(file: str):
     return F.when(folder != "", folder).otherwise(F.regexp_extract(file, r"([^/_.]+)\.[^/]*$", 1))
 
 
-def read_fasta_records(spark: SparkSession, path: str) -> DataFrame:
+MAX_RECORD = 1 << 28  # bases of a record that is one row; a longer one raises, ``read_fasta_pieces`` has no limit
+PIECE = 65536
+
+
+def _record_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of records: _file, _mark_idx (record number, from 1), _ord, name, bases, n."""
+    d = _fasta_rows(spark, path).where(~F.col("value").startswith(">") & (F.col("_mark_idx") > 0))
+    return (d.select("_file", "_mark_idx", "_ord", "name", F.regexp_replace(F.col("value"), r"\s+", "").alias("bases"))
+            .withColumn("n", F.length("bases").cast("bigint")))
+
+
+def _record_lengths(lines: DataFrame) -> DataFrame:
+    """Length of each record: one partial aggregate, no record is gathered."""
+    return lines.groupBy(F.col("_file").alias("_rf"), F.col("_mark_idx").alias("_rm")).agg(F.sum("n").alias("length"))
+
+
+def require_equal_lengths(records: DataFrame, length: str = "length") -> DataFrame:
+    """The records, if all lengths are equal, as a matrix of encoded sequences
+    needs them; else reading them raises.  Two numbers decide, by a subquery."""
+    same = records.agg((F.coalesce(F.min(length), F.lit(0)) == F.coalesce(F.max(length), F.lit(0))).alias("same")).scalar()
+    return records.where(F.when(same, F.lit(True)).otherwise(F.raise_error(F.lit("records of unequal lengths")).cast("boolean")))
+
+
+def read_fasta_pieces(spark: SparkSession, path: str, piece: int = PIECE, equal_lengths: bool = False) -> DataFrame:
+    """S2 without a limit: each record as rows (ordinal, name, piece, start,
+    bases, length, _file, group) of ``piece`` bases, the last one shorter; ``length`` is
+    the record's.  A record without bases has no row.
+
+    A line's offset in its record is found in two levels (blocks of lines, then
+    the blocks' totals), lines are cut at the borders of pieces, and a piece gathers
+    ``piece`` bases at most, however long the record is.
+    """
+    from ..operators.genome import line_offsets
+
+    lines = _record_lines(spark, path).where(F.col("n") > 0)
+    lines = lines.withColumn("_rec", F.concat_ws("\n", "_file", F.col("_mark_idx").cast("string")))
+    lo = line_offsets(lines, "_rec", "_ord", "n")
+    cut = (lo.withColumn("piece", F.explode(F.sequence(F.expr(f"offset div {piece}"), F.expr(f"(offset + n - 1) div {piece}"))))
+           .withColumn("_a", F.greatest(F.col("offset"), F.col("piece") * piece))
+           .withColumn("_b", F.least(F.col("offset") + F.col("n"), (F.col("piece") + 1) * piece))
+           .withColumn("_part", F.expr("substr(bases, cast(_a - offset + 1 as int), cast(_b - _a as int))")))
+    made = (cut.groupBy("_file", "_mark_idx", "piece").agg(
+        F.first("name").alias("name"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_a", "_part"))), lambda x: x["_part"]), "").alias("bases")))
+    lengths = _record_lengths(lines)
+    if equal_lengths:
+        lengths = require_equal_lengths(lengths)
+    made = made.join(lengths, (F.col("_file") == F.col("_rf")) & (F.col("_mark_idx") == F.col("_rm")))
+    return made.select((F.col("_mark_idx") - 1).cast("bigint").alias("ordinal"), "name", "piece", (F.col("piece") * piece).alias("start"), "bases",
+                       F.col("length").cast("bigint").alias("length"), "_file", _group_of("_file").alias("group"))
+
+
+def read_fasta_records(spark: SparkSession, path: str, equal_lengths: bool = False, max_record: int = MAX_RECORD) -> DataFrame:
     """One sequence per record as (ordinal, name, bases), ordinal =
     0-based record index in file order.  Multi-line records are joined in
     line order (the reference would count each line as a record).
-    Records are assumed small (a group holds one record's lines)."""
-    d = _fasta_rows(spark, path).where(~F.col("value").startswith(">"))
-    bases = F.regexp_replace(F.col("value"), r"\s+", "")
-    return (d.where(F.col("_mark_idx") > 0)
-            .groupBy("_file", "_mark_idx")
+
+    A record is one row here, so one of more than ``max_record`` bases raises,
+    before its lines are gathered; ``read_fasta_pieces`` reads any.
+    ``equal_lengths``: raise unless all records are equally long.
+    """
+    lines = _record_lines(spark, path)
+    lengths = _record_lengths(lines)
+    if equal_lengths:
+        lengths = require_equal_lengths(lengths)
+    fits = F.when(F.col("length") <= max_record, F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit(f"a record of more than {max_record} bases: "), F.coalesce("name", F.lit("")))).cast("boolean"))
+    checked = lines.join(lengths, (F.col("_file") == F.col("_rf")) & (F.col("_mark_idx") == F.col("_rm"))).where(fits)
+    return (checked.groupBy("_file", "_mark_idx")
             .agg(F.first("name").alias("name"),
-                 F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_ord"), bases.alias("b")))),
-                                          lambda x: x["b"]), "").alias("bases"))
+                 F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_ord", "bases"))),
+                                          lambda x: x["bases"]), "").alias("bases"))
             .select((F.col("_mark_idx") - 1).cast("bigint").alias("ordinal"), "name", "bases", "_file",
                     _group_of("_file").alias("group")))
 
@@ -143,18 +204,21 @@ ANNOTATION_SCHEMA = T.StructType([
 
 
 def read_annotation(spark: SparkSession, path: str, exclude_paralogs: bool = False,
-                    raw: bool = False, reject_duplicates: bool = True) -> DataFrame:
+                    raw: bool = False, reject_duplicates: bool = True, line_order: bool = False) -> DataFrame:
     """The 8-field tab annotation ('#' lines skipped) as gene records
-    (``raw=True`` keeps the file layout).
+    (``raw=True`` keeps the file layout).  ``line_order`` adds ``line_no``, the
+    0-based number of the record in file order (through all files, in the order
+    of their paths), which tiles carry on and ``splits.shuffle_batches`` orders by.
 
     [decision] A gene name on two lines is rejected and listed (the
     reference lets the last line win for labels but keeps every line's
     tiles).  The check is one small aggregate over the annotation."""
     df = (spark.read.schema(ANNOTATION_SCHEMA)
           .option("sep", "\t").option("comment", "#").option("quote", "").option("header", "false")
-          .option("mode", "FAILFAST").csv(path)
-          .withColumn("jn_start", F.coalesce("jn_start", F.lit("")))
-          .withColumn("jn_end", F.coalesce("jn_end", F.lit(""))))
+          .option("mode", "FAILFAST").csv(path))
+    if line_order:
+        df = with_file_order(df, across_files=True).withColumnRenamed("_ord", "line_no").drop("_file", "_mark_idx")
+    df = df.withColumns({c: F.coalesce(c, F.lit("")) for c in ("jn_start", "jn_end")})
     if reject_duplicates:
         dups = [r["gene"] for r in duplicate_genes(df).orderBy("gene").limit(20).collect()]
         if dups:

@@ -48,4 +48,4 @@ def test_enhancer_track(spark, tmp_path):
                         F.col("y_dev").alias("dev"), F.col("dev_pred").alias("dev_preds"),
                         F.col("y_hk").alias("hk"), F.col("hk_pred").alias("hk_preds"))
     sinks.write_predictions(preds, prog, str(tmp_path / "preds"))
-    assert spark.read.option("header", True).csv(str(tmp_path / "preds")).count() == 60
+    assert spark.read.parquet(str(tmp_path / "preds")).count() == 60

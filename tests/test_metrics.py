@@ -36,7 +36,7 @@ def test_topk_random_against_numpy(spark):
         lab = (rng.random(n) < 0.1 + 0.2 * k).astype(int)
         rows += [(k, int(l), float(x)) for l, x in zip(lab, s)]
     df = spark.createDataFrame(rows, "k int, label int, score double")
-    got = {r["k"]: r["topk_precision"] for r in metrics.topk_precision(df, ["k"], buckets=16).collect()}
+    got = {r["k"]: r["topk_precision"] for r in metrics.topk_precision(df, ["k"], ranges=16).collect()}
     for k in range(3):
         sub = [(l, x) for kk, l, x in rows if kk == k]
         assert abs(got[k] - py_topk([l for l, _ in sub], [x for _, x in sub])) < 1e-12
@@ -51,6 +51,37 @@ def test_value_ranks_exact_for_any_bucket_count(spark):
         assert got == {int(v): int((vals < v).sum()) for v in np.unique(vals)}
 
 
+@pytest.mark.parametrize("ranges", [1, 5, 24])
+def test_ranks_in_place(spark, ranges):
+    """Weights before, at and over all of a value, for values that fill many ranges, NaN, a NULL key and a key of one row."""
+    rng = np.random.default_rng(8)
+    rows = [(k, float(v), i, int(w)) for i, (k, v, w) in enumerate(zip(rng.choice(["a", "b"], 900), rng.choice([1.0, 2.0, 2.0, 2.0, 2.0, 5.5, float("nan")], 900),
+                                                                       rng.integers(0, 4, 900), strict=True))]
+    rows += [(None, 3.0, 1000, 2), (None, 1.0, 1001, 1), ("c", -1.0, 1002, 7)]
+    df = spark.createDataFrame(rows, "k string, v double, id long, w long").withColumn("u", F.lit(1))
+    got = ranking.rank_in_place(df, ["k"], "v", ["w", "u"], ["id"], ranges=ranges).collect()
+    place = lambda v: (math.isnan(v), 0.0 if math.isnan(v) else v)
+    assert len(got) == len(rows)
+    for r in got:
+        mine = [(place(v), w) for k, v, _, w in rows if k == r["k"]]
+        here = place(r["v"])
+        assert (r["w_before"], r["w_here"], r["w_all"]) == (sum(w for v, w in mine if v < here), sum(w for v, w in mine if v == here), sum(w for _, w in mine))
+        assert (r["u_before"], r["u_here"], r["u_all"]) == (sum(v < here for v, _ in mine), sum(v == here for v, _ in mine), len(mine))
+
+
+def test_spearman_of_a_hot_value(spark):
+    """A value that most pairs share is cut over the ranges, and no join is on a value."""
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random(3000) < 0.7, 1.0, np.round(rng.random(3000), 2))
+    y = np.round(rng.random(3000) + x, 3)
+    df = spark.createDataFrame(list(zip(x.tolist(), y.tolist(), strict=True)), "x double, y double")
+    rank = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+    s = metrics.spearman(df, "x", "y", ranges=9)
+    assert abs(s.first()["spearman"] - np.corrcoef(rank(x), rank(y))[0, 1]) < 1e-12
+    joins = [line for line in s._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert joins and not any("_x#" in j or "_y#" in j for j in joins)
+
+
 def test_spearman_worked_example(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, 3.0), (2.0, 2.0), (3.0, 4.0)], "x double, y double")
     assert abs(metrics.spearman(df, "x", "y").first()["spearman"] - 0.948683) < 1e-6

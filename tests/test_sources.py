@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from helixframe.operators import windows
 from helixframe.sources import files, sinks
 from helixframe.functions.sequence import encode, to_tokens
 
@@ -110,3 +111,61 @@ def test_positional_join_of_several_files(spark, tmp_path):
         ("Train", 0, "ACT", 0.0), ("Train", 1, "GGG", 1.0), ("Val", 0, "ACG", 10.0), ("Val", 1, "GGG", 11.0)]
     with pytest.raises(Exception, match="ordinal repeats"):
         files.positional_join(rec.drop("group"), act.drop("group")).collect()
+
+
+def write_records(path, records, width=7):
+    path.write_text("".join(f">{name} note\n" + "".join(seq[i:i + width] + "\n" for i in range(0, len(seq), width)) for name, seq in records))
+    return str(path)
+
+
+def test_records_in_pieces(spark, tmp_path):
+    """A huge record, short ones, one without bases, pieces and lines that don't meet; blocks of a file read apart."""
+    records = [("a", "ACGT" * 9000), ("empty", ""), ("b", "TTG"), ("c", "ACGTN" * 200)]
+    path = write_records(tmp_path / "r.fa", records)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = files.read_fasta_pieces(spark, path, piece=1000).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    got = {}
+    for r in sorted(rows, key=lambda r: (r["ordinal"], r["piece"])):
+        assert r["start"] == r["piece"] * 1000 and len(r["bases"]) == min(1000, r["length"] - r["start"])
+        got.setdefault((r["ordinal"], r["name"], r["length"]), []).append(r["bases"])
+    assert {k: "".join(v) for k, v in got.items()} == {(i, n, len(s)): s for i, (n, s) in enumerate(records) if s}
+
+
+def test_records_above_the_limit_raise(spark, tmp_path):
+    path = write_records(tmp_path / "r.fa", [("a", "ACGT" * 30), ("b", "A")])
+    assert files.read_fasta_records(spark, path, max_record=120).count() == 2
+    with pytest.raises(Exception, match="a record of more than 100 bases: a"):
+        files.read_fasta_records(spark, path, max_record=100).collect()
+
+
+def test_equal_lengths(spark, tmp_path):
+    same = write_records(tmp_path / "same.fa", [("a", "ACGTACGTA"), ("b", "TTTTTTTTT")])
+    assert sorted(r["bases"] for r in files.read_fasta_records(spark, same, equal_lengths=True).collect()) == ["ACGTACGTA", "TTTTTTTTT"]
+    other = write_records(tmp_path / "other.fa", [("a", "ACGTACGTA"), ("b", "TTTTTTTT")])
+    for read in (files.read_fasta_records, files.read_fasta_pieces):
+        with pytest.raises(Exception, match="unequal lengths"):
+            read(spark, other, equal_lengths=True).collect()
+
+
+def test_annotation_in_file_order(spark, tmp_path):
+    """Line numbers run on through the files, comments are no records, and tiles carry them."""
+    folder = tmp_path / "annotation"
+    folder.mkdir()
+    names = [f"G{i * 7 % 100}" for i in range(100)]
+    for k in range(2):
+        body = "".join(f"{g}\t0\tchr2\t+\t{10 + i}\t{400 + i}\t12,\t14,\n" + ("# note\n" if i % 9 == 0 else "") for i, g in enumerate(names[k * 50:k * 50 + 50]))
+        (folder / f"part-{k}.txt").write_text(body)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        genes = files.read_annotation(spark, str(folder), line_order=True)
+        assert [r["gene"] for r in sorted(genes.collect(), key=lambda r: r["line_no"])] == names
+        assert sorted(r["line_no"] for r in genes.collect()) == list(range(100))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    tiles = windows.tile(genes, 300).collect()
+    assert {(r["gene"], r["line_no"]) for r in tiles} == {(g, i) for i, g in enumerate(names)}

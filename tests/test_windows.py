@@ -77,8 +77,8 @@ def test_split_rules(spark):
     s = {r["gene"]: r["split"] for r in splits.assign_split(w, num_val_genes=1, seed=0).collect()}
     assert s["g1"] == "test" and s["g2"] is None and s["g4"] == "train"
     assert sorted([s["g3"], s["g5"]]) == ["train", "val"]
-    with pytest.raises(ValueError):
-        splits.assign_split(w, num_val_genes=5)
+    with pytest.raises(Exception, match="cannot draw 5 validation genes from a pool of 2"):
+        splits.assign_split(w, num_val_genes=5).collect()
     labels.assert_disjoint(splits.assign_split(w, num_val_genes=2))
 
 
@@ -104,3 +104,24 @@ def test_partition_count_does_not_change_results(spark, genes):
         assert sorted(labels.site_labels(genes.repartition(3)).collect()) == base
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_jitter_without_a_split_warns(spark, genes):
+    w = windows.tile(genes, 4)
+    with pytest.warns(UserWarning, match="assign splits first"):
+        same = windows.jitter(w, 23)
+    assert sorted(same.collect()) == sorted(w.collect())
+
+
+def test_batches_keep_the_order_of_lines(spark):
+    """Validation and test windows by line and tile, over many blocks of lines; training ones shuffled."""
+    lines = [(i * 577 % 5000, f"G{i % 83}", t, ("val", "test", "train", None)[i % 4]) for i in range(700) for t in range(3)]
+    w = spark.createDataFrame(lines, "line_no long, gene string, tile long, split string").repartition(5)
+    b = splits.shuffle_batches(w, 7).collect()
+    assert len(b) == sum(r[3] is not None for r in lines)
+    for split in ("val", "test"):
+        mine = sorted((r["batch_id"] * 7 + r["batch_pos"], r["line_no"], r["tile"]) for r in b if r["split"] == split)
+        assert [m[0] for m in mine] == list(range(len(mine)))
+        assert [m[1:] for m in mine] == sorted((i, t) for i, _, t, s in lines if s == split)
+    train = [r["line_no"] for r in sorted((r for r in b if r["split"] == "train"), key=lambda r: r["batch_id"] * 7 + r["batch_pos"])]
+    assert train != sorted(train)
