@@ -57,14 +57,14 @@ def test_sinks_round_trip(spark, tmp_path):
     b = sinks.materialize(build, spark, str(tmp_path / "cache"), str(tmp_path / "enc"), {"window": 4})
     assert a.count() == b.count() == 1 and len(calls) == 1
     m = spark.createDataFrame([(1, "loss", 0.5, 0)], "run_id long, tag string, value double, step long")
-    sinks.append_metrics(m, str(tmp_path / "log"))
-    sinks.append_metrics(m, str(tmp_path / "log"))
+    sinks.append_metrics(m, str(tmp_path / "log"), batch="0")
+    sinks.append_metrics(m, str(tmp_path / "log"), batch="1")
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
     prog = spark.createDataFrame([(1, 0, True), (1, 1, False)], "run_id long, epoch long, improved boolean")
     preds = spark.createDataFrame([(1, e, 1.0, 1.1, 2.0, 2.1) for e in (0, 1)],
                                   "run_id long, epoch long, dev double, dev_preds double, hk double, hk_preds double")
     sinks.write_predictions(preds, prog, str(tmp_path / "preds"))
-    out = spark.read.option("header", True).csv(str(tmp_path / "preds"))
+    out = spark.read.parquet(str(tmp_path / "preds"))
     assert [r["epoch"] for r in out.collect()] == [0]
 
 
