@@ -134,8 +134,8 @@ def _collisions(docs: DataFrame, members: DataFrame, chunk: int) -> DataFrame:
 
 def _classified(docs: DataFrame, id_col: str, text_col: str, huge_bytes: int, primes: tuple[int, ...],
                 compare_bytes: int) -> DataFrame:
-    fp = materialize(fingerprints(docs, id_col, text_col, huge_bytes=huge_bytes, primes=primes), "fingerprints")
-    fp = fp.withColumn("uid", F.monotonically_increasing_id())
+    fp = fingerprints(docs, id_col, text_col, huge_bytes=huge_bytes, primes=primes)
+    fp = materialize(fp.withColumn("uid", F.monotonically_increasing_id()), "fingerprints")  # the numbers are stored: no other split of files changes them
     key = ["n_bytes", "h1", "h2"]
     multi = fp.groupBy(*key).count().where("count > 1").select(*key)
     members = fp.join(multi, key, "left_semi").select(*key, "doc_id", "row_hash").distinct()

@@ -304,8 +304,9 @@ def _classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     t = text_rows(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     t = t.select("doc_id", F.xxhash64("text").alias("row_hash"), "text")
     kind = t.schema["doc_id"].dataType.simpleString()
-    rows = materialize(t.mapInArrow(_sketch, f"doc_id {kind}, row_hash bigint, n bigint, fp1 bigint, fp2 bigint, sigs array<bigint>"), "sketches")
-    rows = rows.withColumn("uid", F.monotonically_increasing_id())
+    rows = t.mapInArrow(_sketch, f"doc_id {kind}, row_hash bigint, n bigint, fp1 bigint, fp2 bigint, sigs array<bigint>")
+    # The row numbers are part of the written table: numbers made while reading would change with the split of its files.
+    rows = materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "sketches")
     # Texts with equal words are one node, their smallest row.
     same = rows.where("n > 0").groupBy("fp1", "fp2").agg(F.min("uid").alias("rep"))
     nodes = rows.select("uid", "doc_id", "row_hash", "n", "fp1", "fp2").join(same, ["fp1", "fp2"], "left").withColumn(

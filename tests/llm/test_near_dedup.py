@@ -109,6 +109,34 @@ def test_large_group_of_near_copies(docs_of, spoken):
     assert {r.class_id for r in got if r.doc_id < 1000} == {0} and sum(r.kept for r in got) == 101
 
 
+@pytest.mark.parametrize("module", ["near", "exact"])
+def test_another_split_of_files_between_jobs(spark, docs_of, spoken, monkeypatch, module):
+    """Executors that come or go change how written tables are read; the numbers of rows, and so the classes, stay."""
+    from helixframe.llm import exact_dedup as E
+
+    rows = [(i, spoken(i, 60)) for i in range(200)] + [(1000 + i, edited(spoken(i, 60), 0.01, i) if module == "near" else spoken(i, 60)) for i in range(50)]
+    d = docs_of(rows, parts=7)
+    target = N if module == "near" else E
+    run = (lambda: N.near_dedup(d)) if module == "near" else (lambda: E.exact_dedup(d))
+    key = "class_id" if module == "near" else "keep_id"
+    want = Counter((r.doc_id, r[key], r.kept) for r in run().collect())
+    real, splits = target.materialize, iter([1, 9, 2, 30, 3, 17] * 40)
+
+    def other(df, name):
+        out = real(df, name)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", next(splits))
+        spark.conf.set("spark.sql.files.openCostInBytes", 1 << (10 + next(splits) % 12))
+        return out
+
+    monkeypatch.setattr(target, "materialize", other)
+    try:
+        assert Counter((r.doc_id, r[key], r.kept) for r in run().collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sum(r[2] for r in want) == 200
+
+
 def test_rows_that_stay(docs_of, spoken):
     base = spoken(1, 100)
     d = docs_of([(1, base), (1, base), (2, edited(base, 0.01, 1)), (3, None), (4, None), (5, spoken(2, 100))])
