@@ -11,8 +11,8 @@ written to the shared folder and read by the workers, so none is broadcast and t
 Only runs of words that occur in the items at all, long enough for the shortest window, reach the automaton.
 
 Defined results: a null or empty text has no words, no hits and isn't contaminated; items that are null, without words
-or repeated match nothing or once (a repeated item_id is one item with the windows of all its rows); a null item_id is
-skipped; empty tables work; columns beside id and text are not read.
+or repeated match nothing or once (a repeated item_id is one item with the windows of all its rows); items with a
+null item_id hit words like any other and are in no list of items; empty tables work; columns beside id and text are not read.
 """
 
 from __future__ import annotations
@@ -43,9 +43,9 @@ class SuffixAutomaton:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         self.vocabulary: dict[bytes, int] = {}
-        self.items: list[tuple[str, list[int]]] = []
+        self.items: list[tuple[str | None, list[int]]] = []
 
-    def add(self, item: str, tokens: list[bytes]) -> None:
+    def add(self, item: str | None, tokens: list[bytes]) -> None:
         ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in tokens]
         if ids:
             self.items.append((item, ids))
@@ -159,7 +159,7 @@ def _build(folder: str, window: int):
 def build_automata(items: DataFrame, id_col: str = "item_id", text_col: str = "text", *, window: int = WINDOW,
                    item_bytes: int = ITEM_BYTES) -> list[str]:
     """Build and write the automata of the items; returns their files (one for each ``item_bytes`` of text)."""
-    t = text_rows(items, id_col, text_col).where("doc_id is not null and text is not null").select(F.col("doc_id").cast("string"), "text").distinct()
+    t = text_rows(items, id_col, text_col).where("text is not null").select(F.col("doc_id").cast("string"), "text").distinct()
     size = t.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     folder = shared_dir(items.sparkSession, "automata")
     t = t.repartition(max(1, -(-size // item_bytes)), "doc_id", "text")  # rows of one id may lie in several automata
@@ -221,7 +221,7 @@ def match(column: pa.Array, files: list[str], coverage: float, with_text: bool)
             clean.append(None)
     span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
     return pa.StructArray.from_arrays(
-        [pa.array(sizes, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(longest), pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+        [pa.array(sizes, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(longest), pa.array([sorted(x - {None}) for x in items], pa.list_(pa.string())),
          pa.array(spans, span), pa.array((n_hit > 0) & (n_hit >= coverage * sizes - 1e-9)), pa.array(clean, pa.string())],
         names=["n_words", "n_hit", "longest", "items", "spans", "contaminated", "clean_text"])
 

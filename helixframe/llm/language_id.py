@@ -15,12 +15,12 @@ an empty table gives no rows; only id, text and (for training) lang are read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +33,7 @@ RESULT = "struct<lang_pred:string, score:double, ambiguous:boolean, runner_up:st
 FORM = UPPER.copy()  # lower case; everything in ASCII that is no letter becomes a space
 FORM[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
 ASCII_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")  # by category: numerals such as \u2167 or \u00bd are no letters
 
 
 def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:

@@ -118,7 +118,7 @@ ORACLE = {
         with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents),
         i as (select cast(item_id as varchar) item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from benchmark where item_id is not null and text is not null),
+                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from benchmark where text is not null),
         k as (select item, ws, least(13, len(ws)) n, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) p from i where len(ws) > 0),
         win as (select distinct item, n, array_to_string(ws[p:p + n - 1], ' ') g from k),
         lens as (select distinct n from win),
@@ -126,7 +126,7 @@ ORACLE = {
         hits as (select doc_id, p, lens.n, item from pos join lens on p + lens.n - 1 <= len(ws)
                  join win on win.n = lens.n and win.g = array_to_string(ws[p:p + lens.n - 1], ' ')),
         words as (select doc_id, count(distinct q) n_hit from (select doc_id, unnest(range(p, p + n)) q from hits) group by doc_id),
-        items as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) names from (select distinct doc_id, item from hits) group by doc_id)
+        items as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) names from (select distinct doc_id, item from hits where item is not null) group by doc_id)
         select w.doc_id, cast(len(ws) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(names, '')) items_sha256,
                coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) contaminated
         from w left join words on w.doc_id = words.doc_id left join items on w.doc_id = items.doc_id""",

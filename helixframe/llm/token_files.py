@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, NewFile, map_file, materialize, shared_dir, slices, text_rows
-from .tokens import encoder, with_end
+from .tokens import encoder, vocabulary_size, with_end
 
 MANIFEST = "shard string, n_docs bigint, n_tokens bigint"
 
@@ -67,8 +67,12 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
 
     A shard is written by one task from about ``shard_bytes`` bytes of text; with ``in_order`` off, documents stay in the
     partitions and the order in which they come, and nothing is shuffled.  Files get their names when complete, so a
-    task may run again or twice.  ``dtype`` is ``<u2`` (vocabularies of up to 65,536 ids) or ``<u4``.
+    task may run again or twice.  ``dtype`` is ``<u2`` (vocabularies of up to 65,536 ids) or ``<u4``; ids that it can't hold raise
+    before the job starts.
     """
+    largest = max(vocabulary_size(tokenizer_path) - 1, end_id)
+    if largest > np.iinfo(dtype).max or end_id < 0:
+        raise ValueError(f"ids up to {largest} don't fit {dtype}")
     folder = folder or shared_dir(docs.sparkSession, "tokens")
     t = ordered(docs, id_col, text_col, shard_bytes) if in_order else text_rows(docs, id_col, text_col)
     rows = t.mapInArrow(

@@ -130,6 +130,13 @@ def encoder(path: str, plain_specials: bool = False) -> TextEncoder:
     return _ENCODERS[key]
 
 
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id of the tokenizer at ``path``, added tokens included."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=-1) + 1
+
+
 def with_end(flat: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids with ``end_id`` after each document, and the new offsets."""
     n = len(offs) - 1

@@ -18,13 +18,13 @@ def brute(docs, items, window=13):
         for item, text in items:
             v = words(text)
             n = min(window, len(v))
-            if item is None or text is None or not n:
+            if text is None or not n:
                 continue
             runs = {tuple(v[j:j + n]) for j in range(len(v) - n + 1)}
             for j in range(len(w) - n + 1):
                 if tuple(w[j:j + n]) in runs:
                     hit |= set(range(j, j + n))
-                    found.add(str(item))
+                    found |= {str(item)} - {"None"}
         out[i] = (len(w), len(hit), sorted(found), len(hit) > 0 and 20 * len(hit) >= len(w))
     return out
 
@@ -52,6 +52,13 @@ def test_spans_and_clean_text(spark, docs_of):
     assert r[2].clean_text is None and not r[2].contaminated
 
 
+def test_items_without_an_id_hit_words(spark, docs_of):
+    """Their windows count like any other's; they are in no list."""
+    items = spark.createDataFrame([(None, "alpha beta gamma"), (4, "gamma delta")], "item_id long, text string")
+    r = D.decontaminate(docs_of([(1, "x alpha beta gamma delta y")]), items).first()
+    assert (r.n_hit, r["items"], r.contaminated) == (4, ["4"], True)
+
+
 def test_empty_tables(spark, docs_of):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.decontaminate(docs_of([]), none).collect() == []

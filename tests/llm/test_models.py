@@ -50,11 +50,12 @@ def test_language_codes_correct_an_error():
 
 
 def test_language_edges(docs_of):
-    rows = [(1, None), (2, ""), (3, "12 34 !!"), (4, "the of and"), (5, "日本"), (6, "the of and"), (None, "the of")]
+    rows = [(1, None), (2, ""), (3, "12 34 !!"), (4, "the of and"), (5, "日本"), (6, "the of and"), (None, "the of"), (8, "½² Ⅷ ٣ ①"), (9, "½ é")]
     for langs in ([], ["en"], ["en", "de"]):
         model = L.fit([sentence(k, 1) for k in langs], langs)
         got = {r.doc_id: r for r in L.identify(docs_of(rows), model).collect()}
-        assert [got[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and got[1].score == 0.0
+        assert [got[i].lang_pred for i in (1, 2, 3, 8)] == ["und"] * 4 and got[1].score == 0.0  # numerals are no letters
+        assert got[9].lang_pred in langs or not langs
         assert got[4] == got[4] and (got[5].lang_pred in langs or not langs)
     assert L.identify(docs_of([]), model).collect() == []
     assert L.fit_table(docs_of([])).languages == []

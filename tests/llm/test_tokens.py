@@ -43,6 +43,14 @@ def ids_of(name, text, plain=False):
     return tokens.encoder(registry.tokenizer(name), plain).tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def test_ids_that_do_not_fit_raise_before_the_job(docs_of):
+    name = registry.tokenizer(FILES[1])
+    assert tokens.vocabulary_size(name) <= 1 << 16
+    for options in ({"dtype": "<u1", "end_id": 1}, {"end_id": 1 << 16}, {"end_id": -1}):
+        with pytest.raises(ValueError, match="don't fit"):
+            token_files.write_token_files(docs_of(ROWS), name, **options)
+
+
 @pytest.mark.parametrize("shard_bytes", [64, 1 << 20])
 def test_files_round_trip(spark, docs_of, shard_bytes):
     folder, manifest = token_files.write_token_files(docs_of(ROWS), registry.tokenizer(FILES[1]), 1, shard_bytes=shard_bytes)
