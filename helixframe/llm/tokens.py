@@ -18,8 +18,8 @@ import pyarrow as pa
 
 from .common import utf8
 
-CACHE_PIECES = 800_000  # pieces whose ids a worker remembers; above it the memory is emptied and filled anew
-
+CACHE_BYTES = 40 << 20  # of the pieces and ids that a worker remembers; above it the memory is emptied and filled anew
+ENTRY_BYTES = 170  # of a piece beside its own bytes: two byte strings and their place in the dictionary
 
 WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")  # ASCII and Latin-1 letters
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -56,6 +56,7 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain_specials
         self.known: dict[bytes, bytes] = {}
+        self.held = 0  # bytes of the memory, about
         self._word = self._word_model()
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,9 +99,10 @@ class TextEncoder:
         return ids if same else None
 
     def _pieces(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if self.held > CACHE_BYTES:
+            self.known, self.held = {}, 0
         new = [t for t in texts if t not in self.known]
-        if len(self.known) + len(new) > CACHE_PIECES:
-            self.known, new = {}, texts
+        self.held += sum(map(len, new)) * 2 + len(new) * ENTRY_BYTES  # ids take about as much as the text
         if self._word:
             rest = []
             for t in new:

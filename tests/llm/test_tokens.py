@@ -29,11 +29,12 @@ def test_pieces_encode_as_whole_texts(name, plain):
 
 
 def test_memory_of_pieces_is_bounded(monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE_PIECES", 5)
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 900)
     e = tokens.TextEncoder(registry.tokenizer(FILES[0]))
-    for text in ("a b c d", "e f g h i j k l", "a b c d"):
+    for text in ("a b c d", "e f g h i j k l", "a b c d", "z" * 5000, "a b", "q"):
         flat, _ = e.encode(pa.array([text]))
         assert flat.tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(e.known) < 4  # emptied after the long piece
 
 
 ROWS = [(5, "The first text, of a few words."), (2, ""), (3, None), (9, "word " * 3000), (None, "no id"), (5, "same id"), (7, "The first text, of a few words.")]
