@@ -311,6 +311,8 @@ ORACLE = {
         group by t.gene, t.tile""",
     "read_fasta_lines": _with("fasta_lines") + """
         select chrom, row_number() over (partition by chrom order by line_no) n, md5(bases) bases_md5 from fasta_lines where bases <> ''""",
+    "read_fasta_blocks": _with("fasta_lines") + """
+        select chrom, row_number() over (partition by chrom order by line_no) n, md5(bases) bases_md5 from fasta_lines where bases <> ''""",
     "read_fasta_records": _with("contig_seq") + "select chrom as name, len length, md5(seq) bases_md5 from contig_seq",
     "read_fasta_pieces": _with("contig_seq") + f"""
         select chrom as name, cast(i as bigint) piece, cast(i * {P.PIECE} as bigint) as start, len length, md5(substr(seq, i * {P.PIECE} + 1, {P.PIECE})) bases_md5

@@ -18,7 +18,7 @@ from ..operators import genome as gn
 from ..functions.scores import center_slice, class_logits, one_vs_rest, round_half_precision, softmax
 from ..operators import labels, metrics, runs, samples, scoring, splits, windows
 from ..session import ensure_checkpoint_dir
-from ..sources import files, sinks
+from ..sources import blocks, files, sinks
 from ..sources import fixtures as fx
 from . import params as P
 
@@ -473,6 +473,15 @@ def q_read_fasta_lines(spark, sf_dir):
     return d.select("chrom", n.cast("bigint").alias("n"), F.md5("bases").alias("bases_md5"))
 
 
+def q_read_fasta_blocks(spark, sf_dir):
+    """The same contigs as block-compressed files."""
+    path = _scratch(spark, "blocks")
+    blocks.write_blocks(spark.read.text(_fasta_files(spark, sf_dir)), path)
+    d = files.read_fasta_lines(spark, path)
+    n = F.row_number().over(Window.partitionBy("chrom").orderBy("line_no"))
+    return d.select("chrom", n.cast("bigint").alias("n"), F.md5("bases").alias("bases_md5"))
+
+
 def q_read_fasta_records(spark, sf_dir):
     d = files.read_fasta_records(spark, _fasta_files(spark, sf_dir))
     return d.select("name", F.length("bases").cast("bigint").alias("length"), F.md5("bases").alias("bases_md5"))
@@ -632,6 +641,7 @@ def q_distinct_genes(spark, sf_dir):
 
 QUERIES = {
     "read_fasta_lines": q_read_fasta_lines,
+    "read_fasta_blocks": q_read_fasta_blocks,
     "read_fasta_records": q_read_fasta_records,
     "read_fasta_pieces": q_read_fasta_pieces,
     "read_equal_records": q_read_equal_records,

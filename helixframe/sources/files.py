@@ -5,7 +5,8 @@ File order is recovered without a one-task sort: inside a split, rows come
 in file order with consecutive ``monotonically_increasing_id`` values; splits
 of a file are ordered by ``_metadata.file_block_start``.  Per-split counts
 (one row per split) get running carries per file and are joined back.
-gzip files are a single split.
+A plain gzip file is a single split; one made of independent blocks is read in
+ranges by many tasks (``blocks``).
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.labels import duplicate_genes, prepare_genes
+from .blocks import block_files, read_blocks
 
 HEADER_BLOCK = 65536  # lines that share one copy of their header
 MAX_BROADCAST_HEADERS = 100_000
@@ -35,6 +37,11 @@ def with_file_order(df: DataFrame, is_marker=None, across_files: bool = False) -
     d = df.select("*", F.col("_metadata.file_path").alias("_file"),
                   F.col("_metadata.file_block_start").alias("_blk"),
                   F.monotonically_increasing_id().alias("_mid"))
+    return _numbered(d, is_marker, across_files)
+
+
+def _numbered(d: DataFrame, is_marker=None, across_files: bool = False) -> DataFrame:
+    """``with_file_order`` from the file, its part (``_blk``) and an increasing number in the part (``_mid``)."""
     mark = (is_marker if is_marker is not None else F.lit(False)).cast("bigint")
     d = d.withColumn("_mk", mark)
     per_split = (d.groupBy("_file", "_blk")
@@ -61,9 +68,9 @@ def _check_fasta_path(path: str) -> None:
 
 def _fasta_rows(spark: SparkSession, path: str) -> DataFrame:
     _check_fasta_path(path)
-    raw = spark.read.text(path)
     is_hdr = F.col("value").startswith(">")
-    d = with_file_order(raw, is_hdr)
+    made_of_blocks = block_files(spark, path)
+    d = _numbered(read_blocks(spark, made_of_blocks), is_hdr) if made_of_blocks else with_file_order(spark.read.text(path), is_hdr)
     # The header name of each row: the header row with the same mark index.
     # Headers are few beside lines, but all lines of a contig share one: lines
     # are dealt by (header, block of lines) to a copy of the header per block.
