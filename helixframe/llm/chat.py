@@ -9,8 +9,8 @@ row or task: part p holds the turns numbered from p * TURNS on, and the concaten
 
 Defined results: turns are ordered by number, ties by role and text; a null turn number comes first (as -1); a null text is
 empty; a null or empty role is the name ``unknown``; rows with a null conv_id form one conversation; repeated rows are
-rendered as often as they occur, and where more than ``TURNS`` rows share a turn number, the further ones follow
-in parts of their own (``slot`` 1 and on); a conversation of system turns alone has no participant and no rendering; marks
+rendered as often as they occur, and where a part has more than ``TURNS`` rows, as turn numbers repeat, it is cut into slots of
+so many, in order (``slot`` 1 and on), so that parts and slots in order are the dialogue; a conversation of system turns alone has no participant and no rendering; marks
 that occur in a text or a role lose their bars; an empty table gives no rows; only the four columns are read.
 """
 
@@ -37,9 +37,9 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
                      F.when(role == "", "unknown").otherwise(role).alias("role"),
                      plain(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("body"))
     t = t.withColumn("part", F.shiftright("turn", part_turns_log2))
-    # One exchange serves the numbering of ties and the grouping into parts.
-    tie = Window.partitionBy("conv_id", "part", "turn").orderBy("role", "body")
-    rows = (t.repartition("conv_id", "part").withColumn("slot", F.shiftright(F.row_number().over(tie) - 1, part_turns_log2))
+    # One exchange serves the numbering of rows and the grouping into slots.
+    order = Window.partitionBy("conv_id", "part").orderBy("turn", "role", "body")
+    rows = (t.repartition("conv_id", "part").withColumn("slot", F.shiftright(F.row_number().over(order) - 1, part_turns_log2))
             .groupBy("conv_id", "part", "slot").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "body"))).alias("said")))
     people = t.where(~F.col("role").isin(*system_roles)).select(F.col("conv_id").alias("of"), F.col("role").alias("perspective")).distinct()
     j = rows.join(people, F.col("conv_id").eqNullSafe(F.col("of")))

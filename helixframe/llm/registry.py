@@ -135,7 +135,7 @@ ORACLE = {
                           regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '<\1>', 'g') body from conversations),
         t as (select conv_id, turn, body, turn >> 8 part,
                      case when r0 = '' then 'unknown' else regexp_replace(regexp_replace(r0, '<\|(im_start|im_end)\|>', '<\1>', 'g'), '[\n\r]', ' ', 'g') end as role from c),
-        n as (select *, (row_number() over (partition by conv_id, part, turn order by role, body) - 1) >> 8 slot from t),
+        n as (select *, (row_number() over (partition by conv_id, part order by turn, role, body) - 1) >> 8 slot from t),
         people as (select distinct conv_id, role perspective from t where role <> 'system'),
         s as (select n.*, perspective, role = perspective own,
                      '<|im_start|>' || case when role = perspective then 'assistant' when role = 'system' then 'system' else 'user name=' || role end || chr(10) head,
