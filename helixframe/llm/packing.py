@@ -1,7 +1,7 @@
 """Packing by powers of two: each document is split into pieces of binary length, equal lengths share a bucket.
 
 A document of n ids becomes ``n // max_len`` pieces of ``max_len`` ids and then one piece for each set bit of the rest,
-longest first.  Every piece is a sequence of its own, so no sequence crosses documents, none is padded, and a
+longest first (``write_buckets`` keeps buckets apart in the files).  Every piece is a sequence of its own, so no sequence crosses documents, none is padded, and a
 batch takes sequences of one bucket (``max_len / length`` of them hold as many ids as one of the longest).  Nothing has to be
 placed across documents: the work is one pass without a shuffle, whatever the size or the skew.
 
@@ -16,7 +16,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import slices, text_rows
 from .tokens import encoder, with_end
@@ -74,3 +75,17 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     kind = t.schema["doc_id"].dataType.simpleString()
     return t.mapInArrow(_pack(tokenizer_path, end_id, max_len, plain_specials),
                         f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, bucket bigint, ids binary")
+
+
+def write_buckets(pieces: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write pieces in folders by bucket, so that a reader who wants sequences of one length opens only those.
+
+    Each task writes the files of its own pieces: nothing is shuffled, and the bucket of the longest pieces, with
+    most of the ids, lies in as many files as there are tasks.
+    """
+    pieces.write.mode(mode).partitionBy("bucket").parquet(path)
+
+
+def read_bucket(spark: SparkSession, path: str, length: int) -> DataFrame:
+    """The sequences of one length; the folders of other buckets are not read.  A length without sequences gives no rows."""
+    return spark.read.parquet(path).where(F.col("bucket") == length)

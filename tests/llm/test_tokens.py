@@ -123,3 +123,19 @@ def test_packing(docs_of):
     assert packing.pack(docs_of([]), registry.tokenizer(FILES[0])).collect() == []
     with pytest.raises(ValueError):
         packing.pack(docs_of([]), registry.tokenizer(FILES[0]), max_len=1000)
+
+
+def test_one_bucket_is_read_alone(spark, docs_of, tmp_path):
+    """The pieces of a length are in folders of their own, the largest bucket in several files."""
+    path = str(tmp_path / "packed")
+    docs = docs_of([*ROWS, *[(100 + i, "many words here " * 900) for i in range(12)]], parts=4)
+    pieces = packing.pack(docs, registry.tokenizer(FILES[0]), max_len=64)
+    packing.write_buckets(pieces, path)
+    want = [tuple(r) for r in pieces.select("doc_id", "start", "bucket", "ids").collect()]
+    for length in (64, 1, 2, 16):
+        one = packing.read_bucket(spark, path, length)
+        plan = one._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(bucket" in plan and f"= {length})" in plan
+        assert sorted((r.doc_id or 0, r.start, r.ids) for r in one.collect()) == sorted((i or 0, s, x) for i, s, b, x in want if b == length)
+    assert packing.read_bucket(spark, path, 3).count() == 0
+    assert len(list((tmp_path / "packed" / "bucket=64").glob("*.parquet"))) > 1
