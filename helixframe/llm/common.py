@@ -16,7 +16,7 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
@@ -108,14 +108,24 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(0))
 
 
-def sample_by_id(rows: DataFrame, n: int, id_col: str = "doc_id") -> DataFrame:
-    """The rows of about ``n`` ids, those with the smallest hash: the same ids on any partitioning.
+def training_sample(rows: DataFrame, label: str, per_label: int, max_bytes: int) -> tuple[list[tuple], dict]:
+    """A bounded sample of whole labelled texts, and how many rows each label has in all.
 
-    Only hashes reach the driver, ``n`` at most; the caller may collect the rows of the sample.
+    ``rows``: doc_id, text and the column ``label``, without nulls in text or label.  Of each label that occurs, the rows with the
+    smallest hashes of id and text, up to ``per_label`` of them and until their texts reach ``max_bytes`` (one at least);
+    equal rows count once.  The sample, a list of (text, label), is sorted by label and hash: it is the same for any order and
+    partitioning of the rows.  The driver receives the sample and one row for each label.
     """
-    h = F.xxhash64(F.lit("sample"), F.col(id_col).cast("string"))
-    top = rows.select(h.alias("h")).distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
-    return rows.where(h <= F.lit(top)) if top is not None else rows.where(F.lit(False))
+    t = rows.select(label, "text", F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string"), "text").alias("h"))
+    counts = {r[label]: r["count"] for r in t.groupBy(label).count().collect()}
+    order = Window.partitionBy(label).orderBy("h")
+    narrow = t.select(label, "h", F.octet_length("text").alias("bytes")).distinct()
+    narrow = narrow.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_label)
+    before = F.coalesce(F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = narrow.withColumn("before", before).where(F.col("before") < max_bytes).groupBy(F.col(label).alias("of")).agg(F.max("h").alias("end"))
+    picked = t.join(ends, F.col(label) == F.col("of")).where(F.col("h") <= F.col("end")).dropDuplicates([label, "h"])
+    found = sorted((r[label], r["h"], r["text"]) for r in picked.select(label, "h", "text").collect())
+    return [(text, key) for key, _, text in found], counts
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -5,8 +5,8 @@ is trained for each bit.  A text is decoded to the codeword whose bits have the
 margins, each bit weighted by how reliable its classifier was in training.  The gap to the second-nearest codeword tells
 whether the answer is ambiguous.
 
-Training sees at most ``max_docs`` labelled documents and ``max_chars`` characters of each (a piece at a place that
-depends on the id); prediction reads whole texts.
+Training takes whole texts, up to ``per_lang`` of each language that occurs and until they reach ``max_bytes`` of it; prediction
+reads whole texts.
 
 Defined results: a null text or one without any letter gets ``und`` with score 0 and is ambiguous; without a labelled row
 all texts get ``und``; with one language all texts with a letter get it with score 1; repeated rows are each predicted;
@@ -24,10 +24,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, sample_by_id, slices, text_rows, utf8
+from .common import UPPER, slices, text_rows, training_sample, utf8
 
 DIMS = 1 << 13
-MAX_DOCS, MAX_CHARS = 2000, 3000
+PER_LANG, MAX_BYTES = 700, 4 << 20  # training texts of a language
 UNKNOWN = "und"
 RESULT = "struct<lang_pred:string, score:double, ambiguous:boolean, runner_up:string>"
 FORM = UPPER.copy()  # lower case; everything in ASCII that is no letter becomes a space
@@ -141,14 +141,12 @@ def fit(texts: list[str], langs: list[str], *, rounds: int = 40, rate: float = 0
 
 
 def fit_table(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", *,
-              max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> LanguageModel:
-    """Train on the rows of ``docs`` that have a language and a text; the driver receives the bounded sample."""
+              per_lang: int = PER_LANG, max_bytes: int = MAX_BYTES) -> LanguageModel:
+    """Train on the rows of ``docs`` that have a language and a text: whole texts, up to ``per_lang`` of each language that occurs and
+    until they reach ``max_bytes`` of it.  The driver receives that bounded sample."""
     t = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    t = t.where("lang is not null and text is not null")
-    spare = F.greatest(F.length("text") - max_chars, F.lit(0)) + 1
-    piece = F.substring("text", (F.pmod(F.xxhash64("doc_id"), spare) + 1).cast("int"), F.lit(max_chars))
-    rows = sample_by_id(t, max_docs).select(piece.alias("text"), "lang").limit(2 * max_docs).collect()
-    return fit([r.text for r in rows], [r.lang for r in rows])
+    rows, _ = training_sample(t.where("lang is not null and text is not null"), "lang", per_lang, max_bytes)
+    return fit([text for text, _ in rows], [lang for _, lang in rows])
 
 
 def predict(text: Column, model: LanguageModel) -> Column:

@@ -6,8 +6,8 @@ steps of 4) of the whole document lies in a chunk.  Each byte has a learned embe
 largest responses are pooled over each chunk, the chunks' maxima and means are combined by a hidden layer into one
 probability.
 
-Training sees at most ``max_docs`` labelled documents and ``max_chunks`` chunks of each, spread over the whole text; scoring
-reads every chunk of every text.
+Training and scoring read every chunk of a text.  Training takes whole labelled documents, up to ``per_label`` of each label
+and until their texts reach ``max_bytes``.
 
 Defined results: a null or empty text is one chunk of padding and gets the score the network gives to that; without both
 classes in the training rows the score is the share of label 1 (0.5 without rows); repeated rows get equal scores; an
@@ -24,23 +24,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample_by_id, slices, text_rows, utf8
+from .common import slices, text_rows, training_sample, utf8
 
 CHUNK, STEP, EMBED, FILTERS, HIDDEN = 512, 4, 7, 24, 16
 LAGS = range(3, 25)
-MAX_DOCS, MAX_CHUNKS, MAX_CHARS = 3000, 6, 40_000
+PER_LABEL, MAX_BYTES = 1500, 8 << 20  # training documents of a label
 
 
-def chunk_bytes(data: np.ndarray, offs: np.ndarray, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def chunk_bytes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The chunks of all documents (rows of CHUNK + STEP bytes, zeros behind the end) and each one's document."""
     sizes = np.diff(offs)
     n = np.maximum(1, -(-sizes // CHUNK))
     doc = np.repeat(np.arange(len(sizes)), n)
     no = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-    if limit:  # evenly spread over the document
-        keep = (no * limit // n[doc]) != ((no - 1) * limit // n[doc])
-        keep |= n[doc] <= limit
-        doc, no = doc[keep], no[keep]
     at = (offs[doc] + no * CHUNK)[:, None] + np.arange(CHUNK + STEP)
     inside = at < offs[doc + 1][:, None]
     x = np.zeros(at.shape, np.uint8)
@@ -103,9 +99,9 @@ class QualityModel:
 
 
 def fit(texts: list[str], labels: list[int], *, epochs: int = 5, steps: int = 300, batch: int = 64,
-        rate: float = 0.01, seed: int = 11) -> QualityModel:
+        rate: float = 0.01, seed: int = 11, prior: float | None = None) -> QualityModel:
     """Train with Adam over ``epochs``, or as many as make ``steps``; the gradient of a pooled response goes to the window it
-    came from."""
+    came from.  ``prior``: the share of label 1 where scores will be given (that of the sample if None)."""
     rng = np.random.default_rng(seed)
     epochs = max(epochs, -(-steps * batch // max(1, len(labels))))
     y = np.array(labels, np.float32)
@@ -116,7 +112,7 @@ def fit(texts: list[str], labels: list[int], *, epochs: int = 5, steps: int = 30
         blank.constant = float(y.mean()) if len(y) else 0.5
         return blank
     data, offs = utf8(pa.array(texts, pa.large_string()))
-    x, doc = chunk_bytes(data, offs, MAX_CHUNKS)
+    x, doc = chunk_bytes(data, offs)
     first = np.searchsorted(doc, np.arange(len(y) + 1))
     model = QualityModel(rng.normal(0, 1, (256, EMBED)).astype(np.float32), rng.normal(0, 0.15, blank.filters.shape).astype(np.float32),
                          np.zeros(FILTERS, np.float32), rng.normal(0, 0.15, blank.hidden.shape).astype(np.float32), np.zeros(HIDDEN, np.float32),
@@ -165,23 +161,21 @@ def fit(texts: list[str], labels: list[int], *, epochs: int = 5, steps: int = 30
                 move = step * (m[k] / (1 - 0.9 ** t)) / (np.sqrt(v[k] / (1 - 0.99 ** t)) + 1e-7)
                 setattr(model, k, getattr(model, k) - (move.astype(np.float32) if k != "out_bias" else float(move)))
     assert half == model.filters.shape[0]
-    # The classes weighed the same in training; the shift makes the score a probability under the sample's shares.
-    model.out_bias = float(model.out_bias + np.log(share / (1 - share)))
+    # The classes weighed the same in training; the shift makes the score a probability under the classes' shares.
+    prior = share if prior is None else prior
+    model.out_bias = float(model.out_bias + np.log(prior / (1 - prior)))
     return model
 
 
 def fit_table(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", *,
-              max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> QualityModel:
-    """Train on documents that have a label 0 or 1; the driver receives the bounded sample (of texts above ``max_chars``
-    characters, a piece at a place that depends on the id)."""
-    label = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").distinct()
-    label = sample_by_id(label, max_docs)
-    t = text_rows(docs, id_col, text_col)
-    spare = F.greatest(F.length("text") - max_chars, F.lit(0)) + 1
-    piece = F.substring("text", (F.pmod(F.xxhash64("doc_id"), spare) + 1).cast("int"), F.lit(max_chars))
-    # The sampled labels are max_docs ids: a side of a proven size.
-    rows = t.join(F.broadcast(label), "doc_id").select(F.coalesce(piece, F.lit("")).alias("text"), "y").limit(4 * max_docs).collect()
-    return fit([r.text for r in rows], [r.y for r in rows])
+              per_label: int = PER_LABEL, max_bytes: int = MAX_BYTES) -> QualityModel:
+    """Train on documents that have a label 0 or 1 (a null text is empty); the driver receives the bounded sample and the number of
+    documents of each label."""
+    label = labels.select(F.col(id_col).alias("of"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and of is not null").distinct()
+    t = text_rows(docs, id_col, text_col).join(label, F.col("doc_id") == F.col("of")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+    rows, counts = training_sample(t, "y", per_label, max_bytes)
+    total = sum(counts.values())
+    return fit([text for text, _ in rows], [y for _, y in rows], prior=counts.get(1, 0) / total if total else None)
 
 
 def probability(text: Column, model: QualityModel) -> Column:

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from helixframe.llm import kneser_ney as K
 from helixframe.llm import language_id as L
@@ -49,6 +50,47 @@ def test_language_codes_correct_an_error():
     assert m.decode(np.zeros((1, code.shape[1])))[2].all()
 
 
+def brute_language(model, text):
+    """The model's answer for one text, trigram by trigram and language by language."""
+    form = [b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalpha() else 32 for b in text.encode()]
+    counts = Counter()
+    for i in range(len(form) - 2):
+        a, b, c = form[i:i + 3]
+        counts[((a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) % 2**32) >> 19] += 1
+    n = max(1, sum(counts.values()))
+    margins = [sum(math.sqrt(k / n) * float(model.weights[h, j]) for h, k in counts.items()) + float(model.bias[j]) for j in range(model.code.shape[1])]
+    loss = [sum(float(model.trust[i, j]) * math.log1p(math.exp(-m * float(model.code[i, j]))) for j, m in enumerate(margins)) for i in range(len(model.languages))]
+    p = [math.exp(-4 * (x - min(loss))) for x in loss]
+    best = loss.index(min(loss))
+    return model.languages[best], p[best] / sum(p), sorted(loss)[1] - sorted(loss)[0] < model.gap
+
+
+def test_languages_against_brute_force():
+    texts = [(k, sentence(k, s)) for k in LANGS for s in range(40)]
+    model = L.fit([t for _, t in texts], [k for k, _ in texts])
+    probe = [sentence(k, s, 1 + s % 50) for k in LANGS for s in range(2000, 2012)] + ["É à ñ 12, the", "zzz", "ab", "la 日本 der " * 900]
+    for text, got in zip(probe, model.predict(pa.array(probe)).to_pylist(), strict=True):
+        lang, score, ambiguous = brute_language(model, text)
+        assert (got["lang_pred"], got["ambiguous"]) == (lang, ambiguous) and abs(got["score"] - score) < 1e-3
+
+
+def test_training_sample_is_whole_bounded_and_in_one_order(spark, docs_of):
+    """Every label that occurs, whole texts, the same rows for any partitioning; equal rows once."""
+    from helixframe.llm.common import training_sample
+    rows = [(i, f"text {i} " * (1 + i % 7), "b" if i % 10 else "a") for i in range(400)] + [(1000, "rare", "c")] + [(7, "same", "b")] * 500
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got, counts = training_sample(d.repartition(5), "lang", 30, 1 << 20)
+    assert counts == {"a": 40, "b": 860, "c": 1} and Counter(k for _, k in got) == {"a": 30, "b": 30, "c": 1}
+    assert {(t, k) for t, k in got} <= {(t, k) for _, t, k in rows} and ("rare", "c") in got
+    assert got == training_sample(d.orderBy(F.desc("doc_id")).coalesce(1), "lang", 30, 1 << 20)[0]
+    few, _ = training_sample(d, "lang", 30, 100)
+    assert {k for _, k in few} == {"a", "b", "c"} and few == [r for r in got if r in few]
+    sizes = defaultdict(list)
+    for text, k in few:
+        sizes[k].append(len(text))
+    assert all(sum(v[:-1]) < 100 for v in sizes.values())
+
+
 def test_language_edges(docs_of):
     rows = [(1, None), (2, ""), (3, "12 34 !!"), (4, "the of and"), (5, "日本"), (6, "the of and"), (None, "the of"), (8, "½² Ⅷ ٣ ①"), (9, "½ é")]
     for langs in ([], ["en"], ["en", "de"]):
@@ -84,6 +126,44 @@ def test_quality_sees_the_whole_document():
     assert np.allclose(model.score(pa.array(texts)), one, atol=1e-5)
 
 
+def brute_quality(model, text):
+    """The network's score of one text, window by window."""
+    data = text.encode()
+    chunks = []
+    for i in range(max(1, -(-len(data) // Q.CHUNK))):
+        piece = data[i * Q.CHUNK:i * Q.CHUNK + Q.CHUNK + Q.STEP]
+        x = list(piece) + [0] * (Q.CHUNK + Q.STEP - len(piece))
+        flag = [any(p >= lag + 7 and all(x[p - j] == x[p - j - lag] != 0 for j in range(8)) for lag in Q.LAGS) for p in range(len(x))]
+        rows = [np.concatenate([[*model.embed[x[p]], float(flag[p])] for p in range(s, s + Q.STEP)]) for s in range(0, len(x), Q.STEP)]
+        left = [r @ model.filters[:, :Q.FILTERS] for r in rows]
+        right = [r @ model.filters[:, Q.FILTERS:] for r in rows]
+        chunks.append(np.maximum(np.max([a + b + model.bias for a, b in zip(left[:-1], right[1:], strict=True)], axis=0), 0))
+    f = np.concatenate([np.max(chunks, axis=0), np.mean(chunks, axis=0)])
+    return 1 / (1 + math.exp(-float(np.tanh(f @ model.hidden + model.hidden_bias) @ model.out + model.out_bias)))
+
+
+def test_quality_against_brute_force():
+    model = Q.fit([sentence("en", s) for s in range(40)] + [junk(s) for s in range(40)], [1] * 40 + [0] * 40)
+    texts = ["", "a", sentence("fr", 1), junk(4), "buy now " * 90, sentence("de", 2, 300) + junk(9), "é" * 700]
+    assert np.allclose(model.score(pa.array(texts)), [brute_quality(model, t) for t in texts], atol=1e-4)
+
+
+def test_quality_model_does_not_depend_on_the_order_of_rows(spark, docs_of):
+    rows = [(i, sentence("en", i, 20 + i) if i % 3 else junk(i)) for i in range(90)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(90)], "doc_id long, quality int")
+    a = Q.fit_table(docs_of(rows, parts=2), labels)
+    b = Q.fit_table(docs_of(rows[::-1], parts=7), labels.repartition(5))
+    assert all(np.array_equal(getattr(a, k), getattr(b, k)) for k in ("embed", "filters", "bias", "hidden", "hidden_bias", "out", "out_bias"))
+
+
+def test_quality_of_a_rare_label(spark, docs_of):
+    """Two rejected documents among many accepted ones are in the sample, whatever their hashes."""
+    rows = [(i, sentence("en", i)) for i in range(60)] + [(100, junk(1)), (101, junk(2))]
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows], "doc_id long, quality int")
+    model = Q.fit_table(docs_of(rows), labels, per_label=20)
+    assert model.constant is None and model.score(pa.array([junk(1)]))[0] < model.score(pa.array([sentence("en", 3)]))[0]
+
+
 def test_chunks_cover_all_bytes():
     data = np.arange(1, 251, dtype=np.uint8).repeat(7)
     x, doc = Q.chunk_bytes(data, np.array([0, 0, 600, len(data)]))
