@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import parse_positions
+from ..functions.sequence import parse_positions, to_half_open
 
 # Fixed label values of the splice-site track.
 NEITHER, DONOR, ACCEPTOR, IGNORED = 0, 1, 2, -100
@@ -29,12 +29,11 @@ def prepare_genes(annotation: DataFrame, exclude_paralogs: bool = False,
     df = annotation
     if exclude_paralogs:
         df = exclude_paralog_rows(df)
+    start, end = to_half_open(F.col("tx_start").cast("bigint"), F.col("tx_end").cast("bigint"))
     return df.select(
         "gene",
         F.col("paralog").cast("int").alias("paralog"),
-        "chrom", "strand",
-        (F.col("tx_start").cast("bigint") - 1).alias("tx_start"),
-        F.col("tx_end").cast("bigint").alias("tx_end"),
+        "chrom", "strand", start.alias("tx_start"), end.alias("tx_end"),
         parse_positions("jn_start", compat_positions).alias("jn_start"),
         parse_positions("jn_end", compat_positions).alias("jn_end"),
         *[c for c in ("line_no",) if c in df.columns],

@@ -19,7 +19,6 @@ from ..operators.labels import duplicate_genes, prepare_genes
 from .blocks import block_files, read_blocks
 
 HEADER_BLOCK = 65536  # lines that share one copy of their header
-MAX_BROADCAST_HEADERS = 100_000
 # Accepted genome file suffixes (FASTA, gzipped FASTA).
 FASTA_SUFFIXES = (".fa", ".fasta", "fa.gz", "fna.gz")
 
@@ -188,9 +187,7 @@ def read_activity(spark: SparkSession, path: str,
     raw = spark.read.text(path)
     d = with_file_order(raw)
     header = d.where(F.col("_ord") == 0).select("_file", F.split("value", "\t").alias("_hdr"))
-    # One short row per file; the side is broadcast only while it is small.
-    if header.count() <= MAX_BROADCAST_HEADERS:
-        header = F.broadcast(header)
+    # One short row per file: AQE broadcasts the side if its measured size allows.
     body = d.where(F.col("_ord") > 0).join(header, "_file")
     fields = F.split("value", "\t")
     out = [(F.col("_ord") - 1).cast("bigint").alias("ordinal")]
