@@ -108,24 +108,37 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(0))
 
 
-def training_sample(rows: DataFrame, label: str, per_label: int, max_bytes: int) -> tuple[list[tuple], dict]:
+def sample_key(doc_id: Column, text: Column) -> Column:
+    """A uniform 63-bit number of a row's id and text."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit("sample"), doc_id.cast("string"), text), 1)
+
+
+def training_sample(rows: DataFrame, texts: DataFrame, label: str, per_label: int, max_bytes: int) -> tuple[list[tuple], dict]:
     """A bounded sample of whole labelled texts, and how many rows each label has in all.
 
-    ``rows``: doc_id, text and the column ``label``, without nulls in text or label.  Of each label that occurs, the rows with the
-    smallest hashes of id and text, up to ``per_label`` of them and until their texts reach ``max_bytes`` (one at least);
-    equal rows count once.  The sample, a list of (text, label), is sorted by label and hash: it is the same for any order and
-    partitioning of the rows.  The driver receives the sample and one row for each label.
+    ``rows``: h (``sample_key``), bytes (of the text) and the column ``label``, without nulls; ``texts``: h and text.  Of each label that
+    occurs, the rows with the smallest keys, up to ``per_label`` of them and until their texts reach ``max_bytes`` (one at least);
+    equal rows count once.  The sample, a list of (text, label), is sorted by label and key: it is the same for any order and
+    partitioning of the rows.  Labels are ranked among about twice as many rows as are wanted, chosen by their keys, so no
+    label is ranked as a whole.  The driver receives the keys, one row for each label, and then the sample's texts, which the
+    keys fetch by a broadcast of that size; texts are never shuffled.
     """
-    t = rows.select(label, "text", F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string"), "text").alias("h"))
+    spark = rows.sparkSession
+    t = rows.select(label, "h", F.col("bytes").cast("bigint").alias("bytes"))
     counts = {r[label]: r["count"] for r in t.groupBy(label).count().collect()}
+    if not counts:
+        return [], {}
+    some = 2 * per_label + 50
+    limits = {k: some * (1 << 63) // n if n > some else (1 << 63) - 1 for k, n in counts.items()}
+    ends = F.create_map(*[F.lit(x) for pair in sorted(limits.items()) for x in pair])
     order = Window.partitionBy(label).orderBy("h")
-    narrow = t.select(label, "h", F.octet_length("text").alias("bytes")).distinct()
-    narrow = narrow.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_label)
+    near = t.where(F.col("h") <= ends[F.col(label)]).distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_label)
     before = F.coalesce(F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ends = narrow.withColumn("before", before).where(F.col("before") < max_bytes).groupBy(F.col(label).alias("of")).agg(F.max("h").alias("end"))
-    picked = t.join(ends, F.col(label) == F.col("of")).where(F.col("h") <= F.col("end")).dropDuplicates([label, "h"])
-    found = sorted((r[label], r["h"], r["text"]) for r in picked.select(label, "h", "text").collect())
-    return [(text, key) for key, _, text in found], counts
+    keys = sorted((r[label], r["h"]) for r in near.withColumn("before", before).where(F.col("before") < max_bytes).select(label, "h").collect())
+    wanted = spark.createDataFrame([(h,) for h in sorted({h for _, h in keys})], "key bigint")
+    got = texts.join(F.broadcast(wanted), F.col("h") == F.col("key")).dropDuplicates(["h"]).select("h", "text").collect()
+    text = {r["h"]: r["text"] for r in got}
+    return [(text[h], k) for k, h in keys], counts
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, slices, text_rows, training_sample, utf8
+from .common import UPPER, sample_key, slices, text_rows, training_sample, utf8
 
 DIMS = 1 << 13
 PER_LANG, MAX_BYTES = 700, 4 << 20  # training texts of a language
@@ -145,7 +145,8 @@ def fit_table(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", t
     """Train on the rows of ``docs`` that have a language and a text: whole texts, up to ``per_lang`` of each language that occurs and
     until they reach ``max_bytes`` of it.  The driver receives that bounded sample."""
     t = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows, _ = training_sample(t.where("lang is not null and text is not null"), "lang", per_lang, max_bytes)
+    t = t.where("lang is not null and text is not null").select(sample_key(F.col("doc_id"), F.col("text")).alias("h"), "text", "lang")
+    rows, _ = training_sample(t.select("h", F.octet_length("text").alias("bytes"), "lang"), t, "lang", per_lang, max_bytes)
     return fit([text for text, _ in rows], [lang for _, lang in rows])
 
 

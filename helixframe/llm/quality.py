@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_rows, training_sample, utf8
+from .common import sample_key, slices, text_rows, training_sample, utf8
 
 CHUNK, STEP, EMBED, FILTERS, HIDDEN = 512, 4, 7, 24, 16
 LAGS = range(3, 25)
@@ -172,8 +172,10 @@ def fit_table(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id
     """Train on documents that have a label 0 or 1 (a null text is empty); the driver receives the bounded sample and the number of
     documents of each label."""
     label = labels.select(F.col(id_col).alias("of"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and of is not null").distinct()
-    t = text_rows(docs, id_col, text_col).join(label, F.col("doc_id") == F.col("of")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
-    rows, counts = training_sample(t, "y", per_label, max_bytes)
+    t = text_rows(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    t = t.withColumn("h", sample_key(F.col("doc_id"), F.col("text")))
+    rows = t.select("doc_id", "h", F.octet_length("text").alias("bytes")).join(label, F.col("doc_id") == F.col("of"))
+    rows, counts = training_sample(rows, t, "y", per_label, max_bytes)
     total = sum(counts.values())
     return fit([text for text, _ in rows], [y for _, y in rows], prior=counts.get(1, 0) / total if total else None)
 

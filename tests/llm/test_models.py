@@ -76,7 +76,12 @@ def test_languages_against_brute_force():
 
 def test_training_sample_is_whole_bounded_and_in_one_order(spark, docs_of):
     """Every label that occurs, whole texts, the same rows for any partitioning; equal rows once."""
-    from helixframe.llm.common import training_sample
+    from helixframe.llm import common
+
+    def training_sample(d, *bounds):
+        t = d.withColumn("h", common.sample_key(F.col("doc_id"), F.col("text"))).withColumn("bytes", F.octet_length("text"))
+        return common.training_sample(t.select("h", "bytes", "lang"), t.select("h", "text"), *bounds)
+
     rows = [(i, f"text {i} " * (1 + i % 7), "b" if i % 10 else "a") for i in range(400)] + [(1000, "rare", "c")] + [(7, "same", "b")] * 500
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got, counts = training_sample(d.repartition(5), "lang", 30, 1 << 20)
