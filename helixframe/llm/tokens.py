@@ -18,7 +18,7 @@ import pyarrow as pa
 
 from .common import utf8
 
-CACHE_BYTES = 40 << 20  # of the pieces and ids that a worker remembers; above it the memory is emptied and filled anew
+CACHE_BYTES = 112 << 20  # of the pieces and ids that a worker remembers; above it the memory is emptied and filled anew
 ENTRY_BYTES = 170  # of a piece beside its own bytes: two byte strings and their place in the dictionary
 
 WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")  # ASCII and Latin-1 letters
