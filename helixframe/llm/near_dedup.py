@@ -20,7 +20,8 @@ Texts with equal words are one node from the start.  Within a bucket not all pai
 3. The members of buckets that still are not done, unlike texts that share a passage for the most part, are joined by an
    exact rule instead of by bucket: if shingles are ordered by how many of these
    texts have them, two linked texts share one among the rarest ``n - ceil(0.8 n) + 1`` of each.  A shared passage is not
-   among them, so only such pairs meet that could be links, in one pass at any size of the bucket, and none is lost.
+   among them, so only such pairs meet that could be links, in one pass at any size of the bucket, and none is lost.  Of a
+   pair, the first shingle in common also bounds how many can follow; pairs that it leaves too few are not made.
 
 Defined results: a null text, an empty one, and one without words are classes of their own; a null doc_id is the smallest; of a
 class the smallest doc_id stays (of rows that tie in id, one); repeated rows are copies; an empty table gives no rows; only id and
@@ -248,16 +249,17 @@ def _rest(members: DataFrame, texts: DataFrame) -> DataFrame:
            .join(members, "uid"))
     left = F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("xs"))
     keys = (own.withColumn("left", left.cast("int")).where("left > 0")
-            .select("uid", "n", "comp", F.size("xs").alias("s"), F.explode(F.slice("xs", 1, F.col("left"))).alias("k"))
-            .select("uid", "n", "comp", "s", F.col("k.x").alias("x")))
+            .select("uid", "n", "comp", F.size("xs").alias("s"), F.posexplode(F.slice("xs", 1, F.col("left"))).alias("at", "k"))
+            .select("uid", "n", "comp", (F.col("s") - F.col("at")).alias("s"), F.col("k.df").alias("texts"), F.col("k.x").alias("x")))
     keys = materialize(keys, "rarest")
-    # Shingles of a passage have the same texts: of those, one is enough.
+    # Shingles of a passage have the same texts: of those, one is enough, the first in order.
     mixed = (keys.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("df"), F.min("uid").alias("first"),
-                                   F.max("uid").alias("last"), F.bit_xor(F.xxhash64("uid")).alias("who"))
-             .where("lo < hi").groupBy("lo", "hi", "df", "first", "last", "who").agg(F.min("x").alias("x")).select("x"))
-    keys = keys.join(mixed, "x")
+                                   F.max("uid").alias("last"), F.bit_xor(F.xxhash64("uid")).alias("who"), F.min("texts").alias("texts"))
+             .where("lo < hi").groupBy("lo", "hi", "df", "first", "last", "who").agg(F.min(F.struct("texts", "x")).alias("k")).select("k.x"))
+    keys = keys.drop("texts").join(mixed, "x")
     other = keys.select("x", F.col("uid").alias("b"), F.col("n").alias("m"), F.col("comp").alias("cb"), F.col("s").alias("t"))
-    # Two texts share no more than either has of shared shingles; a link needs so many of both sizes.
+    # s and t: the shared shingles from this one on.  At the first that two texts have in common they share no more than
+    # either has left; a link needs so many of both sizes.
     enough = F.least("s", "t") >= SIMILARITY / (1 + SIMILARITY) * (F.col("n") + F.col("m")) - 1e-9
     return (keys.withColumnRenamed("uid", "a").join(other, "x")
             .where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("cb")) & _near_size() & enough).select("a", "b").distinct())

@@ -102,6 +102,23 @@ def test_unlike_texts_in_shared_buckets(docs_of, spoken):
     assert Counter((r.doc_id, r.class_id) for r in got) == classes(rows)
 
 
+def test_texts_near_the_threshold_hardly_meet(docs_of, spoken, monkeypatch):
+    """Edits of one text, most of them too many for a link: all links are found, without all pairs meeting."""
+    base, found, real = spoken(9, 150), [], N._rest
+
+    def rest(members, texts):
+        out = N.materialize(real(members, texts), "counted")
+        found.append((members.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(N, "_rest", rest)
+    rows = [(i, edited(base, 0.006 + 0.004 * (i % 9), i, "ris")) for i in range(90)]
+    got = N.near_dedup(docs_of(rows, parts=4)).collect()
+    assert Counter((r.doc_id, r.class_id) for r in got) == classes(rows)
+    (n, pairs), = found
+    assert n > 40 and pairs < n * 5
+
+
 def test_large_group_of_near_copies(docs_of, spoken):
     base = spoken(4, 150)
     rows = [(i, edited(base, 0.007, i, "r")) for i in range(400)] + [(1000 + i, spoken(5000 + i, 100)) for i in range(100)]
