@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
+LONG_WORD = 64
 UPPER = np.arange(256, dtype=np.uint8)
 UPPER[65:91] += 32  # A-Z to a-z, all other bytes unchanged
 ALNUM = np.zeros(256, bool)  # words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of lower-cased text
@@ -212,6 +213,24 @@ def word_hashes(vocabulary: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in vocabulary.to_pylist()), np.uint64, len(vocabulary))
 
 
+def word_keys(vocabulary: pa.Array) -> np.ndarray:
+    """64-bit keys of the words of a vocabulary, eight bytes of all words at a time; a word of more than ``LONG_WORD`` bytes by its
+    own hash.  Words of one length up to eight bytes never share a key."""
+    data, offs = utf8(vocabulary)
+    size = np.diff(offs)
+    lanes = np.ndarray(len(data) + 1, "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))  # the eight bytes from each on
+    with np.errstate(over="ignore"):
+        out = mix(size.astype(np.uint64))
+        for i in range(0, min(LONG_WORD, int(size.max(initial=0))), 8):
+            own = np.flatnonzero(size > i) if i else slice(None)
+            beyond = np.maximum(8 - (size[own] - i), 0).astype(np.uint64) * np.uint64(8)  # bits of the lane behind the word
+            lane = (lanes[offs[:-1][own] + i] << (beyond & np.uint64(63))) * (beyond < 64)
+            out[own] = mix(out[own] ^ lane)
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(data[offs[i]:offs[i + 1]].tobytes())
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser: equal only for equal input, spread over all bits."""
     x = x.astype(np.uint64, copy=True)

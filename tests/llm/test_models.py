@@ -11,7 +11,7 @@ from helixframe.llm import kneser_ney as K
 from helixframe.llm import language_id as L
 from helixframe.llm import quality as Q
 from helixframe.llm import registry
-from helixframe.llm.common import fold
+from helixframe.llm.common import fold, word_keys
 
 LANGS = {"en": "the of and in that ing tion her was with", "de": "der die und ein sch ung nicht von zu keit", "fr": "le la les de des eau ment que pour avec",
          "es": "el los del que por ado ción una para con"}
@@ -335,3 +335,17 @@ def test_fold(spark):
     import zlib
     got = spark.createDataFrame([(i,) for i in (0, 7, 123, None)], "doc_id long").select("doc_id", fold(__import__("pyspark").sql.functions.col("doc_id"), 7).alias("f")).collect()
     assert [r.f for r in got] == [zlib.crc32(str(i).encode()) % 7 for i in (0, 7, 123)] + [0]
+
+
+def test_word_keys_tell_words_apart_wherever_they_stand():
+    rng = np.random.default_rng(7)
+    some = {rng.integers(0, 256, int(n), np.uint8).tobytes() for n in rng.choice([1, 2, 7, 8, 9, 16, 17, 63, 64, 65, 200], 20_000)}
+    some = sorted(some | {b"\0" * i for i in range(130)} | {b"a" * i for i in range(130)})
+    keys = word_keys(pa.array(some, pa.binary()))
+    assert keys.dtype == np.uint64 and len(set(keys.tolist())) == len(some)
+    at = rng.permutation(len(some))[:500]
+    assert (word_keys(pa.array([some[i] for i in at], pa.binary())) == keys[at]).all()
+    assert (word_keys(pa.array(some, pa.binary()).slice(100, 50)) == keys[100:150]).all()
+    assert len(word_keys(pa.array([], pa.binary()))) == 0
+    assert np.bincount((keys >> np.uint64(60)).astype(int), minlength=16).min() > len(some) / 16 * 0.8
+    assert K.END_KEY == word_keys(pa.array([b" "], pa.binary()))
