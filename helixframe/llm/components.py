@@ -23,13 +23,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """For each node of the links (a, b: bigint): node and component, the smallest node of its component.
 
-    Each round is written to the shared folder; the number of rounds grows with the logarithm of a component's size, and
-    only two sums of each round reach the driver.
+    Both steps of a round are written to the shared folder: the small one reads its edges several times, and a plan that held the
+    large one as often would be most of what the driver keeps of a job.  The number of rounds grows with the logarithm of a
+    component's size, and only two sums of each round reach the driver.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges, before = materialize(edges, "links"), None
     while True:
-        edges = materialize(_star(_star(edges, True), False), "stars")
+        edges = materialize(_star(materialize(_star(edges, True), "large-stars"), False), "stars")
         r = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if (r.n, r.s) == before:
             break

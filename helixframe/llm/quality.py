@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import sample_key, slices, text_rows, training_sample, utf8
 
 CHUNK, STEP, EMBED, FILTERS, HIDDEN = 512, 4, 7, 24, 16
+BLOCK = 1024  # chunks that are cut at a time
 LAGS = range(3, 25)
 PER_LABEL, MAX_BYTES = 1500, 8 << 20  # training documents of a label
 
@@ -37,10 +38,12 @@ def chunk_bytes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     n = np.maximum(1, -(-sizes // CHUNK))
     doc = np.repeat(np.arange(len(sizes)), n)
     no = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-    at = (offs[doc] + no * CHUNK)[:, None] + np.arange(CHUNK + STEP)
-    inside = at < offs[doc + 1][:, None]
-    x = np.zeros(at.shape, np.uint8)
-    x[inside] = data[at[inside]]
+    x = np.zeros((len(doc), CHUNK + STEP), np.uint8)
+    for i in range(0, len(doc), BLOCK):  # positions take eight times the room of the bytes
+        own = doc[i:i + BLOCK]
+        at = (offs[own] + no[i:i + BLOCK] * CHUNK)[:, None] + np.arange(CHUNK + STEP)
+        inside = at < offs[own + 1][:, None]
+        x[i:i + BLOCK][inside] = data[at[inside]]
     return x, doc
 
 

@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -349,3 +350,12 @@ def test_word_keys_tell_words_apart_wherever_they_stand():
     assert len(word_keys(pa.array([], pa.binary()))) == 0
     assert np.bincount((keys >> np.uint64(60)).astype(int), minlength=16).min() > len(some) / 16 * 0.8
     assert K.END_KEY == word_keys(pa.array([b" "], pa.binary()))
+
+
+def test_chunks_are_cut_in_little_memory():
+    data = np.full(8 << 20, 97, np.uint8)
+    tracemalloc.start()
+    x, _ = Q.chunk_bytes(data, np.array([0, 5, len(data)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * x.nbytes

@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from helixframe.llm import components as C
 from helixframe.llm import near_dedup as N
 from helixframe.llm.components import components
 
@@ -168,3 +169,16 @@ def test_components_of_chains(spark, n):
     got = {r.node: r.component for r in components(links).collect()}
     assert got == {i: 0 for i in range(n + 1)} | {100: 100, 101: 100}
     assert components(links.where("a < 0")).collect() == []
+
+
+def test_a_round_of_components_reads_its_edges_few_times(spark, monkeypatch):
+    scans = []
+
+    def counted(df, name, real=C.materialize):
+        scans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return real(df, name)
+
+    monkeypatch.setattr(C, "materialize", counted)
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint")
+    assert {r.component for r in components(links).collect()} == {0}
+    assert len(scans) > 3 and 0 < max(scans) <= 4
