@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from helixframe.functions.sequence import kmers
 from helixframe.operators import genome as gn
 from helixframe.operators import samples, scoring, windows
+from helixframe.plans import queries
+from helixframe.session import materialize, shuffles_dropped
 from helixframe.sources import fixtures as fx
 from helixframe.sources import sinks
 
@@ -109,3 +111,97 @@ def test_positions_come_from_flat_lists(spark):
     s = scoring.score_windows(df, two, window=3, flank=2)  # fewer classes than the default
     assert "struct<" not in s._jdf.queryExecution().analyzed().toString() and "_logits" in plan(s)
     assert [(r.offset, r.label, r.logits) for r in s.orderBy("offset").collect()] == [(0, 0, [7.0, 1.0]), (1, 1, [8.0, 2.0]), (2, -100, [9.0, 0.0])]
+
+
+@pytest.fixture
+def by_key(spark):
+    """Joins deal their rows by key, as on tables too large to be broadcast."""
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _labelled(spark):
+    """Windows and sites of genes of which one has two records, with other starts, and one has no name."""
+    genes = [("g1", "+", 10, 58), ("g1", "-", 13, 50), ("g2", "-", 0, 16), (None, "+", 4, 30), ("g3", None, 2, 40)]
+    rows = [(g, t, "chr0", s, a, b, a + 16 * t) for g, s, a, b in genes for t in range((b - a + 15) // 16)]
+    w = spark.createDataFrame(rows + rows[:2], "gene string, tile long, chrom string, strand string, tx_start long, tx_end long, start long")
+    w = w.withColumn("start", F.col("start") + F.when(F.col("tile") == 1, 5).otherwise(0))
+    sites = [(g, a, p, (1, 2, -100)[p % 3]) for g, s, a, b in genes for p in range(a, b, 5)]
+    return windows.window_bounds(w, 16, 8), spark.createDataFrame(sites, "gene string, tx_start long, pos long, label int"), sites
+
+
+def test_windows_meet_their_sites_before_they_are_wide(spark):
+    w, sites, known = _labelled(spark)
+    whole = samples.window_labels(w, sites, 16)
+    first = samples.window_labels(samples.join_sites(w, sites, 16).withColumn("wide", F.lit("x")), None, 16)
+    assert whole.columns == [*w.columns, "labels"] and first.columns == [*w.columns, "wide", "labels"]
+    got = sorted(whole.collect(), key=str)
+    assert sorted(first.drop("wide").collect(), key=str) == got and len(got) == w.count()
+    for r in got:
+        code = ["x" if not r.tx_start <= p < r.tx_end else "0" for p in range(r.start, r.end)]
+        t = (r.lab_lo - r.tx_start) // 16
+        for g, a, p, v in known:  # of the window's tile and the next, counted from the start of the site's own record
+            if g is not None and g == r.gene and (p - a) // 16 in (t, t + 1) and r.lab_lo <= p < r.lab_hi:
+                code[p - r.start] = "x" if v == -100 else str(v)
+        assert r.labels == "".join(code[::-1] if r.strand == "-" else code)
+
+
+def test_sites_are_not_dealt_anew(spark, by_key):
+    """Windows and sites of genes that are dealt by gene stay where they are."""
+    genes = spark.createDataFrame([("g", "+", 0, 40)], "gene string, strand string, tx_start long, tx_end long").repartition("gene")
+    sites = genes.select("gene", "tx_start", F.lit(3).cast("bigint").alias("pos"), F.lit(1).alias("label"))
+    w = windows.window_bounds(windows.tile(genes, 16), 16, 8)
+    p = plan(samples.window_labels(w, sites, 16), "executedPlan")
+    assert "SortMergeJoin" in p and p.count("Exchange") == 2 == p.count("REPARTITION_BY_COL")
+
+
+def test_windows_are_dealt_once(spark, store, by_key):
+    w = _windows(spark, store[1])
+    p = plan(samples.window_sequences(w, store[2], span=32), "executedPlan")
+    assert "REBALANCE" not in p and "hashpartitioning(_chrom" in p
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    small = replace(store[2], chunks=materialize(store[2].chunks))
+    assert "REBALANCE" in plan(samples.window_sequences(w, small, span=32), "executedPlan")
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    d = tmp_path_factory.mktemp("tables")
+    spark.createDataFrame([(i, "ACGTNacgtu ZZ" * 40) for i in range(50)], "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    orders = [(k, k * 7, "OF"[k % 2], ("1-URGENT", "5-LOW")[k % 3 == 0]) for k in (0, 1, 2, 3, 4, 5, 6, 6, 40)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{d}/orders.parquet")
+    items = [(k, k * 31 + n, k + n, n) for k in range(7) for n in range(1, 6)]
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{d}/lineitem.parquet")
+    return str(d)
+
+
+def test_scored_windows_are_not_shuffled_wide(spark, tables, by_key):
+    """Tokens and labels go from the join with the chunks to their sums as they are; what the windows are made of was written before."""
+    df = queries.q_score_windows(spark, tables)
+    p = plan(df, "executedPlan")
+    scored, join = p.index("MapInArrow"), p.index("SortMergeJoin")
+    assert scored < p.index("AS tokens#") < join and p[join:].startswith("SortMergeJoin [_chrom#")
+    assert "Exchange" not in p[scored:join] and "REBALANCE" not in p and "listagg" not in p
+    labelled = samples.window_labels(queries._token_windows(spark, tables), queries._sites(spark, tables), 300)
+    s = scoring.score_windows(labelled, queries._position_model, 300, 300)
+    want = s.groupBy("gene", "tile").agg(F.count("label").alias("n"), F.sum("label").alias("labels"), F.sum(F.col("logits")[1]).cast("bigint").alias("thirds"))
+    got = {tuple(r) for r in df.select("gene", "tile", "n", "labels", "thirds").collect()}
+    assert got == {tuple(r) for r in want.collect()} and {r[2] for r in got} == {300, 600} and any(r[3] for r in got)
+
+
+def test_shuffles_are_dropped_only_inside(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    for old in (None, "false"):
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+        usual = spark.conf.get(key, None)
+        with pytest.raises(KeyError), shuffles_dropped(spark):
+            assert spark.conf.get(key) == "true"
+            raise KeyError
+        assert spark.conf.get(key, None) == usual
+    spark.conf.unset(key) if before is None else spark.conf.set(key, before)
